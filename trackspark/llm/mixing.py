@@ -85,7 +85,9 @@ def mix(docs: DataFrame, seed: int = 0, cycle: int = 3, most: int = 3, buckets:
     rows = rows.select("doc_id", "source", "size", "source_size", "target", "doc_taken", "_hash", "c.*")
     # the global order by finish time: slices of virtual time hold about budget / slices words each;
     # what the mix leaves out is spread over slices of its own
-    rows = rows.withColumn("_slice", F.coalesce(F.least(F.floor(F.col("virtual_finish") * slices), F.lit(slices)).cast("int"), F.lit(-1) - F.pmod("_hash", F.lit(slices)).cast("int")))
+    aside = (F.lit(-1) - F.pmod("_hash", F.lit(slices))).cast("int")
+    slice_ = F.least(F.floor(F.col("virtual_finish") * slices), F.lit(slices)).cast("int")
+    rows = rows.withColumn("_slice", F.when(F.col("copy").isNull(), aside).otherwise(slice_))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_slice").agg(F.sum("taken").alias("_words")).withColumn("_start", F.coalesce(F.sum("_words").over(before), F.lit(0)))
     inside = Window.partitionBy("_slice").orderBy("virtual_finish", F.col("source").asc_nulls_last(), "_hash", F.col("doc_id").asc_nulls_last(), "size", "copy").rowsBetween(Window.unboundedPreceding, -1)
