@@ -43,3 +43,12 @@ def free_name(df: DataFrame, wanted: str) -> str:
     while wanted.lower() in taken:
         wanted = "_" + wanted
     return wanted
+
+
+def bounded_batches(spark: SparkSession, limit: int = 1 << 24) -> None:
+    """Arrow batches to Python end at limit bytes, so that a run of long texts fits in memory.
+    A smaller limit that the session has is left alone."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(name, None)
+    if not have or not have.isdigit() or int(have) > limit:
+        spark.conf.set(name, str(limit))

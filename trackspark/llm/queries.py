@@ -25,6 +25,28 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out."""
+    from .langid import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of all pages, written to WARC archives and read back."""
+    from .warc import archive_round_trip
+
+    records = archive_round_trip(_table(spark, sf_dir, "pages"))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word statistics and the verdict on every document."""
+    from .quality import judge_quality
+
+    return judge_quality(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     from .tokencount import count_tokens
@@ -43,9 +65,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_language_id": op2_language_id,
+    "op3_warc": op3_warc,
+    "op4_quality": op4_quality,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
 #: SQL for DuckDB; what it can't express is tested against brute force in tests/llm.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_warc": """
+        WITH p AS (
+            SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+        ), m AS (SELECT *, max(page_id) OVER (PARTITION BY d) AS last FROM p)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+            CASE WHEN n >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM m
+    """,
+}
