@@ -47,6 +47,13 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 3-word shingles agree to 85 per cent or more."""
+    from .neardup import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     from .tokencount import count_tokens
@@ -68,6 +75,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
