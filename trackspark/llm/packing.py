@@ -33,7 +33,7 @@ class WordTokenizer:
     Exact for tokenizers in which no token, normalisation or pattern crosses ASCII white space,
     and white space itself gives no token."""
 
-    def __init__(self, path: str, remember: int = 1 << 18):
+    def __init__(self, path: str, remember: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -48,7 +48,7 @@ class WordTokenizer:
         for at in range(0, len(new), 1 << 14):
             some = new[at : at + (1 << 14)]
             found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update(zip(some, (x.ids for x in found), strict=True))
+            self.known.update(zip(some, (np.array(x.ids, self.kind).tobytes() for x in found), strict=True))
 
     def ids(self, texts: Iterable[str], end: int, part: int = 1 << 20) -> Iterator[np.ndarray]:
         """Ids of each text, then end. Texts are worked off in runs of about part characters; a longer
@@ -73,7 +73,7 @@ class WordTokenizer:
     def _flush(self, held: list, begun: list, end: int) -> Iterator[np.ndarray]:
         self.learn(set().union(*(words for words, _ in held)))
         for words, last in held:
-            begun.append(np.fromiter(chain.from_iterable(map(self.known.__getitem__, words)), self.kind))
+            begun.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.kind))
             if last:
                 yield np.concatenate([*begun, np.array([end], self.kind)])
                 begun.clear()
