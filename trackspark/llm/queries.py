@@ -54,6 +54,19 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each document, and those of them that go because they, or lines within two edits, occur before."""
+    from .linededup import removed_lines
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = removed_lines(docs, threshold=2, least=24).select(F.col("doc_id").alias("id"), F.col("doc_hash").alias("h"), "removed")
+    lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), lines.alias("n_lines"))
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return rows.select("doc_id", "n_lines", F.size(removed).cast("long").alias("n_removed"), F.array_join(removed.cast("array<string>"), ",").alias("removed"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     from .tokencount import count_tokens
@@ -76,6 +89,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
