@@ -47,6 +47,14 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(_table(spark, sf_dir, "documents"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document."""
+    from .pii import find_personal_data
+
+    found = find_personal_data(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_found")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles agree to 85 per cent or more."""
     from .neardup import near_duplicates
@@ -88,6 +96,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
+    "op5_personal_data": op5_personal_data,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
