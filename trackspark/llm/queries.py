@@ -55,6 +55,13 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_found")
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of each query vector."""
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), every=100, k=10, scale=1024)
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 3-word shingles agree to 85 per cent or more."""
     from .neardup import near_duplicates
@@ -97,6 +104,7 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_quality": op4_quality,
     "op5_personal_data": op5_personal_data,
+    "op6_top_k": op6_top_k,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
@@ -114,4 +122,15 @@ ORACLES: dict[str, str] = {
             CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM m
     """,
+    "op6_top_k": """
+        WITH good AS (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+            FROM good q JOIN good c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)
+        ), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+        SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 10
+    """,
 }
