@@ -7,6 +7,7 @@ decreasing. So memory is bounded by the pool and the longest text, and a lost ta
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -24,6 +25,11 @@ PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 )
 _SPLIT, _SPACE = re.compile(WORD), re.compile(r"[\x20\x09-\x0D]")
+#: The pre-token pattern of the tokenizer file, as it reads for lower-case Latin text.
+_LETTER, _NUMBER = "a-zA-ZªµºÀ-ÖØ-öø-\u017F", "0-9²³¹¼½¾"
+_FINE = re.compile(rf"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBER}]|[^{_LETTER}{_NUMBER}\s]+")
+_NOT_LATIN = re.compile(r"[^\x09-\x0D\x20-\x7E\u00A1-\u017F]|<\|")
+_FINE_FILE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 _TOKENIZERS: dict = {}
 
 
@@ -38,6 +44,11 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.remember, self.known = Tokenizer.from_file(path), remember, {}
+        config = json.loads(self.tokenizer.to_str())
+        steps = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
+        cuts = [x.get("pattern", {}).get("Regex") for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        # lower-cased Latin text without special tokens may be cut as the tokenizer does: more words are known
+        self.fine = steps == ["NFC", "Replace", "Lowercase"] and cuts[:1] == [_FINE_FILE]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
 
     def learn(self, words: set[str]) -> None:
@@ -61,7 +72,9 @@ class WordTokenizer:
                 stop = at + part
                 space = _SPACE.search(text, stop) if stop < len(text) else None
                 stop = space.start() if space else len(text)
-                held.append((_SPLIT.findall(text, at, stop), stop >= len(text)))
+                part_text = text[at:stop]
+                fine = self.fine and not _NOT_LATIN.search(part_text)
+                held.append((_FINE.findall(part_text.lower()) if fine else _SPLIT.findall(part_text), stop >= len(text)))
                 size += stop - at + 1
                 at = max(stop, 1)
                 if size < part:
