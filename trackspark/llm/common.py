@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -31,10 +32,29 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Computes df once and keeps it in the shared folder, so that a lost executor loses nothing.
-    Spark removes the files with the frame if spark.cleaner.referenceTracking.cleanCheckpoints is set."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Computes df once and keeps it as a Parquet table in the shared folder: a lost executor loses
+    nothing, and unlike a checkpoint the table has a size that Spark plans joins by. Tables of a
+    session are removed when its driver ends; what a killed driver leaves lies below trackspark-scratch."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/trackspark-scratch/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _SCRATCH.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def drop_scratch() -> None:
+    """Removes the tables that cut_lineage has written."""
+    while _SCRATCH:
+        spark, path = _SCRATCH.pop()
+        try:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001  the driver's JVM is gone already
+            return
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -14,7 +14,7 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest label among a node's neighbours, then that label's own label, so
     stars end after two rounds and chains after a logarithmic number. Sums per node are combined
     before the shuffle, so a hub is no hot group. Null ends and self links tell nothing; an empty
-    table gives no rows. Labels are checkpointed each round."""
+    table gives no rows. Labels are written to the shared folder each round."""
     links = links.where("a is not null and b is not null and a <> b")
     both = cut_lineage(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component"))

@@ -3,7 +3,7 @@
 Documents with equal shingle sets are one class from the start. Bands of full minima give candidates;
 the low bits of all minima, packed, give a similarity estimate that corrects for chance agreement and
 weeds candidates out; what is left is confirmed on full shingle sets. A bucket is first compared with
-a few centres, so that a large group of near copies costs as many pairs as it has members; then what
+three centres, so that a large group of near copies costs as many pairs as it has members; then what
 is still apart in a bucket is compared exhaustively, so no link that would join components is lost.
 """
 
@@ -129,7 +129,13 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return full.select("a", "b", "s", "t").mapInArrow(work, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 3) -> DataFrame:
+def _labels(alone: DataFrame, links: DataFrame) -> DataFrame:
+    """class and component of every class in alone (which is its own component if nothing links it)."""
+    met = components(links)
+    return cut_lineage(alone.join(met.withColumnRenamed("component", "met"), F.col("class") == F.col("node"), "left").select("class", F.coalesce("met", "component").alias("component")))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
     Rows are linked if 100 * intersection >= percent * union of their sets of width-word shingles;
@@ -157,26 +163,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, rounds:
     def ordered(p: DataFrame) -> DataFrame:
         return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    tried, links, label = None, None, members.select("class").distinct().select("class", F.col("class").alias("component"))
-    for k in range(rounds + 1):
-        at = members.join(label, "class")
-        if k < rounds:
-            centre = label.withColumnsRenamed({"class": f"c{k % 3}", "component": "its"})
-            pairs = at.join(centre, f"c{k % 3}").where("component <> its").select(F.col("class").alias("a"), F.col(f"c{k % 3}").alias("b"))
-        else:
-            at = at.select("key", "class", "component")
-            split = at.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
-            apart = at.join(split, "key")
-            left = apart.where("component <> main").select("key", F.col("class").alias("a"), F.col("component").alias("its"))
-            pairs = left.join(apart, "key").where("component <> its").select("a", F.col("class").alias("b"))
-        pairs = ordered(pairs)
-        pairs = cut_lineage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        found = cut_lineage(_confirmed(pairs, classes, sets, percent))
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        if found.limit(1).count():
-            label = components(links)
-            label = cut_lineage(members.select("class").distinct().join(label, F.col("class") == F.col("node"), "left").select("class", F.coalesce("component", "class").alias("component")))
+    alone = members.select("class").distinct().select("class", F.col("class").alias("component"))
+    centre = F.explode(F.array("c0", "c1", "c2")).alias("b")
+    pairs = cut_lineage(ordered(members.select(F.col("class").alias("a"), centre).where("a <> b")))
+    links = cut_lineage(_confirmed(pairs, classes, sets, percent))
+    label = _labels(alone, links)
+    at = members.select("key", "class").join(label, "class")
+    split = at.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
+    apart = cut_lineage(at.join(split, "key"))
+    left = apart.where("component <> main").select("key", F.col("class").alias("a"), F.col("component").alias("its"))
+    rest = left.join(apart, "key").where("component <> its").select("a", F.col("class").alias("b"))
+    rest = cut_lineage(ordered(rest).join(pairs, ["a", "b"], "left_anti"))
+    more = cut_lineage(_confirmed(rest, classes, sets, percent))
+    if more.limit(1).count():
+        label = _labels(alone, links.union(more))
     first = classes.select("class", "doc_id").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = first.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     first = first.join(lowest, "component").select("class", "component_id")
