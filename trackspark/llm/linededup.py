@@ -4,7 +4,7 @@ Equal lines are one class by digest. For lines within a few edits of each other,
 into threshold + 1 segments, of which a line that near must hold one whole; the segments' hashes, with
 line length and segment number, are an index that the substrings of all lines probe at the positions
 that the edits before and behind allow. Candidates are verified by banded bit-parallel edit distance.
-Lines stay in the documents until verification: the joins carry 16 bytes a key, and a Bloom filter of
+Lines stay in the documents until verification: the joins carry 24 bytes a key, and a Bloom filter of
 fixed size picks the lines whose texts are needed.
 """
 
@@ -16,7 +16,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut_lineage
@@ -42,16 +42,29 @@ def digest(line: str) -> bytes:
     return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
 
 
-def line_ids(lines: list[str]) -> np.ndarray:
-    """64-bit ids: 48 bits of a hash, and above them the parities of 16 groups of characters, of
-    which one edit changes two at most."""
-    low = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
+def line_ids(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the lines, and their sketches: the parities of 32 groups of characters, of
+    which an edit changes two at most, and above them those of 32 groups of character pairs, of which
+    an edit changes four at most."""
+    ids = np.fromiter((xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines), np.uint64, len(lines))
     size = np.fromiter(map(len, lines), np.int64, len(lines))
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-    group = (codes * 0x9E3779B1 >> 11) & 15
-    counts = np.bincount(np.repeat(np.arange(len(lines)), size) << 4 | group, minlength=len(lines) << 4).reshape(-1, 16)
-    parity = ((counts & 1) << np.arange(16)).sum(axis=1).astype(np.uint64)
-    return low & np.uint64((1 << 48) - 1) | parity << np.uint64(48)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    of = np.repeat(np.arange(len(lines)), size)
+    mixed = codes * _M
+    sketch = np.zeros(len(lines), np.uint64)
+    inside = of[1:] == of[:-1]
+    pairs = ((mixed[:-1] >> np.uint64(20)) * np.uint64(3) + mixed[1:])[inside] * np.uint64(BASE)
+    for rows, group, up in ((of, mixed >> np.uint64(59), 0), (of[1:][inside], pairs >> np.uint64(59), 32)):
+        counts = np.bincount(rows << 5 | group.astype(np.int64), minlength=len(lines) << 5).reshape(-1, 32)
+        sketch |= ((counts & 1) << np.arange(32)).sum(axis=1).astype(np.uint64) << np.uint64(up)
+    return ids, sketch
+
+
+def _alike(a: Column, b: Column, threshold: int) -> Column:
+    """Whether two sketches can be of lines within threshold edits."""
+    d = a.bitwiseXOR(b)
+    low = F.bit_count(d.bitwiseAND(F.lit(0xFFFFFFFF)))
+    return (low <= 2 * threshold) & (F.bit_count(d) - low <= 4 * threshold)
 
 
 def segments(length: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
@@ -182,6 +195,32 @@ def _with_bits(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_b0": bit[0], "_b1": bit[1]})
 
 
+def _verified(docs: DataFrame, pairs: DataFrame, threshold: int, least: int) -> DataFrame:
+    """a, b (ids) and x, y (digests) of the pairs of line ids whose lines are within threshold edits.
+    Where lines share an id all of them are compared."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    bloom = _bloom(ids)
+
+    def texts(held: list) -> list[pa.Array]:
+        lines = list(dict.fromkeys(x[3] for x in held))
+        return [pa.array(line_ids(lines)[0].view(np.int64)), pa.array(lines, pa.string())]
+
+    wanted = _picked(_mapped(docs, "id long, line string", texts, least), bloom).join(ids, "id", "left_semi").distinct()
+    both = pairs.join(wanted.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(wanted.withColumnsRenamed({"id": "b", "line": "y"}), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = sorted(zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True), key=lambda p: len(p[2]))
+            hit = []
+            for at in range(0, len(found), 512):
+                some = found[at : at + 512]
+                hit += [p for p, ok in zip(some, within([p[2:] for p in some], threshold), strict=True) if ok]
+            ends = [pa.array([p[k] for p in hit], pa.int64()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*ends, *(pa.array([digest(p[k]) for p in hit], pa.binary()) for k in (2, 3))], ["a", "b", "x", "y"])
+
+    return both.select("a", "b", "x", "y").mapInArrow(verify, "a long, b long, x binary, y binary")
+
+
 def duplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24) -> DataFrame:
     """doc_id, doc_hash (of the text), line_no, class, first (doc_id, doc_hash, line_no) of every line
     whose class has more than one occurrence; classes are the components of lines within threshold
@@ -205,41 +244,40 @@ def duplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24) -> Dat
         def rows(held: list) -> list[pa.Array]:
             lines = list(dict.fromkeys(x[3] for x in held))
             key, of = segment_keys(lines, threshold, probe)
-            return [pa.array(key.view(np.int64)), pa.array(line_ids(lines)[of].view(np.int64))]
+            ids, sketch = line_ids(lines)
+            return [pa.array(x.view(np.int64)) for x in (key, ids[of], sketch[of])]
 
         return rows
 
-    index = _mapped(docs, "key long, id long", keys(False), least)
-    probes = _mapped(docs, "key long, id long", keys(True), least)
+    columns = "key long, id long, sketch long"
+    keyed = _mapped(docs, columns, keys(False), least).withColumn("probe", F.lit(False))
+    keyed = keyed.union(_mapped(docs, columns, keys(True), least).withColumn("probe", F.lit(True)))
     # a frequent line leaves one row per run of lines; equal rows meet by key and become one
-    index, probes = (x.repartition("key").dropDuplicates(["key", "id"]) for x in (index, probes))
-    near = index.alias("i").join(probes.alias("p"), F.col("i.key") == F.col("p.key"))
-    apart = F.bit_count(F.shiftrightunsigned(F.col("i.id").bitwiseXOR(F.col("p.id")), 48))
-    near = near.where((F.col("i.id") != F.col("p.id")) & (apart <= 2 * threshold))
-    pairs = cut_lineage(near.select(F.least("i.id", "p.id").alias("a"), F.greatest("i.id", "p.id").alias("b")).distinct())
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    bloom = _bloom(ids)
-
-    def texts(held: list) -> list[pa.Array]:
-        lines = list(dict.fromkeys(x[3] for x in held))
-        return [pa.array(line_ids(lines).view(np.int64)), pa.array(lines, pa.string())]
-
-    wanted = _mapped(docs, "id long, line string", texts, least)
-    wanted = _picked(wanted, bloom).join(ids, "id", "left_semi").distinct()
-    both = pairs.join(wanted.withColumnsRenamed({"id": "a", "line": "x"}), "a").join(wanted.withColumnsRenamed({"id": "b", "line": "y"}), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
-            found.sort(key=lambda p: len(p[0]))
-            hit = []
-            for at in range(0, len(found), 512):
-                some = found[at : at + 512]
-                hit += [p for p, ok in zip(some, within(some, threshold), strict=True) if ok]
-            yield pa.RecordBatch.from_arrays([pa.array([digest(p[k]) for p in hit], pa.binary()) for k in (0, 1)], ["a", "b"])
-
-    links = both.select("x", "y").mapInArrow(verify, "a binary, b binary")
-    merged = components(links).withColumnRenamed("node", "line")
+    keyed = keyed.repartition("key").dropDuplicates(["key", "id", "probe"])
+    w, line = Window.partitionBy("key"), F.struct("id", "sketch")
+    own = F.when(~F.col("probe"), line)
+    keyed = keyed.withColumns({"lo": F.min("id").over(w), "hi": F.max("id").over(w), "c0": F.min(own).over(w), "c1": F.max(own).over(w)})
+    # keys that two lines share, with two of the lines whose own segment it is
+    keyed = cut_lineage(keyed.where("lo <> hi and c0 is not null").drop("lo", "hi"))
+
+    def ordered(rows: DataFrame) -> DataFrame:
+        """Distinct pairs of the lines x and y (id, sketch) that can be near."""
+        rows = rows.where((F.col("x.id") != F.col("y.id")) & _alike(F.col("x.sketch"), F.col("y.sketch"), threshold))
+        return rows.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+    # first with the two lines of each key, so that a family of near lines costs as many pairs as it
+    # has members; then, in keys whose lines are still apart, what is outside the main component
+    stars = cut_lineage(ordered(keyed.select(line.alias("x"), F.explode(F.array("c0", "c1")).alias("y"))))
+    links = cut_lineage(_verified(docs, stars, threshold, least))
+    label = components(links.select("a", "b"))
+    at = keyed.select("key", "probe", line.alias("x"), "id").join(label, F.col("id") == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    split = at.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
+    apart = cut_lineage(at.join(split, "key").select("key", "probe", "x", "component", "main"))
+    left = apart.where("component <> main").select("key", "probe", "x", "component").alias("l")
+    rest = left.join(apart.select("key", "probe", F.col("x").alias("y"), "component").alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & ~(F.col("l.probe") & F.col("r.probe")) & _alike(F.col("l.x.sketch"), F.col("r.y.sketch"), threshold))
+    rest = cut_lineage(ordered(rest.select("x", "y")).join(stars, ["a", "b"], "left_anti"))
+    links = links.union(cut_lineage(_verified(docs, rest, threshold, least)))
+    merged = components(links.select(F.col("x").alias("a"), F.col("y").alias("b"))).withColumnRenamed("node", "line")
     lines = _mapped(docs, "doc_id long, doc_hash long, line_no int, line binary", occurrences, least)
     where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_hash", "line_no")
     each = lines.groupBy("line").agg(F.min(where).alias("first"), F.count("*").alias("n"))
