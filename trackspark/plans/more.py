@@ -367,3 +367,32 @@ def r6_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = match.hourly_windows(spark, f"{sf_dir}/events.parquet")
     last = table(spark, sf_dir, "events").agg(F.floor(F.max(F.unix_millis(F.col("ts").cast("timestamp"))) / 3600000).alias("h"))
     return out.join(F.broadcast(last), F.col("window_ms") < (F.col("h") - 1) * 3600000).select("event_type", "window_ms", "n", r("total", 2).alias("total"))
+
+
+# --- entry points ---
+
+
+@query()
+def e1_session_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged beats to measures per session, method, series and target."""
+    from . import sessions
+
+    rows = beats(spark, sf_dir).withColumns({"valid": F.col("status") == "F", "artifact_flag": F.lit(0), "abs_time_delta_ms": F.col("l_tax") * 5000})
+    return rounded(sessions.evaluate(rows)["metrics"].select("session_id", "method", "series", "target", "n", "mae", "rmse", "corr", "tracking_gain"))
+
+
+@query()
+def e2_tracking_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of three widths to summaries over sessions."""
+    from . import sessions
+
+    return rounded(sessions.track(beats(spark, sf_dir))["summary"].select("window_seconds", "method", "target", "n_sessions", "mean_mae", "median_centered_mae", "mean_corr"))
+
+
+@query()
+def e3_coefficient_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Models per method, in sample and held out, scored per session and over all."""
+    from . import sessions
+
+    found = sessions.search(beats(spark, sf_dir), {"A": ["l_quantity"], "R": ["l_quantity", "l_discount"]})
+    return rounded(found["summary"])
