@@ -57,7 +57,7 @@ def iso_from_epoch_ms(x: Column) -> Column:
 
 def fixed(x: Column, digits: int, signed: bool = False) -> Column:
     """Text with a fixed number of decimals; null as empty text."""
-    return F.coalesce(F.format_string(f"%{'+' if signed else ''}.{digits}f", x), F.lit(""))
+    return F.when(x.isNull(), "").otherwise(F.format_string(f"%{'+' if signed else ''}.{digits}f", x))
 
 
 def mean_pressure(systolic: Column, diastolic: Column) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, tolerance: float, sequence: str, right_time: str = "ref_time") -> DataFrame:
     """Each row of left with the row of right nearest in time, if within tolerance, else nulls.
 
-    Equally near: the earlier. Of right rows at one time the last by sequence counts. Adds right's
+    Equally near: the earlier. Of right rows at one time the last by sequence counts if they are not
+    later than the left row, else the first. Adds right's
     other columns, right_time, delta and abs_delta. Left rows without time stay, unmatched. One
     shuffle by keys and a sort by time: both sides are put together, and windows carry the last right
     row before and the first one after.
@@ -23,9 +24,8 @@ def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], time: str, t
     both = lone.unionByName(refs, allowMissingColumns=True)
     hit = F.when(F.col("__side") == 0, pick)
     back = Window.partitionBy(*keys).orderBy(F.col("__t").asc_nulls_last(), "__side", "__seq").rowsBetween(Window.unboundedPreceding, 0)
-    # the same order turned about, so that one sort direction serves each pass and ties at a time
-    # still give the last right row
-    ahead = Window.partitionBy(*keys).orderBy(F.col("__t").desc_nulls_first(), F.col("__side"), F.col("__seq")).rowsBetween(Window.unboundedPreceding, 0)
+    # the same turned about: the last right row so far is the first one from here on
+    ahead = Window.partitionBy(*keys).orderBy(F.col("__t").desc_nulls_first(), "__side", F.desc("__seq")).rowsBetween(Window.unboundedPreceding, 0)
     both = both.withColumns({"__b": F.last(hit, ignorenulls=True).over(back), "__a": F.last(hit, ignorenulls=True).over(ahead)}).where("__side = 1")
     t = F.col("__t")
     before, after = t - F.col("__b.t"), F.col("__a.t") - t
