@@ -89,7 +89,7 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
-def fit(docs: DataFrame, learn_from: Column, per_language: int = 512, most_languages: int = 256, clusters: int = 4, slack: float = 0.5) -> CentroidModel:
+def fit(docs: DataFrame, learn_from: Column, per_language: int = 256, most_languages: int = 64, clusters: int = 4, slack: float = 0.5) -> CentroidModel:
     """A model of the labelled rows of docs (doc_id, text, lang) for which learn_from holds.
 
     Bounded: at most most_languages languages, those with the most rows, and per_language rows of
