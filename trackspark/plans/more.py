@@ -396,3 +396,32 @@ def e3_coefficient_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = sessions.search(beats(spark, sf_dir), {"A": ["l_quantity"], "R": ["l_quantity", "l_discount"]})
     return rounded(found["summary"])
+
+
+@query("""WITH p AS (SELECT l.event_id, l.user_id, rr.event_id AS ref_id, epoch_us(l.ts) - epoch_us(rr.ts) AS d FROM events l JOIN events rr
+        ON l.user_id = rr.user_id AND l.event_type = 'click' AND rr.event_type = 'view' AND abs(epoch_us(l.ts) - epoch_us(rr.ts)) <= 7200000000)
+    SELECT event_id, arg_min(ref_id, (abs(d), ref_id)) AS ref_id, round(min(abs(d)) / 1000.0, 3) AS distance_ms FROM p GROUP BY event_id""")
+def r4_stream_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams joined within two hours; the nearest of each click."""
+    e = match.event_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), "event_type")
+    sides = [e.where(F.col("event_type") == t).drop("event_type") for t in ("click", "view")]
+    pairs = match.drained(match.nearest_within(*sides, "key", "2 hours"))
+    d = F.abs("delta_ms")
+    return pairs.groupBy(F.col("id").alias("event_id")).agg(F.min_by("ref_id", F.struct(d.alias("d"), "ref_id")).alias("ref_id"), r(F.min(d), 3).alias("distance_ms"))
+
+
+@query(f"""SELECT user_id, event_id, round({_ewma_sql('value', 0.3, 'PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 117 PRECEDING AND CURRENT ROW')}, 4) AS smoothed FROM events""")
+def r5_stream_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Smoothing as the state of a stream, equal to the batch result."""
+    e = match.event_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("value").alias("x"))
+    out = match.drained(match.smoothed_now(e, 0.3))
+    return out.select(F.col("key").alias("user_id"), F.col("seq").alias("event_id"), r("smoothed").alias("smoothed"))
+
+
+@query("""SELECT count(*) AS n_rows, count(DISTINCT n_regionkey) AS n_groups, CAST(min(n_nationkey) AS BIGINT) AS first_key, CAST(max(n_nationkey) AS BIGINT) AS last_key, 'n_name,n_nationkey' AS finite_or_text FROM nation""")
+def p20_column_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns chosen by what they hold, and plain counts."""
+    n = table(spark, sf_dir, "nation").withColumn("empty", F.lit(None).cast("double"))
+    found = frames.with_finite_values(n, ["n_nationkey", "empty", "n_name"])
+    names = ",".join(sorted(dict.fromkeys([*found, "n_name"])))
+    return n.agg(F.count("*").alias("n_rows"), F.count_distinct("n_regionkey").alias("n_groups"), F.min("n_nationkey").cast("long").alias("first_key"), F.max("n_nationkey").cast("long").alias("last_key")).withColumn("finite_or_text", F.lit(names))
