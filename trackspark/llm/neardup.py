@@ -69,11 +69,18 @@ def estimate(x: Column, y: Column) -> Column:
         d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
         return F.bit_count(d.bitwiseAND(F.lit(ones).cast("long")))
 
-    apart = F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda a, b: a + b)
+    apart = sum((unequal(x[k], y[k]) for k in range(1, LONGS)), unequal(x[0], y[0]))
     chance = 1 / (1 << LOW_BITS)
     return (1 - apart / HASHES - chance) / (1 - chance)
 
 
+def _least_estimate(percent: int) -> float:
+    """What the estimate of a pair at the limit falls short of with a chance of 3e-7: five standard errors."""
+    chance = 1 / (1 << LOW_BITS)
+    equal = percent / 100 * (1 - chance) + chance
+    return percent / 100 - 5 * (equal * (1 - equal) / HASHES) ** 0.5 / (1 - chance)
+
+
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n_shingles, class (128-bit digest of the shingle set), keys, low of each row."""
 
@@ -113,8 +120,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union."""
     low = classes.select("class", "low")
     close = pairs.join(low.withColumnsRenamed({"class": "a", "low": "x"}), "a").join(low.withColumnsRenamed({"class": "b", "low": "y"}), "b")
-    # 160 hashes: an estimate 0.2 under the limit is seven standard errors off
-    close = close.where(estimate(F.col("x"), F.col("y")) >= percent / 100 - 0.2).select("a", "b")
+    close = close.where(estimate(F.col("x"), F.col("y")) >= _least_estimate(percent)).select("a", "b")
     full = close.join(sets.withColumnsRenamed({"class": "a", "shingles": "s"}), "a").join(sets.withColumnsRenamed({"class": "b", "shingles": "t"}), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,9 +176,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     label = _labels(alone, links)
     at = members.select("key", "class").join(label, "class")
     split = at.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
-    apart = cut_lineage(at.join(split, "key"))
-    left = apart.where("component <> main").select("key", F.col("class").alias("a"), F.col("component").alias("its"))
-    rest = left.join(apart, "key").where("component <> its").select("a", F.col("class").alias("b"))
+    apart = cut_lineage(at.join(split, "key").join(classes.select("class", "low", "keys"), "class"))
+    left = apart.where("component <> main").select("key", F.col("class").alias("a"), F.col("component").alias("p"), F.col("low").alias("x"), F.col("keys").alias("k"))
+    right = apart.select("key", F.col("class").alias("b"), F.col("component").alias("q"), F.col("low").alias("y"), F.col("keys").alias("l"), (F.col("component") == F.col("main")).alias("inner"))
+    # each pair once: in the first bucket that it shares, and one way about if both are outside
+    first_shared = F.filter(F.zip_with("k", "l", lambda u, v: F.when(u == v, u)), lambda u: u.isNotNull())[0]
+    once = (F.col("inner") | (F.col("a") < F.col("b"))) & (estimate(F.col("x"), F.col("y")) >= _least_estimate(percent)) & (first_shared == F.col("key"))
+    rest = left.join(right, "key").where((F.col("p") != F.col("q")) & once).select("a", "b")
     rest = cut_lineage(ordered(rest).join(pairs, ["a", "b"], "left_anti"))
     more = cut_lineage(_confirmed(rest, classes, sets, percent))
     if more.limit(1).count():
