@@ -159,7 +159,7 @@ def _lines(text: str | None, least: int) -> Iterator[tuple[int, str]]:
             yield k, line
 
 
-def _mapped(docs: DataFrame, schema: str, rows: Callable[[list], list[pa.Array]], least: int, part: int = 1 << 21) -> DataFrame:
+def _mapped(docs: DataFrame, schema: str, rows: Callable[[list], list[pa.Array]], least: int, part: int = 1 << 19) -> DataFrame:
     """rows() over runs of lines (doc_id, doc_hash, line_no, line) of about part characters."""
     names = [x.split()[0] for x in schema.split(", ")]
 
