@@ -111,7 +111,7 @@ def test_smoothing(spark, alpha):
     r = random.Random(1)
     rows = [(s, i, r.gauss(90, 10) if r.random() < 0.7 else None) for s in (1, 2) for i in range(500)]
     df = spark.createDataFrame(rows, "s long, i long, x double").repartition(5)
-    out = df.select("s", "i", "x", smooth.ewma(F.col("x"), alpha, ["s"], ["i"]).alias("e")).orderBy("s", "i").collect()
+    out = smooth.smoothed(df, {"e": F.col("x")}, alpha, ["s"], ["i"]).orderBy("s", "i").collect()
     for s in (1, 2):
         own = [o for o in out if o.s == s]
         want = plain_ewma([o.x for o in own], alpha)

@@ -57,10 +57,10 @@ def design(df: DataFrame, x: str, companion: str, keys: Sequence[str], order: Se
     out = df.withColumns({
         "x_centered": centered(a, keys),
         "x_delta": F.coalesce(difference(a, keys, order), F.lit(0.0)),
-        "x_highpass": detrended(a, alpha, keys, order),
         "c_centered": centered(b, keys),
         "c_delta": F.coalesce(difference(b, keys, order), F.lit(0.0)),
     })
+    out = detrended(out, {"x_highpass": a}, alpha, keys, order)
     return out.withColumn("x_accel", F.coalesce(difference(F.col("x_delta"), keys, order), F.lit(0.0)))
 
 

@@ -12,7 +12,7 @@ from ..functions.statistics import pearson
 from . import ridge
 from .features import centered, design
 from .frames import unpivoted
-from .smooth import ewma
+from .smooth import smoothed
 
 DESIGN = ["x_centered", "x_delta", "x_highpass", "x_accel", "c_centered", "c_delta"]
 
@@ -60,7 +60,8 @@ def candidate(df: DataFrame, features: Sequence[str], ref: str, base: str, sessi
     rows = rows.withColumn("__y", centered(F.col(ref), [session]) - centered(F.col(base), [session]))
     folds = ridge.fit_folds(rows, names, "__y", session, alpha)
     rows = ridge.replay(rows, folds, names, session, "__hat").withColumn("__p", clamp(F.col(base) + F.col("__hat"), low, high))
-    rows = rows.withColumn("candidate", clamp(ewma(F.col("__p"), smoothing, [session], order), low, high))
+    rows = smoothed(rows, {"candidate": F.col("__p")}, smoothing, [session], order)
+    rows = rows.withColumn("candidate", clamp(F.col("candidate"), low, high))
     return rows.drop("__y", "__hat", "__p", *names)
 
 

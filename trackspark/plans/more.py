@@ -79,7 +79,7 @@ def f10_filtered_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F10 of W4, F7-F9, A19, J5, Q1, Q2, Q4: smoothing runs over all valid rows, then the gates."""
     rows = beats(spark, sf_dir)
     valid = F.when(F.col("status") == "F", F.col("pred_PP"))
-    rows = rows.withColumn("smoothed_PP", smooth.ewma(valid, 0.5, ["session_id", "method"], ["beat_index"]))
+    rows = smooth.smoothed(rows, {"smoothed_PP": valid}, 0.5, ["session_id", "method"], ["beat_index"])
     gated = quality.mad_gated(rows, F.col("ref_PP"), ["session_id"], low=15.0, high=100.0)
     kept = gated.withColumn("near", quality.near_in_time(F.col("l_tax") * 100, ["session_id"], 6.0000001)).where("near and passes")
     return kept.select("session_id", "method", "beat_index", r("smoothed_PP").alias("smoothed_PP"), F.lit("ok").alias("filter_reason"))
@@ -113,7 +113,8 @@ def f16_supported_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def w4_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exponential smoothing and what it leaves."""
     k, o = ["session_id", "method"], ["beat_index"]
-    return beats(spark, sf_dir).select(*k, *o, r(smooth.ewma(F.col("ref_MAP"), 0.3, k, o)).alias("smoothed_MAP"), r(smooth.detrended(F.col("ref_PP"), 0.28, k, o)).alias("highpass_PP"))
+    rows = smooth.smoothed(beats(spark, sf_dir), {"smoothed_MAP": F.col("ref_MAP")}, 0.3, k, o)
+    return rounded(smooth.detrended(rows, {"highpass_PP": F.col("ref_PP")}, 0.28, k, o).select(*k, *o, "smoothed_MAP", "highpass_PP"))
 
 
 @query(f"""WITH {BEATS}, a AS (SELECT *, coalesce(pred_PP - lag(pred_PP) OVER w, 0) AS x_delta, coalesce(pred_MAP - lag(pred_MAP) OVER w, 0) AS c_delta FROM beats WINDOW w AS (PARTITION BY session_id ORDER BY beat_index))
