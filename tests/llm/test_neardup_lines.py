@@ -150,9 +150,9 @@ def line_corpus():
 
 def test_line_dedup_equals_brute_force(spark):
     rows = line_corpus()
-    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, removed string")
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, gone string")
     out = linededup.dedup_lines(docs, 2, 24).collect()
-    assert len(out) == len(rows) and out[0].removed == "x"
+    assert len(out) == len(rows) and out[0].gone == "x"
     order = {k: i for i, (k, _) in enumerate(rows)}
     lines = sorted({x for _, t in rows for x in (t or "").split("\n") if len(x) >= 24}, key=len)
     sizes, u = [len(x) for x in lines], Union()

@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_SCRATCH: list[tuple[SparkSession, str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint
     folder that was set before, else (one machine, tests) a new temporary folder."""
@@ -27,8 +30,10 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    """A name not used before, below the shared folder."""
-    return f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+    """A name not used before, below the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared_folder(spark)}/trackspark-scratch/{kind}-{uuid.uuid4().hex}"
+    _SCRATCH.append((spark, path))
+    return path
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -36,15 +41,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     nothing, and unlike a checkpoint the table has a size that Spark plans joins by. Tables of a
     session are removed when its driver ends; what a killed driver leaves lies below trackspark-scratch."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/trackspark-scratch/{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
-    _SCRATCH.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SCRATCH: list[tuple[SparkSession, str]] = []
-
-
 @atexit.register
 def drop_scratch() -> None:
     """Removes the tables that cut_lineage has written."""

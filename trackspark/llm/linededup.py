@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut_lineage
+from .common import bounded_batches, cut_lineage, free_name
 from .components import components
 
 BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -327,7 +327,8 @@ def _without(text: Column, removed: Column) -> Column:
 
 def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 24) -> DataFrame:
     """docs with column text without its repeated lines; rows and other columns stay as they are."""
-    gone = removed_lines(docs, threshold, least).select(F.col("doc_id").alias("_gone_id"), F.col("doc_hash").alias("_gone_hash"), F.col("removed").alias("_gone"))
+    own = [free_name(docs, c) for c in ("gone_id", "gone_hash", "gone")]
+    gone = removed_lines(docs, threshold, least).toDF(*own)
     text = F.col("text").cast("string")
-    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_gone_id")) & (F.xxhash64(text) == F.col("_gone_hash")), "left")
-    return joined.withColumn("text", _without(text, F.col("_gone"))).select(*docs.columns)
+    joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own[0])) & (F.xxhash64(text) == F.col(own[1])), "left")
+    return joined.withColumn("text", _without(text, F.col(own[2]))).select(*docs.columns)
