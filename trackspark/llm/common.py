@@ -66,7 +66,7 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
-def bounded_batches(spark: SparkSession, limit: int = 1 << 24) -> None:
+def bounded_batches(spark: SparkSession, limit: int = 1 << 22) -> None:
     """Arrow batches to Python end at limit bytes, so that a run of long texts fits in memory.
     A smaller limit that the session has is left alone."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

@@ -62,8 +62,8 @@ class CentroidModel:
         """(language, cosine between 0 and 1, rejected) of each text."""
         out: list = [(UNKNOWN, 0.0, True)] * len(texts)
         spoken = [k for k, t in enumerate(texts) if t and has_letter(t)]
-        for at in range(0, len(spoken) if self.languages else 0, 256):
-            some = spoken[at : at + 256]
+        for at in range(0, len(spoken) if self.languages else 0, 64):
+            some = spoken[at : at + 64]
             counts = np.stack([ngram_counts(texts[k]) for k in some])
             cosine = self.vectors(counts) @ self.centroids.T
             best = cosine.argmax(axis=1)

@@ -39,7 +39,7 @@ class WordTokenizer:
     Exact for tokenizers in which no token, normalisation or pattern crosses ASCII white space,
     and white space itself gives no token."""
 
-    def __init__(self, path: str, remember: int = 1 << 20):
+    def __init__(self, path: str, remember: int = 1 << 19):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
