@@ -37,7 +37,7 @@ from pyspark.sql.datasource import (
     WriterCommitMessage,
 )
 
-from .common import new_folder
+from .common import bounded_batches, new_folder
 
 SCHEMA = "record_type string, page_id long, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 NAMES = ["record_type", "page_id", "target_uri", "refers_to", "payload_bytes", "payload_digest", "payload"]
@@ -238,6 +238,7 @@ def write_archives(pages: DataFrame, folder: str, max_file_bytes: int = 1 << 26)
     an empty payload, a null url has no Target-URI field, other columns are ignored. Repeated rows
     are written as often as they occur; those with the largest page_id all are responses.
     """
+    bounded_batches(pages.sparkSession)
     pages.sparkSession.dataSource.register(WarcDataSource)
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
