@@ -54,7 +54,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 4096 tokens, with their ids."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=4096, end=2)
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=4096, end=2, remember=1 << 18)
 
 
 STAGES = [

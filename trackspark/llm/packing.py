@@ -39,7 +39,7 @@ class WordTokenizer:
     Exact for tokenizers in which no token, normalisation or pattern crosses ASCII white space,
     and white space itself gives no token."""
 
-    def __init__(self, path: str, remember: int = 1 << 19):
+    def __init__(self, path: str, remember: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -168,20 +168,21 @@ def pack_pool(tails: list[tuple[int, int, np.ndarray, int]], capacity: int, leas
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 2, pool_tokens: int = 1 << 23, least_fill: float = 0.98
+    docs: DataFrame, tokenizer: str, capacity: int = 4096, end: int = 2, pool_tokens: int = 1 << 23, least_fill: float = 0.98, remember: int = 1 << 20
 ) -> DataFrame:
     """Packs every document (doc_id, text) into sequences of at most capacity tokens.
 
     One row per piece: doc_id, start, length, ids (unsigned 32-bit, little-endian), doc_tokens,
     sequence_id, offset, sequence_tokens. Null and empty texts hold the end token only. Repeated rows
     are packed as often as they occur, a null doc_id stays null, other columns are ignored, and an
-    empty table gives no rows. sequence_id is unique in the table: task number times 2^40 plus a counter.
+    empty table gives no rows. A worker remembers the ids of at most remember words (about 200 bytes
+    each). sequence_id is unique in the table: task number times 2^40 plus a counter.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _TOKENIZERS:
-            _TOKENIZERS[tokenizer] = WordTokenizer(tokenizer)
-        tok = _TOKENIZERS[tokenizer]
+        if (tokenizer, remember) not in _TOKENIZERS:
+            _TOKENIZERS[tokenizer, remember] = WordTokenizer(tokenizer, remember)
+        tok = _TOKENIZERS[tokenizer, remember]
         number = TaskContext.get().partitionId() << 40
         tails: list[tuple[int, int, np.ndarray, int]] = []
         held, rows, size = 0, [], 0
