@@ -170,3 +170,16 @@ def test_line_dedup_equals_brute_force(spark):
         t = rows[order[row.doc_id]][1]
         want = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if len(x) < 24 or first[u.find(x)] == (row.doc_id, n))
         assert row.text == want, row.doc_id
+
+
+def test_short_equal_lines_go(spark, tmp_path):
+    from trackspark.llm.queries import op8_line_dedup
+
+    texts = ["Les.\n\n漢字仮名交じりの文です。\n \t\nx", "Les.\n\nMes.\n \t\nx" + " " * 40, "漢字仮名交じりの文です。\nMes.\nMes\nx\n\n", " " * 20, "\n" + " " * 20]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r.doc_id: r for r in op8_line_dedup(spark, str(tmp_path)).collect()}
+    assert {k: r.removed for k, r in out.items()} == {0: "", 1: "0", 2: "0,1,3", 3: "", 4: ""}
+    assert [out[k].n_removed for k in range(5)] == [0, 1, 3, 0, 0]
+    cut = {r.doc_id: r.text for r in linededup.dedup_lines(docs, 2, 24, 1).collect()}
+    assert cut[2] == "Mes\n\n" and cut[0] == texts[0] and cut[4] == texts[4]

@@ -1,6 +1,6 @@
 """Line deduplication with a segment-partition edit join.
 
-Equal lines are one class by digest. For lines within a few edits of each other, each line is split
+Equal lines of any length are one class by digest. For lines within a few edits of each other, each line is split
 into threshold + 1 segments, of which a line that near must hold one whole; the segments' hashes, with
 line length and segment number, are an index that the substrings of all lines probe at the positions
 that the edits before and behind allow. Candidates are verified by banded bit-parallel edit distance.
@@ -26,6 +26,7 @@ BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 _M = np.uint64(0xC2B2AE3D27D4EB4F)
 BLOOM_BITS = 26
+BLANKS = " \t\n\v\f\r"
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -140,13 +141,14 @@ def within(pairs: list[tuple[str, str]], threshold: int) -> np.ndarray:
     return (value <= threshold) & (abs(la - lb) <= threshold)
 
 
-def _lines(text: str | None, least: int) -> Iterator[tuple[int, str]]:
+def _lines(text: str | None, least: int, least_equal: int | None) -> Iterator[tuple[int, str]]:
+    """Lines of at least least characters, and of at least least_equal if they are not blank."""
     for k, line in enumerate((text or "").split("\n")):
-        if len(line) >= least:
+        if len(line) >= least or (least_equal is not None and len(line) >= least_equal and line.strip(BLANKS)):
             yield k, line
 
 
-def _mapped(docs: DataFrame, schema: str, rows: Callable[[list], list[pa.Array]], least: int, part: int = 1 << 19) -> DataFrame:
+def _mapped(docs: DataFrame, schema: str, rows: Callable[[list], list[pa.Array]], least: int, least_equal: int | None = None, part: int = 1 << 19) -> DataFrame:
     """rows() over runs of lines (doc_id, doc_hash, line_no, line) of about part characters."""
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -154,7 +156,7 @@ def _mapped(docs: DataFrame, schema: str, rows: Callable[[list], list[pa.Array]]
         held, size = [], 0
         for batch in batches:
             for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for k, line in _lines(text.as_py(), least):
+                for k, line in _lines(text.as_py(), least, least_equal):
                     held.append((doc, h, k, line))
                     size += len(line)
                     if size >= part:
@@ -182,12 +184,13 @@ def _with_bits(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"_b0": bit[0], "_b1": bit[1]})
 
 
-def duplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24) -> DataFrame:
+def duplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24, least_equal: int | None = None) -> DataFrame:
     """doc_id, doc_hash (of the text), line_no, class, first (doc_id, doc_hash, line_no) of every line
     whose class has more than one occurrence; classes are the components of lines within threshold
     edits of each other (code points; line feeds divide lines). first is the occurrence that stays:
-    by doc_id (null last), then hash of the text, then line. Lines of fewer than least characters take
-    no part. Null and empty texts have no lines. Occurrences in repeated rows (same id and text) can't
+    by doc_id (null last), then hash of the text, then line. Lines of fewer than least characters are
+    near no others; they are one class with their equals if they have least_equal characters and are
+    not blank (None: they take no part). Null and empty texts have no lines. Occurrences in repeated rows (same id and text) can't
     be told apart and share their fate. Other columns are ignored, an empty table gives no rows."""
     bounded_batches(docs.sparkSession)
     text = F.col("text").cast("string")
@@ -240,7 +243,7 @@ def duplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24) -> Dat
 
     links = both.select("x", "y").mapInArrow(verify, "a binary, b binary")
     merged = components(links).withColumnRenamed("node", "line")
-    lines = _mapped(docs, "doc_id long, doc_hash long, line_no int, line binary", occurrences, least)
+    lines = _mapped(docs, "doc_id long, doc_hash long, line_no int, line binary", occurrences, least, least_equal)
     where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_hash", "line_no")
     each = lines.groupBy("line").agg(F.min(where).alias("first"), F.count("*").alias("n"))
     each = cut_lineage(each.join(merged, "line", "left").withColumn("class", F.coalesce("component", "line")).where("n > 1 or component is not null").select("line", "class", "first", "n"))
@@ -266,9 +269,9 @@ def _picked(rows: DataFrame, bloom: np.ndarray) -> DataFrame:
     return _with_bits(rows).mapInArrow(work, rows.schema)
 
 
-def removed_lines(docs: DataFrame, threshold: int = 2, least: int = 24) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: int = 2, least: int = 24, least_equal: int | None = None) -> DataFrame:
     """doc_id, doc_hash and removed (sorted numbers of the lines that don't stay) of documents that lose lines."""
-    lines = duplicate_lines(docs, threshold, least)
+    lines = duplicate_lines(docs, threshold, least, least_equal)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_hash") == F.col("first.doc_hash")) & (F.col("line_no") == F.col("first.line_no"))
     return lines.where(~stays).groupBy("doc_id", "doc_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
@@ -287,10 +290,10 @@ def _without(text: Column, removed: Column) -> Column:
     return cut(text, removed)
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 24) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 24, least_equal: int | None = None) -> DataFrame:
     """docs with column text without its repeated lines; rows and other columns stay as they are."""
     own = [free_name(docs, c) for c in ("gone_id", "gone_hash", "gone")]
-    gone = removed_lines(docs, threshold, least).toDF(*own)
+    gone = removed_lines(docs, threshold, least, least_equal).toDF(*own)
     text = F.col("text").cast("string")
     joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own[0])) & (F.xxhash64(text) == F.col(own[1])), "left")
     return joined.withColumn("text", _without(text, F.col(own[2]))).select(*docs.columns)
