@@ -101,3 +101,16 @@ def test_verdicts(spark):
     assert judge_quality(docs.where("false")).count() == 0
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in out.values())
     assert F is not None
+
+
+def test_languages_keep_models_and_bands_apart(spark):
+    # crc32("en") and crc32("fi") agree modulo 32, as do those of null and the empty string
+    rows = [("aa", "en", 300), ("bb", "fi", 12), ("aa", "", 300), ("cc", None, 12)]
+    rows = [(i, prose(kind, 90, i), lang) for i, (kind, lang) in enumerate((kind, lang) for kind, lang, n in rows for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(quality.count_trigrams(docs)) == {"en", "fi", "", None}
+    out = {r.doc_id: r for r in judge_quality(docs).collect()}
+    small = [out[i] for i, _, lang in rows if lang in ("fi", None)]
+    assert sum(r.kept for r in small) >= 0.9 * len(small)
+    alone = {r.doc_id: r.perplexity for r in judge_quality(docs.where("lang = 'fi'")).collect()}
+    assert len(alone) == 12 and all(abs(out[k].perplexity - p) < 1e-9 for k, p in alone.items())

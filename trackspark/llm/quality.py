@@ -1,7 +1,7 @@
 """Quality rules: word statistics, and the perplexity of a modified Kneser-Ney model per language.
 
-The model is of character trigrams over 64 symbol classes, so that its size is bounded whatever the
-corpus: 2^18 trigrams for each of 32 language slots. Spark counts them over all documents; the
+The model is of character trigrams over 64 symbol classes, so that its size is bounded however long
+the texts: 2^18 trigrams for each value of lang, null included. Spark counts them over all documents; the
 probabilities are stored in sorted arrays of n-gram hashes. Bands around the middle of each language's
 perplexities reject documents that are too odd or too repetitive.
 """
@@ -9,7 +9,6 @@ perplexities reject documents that are too odd or too repetitive.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,16 +19,18 @@ from pyspark.sql import functions as F
 
 from .common import WORD, bounded_batches, cut_lineage
 
-SLOTS, BITS, CLASSES = 32, 6, 64
+BITS, CLASSES = 6, 64
+#: Languages that a worker holds dense tables for at a time.
+HELD = 64
 SYMBOLS = "#*$%&|<>"
 _WORDS = re.compile(WORD)
 #: 0 white space, 1-26 letters, 27 digits, 28 other ASCII, 29-63 other characters by code point.
 _CLASS = np.array([0 if c == 32 or 9 <= c <= 13 else c - 96 if 97 <= c <= 122 else 27 if 48 <= c <= 57 else 28 for c in range(128)], np.uint32)
 
 
-def slot_of(lang: str | None) -> int:
-    """The language slot; languages may share one, null has the slot of the empty string."""
-    return zlib.crc32((lang or "").encode()) % SLOTS
+def slot_of(lang: str | None) -> str | None:
+    """The key of a language's model and band: its own name; null is a key too, and not the empty string."""
+    return lang
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -42,8 +43,8 @@ def trigrams(text: str) -> np.ndarray:
 
 
 def hashed(slot: int, order: int, codes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of n-grams of an order and slot; a bijection, so they never collide."""
-    x = codes.astype(np.uint64) | np.uint64(slot << 24 | order << 32)
+    """64-bit hashes of n-grams of an order and numbered slot; a bijection, so they never collide."""
+    x = codes.astype(np.uint64) | np.uint64(order << 24 | slot << 26)
     x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
     return x ^ x >> np.uint64(32)
 
@@ -59,20 +60,22 @@ def discounts(counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class KneserNey:
-    """Sorted n-gram hashes, each with the log probability and the log backoff weight of its context use."""
+    """Sorted n-gram hashes, each with the log probability and the log backoff weight of its context use;
+    slots numbers the languages."""
 
     hashes: np.ndarray
     logp: np.ndarray
     backoff: np.ndarray
-    tables: dict[int, np.ndarray] = field(default_factory=dict)
+    slots: dict[str | None, int]
+    tables: dict[str | None, np.ndarray] = field(default_factory=dict)
 
     @staticmethod
-    def trained(counts: dict[int, tuple[np.ndarray, np.ndarray]]) -> KneserNey:
-        """counts: trigram codes and their counts by slot."""
-        parts = [KneserNey._slot(slot, *x) for slot, x in sorted(counts.items())]
+    def trained(counts: dict[str | None, tuple[np.ndarray, np.ndarray]]) -> KneserNey:
+        """counts: trigram codes and their counts by language."""
+        parts = [KneserNey._slot(slot, *x) for slot, x in enumerate(counts.values())]
         h, p, b = (np.concatenate(x) if parts else np.zeros(0) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
         order = np.argsort(h)
-        return KneserNey(h[order].astype(np.uint64), p[order].astype(np.float32), b[order].astype(np.float32))
+        return KneserNey(h[order].astype(np.uint64), p[order].astype(np.float32), b[order].astype(np.float32), {lang: k for k, lang in enumerate(counts)})
 
     @staticmethod
     def _slot(slot: int, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -112,10 +115,11 @@ class KneserNey:
         found = self.hashes[at] == h
         return found, np.where(found, self.logp[at], 0), np.where(found, self.backoff[at], 0)
 
-    def looked_up(self, slot: int, codes: np.ndarray) -> np.ndarray:
+    def looked_up(self, lang: str | None, codes: np.ndarray) -> np.ndarray:
         """Log probabilities of the last symbol of each trigram after the two before it."""
-        if not len(self.hashes):
+        if lang not in self.slots:
             return np.full(len(codes), -np.log(CLASSES))
+        slot = self.slots[lang]
         three, p3, _ = self._find(slot, 3, codes)
         two, p2, _ = self._find(slot, 2, codes & (CLASSES**2 - 1))
         one, p1, _ = self._find(slot, 1, codes & (CLASSES - 1))
@@ -124,44 +128,54 @@ class KneserNey:
         p1 = np.where(one, p1, -np.log(CLASSES))
         return np.where(three, p3, b2 + np.where(two, p2, b1 + p1))
 
-    def mean_logp(self, slot: int, codes: np.ndarray) -> float:
-        """The mean over a text; what was looked up once is kept in a table of the slot's 2^18 codes."""
-        if slot not in self.tables:
-            self.tables[slot] = np.full(CLASSES**3, np.nan, np.float32)
-        table = self.tables[slot]
+    def mean_logp(self, lang: str | None, codes: np.ndarray) -> float:
+        """The mean over a text; what was looked up once is kept in a table of the language's 2^18 codes."""
+        if lang not in self.tables:
+            if len(self.tables) >= HELD:
+                self.tables.clear()
+            self.tables[lang] = np.full(CLASSES**3, np.nan, np.float32)
+        table = self.tables[lang]
         got = table[codes]
         if np.isnan(got).any():
             new = np.unique(codes[np.isnan(got)])
-            table[new] = self.looked_up(slot, new)
+            table[new] = self.looked_up(lang, new)
             got = table[codes]
         return float(got.mean(dtype=np.float64))
 
 
-def count_trigrams(docs: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Trigram counts over all documents by slot. Tasks sum up first; at most 32 * 2^18 sums exist."""
+def count_trigrams(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
+    """Trigram counts over all documents by language. Tasks sum up first; at most 2^18 sums a language exist."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[str | None, np.ndarray] = {}
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            for lang, x in sums.items():
+                codes = np.flatnonzero(x)
+                yield pa.RecordBatch.from_arrays([pa.array([slot_of(lang)] * len(codes), pa.string()), pa.array(codes, pa.int32()), pa.array(x[codes], pa.int64())], ["lang", "code", "n"])
+            sums.clear()
+
         for batch in batches:
             for lang, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
                 if text:
-                    slot = slot_of(lang)
-                    if slot not in sums:
-                        sums[slot] = np.zeros(CLASSES**3, np.int64)
+                    if lang not in sums:
+                        if len(sums) >= HELD:
+                            yield from summed()
+                        sums[lang] = np.zeros(CLASSES**3, np.int64)
                     if len(text) > 1 << 14:
-                        sums[slot] += np.bincount(trigrams(text), minlength=CLASSES**3)
+                        sums[lang] += np.bincount(trigrams(text), minlength=CLASSES**3)
                     else:
-                        np.add.at(sums[slot], trigrams(text), 1)
-        for slot, x in sums.items():
-            codes = np.flatnonzero(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), slot), pa.int32()), pa.array(codes, pa.int32()), pa.array(x[codes], pa.int64())], ["slot", "code", "n"])
-
-    rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(work, "slot int, code int, n long")
-    found = rows.groupBy("slot", "code").agg(F.sum("n").alias("n")).toArrow()
-    slot, code, n = (found.column(k).to_numpy() for k in range(3))
+                        np.add.at(sums[lang], trigrams(text), 1)
+        yield from summed()
+
+    rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(work, "lang string, code int, n long")
+    found = rows.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
+    names = found.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+    slot, (code, n) = names.indices.to_numpy(), (found.column(k).to_numpy() for k in (1, 2))
     order = np.lexsort((code, slot))
     slot, code, n = slot[order], code[order].astype(np.int64), n[order]
-    return {int(s): (code[slot == s], n[slot == s]) for s in np.unique(slot)}
+    ends = np.searchsorted(slot, np.arange(len(names.dictionary) + 1))
+    return {lang: (code[a:b], n[a:b]) for lang, a, b in zip(names.dictionary.to_pylist(), ends, ends[1:], strict=False)}
 
 
 def repeated_words(words: list[str]) -> int:
@@ -195,7 +209,7 @@ def base_statistics(text: str) -> tuple[int, int, int, int, int]:
     return len(words), sum(map(len, words)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
 
 
-STATISTICS = "doc_id long, slot int, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+STATISTICS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
 
 
 def score(docs: DataFrame, model: KneserNey) -> DataFrame:
@@ -206,9 +220,8 @@ def score(docs: DataFrame, model: KneserNey) -> DataFrame:
         for batch in batches:
             rows = []
             for doc, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                slot = slot_of(lang)
-                rows.append((doc, slot, *base_statistics(text or ""), -model.mean_logp(slot, trigrams(text)) if text else None))
-            kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5, pa.float64()]
+                rows.append((doc, lang, *base_statistics(text or ""), -model.mean_logp(slot_of(lang), trigrams(text)) if text else None))
+            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
@@ -229,12 +242,12 @@ def judge_quality(docs: DataFrame, lower: float = 2.5, upper: float = 4.0, least
     model = KneserNey.trained(count_trigrams(docs))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
     rows = cut_lineage(score(docs, model).withColumn("base_failed", failed))
-    steps = rows.where("not base_failed").groupBy("slot", F.round(F.col("log_perplexity") * grid).cast("long").alias("step")).count()
-    # one row per slot, 32 at most
-    bands = steps.groupBy("slot").agg(F.percentile("step", F.array(F.lit(0.25), F.lit(0.75)), F.col("count")).alias("q"))
+    steps = rows.where("not base_failed").groupBy("lang", F.round(F.col("log_perplexity") * grid).cast("long").alias("step")).count()
+    # one row per language
+    bands = steps.groupBy("lang").agg(F.percentile("step", F.array(F.lit(0.25), F.lit(0.75)), F.col("count")).alias("q"))
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(2.0))
-    bands = bands.select("slot", ((F.col("q")[0] - lower * spread) / grid).alias("lower"), ((F.col("q")[1] + upper * spread) / grid).alias("upper"))
+    bands = bands.select(F.col("lang").alias("its"), ((F.col("q")[0] - lower * spread) / grid).alias("lower"), ((F.col("q")[1] + upper * spread) / grid).alias("upper"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return rows.join(F.broadcast(bands), "slot", "left").select(
+    return rows.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("its")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.exp("log_perplexity").alias("perplexity"), kept.alias("kept")
     )
