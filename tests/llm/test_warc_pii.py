@@ -89,3 +89,12 @@ def test_contexts_find_what_no_pattern_matches(spark):
     assert out[100].spans == "phone:21:36" and out[100].base_spans == "" and out[100].n_found == 1
     assert out[101].spans == out[102].spans == "" and all(out[k].spans == out[k].base_spans != "" for k in range(12))
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_lists_with_one_word_labels_have_contexts(spark):
+    rows = [(k, f"Tel: +1 (988) 555-{1000 + k} Fax: +1 (988) 555-{3000 + k}") for k in range(12)]
+    rows += [(100 + k, f"+1 (988) 555-{5000 + k}\n+1 (988) 555-{7000 + k}") for k in range(12)]
+    rows += [(200, "Tel: 0049-30-1234567 Fax: 0049-30-7654321"), (201, "0049-30-2345678\n+1 (988) 555-9999")]
+    out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[200].spans == "phone:5:20,phone:26:41" and out[200].base_spans == ""
+    assert out[201].spans == "phone:0:15,phone:16:33" and out[201].n_found == 1
