@@ -98,3 +98,15 @@ def test_lists_with_one_word_labels_have_contexts(spark):
     out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert out[200].spans == "phone:5:20,phone:26:41" and out[200].base_spans == ""
     assert out[201].spans == "phone:0:15,phone:16:33" and out[201].n_found == 1
+
+
+def test_chains_of_patterns_are_followed_to_their_end(spark):
+    # pattern k holds 12 seeds, 4 instances that pattern k - 1 makes known, and 4 new ones
+    rows = []
+    for k in range(5):
+        held = [f"+1 (988) 555-{1000 + j}" for j in range(12 if k else 16)]
+        held += [f"0049-30-77{j}{i}" for j in ([k - 1, k] if k else [k]) for i in range(4)]
+        w = "abcdefgh"[k]
+        rows += [f"So {w}one {w}two {x} {w}three {w}four" for x in held]
+    out = pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert all(r.n_found + r.n_phone == 1 for r in out) and sum(r.n_found for r in out) == 4 + 8 * 4
