@@ -110,3 +110,17 @@ def test_chains_of_patterns_are_followed_to_their_end(spark):
         rows += [f"So {w}one {w}two {x} {w}three {w}four" for x in held]
     out = pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     assert all(r.n_found + r.n_phone == 1 for r in out) and sum(r.n_found for r in out) == 4 + 8 * 4
+
+
+def test_words_in_the_place_of_strong_patterns_are_found(spark):
+    rows = [(k, f"If in doubt write to user{k}@example.com for help") for k in range(40)]
+    rows += [(100, "If in doubt write to john(at)example(dot)com for help"), (101, "é  If in doubt write to\n(john [at] example.com) for help"), (102, "not for help")]
+    rows += [(200 + k, f"now call at +1 (988) 555-{1000 + k} again") for k in range(10)] + [(300 + k, f"now call at {w} again") for k, w in enumerate("home work noon dusk".split())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    text = dict(rows)
+    assert [out[k].n_found for k in (100, 101, 102)] == [1, 1, 0]
+    for k, want in ((100, "john(at)example(dot)com"), (101, "john [at] example.com")):
+        kind, a, b = out[k].spans.split(":")
+        assert kind == "email" and text[k][int(a) : int(b)] == want
+    assert not any(out[k].n_found for k in range(300, 304))
