@@ -114,3 +114,12 @@ def test_languages_keep_models_and_bands_apart(spark):
     assert sum(r.kept for r in small) >= 0.9 * len(small)
     alone = {r.doc_id: r.perplexity for r in judge_quality(docs.where("lang = 'fi'")).collect()}
     assert len(alone) == 12 and all(abs(out[k].perplexity - p) < 1e-9 for k, p in alone.items())
+
+
+def test_rare_languages_are_learned_too(spark):
+    rows = [(i, prose(kind, 60, i), kind) for i, kind in enumerate(["aa"] * 40 + ["bb"] * 40 + ["cc"] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, F.lit(True), most_languages=2)
+    assert model.languages == ["aa", "bb", "cc"]
+    assert [model.predict([prose(kind, 60, "new")])[0][0] for kind in model.languages] == model.languages
+    assert langid.fit(docs, F.lit(True), per_language=3, most_languages=2).languages == ["aa", "bb", "cc"]

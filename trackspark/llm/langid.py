@@ -92,20 +92,25 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit(docs: DataFrame, learn_from: Column, per_language: int = 256, most_languages: int = 64, clusters: int = 4, slack: float = 0.5) -> CentroidModel:
     """A model of the labelled rows of docs (doc_id, text, lang) for which learn_from holds.
 
-    Bounded: at most most_languages languages, those with the most rows, and per_language rows of
-    each, the ones with the lowest hash of doc_id in each of 32 hash buckets. Only their n-gram
-    counts reach the driver. Rows with null lang, or no letter in the text, teach nothing; no rows at
+    Every language is learned. Bounded: per_language rows of each, the ones with the lowest hash of
+    doc_id in each of 32 hash buckets; of more than most_languages languages fewer rows of each, so
+    that their product stays (but one row at least). Only their n-gram counts reach the driver. Rows with null lang, or no letter in the text, teach nothing; no rows at
     all give a model that answers "und". slack: a text is rejected if its cosine is under slack times
     the lowest one that a training text of its length class, or a longer one, has to its centroid,
     and less for the shortest texts.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.where(learn_from).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()]
-    ranked = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).where(F.col("lang").isin(names))
+    n_languages = rows.select("lang").distinct().count()
+    if n_languages > most_languages:
+        per_language = max(per_language * most_languages // n_languages, 1)
+    ranked = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
     ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(32))).orderBy("h", "doc_id")))
-    # per_language * most_languages rows at most: the bound of this broadcast
-    chosen = ranked.where(F.col("n") <= -(-per_language // 32)).select("doc_id", "lang").distinct()
+    ranked = ranked.where(F.col("n") <= -(-per_language // 32))
+    if per_language < 32:  # fewer rows than buckets: the lowest of the buckets' rows
+        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= per_language)
+    # about per_language * most_languages rows at most: the bound of this broadcast
+    chosen = ranked.select("doc_id", "lang").distinct()
 
     @F.pandas_udf(T.BinaryType())
     def counted(texts: pd.Series) -> pd.Series:
