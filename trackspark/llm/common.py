@@ -5,8 +5,12 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word: anything but ASCII white space (space, tab, line feed, VT, FF, CR).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -66,6 +70,79 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def chunk_pairs(members: DataFrame, by: list[str], name: str, left: Column, size: Column, limit: int) -> DataFrame:
+    """Deals the members of each group of by to chunks, and chunks to pairs, so that whoever has to be
+    compared meets in one pair (_i, _j) of chunks at least: all rows of left meet each other and all
+    other rows; the others needn't meet among themselves. Rows are dealt by a hash of column name, and
+    size is what a row takes of a chunk's limit.
+    A group within the limit is one chunk, so it is copied once; of a larger one a row is copied
+    as often as there are chunks to meet, and never into pairs of rows."""
+    parts = lambda total: F.ceil(total / F.lit(limit)).cast("int")
+    sums = members.select(*by, left.alias("_left"), size.cast("long").alias("_size")).groupBy(*by, "_left").agg(F.sum("_size").alias("_sum"))
+    sums = sums.groupBy(*by).agg(F.sum(F.when(F.col("_left"), F.col("_sum")).otherwise(0)).alias("_a"), F.sum("_sum").alias("_all"))
+    sums = sums.select(*by, F.when(F.col("_all") <= limit, 1).otherwise(F.greatest(parts(F.col("_a")), F.lit(1))).alias("_s"), F.when(F.col("_all") <= limit, 0).otherwise(parts(F.col("_all") - F.col("_a"))).alias("_m"))
+    rows = members.withColumn("_left", left).join(sums, by)
+    at = F.pmod(F.xxhash64(name), F.when(F.col("_left") | (F.col("_m") == 0), F.col("_s")).otherwise(F.col("_m"))).cast("int")
+    rows = rows.withColumn("_at", F.when(F.col("_left") | (F.col("_m") == 0), at).otherwise(F.col("_s") + at))
+    # chunks below _s meet all chunks, those from _s on only the former
+    meets = F.sequence(F.lit(0), F.when(F.col("_at") < F.col("_s"), F.col("_s") + F.col("_m")).otherwise(F.col("_s")) - 1)
+    pair = F.transform(meets, lambda t: F.struct(F.least(t, F.col("_at")).alias("_i"), F.greatest(t, F.col("_at")).alias("_j")))
+    return rows.select(*members.columns, "_left", "_at", F.explode(pair).alias("_p")).select("*", "_p._i", "_p._j").drop("_p")
+
+
+def in_groups(rows: DataFrame, by: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work on the table of each group, groups being runs of equal by in sorted partitions; they must
+    fit in memory. Unlike a grouped map, small groups cost no batch of their own."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            change = np.zeros(table.num_rows - 1, bool)
+            for c in by:
+                x = table.column(c).combine_chunks()
+                x = x.dictionary_encode().indices if not pa.types.is_integer(x.type) else x
+                x = x.to_numpy(zero_copy_only=False)
+                change |= x[1:] != x[:-1]
+            ends = [0, *(np.flatnonzero(change) + 1).tolist(), table.num_rows]
+            if held and any(held[-1].column(c)[-1] != table.column(c)[0] for c in by):
+                yield from work(pa.concat_tables(held))
+                held = []
+            for a, b in zip(ends, ends[1:], strict=False):
+                held.append(table.slice(a, b - a))
+                if b < table.num_rows:
+                    yield from work(pa.concat_tables(held))
+                    held = []
+        if held:
+            yield from work(pa.concat_tables(held))
+
+    return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(over, schema)
+
+
+class Forest:
+    """Union-find over 0..n-1."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Whether a and b were apart."""
+        a, b = self.find(a), self.find(b)
+        self.up[max(a, b)] = min(a, b)
+        return a != b
+
+    def roots(self) -> np.ndarray:
+        return np.fromiter(map(self.find, range(len(self.up))), np.int64, len(self.up))
+
+
 def bounded_batches(spark: SparkSession, limit: int = 1 << 22) -> None:
     """Arrow batches to Python end at limit bytes, so that a run of long texts fits in memory.
     A smaller limit that the session has is left alone."""

@@ -3,8 +3,11 @@
 Documents with equal shingle sets are one class from the start. Bands of full minima give candidates;
 the low bits of all minima, packed, give a similarity estimate that corrects for chance agreement and
 weeds candidates out; what is left is confirmed on full shingle sets. A bucket is first compared with
-three centres, so that a large group of near copies costs as many pairs as it has members; then what
-is still apart in a bucket is compared exhaustively, so no link that would join components is lost.
+three centres, so that a large group of near copies costs as many pairs as it has members. What is
+still apart in a bucket is then compared exhaustively, inside tasks: its members are dealt to chunks,
+each pair of chunks meets in one task, and only pairs that two estimates pass leave it, first those
+of a spanning forest, then the rest of what the confirmed ones have not joined. So no link that would
+join components is lost, and no pair of rows is ever made to be thrown away.
 """
 
 from __future__ import annotations
@@ -17,12 +20,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, cut_lineage
+from .common import Forest, bounded_batches, chunk_pairs, cut_lineage, in_groups
 from .components import components
 
 BANDS, ROWS, LOW_BITS = 32, 5, 4
 HASHES = BANDS * ROWS
 LONGS = HASHES * LOW_BITS // 64
+#: The second estimate: minima of so many bins of one hash, three low bits each and one that tells whether the bin is in use.
+BINS = 2048
+#: Members of a bucket that a chunk holds.
+CHUNK = 1024
 _RANDOM = np.random.default_rng(20240607)
 _A = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
 _B = _RANDOM.integers(0, 1 << 63, HASHES, dtype=np.uint64)
@@ -103,25 +110,54 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(work, "doc_id long, n_shingles long, class binary, keys array<long>, low array<long>")
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Three low bits of the least hash in each of BINS bins, and a bit that says that the bin is in use."""
+    x = np.sort((shingles ^ shingles >> np.uint64(31)) * _C[1])
+    place = (x >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(place, prepend=-1))
+    out = np.zeros(BINS, np.uint8)
+    out[place[first]] = (x[first] >> np.uint64(8) & np.uint64(7)).astype(np.uint8) | 8
+    return (out[::2] << 4 | out[1::2]).tobytes()
+
+
+_ONES = np.uint64(int("0001" * 16, 2))
+
+
+def _unequal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Marks (0001) of the four-bit fields in which packed words differ."""
+    d = x ^ y
+    d |= d >> np.uint64(1)
+    d |= d >> np.uint64(2)
+    return d & _ONES
+
+
+def sketches_pass(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of sketches (rows of 64-bit words) may belong to sets of the similarity percent: the
+    estimate, less chance agreements, is at most five standard errors short of it."""
+    used = lambda w: w >> np.uint64(3) & _ONES
+    same = np.bitwise_count(used(x & y) & ~_unequal(x, y)).sum(axis=1, dtype=np.int64)
+    both = np.bitwise_count(used(x & y)).sum(axis=1, dtype=np.int64)
+    either = np.bitwise_count(used(x | y)).sum(axis=1, dtype=np.int64)
+    j, limit = (same - both / 8) * 8 / 7 / either, percent / 100
+    return j >= limit - 5 * np.sqrt((limit * (1 - limit) + (1 - limit) / 7) / either)
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """class and the shingle set itself, packed, of each row."""
+    """class, sketch and the shingle set itself, packed, of each row."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingle_set(text.as_py(), width) for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["class", "shingles"]
+                [pa.array([f(s) for s in sets], pa.binary()) for f in (lambda s: xxhash.xxh3_128_digest(s.tobytes()), sketch, np.ndarray.tobytes)], ["class", "sketch", "shingles"]
             )
 
-    return docs.mapInArrow(work, "class binary, shingles binary")
+    return docs.mapInArrow(work, "class binary, sketch binary, shingles binary")
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union."""
-    low = classes.select("class", "low")
-    close = pairs.join(low.withColumnsRenamed({"class": "a", "low": "x"}), "a").join(low.withColumnsRenamed({"class": "b", "low": "y"}), "b")
-    close = close.where(estimate(F.col("x"), F.col("y")) >= _least_estimate(percent)).select("a", "b")
-    full = close.join(sets.withColumnsRenamed({"class": "a", "shingles": "s"}), "a").join(sets.withColumnsRenamed({"class": "b", "shingles": "t"}), "b")
+    full = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("s")), "a").join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("t")), "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,6 +171,59 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: i
     return full.select("a", "b", "s", "t").mapInArrow(work, "a binary, b binary")
 
 
+def _apart(at: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members (at: key, class, component) of buckets with several components, dealt to pairs of chunks;
+    all but those of a bucket's largest component have to meet all others."""
+    split = at.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
+    apart = at.join(split, "key").select("key", "class", "component", "main")
+    dealt = chunk_pairs(apart, ["key"], "class", F.col("component") != F.col("main"), F.lit(1), CHUNK).drop("main")
+    return dealt.join(classes.select("class", "n_shingles", "low", "keys"), "class").join(sets.select("class", "sketch"), "class")
+
+
+def _candidates(dealt: DataFrame, percent: int, spanning: bool) -> DataFrame:
+    """Pairs (a, b) of classes of different components that both estimates pass, each in the first bucket
+    that the two share; if spanning, only enough of them to hold together what they would join."""
+    least = _least_estimate(percent)
+
+    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
+        low, keys, names = flat("low"), flat("keys"), table.column("class")
+        whole = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        label = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        size, left, at, key = (table.column(c).to_numpy() for c in ("n_shingles", "_left", "_at", "key"))
+        one = table.column("_i")[0] == table.column("_j")[0]
+        rows, others = (np.flatnonzero(left), np.arange(len(at))) if one else (np.flatnonzero(at == at.min()), np.flatnonzero(at == at.max()))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for start in range(0, len(rows) if len(others) else 0, 32):
+            a = rows[start : start + 32]
+            differ = np.bitwise_count(_unequal(low[a][:, None, :], low[others][None, :, :])).sum(axis=2, dtype=np.int64)
+            fits = (1 - differ / HASHES - 1 / (1 << LOW_BITS)) / (1 - 1 / (1 << LOW_BITS)) >= least
+            fits &= label[a][:, None] != label[others][None, :]
+            if one:  # a pair of two rows on the left just once
+                fits &= ~left[others][None, :] | (a[:, None] < others[None, :])
+            x, y = np.nonzero(fits)
+            x, y = a[x], others[y]
+            ok = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
+            x, y = x[ok], y[ok]
+            shared = keys[x] == keys[y]
+            ok = keys[x, shared.argmax(axis=1)].view(np.int64) == key[0] if len(x) else np.zeros(0, bool)
+            x, y = x[ok], y[ok]
+            ok = sketches_pass(whole[x], whole[y], percent)
+            if ok.any():
+                found.append((x[ok], y[ok]))
+        if not found:
+            return
+        x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        if spanning:
+            forest = Forest(int(label.max()) + 1)
+            kept = [k for k, (p, q) in enumerate(zip(label[x].tolist(), label[y].tolist(), strict=True)) if forest.join(p, q)]
+            x, y = x[kept], y[kept]
+        names = names.combine_chunks()
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), names.take(pa.array(y))], ["a", "b"])
+
+    return in_groups(dealt, ["key", "_i", "_j"], work, "a binary, b binary")
+
+
 def _labels(alone: DataFrame, links: DataFrame) -> DataFrame:
     """class and component of every class in alone (which is its own component if nothing links it)."""
     met = components(links)
@@ -155,7 +244,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = cut_lineage(signatures(docs, width))
-    least = F.min_by(F.struct("doc_id", "keys", "low"), F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    least = F.min_by(F.struct("doc_id", "n_shingles", "keys", "low"), F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     classes = cut_lineage(rows.where("n_shingles > 0").groupBy("class").agg(least.alias("r")).select("class", "r.*"))
     banded = classes.select("class", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("class").alias("c0"), F.max("class").alias("c1"), F.min_by("class", F.xxhash64("class")).alias("c2")).where("c0 <> c1")
@@ -164,29 +253,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     wanted = some.select(F.col("doc_id").alias("id"))
     sets = _sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), width)
     # one row per class, also where rows share a doc_id
-    sets = cut_lineage(sets.join(some.select("class"), "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles")))
+    sets = cut_lineage(sets.join(some.select("class"), "class", "left_semi").groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")))
 
     def ordered(p: DataFrame) -> DataFrame:
         return p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     alone = members.select("class").distinct().select("class", F.col("class").alias("component"))
     centre = F.explode(F.array("c0", "c1", "c2")).alias("b")
-    pairs = cut_lineage(ordered(members.select(F.col("class").alias("a"), centre).where("a <> b")))
-    links = cut_lineage(_confirmed(pairs, classes, sets, percent))
+    stars = cut_lineage(ordered(members.select(F.col("class").alias("a"), centre).where("a <> b")))
+    low = classes.select("class", "low")
+    close = stars.join(low.withColumnsRenamed({"class": "a", "low": "x"}), "a").join(low.withColumnsRenamed({"class": "b", "low": "y"}), "b")
+    close = close.where(estimate(F.col("x"), F.col("y")) >= _least_estimate(percent)).select("a", "b")
+    links = cut_lineage(_confirmed(close, sets, percent))
     label = _labels(alone, links)
-    at = members.select("key", "class").join(label, "class")
-    split = at.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
-    apart = cut_lineage(at.join(split, "key").join(classes.select("class", "low", "keys"), "class"))
-    left = apart.where("component <> main").select("key", F.col("class").alias("a"), F.col("component").alias("p"), F.col("low").alias("x"), F.col("keys").alias("k"))
-    right = apart.select("key", F.col("class").alias("b"), F.col("component").alias("q"), F.col("low").alias("y"), F.col("keys").alias("l"), (F.col("component") == F.col("main")).alias("inner"))
-    # each pair once: in the first bucket that it shares, and one way about if both are outside
-    first_shared = F.filter(F.zip_with("k", "l", lambda u, v: F.when(u == v, u)), lambda u: u.isNotNull())[0]
-    once = (F.col("inner") | (F.col("a") < F.col("b"))) & (estimate(F.col("x"), F.col("y")) >= _least_estimate(percent)) & (first_shared == F.col("key"))
-    rest = left.join(right, "key").where((F.col("p") != F.col("q")) & once).select("a", "b")
-    rest = cut_lineage(ordered(rest).join(pairs, ["a", "b"], "left_anti"))
-    more = cut_lineage(_confirmed(rest, classes, sets, percent))
-    if more.limit(1).count():
-        label = _labels(alone, links.union(more))
+    for spanning in (True, False):
+        dealt = _apart(members.select("key", "class").join(label, "class"), classes, sets)
+        pairs = ordered(_candidates(dealt, percent, spanning)).join(stars, ["a", "b"], "left_anti")
+        more = cut_lineage(_confirmed(pairs, sets, percent))
+        if more.limit(1).count():
+            links = links.union(more)
+            label = _labels(alone, links)
     first = classes.select("class", "doc_id").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = first.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     first = first.join(lowest, "component").select("class", "component_id")
