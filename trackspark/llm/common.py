@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -20,14 +21,17 @@ _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else the checkpoint
-    folder that was set before, else (one machine, tests) a new temporary folder."""
+    """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, else the
+    checkpoint folder that was set before; else, on a local master only, a new temporary folder.
+    A path without a scheme is on the default file system, as it is for Spark itself."""
     sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = sc.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trackspark-")
+    path = spark._jvm.org.apache.hadoop.fs.Path(found)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -40,6 +44,17 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return path
 
 
+@contextmanager
+def scratch() -> Iterator[None]:
+    """What is written to new folders inside is removed at the end; results that read it must be
+    written elsewhere by then."""
+    before = len(_SCRATCH)
+    try:
+        yield
+    finally:
+        drop_scratch(before)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Computes df once and keeps it as a Parquet table in the shared folder: a lost executor loses
     nothing, and unlike a checkpoint the table has a size that Spark plans joins by. Tables of a
@@ -51,9 +66,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 @atexit.register
-def drop_scratch() -> None:
-    """Removes the tables that cut_lineage has written."""
-    while _SCRATCH:
+def drop_scratch(since: int = 0) -> None:
+    """Removes the tables that cut_lineage has written, but the first since ones."""
+    while len(_SCRATCH) > since:
         spark, path = _SCRATCH.pop()
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -90,12 +105,14 @@ def chunk_pairs(members: DataFrame, by: list[str], name: str, left: Column, size
     return rows.select(*members.columns, "_left", "_at", F.explode(pair).alias("_p")).select("*", "_p._i", "_p._j").drop("_p")
 
 
-def in_groups(rows: DataFrame, by: list[str], work: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """work on the table of each group, groups being runs of equal by in sorted partitions; they must
-    fit in memory. Unlike a grouped map, small groups cost no batch of their own."""
+def in_groups(rows: DataFrame, by: list[str], start: Callable[[], Callable[[pa.Table | None], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
+    """Calls what start() returns on the table of each group, groups being runs of equal by in sorted
+    partitions, and on None at the end of a partition. A group must fit in memory. Unlike in a grouped
+    map, small groups cost no batch of their own, and work may be held back over groups."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []
+        work = start()
         for batch in batches:
             table = pa.Table.from_batches([batch])
             if not table.num_rows:
@@ -117,6 +134,7 @@ def in_groups(rows: DataFrame, by: list[str], work: Callable[[pa.Table], Iterato
                     held = []
         if held:
             yield from work(pa.concat_tables(held))
+        yield from work(None)
 
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(over, schema)
 

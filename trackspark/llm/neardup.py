@@ -5,9 +5,10 @@ the low bits of all minima, packed, give a similarity estimate that corrects for
 weeds candidates out; what is left is confirmed on full shingle sets. A bucket is first compared with
 three centres, so that a large group of near copies costs as many pairs as it has members. What is
 still apart in a bucket is then compared exhaustively, inside tasks: its members are dealt to chunks,
-each pair of chunks meets in one task, and only pairs that two estimates pass leave it, first those
-of a spanning forest, then the rest of what the confirmed ones have not joined. So no link that would
-join components is lost, and no pair of rows is ever made to be thrown away.
+each pair of chunks meets in one task, which compares small sets whole and larger ones by a finer
+estimate. Links of a spanning forest leave it; of the larger sets, in a second round, also the rest of
+what the confirmed ones have not joined. So no link that would join components is lost, and no pair of
+rows is ever made to be thrown away.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from .components import components
 BANDS, ROWS, LOW_BITS = 32, 5, 4
 HASHES = BANDS * ROWS
 LONGS = HASHES * LOW_BITS // 64
-#: The second estimate: minima of so many bins of one hash, three low bits each and one that tells whether the bin is in use.
+#: Sets of so many shingles at most are compared whole in their buckets.
+EXACT = 256
+#: The estimate of larger ones: minima of so many bins of one hash, three low bits each and one that tells whether the bin is in use.
 BINS = 2048
 #: Members of a bucket that a chunk holds.
 CHUNK = 1024
@@ -131,15 +134,31 @@ def _unequal(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return d & _ONES
 
 
-def sketches_pass(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Whether pairs of sketches (rows of 64-bit words) may belong to sets of the similarity percent: the
-    estimate, less chance agreements, is at most five standard errors short of it."""
+def sketches_pass(x: np.ndarray, y: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
+    """Whether pairs of sketches (rows of 64-bit words) of sets with size elements together may have the
+    similarity percent: whether their estimate, less chance agreements, is at most five standard errors
+    short of it. Of the union the bins in use show a sample without replacement, so where nearly all
+    of it shows little but chance agreements is uncertain."""
     used = lambda w: w >> np.uint64(3) & _ONES
     same = np.bitwise_count(used(x & y) & ~_unequal(x, y)).sum(axis=1, dtype=np.int64)
     both = np.bitwise_count(used(x & y)).sum(axis=1, dtype=np.int64)
     either = np.bitwise_count(used(x | y)).sum(axis=1, dtype=np.int64)
-    j, limit = (same - both / 8) * 8 / 7 / either, percent / 100
-    return j >= limit - 5 * np.sqrt((limit * (1 - limit) + (1 - limit) / 7) / either)
+    limit = percent / 100
+    union = np.maximum(size / (1 + limit), either + 1)
+    error = limit * (1 - limit) * (union - either) / (union - 1) + (1 - limit) / 7
+    return (same - both / 8) * 8 / 7 / either >= limit - 5 * np.sqrt(error / either) - 1 / either
+
+
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many elements the sets x[k] and y[k] have in common, by bit maps of the elements that more than one set has."""
+    sizes = np.array([len(s) for s in sets])
+    of, (_, which, times) = np.repeat(np.arange(len(sets)), sizes), np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1
+    of, which = of[times[which] > 1], place[which[times[which] > 1]]
+    words = np.zeros((len(sets), (int(place[-1]) + 64) // 64 if len(place) else 1), np.uint64)
+    np.bitwise_or.at(words, (of, which >> 6), np.uint64(1) << (which & 63).astype(np.uint64))
+    step = max(1, (1 << 20) // words.shape[1])
+    return np.concatenate([np.zeros(0, np.int64), *(np.bitwise_count(words[x[at : at + step]] & words[y[at : at + step]]).sum(axis=1, dtype=np.int64) for at in range(0, len(x), step))])
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -171,29 +190,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.select("a", "b", "s", "t").mapInArrow(work, "a binary, b binary")
 
 
-def _apart(at: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+def _apart(at: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, large: bool) -> DataFrame:
     """Members (at: key, class, component) of buckets with several components, dealt to pairs of chunks;
-    all but those of a bucket's largest component have to meet all others."""
+    all but those of a bucket's largest component have to meet all others. If large, just members
+    that may have to be compared by sketches."""
+    size = F.col("n_shingles")
+    if large:
+        at = at.join(classes.where(100 * size > percent * EXACT).select("class"), "class", "left_semi")
     split = at.groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.count("*").alias("n")).where("n > 1").select("key", "main")
     apart = at.join(split, "key").select("key", "class", "component", "main")
     dealt = chunk_pairs(apart, ["key"], "class", F.col("component") != F.col("main"), F.lit(1), CHUNK).drop("main")
-    return dealt.join(classes.select("class", "n_shingles", "low", "keys"), "class").join(sets.select("class", "sketch"), "class")
+    dealt = dealt.join(classes.select("class", "n_shingles", "low", "keys"), "class")
+    # whole or sketch or, where either may be needed, both
+    return dealt.join(sets.select("class", "sketch", "shingles"), "class").withColumns({
+        "sketch": F.when(100 * size > percent * EXACT, F.col("sketch")), "shingles": F.when((size <= EXACT) & F.lit(not large), F.col("shingles")),
+    })
 
 
-def _candidates(dealt: DataFrame, percent: int, spanning: bool) -> DataFrame:
-    """Pairs (a, b) of classes of different components that both estimates pass, each in the first bucket
-    that the two share; if spanning, only enough of them to hold together what they would join."""
+def _candidates(dealt: DataFrame, percent: int, large: bool) -> DataFrame:
+    """Pairs (a, b) of classes of different components, each in the first bucket that the two share: small
+    sets that are similar, and larger ones that both estimates pass; if large all of the latter, else
+    enough of all to hold together what they would join."""
     least = _least_estimate(percent)
 
-    def work(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    def work(table: pa.Table | None) -> Iterator[pa.RecordBatch]:
+        if table is None:
+            return
         flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy().view(np.uint64).reshape(table.num_rows, -1)
-        low, keys, names = flat("low"), flat("keys"), table.column("class")
-        whole = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint64).reshape(table.num_rows, -1)
+        low, keys = flat("low"), flat("keys")
         label = table.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
         size, left, at, key = (table.column(c).to_numpy() for c in ("n_shingles", "_left", "_at", "key"))
         one = table.column("_i")[0] == table.column("_j")[0]
         rows, others = (np.flatnonzero(left), np.arange(len(at))) if one else (np.flatnonzero(at == at.min()), np.flatnonzero(at == at.max()))
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+        found = [(rows[:0], rows[:0])]
         for start in range(0, len(rows) if len(others) else 0, 32):
             a = rows[start : start + 32]
             differ = np.bitwise_count(_unequal(low[a][:, None, :], low[others][None, :, :])).sum(axis=2, dtype=np.int64)
@@ -205,23 +234,35 @@ def _candidates(dealt: DataFrame, percent: int, spanning: bool) -> DataFrame:
             x, y = a[x], others[y]
             ok = 100 * np.minimum(size[x], size[y]) >= percent * np.maximum(size[x], size[y])
             x, y = x[ok], y[ok]
-            shared = keys[x] == keys[y]
-            ok = keys[x, shared.argmax(axis=1)].view(np.int64) == key[0] if len(x) else np.zeros(0, bool)
-            x, y = x[ok], y[ok]
-            ok = sketches_pass(whole[x], whole[y], percent)
-            if ok.any():
+            if len(x):
+                ok = keys[x, (keys[x] == keys[y]).argmax(axis=1)].view(np.int64) == key[0]
                 found.append((x[ok], y[ok]))
-        if not found:
-            return
         x, y = (np.concatenate(c) for c in zip(*found, strict=True))
-        if spanning:
+        if not len(x):
+            return
+        small, good = (size[x] <= EXACT) & (size[y] <= EXACT), np.zeros(len(x), bool)
+        if small.any() and not large:
+            of = np.flatnonzero(size <= EXACT)
+            sets, local = table.column("shingles").to_pylist(), np.cumsum(size <= EXACT) - 1
+            both = overlaps([np.frombuffer(sets[k], np.uint64) for k in of], local[x[small]], local[y[small]])
+            good[small] = 100 * both >= percent * (size[x[small]] + size[y[small]] - both)
+        if not small.all():
+            of, local = np.flatnonzero(100 * size > percent * EXACT), np.cumsum(100 * size > percent * EXACT) - 1
+            sketches = table.column("sketch").to_pylist()
+            whole = np.frombuffer(b"".join(sketches[k] for k in of), np.uint64).reshape(len(of), -1)
+            for part in np.array_split(np.flatnonzero(~small), len(x) // 4096 + 1):
+                good[part] = sketches_pass(whole[local[x[part]]], whole[local[y[part]]], size[x[part]] + size[y[part]], percent)
+        x, y = x[good], y[good]
+        if not large:
+            first = np.argsort(~small[good], kind="stable")  # what is certain before what still has to be confirmed
+            x, y = x[first], y[first]
             forest = Forest(int(label.max()) + 1)
             kept = [k for k, (p, q) in enumerate(zip(label[x].tolist(), label[y].tolist(), strict=True)) if forest.join(p, q)]
             x, y = x[kept], y[kept]
-        names = names.combine_chunks()
+        names = table.column("class").combine_chunks()
         yield pa.RecordBatch.from_arrays([names.take(pa.array(x)), names.take(pa.array(y))], ["a", "b"])
 
-    return in_groups(dealt, ["key", "_i", "_j"], work, "a binary, b binary")
+    return in_groups(dealt, ["key", "_i", "_j"], lambda: work, "a binary, b binary")
 
 
 def _labels(alone: DataFrame, links: DataFrame) -> DataFrame:
@@ -266,9 +307,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     close = close.where(estimate(F.col("x"), F.col("y")) >= _least_estimate(percent)).select("a", "b")
     links = cut_lineage(_confirmed(close, sets, percent))
     label = _labels(alone, links)
-    for spanning in (True, False):
-        dealt = _apart(members.select("key", "class").join(label, "class"), classes, sets)
-        pairs = ordered(_candidates(dealt, percent, spanning)).join(stars, ["a", "b"], "left_anti")
+    for large in (False, True):
+        dealt = _apart(members.select("key", "class").join(label, "class"), classes, sets, percent, large)
+        pairs = ordered(_candidates(dealt, percent, large)).join(stars, ["a", "b"], "left_anti")
         more = cut_lineage(_confirmed(pairs, sets, percent))
         if more.limit(1).count():
             links = links.union(more)
