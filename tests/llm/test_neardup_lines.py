@@ -93,6 +93,44 @@ def test_near_duplicates_equal_brute_force(spark, width, percent):
     assert all(x.kept == (x.doc_id == x.component_id) for x in out)
 
 
+def family(r, n, length):
+    """Texts that all differ from one base in some words, so that most share buckets and few are links."""
+    base = words(r, length)
+    return [" ".join("q" + str(r.randint(0, 10**6)) if r.random() < x else w for w in base) for x in (r.uniform(0, 0.16) for _ in range(n))]
+
+
+@pytest.mark.parametrize("chunk,exact", [(16, 256), (16, 20)])
+def test_a_large_family_of_unlike_texts(spark, monkeypatch, chunk, exact):
+    monkeypatch.setattr(neardup, "CHUNK", chunk)
+    monkeypatch.setattr(neardup, "EXACT", exact)
+    r = random.Random(chunk + exact)
+    texts = [*family(r, 150, 60), *family(r, 40, 500)]
+    got = {x.doc_id: x.component_id for x in neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3, 85).collect()}
+    sets = [set(zip(w, w[1:], w[2:])) for w in map(str.split, texts)]
+    u = Union()
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if 100 * len(s & sets[j]) >= 85 * len(s | sets[j]):
+                u.join(i, j)
+    assert got == {k: u.find(k) for k in range(len(texts))}
+    assert 20 < len(set(got.values())) < len(texts) - 20
+
+
+def test_overlaps_and_sketches():
+    r = np.random.default_rng(2)
+    sets = [np.unique(r.integers(0, 200, n).astype(np.uint64)) for n in (0, 1, 30, 80, 120)]
+    x, y = np.triu_indices(5, 1)
+    assert neardup.overlaps(sets, x, y).tolist() == [len(np.intersect1d(sets[a], sets[b])) for a, b in zip(x, y, strict=True)]
+    for n in (300, 1500, 9000):
+        pool = np.unique(r.integers(0, 1 << 63, 3 * n, dtype=np.uint64))
+        pool = r.permutation(pool)
+        for j, want in ((0.851, True), (0.87, True), (0.74, False)):
+            both = int(2 * n * j / (1 + j))
+            a, b = np.sort(pool[:n]), np.sort(pool[n - both : 2 * n - both])
+            pair = [np.frombuffer(neardup.sketch(s), np.uint64)[None] for s in (a, b)]
+            assert neardup.sketches_pass(*pair, np.array([2 * n]), 85)[0] == want
+
+
 def test_signature_estimates_similarity(spark):
     r = np.random.default_rng(5)
     pool = r.integers(0, 1 << 63, 3000, dtype=np.uint64)
@@ -131,6 +169,57 @@ def test_segments_find_all_near_lines(threshold, a, data):
         assert set(linededup.segment_keys([short], threshold, False)[0].tolist()) & set(linededup.segment_keys([long], threshold, True)[0].tolist())
 
 
+@given(st.text("abé", min_size=3, max_size=200), st.integers(1, 3))
+@settings(max_examples=50, deadline=None)
+def test_long_lines_have_the_same_keys(line, threshold):
+    plain = linededup.segment_keys([line], threshold)
+    whole, linededup.LONG = linededup.LONG, 7
+    try:
+        pieces = linededup.segment_keys([line], threshold)
+        ids = linededup.line_ids([line])
+    finally:
+        linededup.LONG = whole
+    if len(line) > threshold + 1:
+        assert sorted(zip(*map(np.ndarray.tolist, plain), strict=True)) == sorted(zip(*map(np.ndarray.tolist, pieces), strict=True))
+    assert ids == linededup.line_ids([line]) == linededup.line_ids(["x", line])[1]
+
+
+def test_very_long_lines(spark):
+    long = "".join(random.Random(3).choices("abcdef ", k=1_000_000))
+    rows = [(1, long), (2, long[:400_000] + "X" + long[400_001:-1]), (3, "Y" + long[2:-2] + "ZZ"), *((k, f"{k} a short line beside the long ones") for k in range(10, 40))]
+    out = {r.doc_id: r.removed for r in linededup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out.pop(2) == [0] and 3 not in out and 1 not in out
+    assert len(out) == 29
+
+
+def test_many_lines_of_one_segment(spark):
+    # a family in which each line is near its neighbours only, in keys of several chunks
+    r, size = random.Random(8), linededup.CHUNK
+    start = "the same long beginning of all these lines, "
+    lines = [start + "".join(r.choices("abcdefghij", k=40)) for _ in range(150)]
+    lines += [x[:-1] + "#" for x in lines[:60]] + [x[:-4] + "%" + x[-3:-1] + "#" for x in lines[:30]]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    members = [(1, k, True, x) for k, x in enumerate(lines)]
+    linededup.CHUNK = 1 << 13
+    try:
+        found = linededup._compared(spark.createDataFrame(members, "key long, id long, own boolean, line string"), 2).collect()
+        gone = {x.doc_id for x in linededup.removed_lines(docs).collect()}
+    finally:
+        linededup.CHUNK = size
+    want = Union()
+    for i, x in enumerate(lines):
+        for j in range(i):
+            if edit_distance(x, lines[j]) <= 2:
+                want.join(i, j)
+    assert gone == {k for k in range(len(lines)) if want.find(k) != k}
+    number = {linededup.digest(x): k for k, x in enumerate(lines)}
+    have = Union()
+    for link in found:
+        assert edit_distance(lines[number[link.a]], lines[number[link.b]]) <= 2
+        have.join(number[link.a], number[link.b])
+    assert [have.find(k) for k in range(len(lines))] == [want.find(k) for k in range(len(lines))]
+
+
 def line_corpus():
     r = random.Random(4)
     pool = ["".join(r.choice("abcdef ") for _ in range(r.randint(20, 60))) for _ in range(60)]
