@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trackspark.llm import langid, quality
-from trackspark.llm.quality import KneserNey, base_statistics, judge_quality, repeated_words, trigrams
+from trackspark.llm.quality import base_statistics, judge_quality, repeated_words
 
 SYLLABLES = {"aa": "th er on an re he in ed nd ha", "bb": "sch ein ung der ich ver zu ge ß ü", "cc": "é eau ou tion è le re ç oi en"}
 
@@ -42,6 +42,28 @@ def test_nothing_to_learn_from(spark):
     assert rows[0].lang_pred == "und" and rows[0].rejected
 
 
+def test_predictions_match_the_definition(spark):
+    docs = corpus(spark).select("doc_id", "text", "lang")
+    model = langid.fit(docs, F.lit(True))
+    for r in langid.identify(docs.withColumn("rejected", F.lit("clash"))).collect()[:5]:
+        assert isinstance(r.rejected, bool)
+    for text in [prose("bb", 40, "new"), "a", "Thé 漢字", "x" * 200_000]:
+        clean = re.sub(" +", " ", " " + "".join(c if c.isalpha() or ord(c) > 127 else " " for c in text.lower()) + " ")
+        counts = langid.ngram_counts(text)
+        assert counts.sum() == sum(max(len(clean) - n, 0) for n in range(3))
+        v = np.log1p(counts) * model.idf
+        cosine = model.centroids @ (v / np.linalg.norm(v))
+        lang, score, rejected = model.predict([text])[0]
+        assert lang == model.languages[model.of[cosine.argmax()]] and abs(score - cosine.max()) < 1e-5
+        assert rejected == (score < model.floor[min(int(np.log2(counts.sum())), 20)])
+
+
+def test_learning_looks_at_the_sample_once(spark):
+    rows = [(k, prose("aa", 30, k), "aa") for k in range(300)] + [(1000 + k, "123 ---", "zz") for k in range(50)] + [(2000, "Ωμέγα " * 20, "zz")]
+    model = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), per_language=8)
+    assert model.languages == ["aa", "zz"]
+
+
 def brute_statistics(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = collections.Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))
@@ -62,32 +84,81 @@ def test_repeated_words_with_many_words():
     assert repeated_words(words) == 6
 
 
-def test_kneser_ney_is_a_distribution_and_matches_the_definition():
-    text = " ".join(prose("aa", 200, k) for k in range(3))
-    codes = trigrams(text)
-    seen, counts = np.unique(codes, return_counts=True)
-    model = KneserNey.trained({5: (seen, counts)})
-    for context in [*np.unique(codes >> 6)[:5], 0, 4095, 63 << 6]:
-        p = np.exp(model.looked_up(5, (context << 6) + np.arange(64)))
-        assert abs(p.sum() - 1) < 1e-3
-    # an unseen context backs off to continuation counts
-    after = np.unique(seen & 4095)
-    one = np.bincount(after & 63, minlength=64)
-    d = quality.discounts(one[one > 0])
-    low = (one - d[np.minimum(one, 3)]) / one.sum() + d[np.minimum(one, 3)].sum() / one.sum() / 64
-    got = np.exp(model.looked_up(5, (int(63 << 6 | 63) << 6) + np.arange(64)))
-    assert np.allclose(got, low, rtol=1e-3)
-
-
-def test_counts_cover_all_documents(spark):
-    docs = corpus(spark)
-    counts = quality.count_trigrams(docs)
+class BruteKneserNey:
+    """The model by its definition, over dictionaries; one occurrence of the n-gram asked for is taken out."""
+
+    def __init__(self, texts, order):
+        self.order, self.levels = order, [collections.Counter()]
+        for text in texts:
+            chars = "\x01" * (order - 1) + re.sub(r"[ \t-\r]+", " ", text.lower()) + " "
+            self.levels[0].update(chars[k : k + order] for k in range(len(chars) - order + 1))
+        for _ in range(order - 1):
+            self.levels.append(collections.Counter(g[1:] for g in self.levels[-1]))
+        self.levels.reverse()
+        self.off = []
+        for level in self.levels:
+            n = [sum(c == k for c in level.values()) for k in range(1, 5)]
+            y = n[0] / (n[0] + 2 * n[1]) if all(n) else 0
+            d = [max(0.05, min(k - 0.05, k - (k + 1) * y * n[k] / n[k - 1])) if all(n) else k / 2 for k in (1, 2, 3)]
+            self.off.append([0, *d])
+
+    def p(self, gram, less):
+        k = len(gram)
+        if not k:
+            return 1 / (len(self.levels[0]) + 1)
+        counts, off = collections.Counter(self.levels[k - 1]), lambda c: self.off[k - 1][min(c, 3)]
+        below = less and counts[gram] == 1
+        counts[gram] -= less
+        same = [c for g, c in counts.items() if g[:-1] == gram[:-1] and c]
+        low = self.p(gram[1:], below)
+        return (counts[gram] - off(counts[gram]) + sum(map(off, same)) * low) / sum(same) if same else low
+
+
+@pytest.mark.parametrize("order", [3, 5])
+def test_probabilities_match_the_definition(spark, order):
+    texts = [prose("aa", 30, k) for k in range(6)] + ["Ünlike  thé\nothers\x00!", "漢字仮名交じり文", "x"]
+    brute = BruteKneserNey([t.replace("\x00", "\x01") for t in texts], order)
+    rows = [(k, None, t) for k, t in enumerate(texts)]
+    out = quality.score(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3), order, most=200).collect()
+    assert len(out) == len(texts)
+    for r in out:
+        chars = "\x01" * (order - 1) + re.sub(r"[ \t-\r]+", " ", texts[r.doc_id].replace("\x00", "\x01").lower()) + " "
+        grams = [chars[k : k + order] for k in range(len(chars) - order + 1)]
+        want = -sum(np.log(brute.p(g, 1)) for g in grams) / len(grams)
+        assert abs(r.log_perplexity - want) < 1e-5, texts[r.doc_id]
+    context = "the "[-order + 1 :]
+    assert abs(sum(brute.p(context + g, 0) for g in brute.levels[0]) + brute_rest(brute, context) - 1) < 1e-9
+
+
+def brute_rest(brute, context):
+    """What the model leaves to the one symbol not seen."""
+    rest = 1 / (len(brute.levels[0]) + 1)
+    for k in range(1, brute.order + 1):
+        same = [c for g, c in brute.levels[k - 1].items() if g[:-1] == context[len(context) - k + 1 :]]
+        if same:
+            rest *= sum(brute.off[k - 1][min(c, 3)] for c in same) / sum(same)
+    return rest
+
+
+def test_counts_cover_all_documents_in_every_script(spark):
+    texts = [prose("aa", 400, 1), "Привет, мир. " * 9, "καλημέρα κόσμε", "漢字仮名交じり文" * 3, "a" * 3_000_000]
+    rows = [(k, "en" if k % 2 else None, t) for k, t in enumerate(texts)]
+    found = collections.Counter()
+    for r in quality.chunks(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(2), 4, 1000).collect():
+        found.update({(r.lang, g): n for g, n in zip(r.grams, r.n, strict=True)})
     want = collections.Counter()
-    for r in docs.collect():
-        if r.text:
-            for c in trigrams(r.text):
-                want[quality.slot_of(r.lang), int(c)] += 1
-    assert {(s, int(c)): int(n) for s, (cs, ns) in counts.items() for c, n in zip(cs, ns, strict=True)} == dict(want)
+    for _, lang, t in rows:
+        chars = "\x01" * 3 + t.lower() + " "
+        want.update((lang, chars[k : k + 4]) for k in range(len(chars) - 3))
+    assert found == want
+
+
+def test_scrambled_and_gibberish_texts_are_odder(spark):
+    rows = [(k, "aa", prose("aa", 80, k)) for k in range(60)]
+    r = random.Random(5)
+    rows += [(100, "aa", "".join(r.choices("abcdefghijklmnopqrstuvwxyz ", k=400))), (101, "aa", "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(300)))]
+    out = {x.doc_id: x for x in quality.score(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert min(out[k].log_perplexity for k in (100, 101)) > 1.3 * max(out[k].log_perplexity for k in range(60))
 
 
 def test_verdicts(spark):
@@ -108,7 +179,6 @@ def test_languages_keep_models_and_bands_apart(spark):
     rows = [("aa", "en", 300), ("bb", "fi", 12), ("aa", "", 300), ("cc", None, 12)]
     rows = [(i, prose(kind, 90, i), lang) for i, (kind, lang) in enumerate((kind, lang) for kind, lang, n in rows for _ in range(n))]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert set(quality.count_trigrams(docs)) == {"en", "fi", "", None}
     out = {r.doc_id: r for r in judge_quality(docs).collect()}
     small = [out[i] for i, _, lang in rows if lang in ("fi", None)]
     assert sum(r.kept for r in small) >= 0.9 * len(small)

@@ -7,6 +7,7 @@ the language, and a text too far from all of them is rejected.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -100,7 +101,7 @@ def fit(docs: DataFrame, learn_from: Column, per_language: int = 256, most_langu
     and less for the shortest texts.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.where(learn_from).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    rows = docs.where(learn_from).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     n_languages = rows.select("lang").distinct().count()
     if n_languages > most_languages:
         per_language = max(per_language * most_languages // n_languages, 1)
@@ -114,18 +115,27 @@ def fit(docs: DataFrame, learn_from: Column, per_language: int = 256, most_langu
 
     @F.pandas_udf(T.BinaryType())
     def counted(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: np.minimum(ngram_counts(t), 65535).astype(np.uint16).tobytes() if has_letter(t) else None)
+        return texts.map(lambda t: zlib.compress(ngram_counts(t).astype(np.uint32).tobytes(), 1) if has_letter(t) else None)
 
-    sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", counted("text").alias("v")).where("v is not null").orderBy("lang", "v").collect()
+    # filtered and sorted here: a filter or an order on the counts would have them made once more, of all rows
+    sample: dict[str, list[bytes]] = {}
+    for row in rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", counted("text").alias("v")).collect():
+        if row.v is not None:
+            sample.setdefault(row.lang, []).append(bytes(row.v))
     if not sample:
         return CentroidModel([], np.zeros(0, int), np.zeros((0, DIMENSIONS), np.float32), np.ones(DIMENSIONS), np.zeros(21))
-    counts = np.stack([np.frombuffer(r.v, np.uint16) for r in sample])
-    langs = np.array([r.lang for r in sample])
-    model = CentroidModel(sorted(set(langs)), np.zeros(0, int), np.zeros(0), np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1, np.zeros(21))
-    vectors = model.vectors(counts)
-    each = [clustered(vectors[langs == name], clusters) for name in model.languages]
+
+    def counts(name: str) -> np.ndarray:
+        return np.stack([np.frombuffer(zlib.decompress(v), np.uint32) for v in sorted(sample[name])])
+
+    languages = sorted(sample)
+    having = sum((counts(name) > 0).sum(axis=0) for name in languages)
+    idf = np.log((1 + sum(map(len, sample.values()))) / (1 + having)) + 1
+    model = CentroidModel(languages, np.zeros(0, int), np.zeros(0), idf, np.zeros(21))
+    each = [clustered(model.vectors(counts(name)), clusters) for name in languages]
     model.of, model.centroids = np.repeat(np.arange(len(each)), [len(c) for c in each]), np.concatenate(each).astype(np.float32)
-    own, size = (vectors @ model.centroids.T).max(axis=1), length_class(counts.sum(axis=1, dtype=np.int64))
+    own = np.concatenate([(model.vectors(counts(name)) @ model.centroids.T).max(axis=1) for name in languages])
+    size = np.concatenate([length_class(counts(name).sum(axis=1, dtype=np.int64)) for name in languages])
     lowest = np.array([own[size >= j].min() if (size >= j).any() else np.inf for j in range(21)])
     lowest = np.where(np.isinf(lowest), lowest[np.isfinite(lowest)].max(), lowest)
     seen = size.min()  # shorter than any training text: the floor falls as the square root of the length

@@ -1,181 +1,99 @@
 """Quality rules: word statistics, and the perplexity of a modified Kneser-Ney model per language.
 
-The model is of character trigrams over 64 symbol classes, so that its size is bounded however long
-the texts: 2^18 trigrams for each value of lang, null included. Spark counts them over all documents; the
-probabilities are stored in sorted arrays of n-gram hashes. Bands around the middle of each language's
-perplexities reject documents that are too odd or too repetitive.
+The model is of n-grams of real characters, counted by Spark over all documents, and grows with
+them: nothing of it is collected or broadcast. Texts are gathered in chunks of one language; each chunk
+asks for the distinct n-grams that it holds by a join with the model, and gets their probabilities
+back as sorted arrays of hashes, in which its texts are looked up. As a text is part of what the model
+has counted, each n-gram is scored with one occurrence of it left out. Bands around the middle of each
+language's perplexities reject documents that are too odd or too repetitive.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, bounded_batches, cut_lineage
 
-BITS, CLASSES = 6, 64
-#: Languages that a worker holds dense tables for at a time.
-HELD = 64
+#: Symbols of an n-gram.
+ORDER = 5
+#: What stands before a text, and instead of U+0000 within it.
+START = 1
+#: Characters of a chunk of texts.
+CHUNK = 1 << 25
 SYMBOLS = "#*$%&|<>"
 _WORDS = re.compile(WORD)
-#: 0 white space, 1-26 letters, 27 digits, 28 other ASCII, 29-63 other characters by code point.
-_CLASS = np.array([0 if c == 32 or 9 <= c <= 13 else c - 96 if 97 <= c <= 122 else 27 if 48 <= c <= 57 else 28 for c in range(128)], np.uint32)
+_SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
-def slot_of(lang: str | None) -> str | None:
-    """The key of a language's model and band: its own name; null is a key too, and not the empty string."""
-    return lang
+def symbols(text: str, order: int = ORDER) -> np.ndarray:
+    """Code points of the lower-cased text, runs of white space as one space, led by order - 1 start
+    symbols and followed by a space."""
+    codes = np.frombuffer(f"{_SPACES.sub(' ', text.lower())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    return np.concatenate([np.full(order - 1, START, np.uint32), np.maximum(codes, START)])
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Trigram codes of the lower-cased text, led by two white-space symbols; runs of white space are one."""
-    codes = np.frombuffer(f"  {text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(codes < 128, _CLASS[np.minimum(codes, 127)], 29 + codes % 35).astype(np.int64)
-    keep = np.append([True, True], (s[2:] != 0) | (s[1:-1] != 0))
-    s = s[keep] if len(s) > 2 else s
-    return s[:-2] << 2 * BITS | s[1:-1] << BITS | s[2:]
+def hashed(windows: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the rows of n-grams."""
+    x = np.zeros(len(windows), np.uint64)
+    for k in range(windows.shape[1]):
+        x = (x ^ windows[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+    return x
 
 
-def hashed(slot: int, order: int, codes: np.ndarray) -> np.ndarray:
-    """64-bit hashes of n-grams of an order and numbered slot; a bijection, so they never collide."""
-    x = codes.astype(np.uint64) | np.uint64(order << 24 | slot << 26)
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ x >> np.uint64(32)
+def ngrams(codes: np.ndarray, order: int = ORDER) -> np.ndarray:
+    """The n-grams of symbols, a row each (a view)."""
+    return np.lib.stride_tricks.sliding_window_view(codes, order)
 
 
-def discounts(counts: np.ndarray) -> np.ndarray:
-    """The three modified Kneser-Ney discounts, by count 1, 2 and 3 or more (at 0: none)."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
-    if min(n) == 0:
-        return np.array([0, 0.5, 1.0, 1.5])
-    y = n[0] / (n[0] + 2 * n[1])
-    return np.array([0, *(min(max(k - (k + 1) * y * n[k] / n[k - 1], 0.05), k - 0.05) for k in (1, 2, 3))])
+class Counter:
+    """Distinct n-grams and their counts, gathered text by text."""
 
+    def __init__(self, order: int):
+        self.order, self.pending, self.size = order, [], 0
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-@dataclass
-class KneserNey:
-    """Sorted n-gram hashes, each with the log probability and the log backoff weight of its context use;
-    slots numbers the languages."""
+    def add(self, text: str) -> None:
+        codes = symbols(text, self.order)
+        for at in range(0, len(codes) - self.order + 1, 1 << 20):  # a very long text in pieces that overlap
+            self._put(codes[at : at + (1 << 20) + self.order - 1])
 
-    hashes: np.ndarray
-    logp: np.ndarray
-    backoff: np.ndarray
-    slots: dict[str | None, int]
-    tables: dict[str | None, np.ndarray] = field(default_factory=dict)
+    def _put(self, codes: np.ndarray) -> None:
+        self.pending.append(ngrams(codes, self.order))
+        self.size += len(codes)
+        if self.size >= 1 << 20:
+            self._sum()
 
-    @staticmethod
-    def trained(counts: dict[str | None, tuple[np.ndarray, np.ndarray]]) -> KneserNey:
-        """counts: trigram codes and their counts by language."""
-        parts = [KneserNey._slot(slot, *x) for slot, x in enumerate(counts.values())]
-        h, p, b = (np.concatenate(x) if parts else np.zeros(0) for x in (zip(*parts, strict=True) if parts else ((), (), ())))
-        order = np.argsort(h)
-        return KneserNey(h[order].astype(np.uint64), p[order].astype(np.float32), b[order].astype(np.float32), {lang: k for k, lang in enumerate(counts)})
+    def _sum(self) -> None:
+        if self.pending:
+            windows = np.concatenate(self.pending)
+            self.parts.append(self._distinct(windows, np.ones(len(windows), np.int64)))
+            self.pending, self.size = [], 0
 
     @staticmethod
-    def _slot(slot: int, codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
-        n, mask = CLASSES, CLASSES**2 - 1
-        dense2 = lambda keys, w=None: np.bincount(keys, w, n * n)
-        # continuation counts: how many symbols stand before a bigram, and before a symbol
-        two = dense2(codes & mask)
-        have2 = np.flatnonzero(two)
-        one = np.bincount(have2 & (n - 1), minlength=n)
-        d3, d2, d1 = discounts(counts), discounts(two[have2]), discounts(one[one > 0])
-        cut = lambda d, c: d[np.minimum(c, 3).astype(int)]
-        total1 = one.sum()
-        p1 = (one - cut(d1, one)) / total1 + cut(d1, one).sum() / total1 / n
-        ctx = have2 >> BITS
-        total2 = np.bincount(ctx, two[have2], n)
-        gamma2 = np.bincount(ctx, cut(d2, two[have2]), n) / np.maximum(total2, 1)
-        p2 = (two[have2] - cut(d2, two[have2])) / total2[ctx] + gamma2[ctx] * p1[have2 & (n - 1)]
-        all2 = np.where(total2[:, None] > 0, gamma2[:, None], 1.0) * p1[None, :]
-        all2 = all2.ravel()
-        all2[have2] = p2
-        ctx3 = codes >> BITS
-        total3 = dense2(ctx3, counts)
-        gamma3 = dense2(ctx3, cut(d3, counts)) / np.maximum(total3, 1)
-        p3 = (counts - cut(d3, counts)) / total3[ctx3] + gamma3[ctx3] * all2[codes & mask]
-        log = lambda x: np.log(np.maximum(x, 1e-12))
-        # entries: all symbols, bigrams seen after a symbol or as a context, trigrams seen
-        bi = np.flatnonzero((two > 0) | (total3 > 0))
-        return (
-            np.concatenate([hashed(slot, 1, np.arange(n)), hashed(slot, 2, bi), hashed(slot, 3, codes)]),
-            np.concatenate([log(p1), log(all2[bi]), log(p3)]),
-            np.concatenate([np.where(total2 > 0, log(gamma2), 0), np.where(total3[bi] > 0, log(gamma3[bi]), 0), np.zeros(len(codes))]),
-        )
-
-    def _find(self, slot: int, order: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        h = hashed(slot, order, codes)
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        found = self.hashes[at] == h
-        return found, np.where(found, self.logp[at], 0), np.where(found, self.backoff[at], 0)
-
-    def looked_up(self, lang: str | None, codes: np.ndarray) -> np.ndarray:
-        """Log probabilities of the last symbol of each trigram after the two before it."""
-        if lang not in self.slots:
-            return np.full(len(codes), -np.log(CLASSES))
-        slot = self.slots[lang]
-        three, p3, _ = self._find(slot, 3, codes)
-        two, p2, _ = self._find(slot, 2, codes & (CLASSES**2 - 1))
-        one, p1, _ = self._find(slot, 1, codes & (CLASSES - 1))
-        _, _, b2 = self._find(slot, 2, codes >> BITS)
-        _, _, b1 = self._find(slot, 1, codes >> BITS & (CLASSES - 1))
-        p1 = np.where(one, p1, -np.log(CLASSES))
-        return np.where(three, p3, b2 + np.where(two, p2, b1 + p1))
-
-    def mean_logp(self, lang: str | None, codes: np.ndarray) -> float:
-        """The mean over a text; what was looked up once is kept in a table of the language's 2^18 codes."""
-        if lang not in self.tables:
-            if len(self.tables) >= HELD:
-                self.tables.clear()
-            self.tables[lang] = np.full(CLASSES**3, np.nan, np.float32)
-        table = self.tables[lang]
-        got = table[codes]
-        if np.isnan(got).any():
-            new = np.unique(codes[np.isnan(got)])
-            table[new] = self.looked_up(lang, new)
-            got = table[codes]
-        return float(got.mean(dtype=np.float64))
-
-
-def count_trigrams(docs: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]]:
-    """Trigram counts over all documents by language. Tasks sum up first; at most 2^18 sums a language exist."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str | None, np.ndarray] = {}
-
-        def summed() -> Iterator[pa.RecordBatch]:
-            for lang, x in sums.items():
-                codes = np.flatnonzero(x)
-                yield pa.RecordBatch.from_arrays([pa.array([slot_of(lang)] * len(codes), pa.string()), pa.array(codes, pa.int32()), pa.array(x[codes], pa.int64())], ["lang", "code", "n"])
-            sums.clear()
-
-        for batch in batches:
-            for lang, text in zip(*(batch.column(k).to_pylist() for k in (0, 1)), strict=True):
-                if text:
-                    if lang not in sums:
-                        if len(sums) >= HELD:
-                            yield from summed()
-                        sums[lang] = np.zeros(CLASSES**3, np.int64)
-                    if len(text) > 1 << 14:
-                        sums[lang] += np.bincount(trigrams(text), minlength=CLASSES**3)
-                    else:
-                        np.add.at(sums[lang], trigrams(text), 1)
-        yield from summed()
-
-    rows = docs.select(F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(work, "lang string, code int, n long")
-    found = rows.groupBy("lang", "code").agg(F.sum("n").alias("n")).toArrow()
-    names = found.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
-    slot, (code, n) = names.indices.to_numpy(), (found.column(k).to_numpy() for k in (1, 2))
-    order = np.lexsort((code, slot))
-    slot, code, n = slot[order], code[order].astype(np.int64), n[order]
-    ends = np.searchsorted(slot, np.arange(len(names.dictionary) + 1))
-    return {lang: (code[a:b], n[a:b]) for lang, a, b in zip(names.dictionary.to_pylist(), ends, ends[1:], strict=False)}
+    def _distinct(windows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = pa.array(hashed(windows)).dictionary_encode()
+        at = found.indices.to_numpy()
+        first = np.empty(len(found.dictionary), np.int64)
+        first[at[::-1]] = np.arange(len(at) - 1, -1, -1)
+        return found.dictionary.to_numpy(), windows[first], np.bincount(at, n, len(first)).astype(np.int64)
+
+    def counts(self) -> tuple[list[str], np.ndarray]:
+        """The n-grams in the order of their hashes, and their counts."""
+        self._sum()
+        hashes, windows, n = self._distinct(np.concatenate([p[1] for p in self.parts]), np.concatenate([p[2] for p in self.parts]))
+        order = np.argsort(hashes)
+        text = windows[order].astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        return [text[k : k + self.order] for k in range(0, len(text), self.order)], n[order]
 
 
 def repeated_words(words: list[str]) -> int:
@@ -210,25 +128,136 @@ def base_statistics(text: str) -> tuple[int, int, int, int, int]:
 
 
 STATISTICS = "doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, log_perplexity double"
+_DOCS = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))])
+_CHUNKS = "chunk long, lang string, docs binary, grams array<string>, n array<long>"
 
 
-def score(docs: DataFrame, model: KneserNey) -> DataFrame:
-    """STATISTICS of each row of docs (doc_id, lang, text); log_perplexity is null without text."""
+def _packed(rows: list[tuple]) -> bytes:
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DOCS, strict=True)], schema=_DOCS)
+    return zstandard.ZstdCompressor(level=6).compress(batch.serialize().to_pybytes())
+
+
+def chunks(docs: DataFrame, order: int, most: int) -> DataFrame:
+    """_CHUNKS: texts of one language with their statistics, packed, and the distinct n-grams in them,
+    in the order of their hashes, with counts. A task holds most characters of texts, and one more text."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in STATISTICS.split(", ")]
+        held: dict[str | None, tuple[list[tuple], Counter]] = {}
+        sizes: dict[str | None, int] = {}
+        number = TaskContext.get().partitionId() << 32
+
+        def out(lang: str | None) -> pa.RecordBatch:
+            nonlocal number
+            rows, counter = held.pop(lang)
+            sizes.pop(lang)
+            grams, n = counter.counts() if counter.size or counter.parts else ([], [])
+            number += 1
+            kinds = [pa.int64(), pa.string(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.int64())]
+            return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((number, lang, _packed(rows), grams, n), kinds, strict=True)], [x.split()[0] for x in _CHUNKS.split(", ")])
+
         for batch in batches:
-            rows = []
-            for doc, lang, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                rows.append((doc, lang, *base_statistics(text or ""), -model.mean_logp(slot_of(lang), trigrams(text)) if text else None))
-            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.float64()]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            for doc, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                text = text.as_py() or ""
+                if lang not in held:
+                    held[lang], sizes[lang] = ([], Counter(order)), 0
+                held[lang][0].append((doc, text, *base_statistics(text)))
+                if text:
+                    held[lang][1].add(text)
+                sizes[lang] += len(text) + 64
+                if sum(sizes.values()) >= most:
+                    yield out(max(sizes, key=sizes.get))
+        for lang in list(held):
+            yield out(lang)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(work, _CHUNKS)
+
+
+def _discounts(c: Column) -> list[Column]:
+    """The three modified Kneser-Ney discounts of an aggregation over counts c, by count 1, 2 and 3 or more."""
+    n = [F.count_if(c == k) for k in range(1, 5)]
+    some = n[0] * n[1] * n[2] * n[3] > 0
+    y = F.try_divide(n[0], n[0] + 2 * n[1])
+    return [F.when(some, F.greatest(F.lit(0.05), F.least(F.lit(k - 0.05), k - (k + 1) * y * F.try_divide(n[k], n[k - 1])))).otherwise(k / 2) for k in (1, 2, 3)]
+
+
+def _off(c: Column) -> Column:
+    """The discount of count c, from the columns d1, d2, d3."""
+    return F.when(c <= 0, F.lit(0.0)).when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
+
+
+def model(counts: DataFrame, order: int) -> DataFrame:
+    """key, gram, logp of each n-gram of counts (key, gram, c): interpolated modified Kneser-Ney, one
+    occurrence of the n-gram left out.
+
+    Lower orders count the distinct symbols before an n-gram. Leaving an occurrence out takes one off its
+    count, and if that was the last one, off the count of the n-gram's end in the order below, and so
+    on: whole and less are a level's probabilities as it is and with one off. All joins are on
+    n-grams or their contexts, and rows are distinct n-grams, so no text is a hot key."""
+    levels = [counts]
+    for _ in range(order - 1):
+        levels.append(cut_lineage(levels[-1].groupBy("key", F.substring("gram", 2, order).alias("gram")).agg(F.count("*").alias("c"))))
+    c, below = F.col("c"), None
+    for k, level in enumerate(reversed(levels), 1):
+        level = level.join(level.groupBy("key").agg(*[d.alias(f"d{j}") for j, d in enumerate(_discounts(c), 1)], F.count("*").alias("vocabulary")), "key")
+        if k == 1:
+            context, level = ["key"], level.withColumn("low", 1 / (F.col("vocabulary") + 1)).withColumn("less_low", F.col("low"))
+        else:
+            context = ["key", "context"]
+            level = level.withColumns({"context": F.substring("gram", 1, k - 1), "end": F.substring("gram", 2, k)})
+            level = level.join(below, ["key", "end"]).withColumn("less_low", F.when(c == 1, F.col("less_low")).otherwise(F.col("low")))
+        level = level.join(level.groupBy(*context).agg(F.sum("c").alias("total"), F.sum(_off(c)).alias("mass")), context)
+        whole = (c - _off(c) + F.col("mass") * F.col("low")) / F.col("total")
+        mass = F.col("mass") - _off(c) + _off(c - 1)
+        less = F.when(F.col("total") > 1, (c - 1 - _off(c - 1) + mass * F.col("less_low")) / (F.col("total") - 1)).otherwise(F.col("less_low"))
+        if k == order:
+            return level.select("key", "gram", F.log(less).cast("float").alias("logp"))
+        below = cut_lineage(level.select("key", F.col("gram").alias("end"), whole.alias("low"), less.alias("less_low")))
+    raise ValueError("order must be 1 at least")
+
+
+def _scored(rows: DataFrame, order: int) -> DataFrame:
+    """STATISTICS of the texts in rows (lang, docs, grams, found: idx and logp of each n-gram)."""
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string")).mapInArrow(work, STATISTICS)
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                lang, packed = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                docs = pa.ipc.read_record_batch(pa.py_buffer(zstandard.ZstdDecompressor().decompress(packed)), _DOCS)
+                grams = "".join(batch.column(2)[k].as_py()).encode("utf-32-le", "surrogatepass")
+                hashes = hashed(np.frombuffer(grams, np.uint32).reshape(-1, order))
+                found = batch.column(3)[k].values
+                logp = np.full(len(hashes), np.nan)
+                if found is not None:
+                    logp[found.field("idx").to_numpy()] = found.field("logp").to_numpy()
+                if np.isnan(logp).any():
+                    raise ValueError("n-grams of a text are missing from the model")
+
+                def mean(text: str) -> float:
+                    codes, total = symbols(text, order), 0.0
+                    n = len(codes) - order + 1
+                    for at in range(0, n, 1 << 20):
+                        wanted = hashed(ngrams(codes[at : at + (1 << 20) + order - 1], order))
+                        total += float(logp[np.searchsorted(hashes, wanted)].sum())
+                    return total / n
+
+                values = [-mean(t) if t else None for t in docs.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([docs.column(0), pa.array([lang] * docs.num_rows, pa.string()), *(docs.column(c) for c in range(2, 7)), pa.array(values, pa.float64())], [x.split()[0] for x in STATISTICS.split(", ")])
+
+    return rows.mapInArrow(work, STATISTICS)
+
+
+def score(docs: DataFrame, order: int = ORDER, most: int = CHUNK) -> DataFrame:
+    """STATISTICS of each row of docs (doc_id, lang, text); log_perplexity is null without text."""
+    held = cut_lineage(chunks(docs, order, most))
+    # null is a language, and not the empty string
+    key = F.coalesce(F.concat(F.lit("+"), F.col("lang")), F.lit("-")).alias("key")
+    asked = held.select("chunk", key, F.posexplode(F.arrays_zip("grams", "n")).alias("idx", "g")).select("chunk", "idx", "key", F.col("g.grams").alias("gram"), F.col("g.n").alias("n"))
+    counts = cut_lineage(asked.groupBy("key", "gram").agg(F.sum("n").alias("c")))
+    told = asked.join(model(counts, order), ["key", "gram"]).groupBy("chunk").agg(F.collect_list(F.struct("idx", "logp")).alias("found"))
+    return _scored(held.join(told, "chunk", "left").select("lang", "docs", "grams", "found"), order)
 
 
-def judge_quality(docs: DataFrame, lower: float = 2.5, upper: float = 4.0, least_words: int = 50, most_repeated: int = 50, grid: int = 512) -> DataFrame:
+def judge_quality(docs: DataFrame, lower: float = 2.5, upper: float = 4.0, least_words: int = 50, most_repeated: int = 50, grid: int = 512, order: int = ORDER) -> DataFrame:
     """doc_id, the statistics, base_failed, perplexity and kept of each row of docs (doc_id, lang, text).
 
     base_failed: fewer than least_words words, or over most_repeated per cent repeated words. kept:
@@ -239,15 +268,13 @@ def judge_quality(docs: DataFrame, lower: float = 2.5, upper: float = 4.0, least
     a null lang is a language; repeated rows and null ids stay; other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
-    model = KneserNey.trained(count_trigrams(docs))
     failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
-    rows = cut_lineage(score(docs, model).withColumn("base_failed", failed))
+    rows = cut_lineage(score(docs, order).withColumn("base_failed", failed))
     steps = rows.where("not base_failed").groupBy("lang", F.round(F.col("log_perplexity") * grid).cast("long").alias("step")).count()
-    # one row per language
     bands = steps.groupBy("lang").agg(F.percentile("step", F.array(F.lit(0.25), F.lit(0.75)), F.col("count")).alias("q"))
     spread = F.greatest(F.col("q")[1] - F.col("q")[0], F.lit(2.0))
     bands = bands.select(F.col("lang").alias("its"), ((F.col("q")[0] - lower * spread) / grid).alias("lower"), ((F.col("q")[1] + upper * spread) / grid).alias("upper"))
     kept = ~F.col("base_failed") & F.coalesce(F.col("log_perplexity").between(F.col("lower"), F.col("upper")), F.lit(False))
-    return rows.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("its")), "left").select(
+    return rows.join(bands, F.col("lang").eqNullSafe(F.col("its")), "left").select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.exp("log_perplexity").alias("perplexity"), kept.alias("kept")
     )
