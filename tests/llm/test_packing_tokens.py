@@ -67,6 +67,12 @@ def test_every_token_lies_in_one_piece(spark):
     assert zlib.crc32(pieces[0].ids) >= 0
 
 
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, n_tokens string, ids long")
+    assert [r.n_tokens for r in count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).collect()] == [2]
+    assert [r.length for r in pack_documents(docs, tokenizer_path("word_bpe_49k.json")).collect()] == [3]
+
+
 def test_packing_an_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert pack_documents(empty, tokenizer_path("word_bpe_49k.json")).count() == 0
@@ -80,6 +86,31 @@ def test_token_counts_equal_the_library(merger, text):
     assert own.count([text]) == [len(library.encode(text))]
 
 
+@given(st.lists(st.tuples(st.sampled_from([" ", " ", "-", "=", ".", "a", "x", "the", "\n", "▁", "日", "/*", "ha"]), st.integers(1, 70)), max_size=8))
+@settings(max_examples=120, deadline=None)
+def test_runs_count_as_in_the_library(merger, runs):
+    own, library = merger
+    text = "".join(x * n for x, n in runs)
+    assert own.period == 16 and own.count([text]) == [len(library.encode(text))]
+    long, own.most = own.most, 8  # through the queue
+    own.known.clear()
+    try:
+        assert own.count([text]) == [len(library.encode(text))]
+    finally:
+        own.most = long
+
+
+def test_very_long_runs(merger):
+    import time
+
+    own, library = merger
+    began = time.perf_counter()
+    assert own.count([" " * 1_000_000, "x" + " " * 999_999 + "y"]) == [62501, len(library.encode("x" + " " * 999_999 + "y"))]
+    assert time.perf_counter() - began < 20 and max(map(len, own.known), default=0) <= 4 * own.long
+    for text in ("ACGT" * 5000, "-" * 20_003, "hahaha" * 3000, "\u3000" * 5000):
+        assert own.count([text]) == [len(library.encode(text))]
+
+
 @pytest.fixture(scope="module")
 def merger():
     import sentencepiece

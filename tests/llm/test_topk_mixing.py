@@ -22,16 +22,11 @@ def test_top_k_equals_brute_force(spark, block):
     limit = float(1 << 62)
     good = [(i, [int(math.floor(min(max(1024 * float(np.float32(c)), -limit), limit))) for c in v]) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(np.float32(c)) for c in v)]
     want = []
-    for q, a in good:
+    for q, a in good:  # two rows have the id 300: both ask, and have ten places each
         if q % 100 == 0:
             scored = sorted((-min(max(sum(x * y for x, y in zip(a, b, strict=True)), -(1 << 63)), (1 << 63) - 1), i) for i, b in good if i != q and len(a) == len(b))
-            want += [(q, s, i) for s, i in scored]
-    # two rows have the id 300: both ask, and ten places are the query id's
-    for q in {q for q, *_ in want}:
-        got = sorted((r.rank, -r.score, r.vec_id) for r in out if r.query_id == q)
-        assert [g[0] for g in got] == list(range(1, len(got) + 1))
-        if q != 300:
-            assert [g[1:] for g in got] == [w[1:] for w in sorted(w for w in want if w[0] == q)][:10]
+            want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored[:10], 1)]
+    assert sorted(map(tuple, out)) == sorted(want) and len([w for w in want if w[0] == 300]) == 20
 
 
 def test_threshold_stops_early():

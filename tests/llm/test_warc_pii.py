@@ -45,6 +45,37 @@ def test_archives_are_gzip_and_filters_reach_the_reader(spark):
     assert skipped[0].payload is None and skipped[0].payload_bytes == 3003
 
 
+def test_a_folder_without_scheme_is_on_the_default_file_system(spark, tmp_path):
+    from trackspark.llm.common import shared_folder
+
+    before = spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "plain"))
+    try:
+        assert shared_folder(spark) == f"file:{tmp_path}/plain"
+        assert warc.archive_round_trip(pages(spark)).count() == len(PAGES)
+        assert list((tmp_path / "plain").rglob("*.warc.gz"))
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before)
+
+
+def test_scratch_is_removed(spark):
+    import glob
+
+    from trackspark.llm.common import cut_lineage, scratch, shared_folder
+
+    found = lambda: set(glob.glob(shared_folder(spark).removeprefix("file://").removeprefix("file:") + "/trackspark-scratch/*"))
+    before = found()
+    with scratch():
+        assert cut_lineage(spark.range(3)).count() == 3 and len(found()) == len(before) + 1
+    assert found() == before
+
+
+def test_one_page_that_very_many_repeat(spark):
+    rows = [(k, f"http://x/{k}", BIG if k % 3 else f"{k}" * 1000) for k in range(600)]
+    out = warc.archive_round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id for r in out if r.record_type == "revisit"} == {k for k in range(600) if k % 3} - {599} and {r.refers_to for r in out} == {None, 599}
+
+
 def test_no_pages(spark):
     assert warc.archive_round_trip(pages(spark).where("false")).count() == 0
 
@@ -91,6 +122,14 @@ def test_contexts_find_what_no_pattern_matches(spark):
     assert pii.find_personal_data(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_contexts_of_very_long_words(spark):
+    a, b = "w" * 300, "\u00e9v" * 200
+    rows = [(k, f"{a} {b} +1 (988) 555-{1000 + k} {b} {a}") for k in range(12)]
+    rows += [(100, f"{a} {b} 0049-30-1234567 {b} {a}"), (101, f"x{a[1:]} {b[:-1]}y 0049-30-7654321 z{b[1:]} {a}"), (102, f"{'q ' * 100}{a[:-1]}x {b} 0049-30-1111111\t{b}  {a}")]
+    out = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[k].n_found for k in (100, 101, 102)] == [1, 0, 1]
+
+
 def test_lists_with_one_word_labels_have_contexts(spark):
     rows = [(k, f"Tel: +1 (988) 555-{1000 + k} Fax: +1 (988) 555-{3000 + k}") for k in range(12)]
     rows += [(100 + k, f"+1 (988) 555-{5000 + k}\n+1 (988) 555-{7000 + k}") for k in range(12)]

@@ -9,6 +9,8 @@ time hold about the same number of tokens each, however large a source is.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +50,7 @@ def targets(sizes: DataFrame, cycle: int = 3, most: float = 3.0) -> DataFrame:
     return each.select("source", "source_size", F.least(stop, F.col("_level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 0, cycle: int = 3, most: int = 3, buckets: int = 1024, slices: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, cycle: int = 3, most: int = 3, buckets: int = 1024, slices: int = 1024, carry: Sequence[str] = ()) -> DataFrame:
     """The mix of docs (doc_id, source, text), in words: a row per copy of a document that it takes.
 
     Returns doc_id, source, size, source_size, target, doc_taken (words taken from all its copies),
@@ -58,20 +60,21 @@ def mix(docs: DataFrame, seed: int = 0, cycle: int = 3, most: int = 3, buckets:
     gives its target to a word. A null source is a source; null and empty texts have size 0 and are
     never taken; repeated rows each count; if all sizes are 0 targets are 0. Other columns are
     ignored, an empty table gives no rows. Order hangs on doc_id, source, size and seed alone, so
-    reruns agree.
+    reruns agree. Columns in carry, whose names must not clash with those above, come along, and put
+    rows in order that agree in the rest.
     """
     # one narrow row per document; texts are read once
-    sizes = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")))
+    sizes = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *carry))
     shuffled = sizes.withColumn("_hash", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), F.lit("doc"))).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(buckets)))
     goal = targets(sizes, cycle, float(most))
     per = shuffled.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     up_to = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_base", F.coalesce(F.sum("_sum").over(up_to), F.lit(0)))
     per = per.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select("p.source", "_bucket", "_base", "source_size", "target")
-    inside = Window.partitionBy("source", "_bucket").orderBy("_hash", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "_bucket").orderBy("_hash", F.col("doc_id").asc_nulls_last(), "size", *carry).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = shuffled.withColumn("_cum", F.sum("size").over(inside))
     rows = rows.alias("r").join(per.alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r._bucket") == F.col("p._bucket")))
-    rows = rows.select("doc_id", "r.source", "size", "source_size", "target", "r._hash", (F.col("_base") + F.col("_cum")).alias("_cum"))
+    rows = rows.select(*carry, "doc_id", "r.source", "size", "source_size", "target", "r._hash", (F.col("_base") + F.col("_cum")).alias("_cum"))
     # whole words: copy k of a document stands at k source sizes plus the sum before it
     copies = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda k: F.struct(
         k.alias("copy"),
@@ -82,7 +85,7 @@ def mix(docs: DataFrame, seed: int = 0, cycle: int = 3, most: int = 3, buckets:
     none = F.array(F.struct(F.lit(None).cast("int").alias("copy"), F.lit(None).cast("double").alias("virtual_finish"), F.lit(0).cast("long").alias("taken")))
     rows = rows.withColumn("_copies", some).withColumn("doc_taken", F.aggregate(F.col("_copies")["taken"], F.lit(0).cast("long"), lambda a, b: a + b))
     rows = rows.select("*", F.explode(F.when(F.size("_copies") > 0, F.col("_copies")).otherwise(none)).alias("c"))
-    rows = rows.select("doc_id", "source", "size", "source_size", "target", "doc_taken", "_hash", "c.*")
+    rows = rows.select(*carry, "doc_id", "source", "size", "source_size", "target", "doc_taken", "_hash", "c.*")
     # the global order by finish time: slices of virtual time hold about budget / slices words each;
     # what the mix leaves out is spread over slices of its own
     aside = (F.lit(-1) - F.pmod("_hash", F.lit(slices))).cast("int")
@@ -90,7 +93,7 @@ def mix(docs: DataFrame, seed: int = 0, cycle: int = 3, most: int = 3, buckets:
     rows = rows.withColumn("_slice", F.when(F.col("copy").isNull(), aside).otherwise(slice_))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("_slice").agg(F.sum("taken").alias("_words")).withColumn("_start", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-    inside = Window.partitionBy("_slice").orderBy("virtual_finish", F.col("source").asc_nulls_last(), "_hash", F.col("doc_id").asc_nulls_last(), "size", "copy").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_slice").orderBy("virtual_finish", F.col("source").asc_nulls_last(), "_hash", F.col("doc_id").asc_nulls_last(), "size", *carry, "copy").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("_in", F.coalesce(F.sum("taken").over(inside), F.lit(0))).join(starts.select("_slice", "_start"), "_slice")
     position = F.when(F.col("copy").isNotNull(), F.col("_start") + F.col("_in")).alias("position")
-    return rows.select("doc_id", "source", "size", "source_size", "target", "doc_taken", "copy", "virtual_finish", position, "taken")
+    return rows.select(*carry, "doc_id", "source", "size", "source_size", "target", "doc_taken", "copy", "virtual_finish", position, "taken")

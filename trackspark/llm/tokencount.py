@@ -2,11 +2,14 @@
 
 A text is cut into pre-tokens where no piece of the vocabulary can span the cut. The pre-tokens of a
 batch that are new stand end to end in one array of symbols; each round looks up the rank of every
-adjacent pair, finds each sequence's lowest rank and merges it in all sequences at once.
+adjacent pair, finds each sequence's lowest rank and merges it in all sequences at once. Two things keep
+long sequences from taking a round per merge: runs of the space mark, whose pieces all share the last
+rank, are counted by a rule, and a sequence of thousands of symbols without a cut goes through a queue.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -25,7 +28,7 @@ _MODELS: dict = {}
 class RankMerger:
     """The merges of a sentencepiece BPE model with byte fallback and no normalisation but the space mark."""
 
-    def __init__(self, path: str, remember: int = 1 << 19, long: int = 48):
+    def __init__(self, path: str, remember: int = 1 << 19, long: int = 48, most: int = 4096):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
@@ -43,7 +46,7 @@ class RankMerger:
             or any(p.type in (4, 5) for p in model.pieces)
         ):
             raise ValueError(f"{path}: not a BPE model of the supported kind")
-        self.remember, self.long, self.known = remember, long, {}
+        self.remember, self.long, self.most, self.known, self.pairs = remember, long, most, {}, None
         self.bigrams = {p[i : i + 2] for p in pieces for i in range(len(p) - 1)}
         chars = sorted({c for p in pieces for c in p})
         self.symbol = {s: k for k, s in enumerate(dict.fromkeys([*chars, *pieces]))}
@@ -64,9 +67,46 @@ class RankMerger:
         order = np.argsort(keys)
         self.keys, self.ranks, self.made = (np.array(x)[order] for x in (keys, ranks, made))
         self.ranks, self.made, self.early = self.ranks.astype(np.int32), self.made.astype(np.int64), early
+        self.blank, self.period, self.runs = self.symbol.get(SPACE, -1), 0, np.zeros(0, np.int64)
+        self._learn_runs(pieces)
         # tokens that a symbol gives if it survives: one, or its bytes if the vocabulary lacks it
         self.cost = np.array([1 if s in pieces else len(s.encode()) for s in self.symbol], np.int64)
 
+    def _learn_runs(self, pieces: dict[str, float]) -> None:
+        """If the pieces of the last rank are just the runs of space marks, how many tokens short runs give;
+        longer ones give one more for each period, as a longest run joins nothing."""
+        spaces = [p for p in pieces if p.startswith(SPACE * 2)]
+        last = self.ranks.max(initial=-1)
+        made = {self.symbol[p] for p in spaces}
+        period = max(map(len, spaces), default=0)
+        if not spaces or {*self.made[self.ranks == last].tolist()} != made or any(p.strip(SPACE) for p in spaces):
+            return
+        pairs = {(int(k) >> 32, int(k) & 0xFFFFFFFF): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.made, strict=True) if r == last}
+        runs = np.array([len(self._queued([self.blank] * n, pairs)) for n in range(4 * period)])
+        if (runs[period:] == runs[:-period] + 1).all():
+            self.period, self.runs = period, runs[: 2 * period]
+            keep = self.ranks != last
+            self.keys, self.ranks, self.made = self.keys[keep], self.ranks[keep], self.made[keep]
+
+    @staticmethod
+    def _queued(symbols: list[int], pairs) -> list[int]:
+        """What is left of one sequence after all merges, by a queue of pairs in the order of rank and place."""
+        after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
+        queue = [(*found, i, i + 1, x, y) for i, (x, y) in enumerate(zip(symbols, symbols[1:], strict=False)) if (found := pairs.get((x, y)))]
+        queue = [(rank, i, made, j, x, y) for rank, made, i, j, x, y in queue]
+        heapq.heapify(queue)
+        while queue:
+            _, i, made, j, x, y = heapq.heappop(queue)
+            if symbols[i] != x or j >= len(symbols) or after[i] != j or symbols[j] != y:
+                continue
+            symbols[i], symbols[j], after[i] = made, -2, after[j]
+            if after[i] < len(symbols):
+                before[after[i]] = i
+            for a, b in ((before[i], i), (i, after[i])):
+                if a >= 0 and b < len(symbols) and (found := pairs.get((symbols[a], symbols[b]))):
+                    heapq.heappush(queue, (found[0], a, found[1], b, symbols[a], symbols[b]))
+        return [x for x in symbols if x != -2]
+
     def pretokens(self, text: str) -> list[str]:
         """Parts of the text that no merge can join; a space stands for the space mark."""
         if not text:
@@ -97,6 +137,14 @@ class RankMerger:
         of = np.repeat(np.arange(len(words)), size)
         total = np.bincount(of, np.where(known, 0, width), len(words)).astype(np.int64)
         symbols = np.where(known, place, -1)
+        if size.max(initial=0) > self.most:
+            if self.pairs is None:
+                self.pairs = {(int(k) >> 32, int(k) & 0xFFFFFFFF): (int(r), int(m)) for k, r, m in zip(self.keys, self.ranks, self.made, strict=True)}
+            ends, parts = np.cumsum(size), []
+            for end, n in zip(ends.tolist(), size.tolist(), strict=True):
+                part = symbols[end - n : end]
+                parts.append(part if n <= self.most else np.array(self._queued(part.tolist(), self.pairs), np.int64))
+            symbols, of = np.concatenate(parts), np.repeat(np.arange(len(words)), [len(p) for p in parts])
         while len(symbols) > 1:
             key = symbols[:-1] << 32 | symbols[1:]
             near = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
@@ -129,7 +177,16 @@ class RankMerger:
         return total + self._costs(symbols, of, len(words))
 
     def _costs(self, symbols: np.ndarray, of: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(of, np.where(symbols < 0, 0, self.cost[symbols]), n).astype(np.int64)
+        out = np.bincount(of, np.where(symbols < 0, 0, self.cost[symbols]), n).astype(np.int64)
+        blank = symbols == self.blank
+        if self.period and blank.any():
+            at = np.flatnonzero(blank)
+            start = np.flatnonzero((np.diff(at, prepend=-2) != 1) | (np.diff(of[at], prepend=-1) != 0))
+            long = np.diff(np.append(start, len(at)))
+            whole = np.maximum(long // self.period - 1, 0)
+            tokens = whole + self.runs[long - whole * self.period]
+            out -= np.bincount(of[at[start]], long - tokens, n).astype(np.int64)
+        return out
 
     def count(self, texts: list[str], part: int = 1 << 22) -> list[int]:
         """Tokens of each text."""
@@ -147,6 +204,9 @@ class RankMerger:
             if new:
                 self.known.update(zip(new, self.merged(new).tolist(), strict=True))
             out += [sum(map(self.known.__getitem__, x)) for x in cut]
+            for w in new:  # long ones are not worth the memory
+                if len(w) > 4 * self.long:
+                    del self.known[w]
             at = upto
         return out
 

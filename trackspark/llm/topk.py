@@ -78,14 +78,17 @@ def _packed(rows: DataFrame, blocks: int, name: str) -> DataFrame:
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        width = sorted({len(v) for v in frame["v"]})
-        out = []
-        for w in width:  # vectors of unequal lengths never meet
+        # in an order that a repeated task finds again, as a row's place in its block tells it from its equals
+        frame = frame.assign(v=[tuple(v) for v in frame["v"]]).sort_values(["vec_id", "v"], kind="stable")
+        out, first = [], int(frame["block"].iloc[0]) << 32
+        for w in sorted({len(v) for v in frame["v"]}):  # vectors of unequal lengths never meet
             some = frame[frame["v"].map(len) == w]
-            out.append((int(some["block"].iloc[0]), w, some["vec_id"].to_numpy(np.int64).tobytes(), np.stack(some["v"]).astype(np.int64).tobytes()))
-        return pd.DataFrame(out, columns=["block", "width", "ids", "vectors"])
+            out.append((int(some["block"].iloc[0]), w, first, some["vec_id"].to_numpy(np.int64).tobytes(), np.array(some["v"].tolist(), np.int64).tobytes()))
+            first += len(some)
+        return pd.DataFrame(out, columns=["block", "width", "first", "ids", "vectors"])
 
-    return dealt.groupBy("block").applyInPandas(pack, "block int, width int, ids binary, vectors binary").select(F.col("block").alias(name), "width", F.col("ids").alias(f"{name}_ids"), F.col("vectors").alias(f"{name}_vectors"))
+    packed = dealt.groupBy("block").applyInPandas(pack, "block int, width int, first long, ids binary, vectors binary")
+    return packed.select(F.col("block").alias(name), "width", *[F.col(c).alias(f"{name}_{c}") for c in ("first", "ids", "vectors")])
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024, block_rows: int = 16384, query_rows: int = 1024) -> DataFrame:
@@ -96,7 +99,8 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     Fewer candidates than k give fewer rows; ties go to the smaller vec_id. Rows with a null id, a
     null, empty or unequally long vector, or null or non-finite components take no part (vectors of
     another length than the query's aren't its candidates). Components are held within +-2^62 and
-    scores within a long. Repeated rows are repeated candidates. An empty table gives no rows.
+    scores within a long. Repeated rows are repeated candidates, and rows that share a query id are
+    queries of their own, each with its k rows. An empty table gives no rows.
 
     A block pair needs a candidate block's vectors and lists and a query block in memory: with 16384
     rows of 64 components about 30 MB. Results of a query are k per block.
@@ -119,11 +123,11 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
                 ids, at = (np.frombuffer(row[f"{s}_ids"], np.int64) for s in ("c", "q"))
                 block, asking = (np.frombuffer(row[f"{s}_vectors"], np.int64).reshape(-1, row["width"]) for s in ("c", "q"))
                 lists = SortedLists(ids, block)
-                found = [(int(i), s, v) for i, vec in zip(at, asking, strict=True) for s, v in lists.top(vec, k, int(i))]
+                found = [(row["q_first"] + n, int(i), s, v) for n, (i, vec) in enumerate(zip(at, asking, strict=True)) for s, v in lists.top(vec, k, int(i))]
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query_id", "score", "vec_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query", "query_id", "score", "vec_id"])
 
-    pairs = candidates.join(asked, ["c", "width"]).select("width", "c_ids", "c_vectors", "q_ids", "q_vectors")
-    found = pairs.mapInArrow(search, "query_id long, score long, vec_id long")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    pairs = candidates.join(asked, ["c", "width"]).select("width", "c_ids", "c_vectors", "q_first", "q_ids", "q_vectors")
+    found = pairs.mapInArrow(search, "query long, query_id long, score long, vec_id long")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -47,6 +47,8 @@ BREAK = b"\r\n\r\n"
 MANIFEST = "_manifest.json"
 #: Shortest payload, in bytes, that a revisit record may stand for.
 LEAST_REVISIT = 1000
+#: Parts that the rows of one payload are dealt to.
+SALT = 32
 
 
 def _filesystem(path: str):
@@ -246,8 +248,11 @@ def write_archives(pages: DataFrame, folder: str, max_file_bytes: int = 1 << 26)
     key = F.when(F.octet_length("payload") >= LEAST_REVISIT, F.col("digest")).otherwise(F.concat(F.lit("#"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))))
     rows = rows.withColumn("key", key)
     last = rows.where(~F.col("key").startswith("#")).groupBy("key").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).where("n > 1").select("key", "last")
+    # a page that a third of all rows repeat is dealt to so many tasks, payloads and all
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALT)).cast("int"))
+    last = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
     revisit = F.coalesce(F.col("last") != F.col("page_id"), F.lit(False))
-    rows = rows.join(last, "key", "left").select(
+    rows = rows.join(last, ["key", "salt"], "left").select(
         "page_id", "url", "payload", "digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("last")).alias("refers_to")
     )
     rows.write.format("warc").mode("append").option("path", folder).option("maxFileBytes", max_file_bytes).save()
