@@ -34,6 +34,15 @@ def test_stages(spark, tmp_path):
     assert pieces and all(len(np.frombuffer(p.ids, "<u4")) == p.length for p in pieces)
 
 
+def test_repeated_rows_are_mixed_as_often_as_the_mix_takes_them(spark):
+    rows = [(1, "a b c d e", "en", "s", 9)] * 3 + [(1, "v w x y z", "en", "s", 9), (2, "a b c d e", "en", None, None), (3, " ".join("q" * 70), "en", "t", 1), (4, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    taken = corpus_pipeline.mixing.mix(docs).where("taken > 0").collect()
+    assert len(out) == len(taken) and sum(len(r.text.split()) for r in out) == sum(t.taken for t in taken)
+    assert sorted(len(r.text.split()) for r in out if r.source == "s") == sorted(t.taken for t in taken if t.source == "s")
+
+
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
