@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trackspark.llm import langid, linededup, mixing, neardup, packing
-from trackspark.llm.common import new_folder
+from trackspark.llm.common import new_folder, scratch
 from trackspark.llm.queries import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,9 +43,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document as often as the mix takes it, the copy at the end of its source's share cut
     after the words it takes. A document that the mix leaves out goes."""
-    mixed = mixing.mix(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), "copy", "taken").distinct()
-    size = mixing.word_count(F.col("text"))
-    rows = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (size == F.col("_size")))
+    # rows that agree in all columns are one another's like: what the mix takes of any is cut from one of them
+    own = {"_a": F.xxhash64(*COLUMNS), "_b": F.xxhash64(F.lit(1), *COLUMNS)}
+    docs = docs.withColumns(own)
+    mixed = mixing.mix(docs, carry=list(own)).where("taken > 0").select(*own, F.col("size").alias("_size"), "taken")
+    rows = docs.dropDuplicates(list(own)).join(mixed, list(own))
     words = r"^[\x20\x09-\x0D]*+(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+)"
     cut = F.call_function("regexp_extract", F.col("text"), F.concat(F.lit(words + "{"), F.col("taken").cast("string"), F.lit("}+")), F.lit(0))
     text = F.when(F.col("taken") < F.col("_size"), F.rtrim(cut)).otherwise(F.col("text"))
@@ -73,6 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the table documents; what each returns is written to the shared folder."""
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet").select(COLUMNS), new_folder(spark, "pipeline")
     for k, (name, stage) in enumerate(STAGES[:-1]):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
+        with scratch():
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}_{name}")
         docs = spark.read.parquet(f"{folder}/{k}_{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
