@@ -127,7 +127,7 @@ def test_features_and_windows(spark):
     v = np.array([r[2] for r in rows])
     assert [g.c for g in got] == (v - np.median(v)).tolist() and [g.d for g in got][1:] == np.diff(v).tolist() and got[0].d is None
     assert [g.b for g in got] == [3, 1, *v[:-2]] and [g.f for g in got] == [*v[2:], 2, 6] and {g.p for g in got} == {3.0}
-    assert [g.t for g in got] == align.moved(v, 1, -1.0, 2.0).tolist()
+    assert [g.t for g in got] == align.variants(v, np.array([[1, -1.0, 2.0]]))[0].tolist()
     w = windows.tumbling(df.withColumn("n", F.lit(None).cast("double")), ["s"], "i", [3, 4], ["x", "n"]).collect()
     assert sorted((r.window_seconds, r.window_index, r.beat_count) for r in w) == [(3.0, 0, 3), (3.0, 1, 3), (3.0, 2, 2), (4.0, 0, 4), (4.0, 1, 4)]
     assert features.first_rows(df, k, o, 3).count() == 3
@@ -228,7 +228,32 @@ def test_alignment_recovers_a_shift(spark):
     out = align.aligned(df, ["session_id", "method"], "i", "method").orderBy("session_id", "i").collect()
     assert {(x.map_lag, x.map_sign, x.pp_lag) for x in out if x.session_id == 0} == {(2, -1.0, 0)} and len(out) == 41
     assert out[-1].pred_MAP == 3.0
-    assert math.isnan(align.delta_correlation(np.ones(10), np.arange(10.0), 10)) and math.isnan(align.delta_correlation(m, m, 3))
+    assert math.isnan(align.tracking(np.ones((1, 10)), np.arange(10.0), 10)[0]) and math.isnan(align.tracking(m[None], m, 3)[0])
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_alignment_scores_are_correlations_of_steps(seed):
+    r = np.random.default_rng(seed)
+    x, ref = np.cumsum(r.normal(size=20)), np.cumsum(r.normal(size=20))
+    x[r.integers(0, 20, 3)] = np.nan
+    s = align.Search(lags=(-2, 0, 3), calibration=7)
+    grid, want = s.candidates(), {7: [], 20: []}
+    for lag in s.lags:
+        for sign in s.signs:
+            for gain in s.gains:
+                late = pd.Series(x).shift(lag).fillna(pd.Series(x))
+                y = np.nanmedian(x) + sign * gain * (late - np.nanmedian(x))
+                for n in want:
+                    want[n].append(y[:n].diff().corr(pd.Series(ref[:n]).diff()))
+    rows = align.variants(x, grid)
+    for n, scores in want.items():
+        assert np.allclose(align.tracking(rows, ref, n), scores, equal_nan=True)
+    near, wide = np.array(want[7]), np.array(want[20])
+    for reliable in (-2, 0.45, 2):
+        top = wide if near.max() < reliable and wide.max() > near.max() else near
+        assert align.chosen(near, wide, reliable) == next(k for k, v in enumerate(top) if round(v, 9) == round(max(top), 9))
+    assert align.chosen(np.array([np.nan]), np.array([np.nan]), 0.4) is None
+    assert np.allclose(align.weighted([np.array([1.0, np.nan]), np.array([0.0, np.nan])], (0.75, 0.25)), [0.75, np.nan], equal_nan=True)
 
 
 def test_totals_agree_with_sessions(spark):
@@ -255,7 +280,7 @@ def test_entry_points(spark):
     df = beats(spark).withColumns({"valid": F.col("beat_index") % 5 != 0, "artifact_flag": F.lit(0), "abs_time_delta_ms": F.lit(10.0)})
     found = sessions.evaluate(df)
     assert found["metrics"].where("series = 'smoothed' and target = 'MAP'").count() == 6
-    tracked = sessions.track(df, (5, 10), lag_search=True, project=True)
+    tracked = sessions.track(df, (5, 10), lag_search=True, project={"A": {}, "C": {"MAP": 0.2}})
     assert tracked["summary"].count() == 16 and tracked["representative"].count() == 1
     found = sessions.search(df, {"A": ["f", "g"], "C": ["f"]})
     held = found["summary"].where("session_id = 'ALL' and fit = 'held_out' and target = 'PP'").first()

@@ -1,11 +1,11 @@
 """Grid search of lag, sign and gain that aligns a predicted with a reference course, per group.
 
 It fits to the reference itself, so its result is an upper bound of tracking, not an estimate. Groups
-are windows of one session and method, a few hundred rows; they are searched in pandas."""
+are windows of one session and method, a few hundred rows; all candidates of a group are one matrix."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,50 +27,49 @@ class Search:
     blend: float = 1.0
 
 
-def delta_correlation(ref: np.ndarray, pred: np.ndarray, limit: int) -> float:
-    """Correlation of the first differences within the first limit rows; NaN if fewer than 3 are whole."""
-    limit = min(limit, len(ref))
-    if limit < 4:
-        return np.nan
-    a, b = np.diff(ref[:limit]), np.diff(pred[:limit])
-    whole = np.isfinite(a) & np.isfinite(b)
-    if whole.sum() < 3:
-        return np.nan
-    a, b = a[whole] - a[whole].mean(), b[whole] - b[whole].mean()
-    under = np.sqrt((a * a).sum() * (b * b).sum())
-    return float((a * b).sum() / under) if under > 0 else np.nan
-
-
-def moved(x: np.ndarray, lag: int, sign: float, gain: float) -> np.ndarray:
-    """x shifted by lag rows (itself where nothing comes in), turned and stretched about its median."""
-    out = np.full(len(x), np.nan)
-    if abs(lag) < len(x):
-        out[max(lag, 0) : len(x) + min(lag, 0)] = x[max(-lag, 0) : len(x) - max(lag, 0)]
-    out = np.where(np.isnan(out), x, out)
-    anchor = np.nanmedian(x) if np.isfinite(x).any() else 0.0
-    return anchor + sign * gain * (out - anchor)
-
-
-def best(x: np.ndarray, score: Callable[[np.ndarray, int], float], s: Search) -> tuple[tuple[int, float, float], float]:
-    """The candidate with the highest score over the calibration rows, or over all if that is
-    unreliable and all rows do better. Scores are compared to nine digits, as gains hardly change them."""
-
-    def search(limit: int) -> tuple[tuple[int, float, float], float]:
-        top, at = -np.inf, (0, 1.0, 1.0)
-        for lag in s.lags:
-            for sign in s.signs:
-                for gain in s.gains:
-                    v = round(score(moved(x, lag, sign, gain), limit), 9)
-                    if np.isfinite(v) and v > top:
-                        top, at = v, (lag, sign, gain)
-        return at, top
-
-    at, top = search(s.calibration)
-    if top < s.reliable and len(x) > s.calibration:
-        wider, higher = search(len(x))
-        if np.isfinite(higher) and higher > top:
-            return wider, higher
-    return at, top
+    def candidates(self) -> np.ndarray:
+        """Rows (lag, sign, gain)."""
+        return np.array([(lag, sign, gain) for lag in self.lags for sign in self.signs for gain in self.gains])
+
+
+def variants(x: np.ndarray, candidates: np.ndarray) -> np.ndarray:
+    """A row for each candidate: x as it was lag rows before (x itself where that is missing), turned
+    and stretched about the median of x."""
+    at = np.arange(len(x)) - candidates[:, :1].astype(int)
+    there = (at >= 0) & (at < len(x))
+    late = np.where(there, x[np.where(there, at, 0)], np.nan)
+    late = np.where(np.isnan(late), x, late)
+    middle = np.nanmedian(x) if np.isfinite(x).any() else 0.0
+    return middle + candidates[:, 1:2] * candidates[:, 2:3] * (late - middle)
+
+
+def tracking(rows: np.ndarray, ref: np.ndarray, upto: int) -> np.ndarray:
+    """How the steps of each row correlate with those of ref over the first upto values; NaN where fewer
+    than three steps are known on both sides, or one side has no spread."""
+    steps, goal = np.diff(rows[:, :upto]), np.diff(ref[:upto])
+    known = np.isfinite(steps) & np.isfinite(goal)
+    n = known.sum(axis=1, keepdims=True)
+    both = np.stack([np.where(known, steps, 0.0), np.where(known, goal, 0.0)])
+    both = np.where(known, both - both.sum(axis=2, keepdims=True) / np.maximum(n, 1), 0.0)
+    (xx, yy), xy = (both**2).sum(axis=2), both.prod(axis=0).sum(axis=1)
+    return np.divide(xy, np.sqrt(xx * yy), out=np.full(len(xy), np.nan), where=(n[:, 0] >= 3) & (xx * yy > 0))
+
+
+def weighted(scores: Sequence[np.ndarray], weights: Sequence[float]) -> np.ndarray:
+    """Weighted mean, row by row, of the scores that are known."""
+    each = np.stack(scores)
+    share = np.where(np.isfinite(each), np.array(weights)[:, None], 0.0)
+    total = share.sum(axis=0)
+    return np.divide(np.nansum(np.where(np.isfinite(each), each, 0.0) * share, axis=0), total, out=np.full(len(total), np.nan), where=total > 0)
+
+
+def chosen(near: np.ndarray, wide: np.ndarray, reliable: float) -> int | None:
+    """The first candidate with the highest score near, or, if that is below reliable and the highest
+    score wide is higher, the first with that; None if no score is known. Scores count to nine digits,
+    as gains hardly change them."""
+    near, wide = (np.nan_to_num(np.round(s, 9), nan=-np.inf) for s in (near, wide))
+    best = wide if near.max() < reliable and wide.max() > near.max() else near
+    return int(best.argmax()) if np.isfinite(best.max()) else None
 
 
 def aligned(df: DataFrame, keys: Sequence[str], order: str, method: str | None = None, searches: dict[str, Search] | None = None, default: Search = Search()) -> DataFrame:
@@ -86,20 +85,21 @@ def aligned(df: DataFrame, keys: Sequence[str], order: str, method: str | None =
         if len(group) >= 4:
             ref = {t: group[f"ref_{t}"].to_numpy(float) for t in ("MAP", "PP", "SBP", "DBP")}
             m, p = (group[f"pred_{t}"].to_numpy(float) for t in ("MAP", "PP"))
-            at, _ = best(m, lambda x, n: delta_correlation(ref["MAP"], x, n), s)
-            m_new = moved(m, *at)
-
-            def score(x: np.ndarray, n: int) -> float:
-                each = [delta_correlation(ref["PP"], x, n), delta_correlation(ref["SBP"], m_new + 2 * x / 3, n), delta_correlation(ref["DBP"], m_new - x / 3, n)]
-                good = [(w, v) for w, v in zip(s.weights, each, strict=True) if np.isfinite(v)]
-                total = sum(w for w, _ in good)
-                return sum(w * v for w, v in good) / total if total > 0 else np.nan
-
-            to, _ = best(p, score, s)
+            grid, still = s.candidates(), np.array([[0, 1.0, 1.0]])
+            spans = [n if n >= 4 else 0 for n in (min(s.calibration, len(group)), len(group))]
+
+            rows = variants(m, grid)
+            at = chosen(*(tracking(rows, ref["MAP"], n) for n in spans), s.reliable)
+            one = still if at is None else grid[[at]]
+            m_new = variants(m, one)[0]
+            rows = variants(p, grid)
+            over = [weighted([tracking(rows, ref["PP"], n), tracking(m_new + 2 * rows / 3, ref["SBP"], n), tracking(m_new - rows / 3, ref["DBP"], n)], s.weights) for n in spans]
+            at = chosen(*over, s.reliable)
+            two = still if at is None else grid[[at]]
             blend = min(max(s.blend, 0.0), 1.0)
-            m, p = (1 - blend) * m + blend * m_new, (1 - blend) * p + blend * moved(p, *to)
+            m, p = ((1 - blend) * x + blend * y for x, y in ((m, m_new), (p, variants(p, two)[0])))
             group = group.assign(pred_MAP=m, pred_PP=p, pred_SBP=m + 2 * p / 3, pred_DBP=m - p / 3)
-            found = dict(zip(found, (*at, *to), strict=True))
+            found = dict(zip(found, (int(one[0, 0]), *one[0, 1:].tolist(), int(two[0, 0]), *two[0, 1:].tolist()), strict=True))
         return group.assign(**found)
 
     extra = "map_lag int, map_sign double, map_gain double, pp_lag int, pp_sign double, pp_gain double"
