@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +30,29 @@ def tracking_projection(df: DataFrame, pred: str, ref: str, companion: str, sess
     return rows.withColumn("projected", F.coalesce(value, F.col(pred))).drop("__y", "__hat", *DESIGN)
 
 
+#: Parts of the predicted course, by target, where a method has none of its own.
+BLENDS = {"MAP": 0.70, "PP": 0.88}
+
+
+def projected(df: DataFrame, blends: Mapping[str, Mapping[str, float]], session: str, order: Sequence, method: str = "method", least_rows: int = 120, least_sessions: int = 2, low: float = 15.0, high: float = 100.0) -> DataFrame:
+    """df (method, session, ref_MAP, ref_PP, pred_*) with mean and pulse pressure of the methods in blends
+    projected, each method by itself, pulse pressure held between low and high, and systolic and
+    diastolic pressure from them. blends: parts by target of each method. Methods with fewer than
+    least_rows rows or least_sessions sessions stay as they are, and so do all others."""
+    support = df.where(F.col(method).isin(list(blends))).groupBy(method).agg(F.count("*").alias("n"), F.count_distinct(session).alias("s"))
+    active = sorted(r[0] for r in support.where((F.col("n") >= least_rows) & (F.col("s") >= least_sessions)).collect())
+    out = df.where(~F.coalesce(F.col(method).isin(active), F.lit(False)))
+    for name in active:
+        rows = df.where(F.col(method) == name)
+        for t, other in (("MAP", "PP"), ("PP", "MAP")):
+            part = blends[name].get(t, BLENDS[t])
+            rows = tracking_projection(rows, f"pred_{t}", f"ref_{t}", f"pred_{other}", session, order, part).withColumnRenamed("projected", f"__{t}")
+        m, p = F.col("__MAP"), clamp(F.col("__PP"), low, high)
+        rows = rows.withColumns({"pred_MAP": m, "pred_PP": p, "pred_DBP": m - p / 3, "pred_SBP": m - p / 3 + p}).drop("__MAP", "__PP")
+        out = out.unionByName(rows.select(df.columns))
+    return out
+
+
 def leading_features(df: DataFrame, features: Sequence[str], ref: str, session: str, n: int = 6, least: int = 3) -> DataFrame:
     """held_out, place, feature, strength: per fold the n features with the strongest correlation with
     ref in the other sessions (ties to the later name). Correlations don't change when both series are

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, statistics
-from ..operators import align, asof, baseline, features, frames, metrics, projection, quality, ridge, smooth, windows
+from ..operators import align, asof, baseline, features, frames, metrics, projection, quality, ridge, smooth, training, windows
 from ..streaming import match
 from .beats import BEATS, PAIRS, TARGETS, beats, table
 from .queries import CORR, _ewma_sql, _pairs, query, r, rounded
@@ -40,12 +40,12 @@ def j3_positional_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.overlaid(base, over, ["o_custkey"]).withColumn("o_totalprice", r("o_totalprice", 2))
 
 
-@query("""SELECT c_custkey AS key, c_acctbal AS balance, 'current' AS origin FROM customer WHERE c_custkey % 3 = 0
-    UNION ALL SELECT s_suppkey, s_acctbal, 'past' FROM supplier WHERE s_suppkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)""")
+@query("""SELECT s_suppkey AS key, s_acctbal AS balance, 'current' AS origin FROM supplier
+    UNION ALL SELECT c_custkey, c_acctbal, 'past' FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey FROM supplier)""")
 def j8_priority_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The current set, and of the past what it lacks."""
-    now = table(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"))
-    past = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"))
+    now = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_acctbal").alias("balance"))
+    past = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_acctbal").alias("balance"))
     return frames.priority_union(now, past, "key")
 
 
@@ -98,13 +98,22 @@ def f1_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH p AS (SELECT l_suppkey, l_linestatus, l_quantity FROM lineitem WHERE l_suppkey IN (1, 2, 3, 5, 8) AND l_returnflag IN ('A', 'R') AND l_quantity IS NOT NULL),
     k AS (SELECT l_suppkey, count(*) AS c FROM p GROUP BY l_suppkey HAVING count(*) >= 40) SELECT p.l_suppkey, l_linestatus, count(*) AS n, round(avg(l_quantity), 4) AS mean_quantity FROM p JOIN k USING (l_suppkey) GROUP BY ALL""")
-def f16_supported_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """List predicates reach the scan; groups need 40 rows."""
+def f12_listed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List predicates reach the scan; groups need 40 rows."""
     rows = frames.available(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_linestatus", "l_returnflag", "l_quantity", "no_such_column"])
     rows = rows.where(F.col("l_suppkey").isin(1, 2, 3, 5, 8) & F.col("l_returnflag").isin("A", "R")).dropna(subset=["l_quantity"])
     return quality.supported(rows, ["l_suppkey"], 40).groupBy("l_suppkey", "l_linestatus").agg(F.count("*").alias("n"), r(F.avg("l_quantity")).alias("mean_quantity"))
 
 
+@query("""WITH p AS (SELECT l_suppkey, l_returnflag, l_quantity FROM lineitem WHERE nullif(l_discount, 0) IS NOT NULL AND nullif(l_tax, 0) IS NOT NULL AND l_quantity IS NOT NULL),
+    k AS (SELECT l_suppkey, l_returnflag FROM p GROUP BY ALL HAVING count(*) >= 160) SELECT l_suppkey, l_returnflag, count(*) AS n, round(avg(l_quantity), 4) AS mean_quantity FROM p JOIN k USING (l_suppkey, l_returnflag) GROUP BY ALL""")
+def f16_supported_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows in which all columns are there, in groups that have 160 of them."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_returnflag", "l_quantity", F.nullif("l_discount", F.lit(0.0)).alias("d"), F.nullif("l_tax", F.lit(0.0)).alias("t"))
+    rows = quality.supported(rows.dropna(subset=["l_quantity", "d", "t"]), ["l_suppkey", "l_returnflag"], 160)
+    return rows.groupBy("l_suppkey", "l_returnflag").agg(F.count("*").alias("n"), r(F.avg("l_quantity")).alias("mean_quantity"))
+
+
 # --- windows and features ---
 
 
@@ -301,25 +310,31 @@ def m12_leave_one_session_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ridge.replay(rows, folds, ["l_quantity"], "l_suppkey", "prediction").select("l_suppkey", "l_orderkey", "l_linenumber", r("prediction", 1).alias("prediction"))
 
 
-@query()
-def m4_term_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M4: factors on terms of a fixed model, fitted about 1."""
-    c, f = {"intercept": 90.0, "quantity": 0.5, "discount": -90.0}, {"quantity": "l_quantity", "discount": "l_discount"}
-    s = ridge.fit_scales(beats(spark, sf_dir), c, f, ["quantity", "discount"], "ref_PP")
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in s.items()], "term string, scale double")
+def _slope(x: str, y: str) -> str:
+    """A standardised ridge slope (alpha 1) over a group."""
+    return f"(count(*) * covar_pop({x}, {y}) / ((count(*) + 1) * var_pop({x})))"
 
 
-@query()
-def m5_two_stage_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model and one of its residuals, as a coefficient table."""
-    rows = beats(spark, sf_dir)
-    models = {"refined": {t: ridge.fit_two_stage(rows.where("method = 'N'"), rows.where("method = 'R'"), ["l_quantity"], ["l_discount", "l_tax"], f"ref_{t}") for t in ("MAP", "PP")}}
-    return rounded(ridge.coefficient_table(spark, models, {"refined": ["quantity", "discount", "tax"]}))
+@query(f"""WITH {BEATS}, y AS (SELECT *, unnest(['MAP', 'PP']) AS target, unnest([ref_MAP, ref_PP]) AS y FROM beats),
+    a AS (SELECT target, {_slope('l_quantity', 'y')} AS s1, avg(y) - {_slope('l_quantity', 'y')} * avg(l_quantity) AS i1 FROM y WHERE method = 'N' GROUP BY target),
+    d AS (SELECT y.target, y.l_discount AS x, y.y - i1 - s1 * l_quantity AS y FROM y JOIN a USING (target) WHERE method = 'R'),
+    b AS (SELECT target, {_slope('x', 'y')} AS s2, avg(y) - {_slope('x', 'y')} * avg(x) AS i2 FROM d GROUP BY target),
+    o AS (SELECT target, {_slope('l_tax', 'y')} AS s3, avg(y) - {_slope('l_tax', 'y')} * avg(l_tax) AS i3 FROM y WHERE method = 'A' GROUP BY target)
+    SELECT 'refined' AS method, target, unnest(['intercept', 'l_quantity', 'l_discount']) AS term, round(unnest([i1 + i2, s1, s2]), 4) AS value FROM a JOIN b USING (target)
+    UNION ALL SELECT 'plain', target, unnest(['intercept', 'l_quantity']), round(unnest([i1, s1]), 4) FROM a
+    UNION ALL SELECT 'other', target, unnest(['intercept', 'l_tax']), round(unnest([i3, s3]), 4) FROM o""")
+def m5_trained_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A set of methods, one of them in two stages, trained on their own samples, as a coefficient table."""
+    df = beats(spark, sf_dir).withColumns({"valid": F.lit(1), "reason": F.lit(" ok ")})
+    specs = [training.Spec("plain", ("l_quantity",)), training.Spec("refined", ("l_quantity",), "plain", ("l_discount",)), training.Spec("other", ("l_tax",))]
+    of = {"plain": "N", "refined": "R", "other": "A"}
+    rows = {s.name: training.samples(df.where(F.col("method") == of[s.name]).drop("method"), s, "valid", "reason") for s in specs}
+    return rounded(ridge.coefficient_table(spark, training.train(rows, specs), {s.name: s.all() for s in specs}))
 
 
 @query()
 def m6_adaptive_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Level and change models of sessions, replayed."""
+    """Level and change models of sessions, replayed."""
     rows = beats(spark, sf_dir)
     model = baseline.train(rows, ["l_quantity", "l_discount"], "pred_PP", "session_id", "beat_index")
     return rounded(baseline.replay(rows, model, "session_id", "beat_index", "pp", 0.8, 15.0, 100.0).select("session_id", "beat_index", "pp", "pp_baseline", F.col("pp_replaced").cast("int").alias("replaced")))
@@ -327,9 +342,9 @@ def m6_adaptive_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m13_tracking_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The centred course that other sessions' dynamics predict, blended in."""
-    out = projection.tracking_projection(beats(spark, sf_dir), "pred_PP", "ref_PP", "pred_MAP", "session_id", ["beat_index"])
-    return rounded(out.select("session_id", "beat_index", "projected"))
+    """Of each method by itself, the centred course that other sessions' dynamics predict, blended in."""
+    out = projection.projected(beats(spark, sf_dir), {"A": {"MAP": 0.9, "PP": 0.9}, "R": {"MAP": 1.1, "PP": 1.1}, "N": {"MAP": 0.2}}, "session_id", ["beat_index"])
+    return rounded(out.select("session_id", "method", "beat_index", "pred_MAP", "pred_PP", "pred_SBP", "pred_DBP"))
 
 
 @query()
@@ -351,7 +366,7 @@ def o4_leading_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m15_grid_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lag, sign and gain that align windows with the reference."""
+    """Lag, sign and gain that align windows with the reference."""
     means = [f"{s}_{t}" for s in ("ref", "pred") for t in TARGETS]
     w = windows.tumbling(beats(spark, sf_dir), ["session_id", "method"], "elapsed_s", [20], means)
     out = align.aligned(w, ["session_id", "method"], "window_index", "method", {"A": align.Search(signs=(1.0,)), "R": align.Search(lags=(-3, -2, -1, 0, 1, 2, 3), blend=0.85)})
@@ -373,6 +388,20 @@ def r6_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- entry points ---
 
 
+@query()
+def m8_shared_baseline_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One baseline model from the discovered columns of one method's rows, replayed for another, with its dynamics blended in."""
+    df = beats(spark, sf_dir).withColumn("l_empty", F.lit(None).cast("double"))
+    rows = {m: df.where(F.col("method") == m) for m in ("A", "R")}
+    models = training.train_baselines(rows, ["l_"], "session_id", "beat_index", "ref_PP", shared="A", leave=["l_extendedprice"])
+    out = baseline.replay(rows["R"], models["R"], "session_id", "beat_index", "pp", 0.8, 15.0, 100.0)
+    out = training.blended_series(out, F.col("pp_baseline"), F.col("pred_PP"), 0.7, ["session_id"], ["beat_index"])
+    return rounded(out.select("session_id", "beat_index", "pp_baseline", "blend", "blend_smoothed"))
+
+
+_W = "PARTITION BY session_id, method, window_seconds, target"
+
+
 @query()
 def e1_session_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged beats to measures per session, method, series and target."""
@@ -382,7 +411,12 @@ def e1_session_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sessions.evaluate(rows)["metrics"].select("session_id", "method", "series", "target", "n", "mae", "rmse", "corr", "tracking_gain"))
 
 
-@query()
+@query(f"""WITH {BEATS}, w AS (SELECT *, unnest([5.0, 10.0, 20.0]) AS window_seconds FROM beats),
+    g AS (SELECT session_id, method, window_seconds, floor(elapsed_s / window_seconds) AS i, {', '.join(f'avg({s}_{t}) AS {s}_{t}' for s in ('ref', 'pred') for t in TARGETS)} FROM w GROUP BY ALL),
+    p AS ({' UNION ALL '.join(f"SELECT session_id, method, window_seconds, i, '{t}' AS target, ref_{t} AS ref, pred_{t} AS pred FROM g" for t in TARGETS)}),
+    c AS (SELECT *, pred - median(pred) OVER ({_W}) - (ref - median(ref) OVER ({_W})) AS ce FROM p),
+    m AS (SELECT session_id, method, window_seconds, target, avg(abs(pred - ref)) AS mae, avg(abs(ce)) AS centered_mae, {CORR.format(a='pred', b='ref')} AS corr FROM c GROUP BY ALL)
+    SELECT CAST(window_seconds AS DOUBLE) AS window_seconds, method, target, count(DISTINCT session_id) AS n_sessions, round(avg(mae), 4) AS mean_mae, round(median(centered_mae), 4) AS median_centered_mae, round(avg(corr), 4) AS mean_corr FROM m GROUP BY ALL""")
 def e2_tracking_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of three widths to summaries over sessions."""
     from . import sessions
@@ -403,7 +437,7 @@ def e3_coefficient_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         ON l.user_id = rr.user_id AND l.event_type = 'click' AND rr.event_type = 'view' AND abs(epoch_us(l.ts) - epoch_us(rr.ts)) <= 7200000000)
     SELECT event_id, arg_min(ref_id, (abs(d), ref_id)) AS ref_id, round(min(abs(d)) / 1000.0, 3) AS distance_ms FROM p GROUP BY event_id""")
 def r4_stream_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two streams joined within two hours; the nearest of each click."""
+    """Two streams joined within two hours; the nearest of each click."""
     e = match.event_stream(spark, f"{sf_dir}/events.parquet").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("id"), "event_type")
     sides = [e.where(F.col("event_type") == t).drop("event_type") for t in ("click", "view")]
     pairs = match.drained(match.nearest_within(*sides, "key", "2 hours"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, statistics
-from ..operators import align, asof, baseline, features, frames, metrics, projection, quality, ridge, smooth, windows
+from ..operators import align, asof, baseline, evaluation, features, frames, metrics, projection, quality, ridge, smooth, windows
 from .beats import BEATS, PAIRS, TARGETS, beats, table
 
 FLAGSHIP = "q1_tracking_metrics"
@@ -129,11 +129,11 @@ def q3_session_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(CASE WHEN sum(r * r) = 0 THEN NULL ELSE sum(r * p) / sum(r * r) END, 4) AS gain FROM d GROUP BY scope, method, target""")
 def q4_pooled_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15 with pooled medians and steps across session borders in scope ALL (Q7)."""
-    keys, order = ["scope", "method", "target"], ["session_id", "beat_index"]
-    rows = metrics.scoped(_pairs(spark, sf_dir))
-    rows = rows.withColumns({"r": features.centered(F.col("ref"), keys), "p": features.centered(F.col("pred"), keys)})
-    rows = rows.withColumns({"rd": features.difference(F.col("r"), keys, order), "pd": features.difference(F.col("p"), keys, order)})
-    return rounded(rows.groupBy(*keys).agg(F.count("*").alias("n"), statistics.mae(F.col("p") - F.col("r")).alias("centered_mae"), statistics.mae(F.col("pd") - F.col("rd")).alias("delta_mae"), statistics.tracking_gain(F.col("r"), F.col("p")).alias("gain")))
+    pairs, keys = _pairs(spark, sf_dir), ["method", "target"]
+    own = evaluation.within(pairs, ["session_id", *keys], ["beat_index"]).withColumn("scope", F.col("session_id").cast("string"))
+    every = evaluation.pooled(pairs, keys, "session_id", ["beat_index"]).withColumn("scope", F.lit(evaluation.ALL))
+    columns = ["scope", *keys, "n", "centered_mae", "delta_mae", F.col("tracking_gain").alias("gain")]
+    return rounded(own.select(*columns).unionByName(every.select(*columns)))
 
 
 @query(f"""WITH {BEATS}, w AS (SELECT *, unnest([5.0, 10.0, 20.0]) AS window_seconds FROM beats)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import fixed, iso_from_epoch_ms
@@ -26,18 +27,49 @@ def write_records(df: DataFrame, path: str) -> None:
     clean.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-#: Columns of a rebuilt beats table.
-FALLBACK = ("timestamp", "epoch_ns", "beat_sys", "beat_dia", "beat_map", "beat_hr", "count", "artifact_flag", "elapsed_s", "source")
+def write_rows(spark: SparkSession, rows: Sequence[Mapping], path: str) -> None:
+    """A few rows as CSV, with the names in the first for a header; without rows the file is empty."""
+    if not rows:
+        spark.createDataFrame([], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    names = list(rows[0])
+    text = spark.createDataFrame([[None if r.get(c) is None else str(r[c]) for c in names] for r in rows], ", ".join(f"`{c}` string" for c in names))
+    write_csv(text.coalesce(1), path)
+
+
+def write_summary(df: DataFrame, csv: str, json: str) -> None:
+    """A summary twice: as CSV with a header, and as JSON records."""
+    write_csv(df, csv)
+    write_records(df, json)
+
+
+def write_metadata(spark: SparkSession, metadata: Mapping, path: str) -> None:
+    """What a run was made of, as one JSON object in a file of one line."""
+    line = json.dumps(metadata, ensure_ascii=False, sort_keys=True, default=str)
+    spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+#: Columns of a rebuilt beats table, in order.
+FALLBACK = (
+    "開始時刻", "記録開始時刻", "現在時刻", "epoch_ns", "monotonic_ns", "経過時間", "計測回数", "BP waveform Raw", "BP waveform [mmHg]", "MAP Raw", "MAP [mmHg]",
+    "CO Raw", "CO [L/min]", "Beat Sys [mmHg]", "Beat Mean [mmHg]", "Beat Dia [mmHg]", "Beat HR [bpm]",
+)
 
 
 def fallback_beats(events: DataFrame) -> DataFrame:
-    """Beats rebuilt from live events with a time, as text; columns that events lack are blank."""
+    """The beats table rebuilt from live events with a time (timestamp_ms, elapsed_s, count, sbp, dbp, map,
+    hr), as text; what events lack is blank. The start is the earliest event's time."""
+    rows = events.where("timestamp_ms is not null")
+    begun = iso_from_epoch_ms(F.min("timestamp_ms")).alias("__begun")
+    rows = rows.join(F.broadcast(rows.agg(begun)), F.lit(True))  # one row
+    decimal = {"経過時間": "elapsed_s", "MAP [mmHg]": "map", "Beat Mean [mmHg]": "map", "Beat Sys [mmHg]": "sbp", "Beat Dia [mmHg]": "dbp", "Beat HR [bpm]": "hr"}
     known = {
-        "timestamp": iso_from_epoch_ms(F.col("timestamp_ms")), "epoch_ns": (F.col("timestamp_ms") * 1_000_000).cast("long").cast("string"), "source": F.lit("events"),
-        **{c: fixed(F.col(e), 9) for c, e in (("beat_sys", "sbp"), ("beat_dia", "dbp"), ("beat_map", "map"), ("beat_hr", "hr")) if e in events.columns},
-        **{c: F.col(c).cast("long").cast("string") for c in ("count", "artifact_flag") if c in events.columns},
+        "開始時刻": F.col("__begun"), "記録開始時刻": F.col("__begun"), "現在時刻": iso_from_epoch_ms(F.col("timestamp_ms")),
+        "epoch_ns": F.round(F.col("timestamp_ms") * 1_000_000).cast("long").cast("string"),
+        **{c: fixed(F.col(e).cast("double"), 9) for c, e in decimal.items() if e in events.columns},
+        **({"計測回数": F.col("count").cast("long").cast("string")} if "count" in events.columns else {}),
     }
-    return events.where("timestamp_ms is not null").select([known.get(c, F.lit("")).alias(c) for c in FALLBACK])
+    return rows.select([F.coalesce(known.get(c, F.lit("")), F.lit("")).alias(c) for c in FALLBACK])
 
 
 def coefficient_payload(table: DataFrame) -> DataFrame:
@@ -60,3 +92,32 @@ def markdown(df: DataFrame, columns: Sequence[str] | None = None, digits: int =
 def report(title: str, parts: Mapping[str, DataFrame]) -> str:
     """A Markdown report of small frames under headings."""
     return "\n\n".join([f"# {title}", *(f"## {name}\n\n{markdown(df)}" for name, df in parts.items())]) + "\n"
+
+
+def tracking_report(summary: DataFrame, representative: str, metadata: Mapping, methods: Sequence[str] | None = None) -> str:
+    """The report of a tracking analysis: its settings, and per target the methods' means over sessions at
+    the primary width, the best mean error first."""
+    width = float(metadata["primary_window_seconds"])
+    rows = summary.where(F.col("window_seconds") == width)
+    rows = rows.where(F.col("method").isin(list(methods))) if methods else rows
+    columns = ["method", "n_sessions", "mean_mae", "mean_rmse", "mean_centered_mae", "mean_corr", "mean_delta_corr", "mean_detrended_corr"]
+    head = "\n".join(f"* {k}: {v}" for k, v in [*metadata.items(), ("representative session", representative)])
+    return "\n\n".join(["# Tracking analysis", head, *(f"## {t}\n\n{markdown(rows.where(F.col('target') == t).orderBy('mean_mae', 'method'), columns)}" for t in ("SBP", "DBP", "MAP", "PP"))]) + "\n"
+
+
+def session_report(evaluation: DataFrame, n_rows: int, n_kept: int) -> str:
+    """The report of one session: rows before and after the gates, and each series' measures by target."""
+    columns = ["method", "series", "n", "mae", "rmse", "corr", "signed_bias", "centered_mae", "tracking_gain", "direction_agreement"]
+    parts = (f"## {t}\n\n{markdown(evaluation.where(F.col('target') == t).orderBy('method', 'series'), columns)}" for t in ("SBP", "DBP", "MAP", "PP"))
+    return "\n\n".join(["# Session", f"{n_kept} of {n_rows} beats pass the gates.", *parts]) + "\n"
+
+
+def diagnostic_report(terms: DataFrame, culprits: DataFrame) -> str:
+    """The report on pulse pressure: the terms that work against it most, and how often each is the worst."""
+    worst = terms.where("inverse_strength > 0").orderBy(F.desc("inverse_strength"), "term").limit(20)
+    return report("Pulse pressure terms", {"Strongest inverse terms": worst, "By term": culprits.orderBy(F.desc("n_sessions"), "term")})
+
+
+def coefficient_report(coefficients: DataFrame, summary: DataFrame) -> str:
+    """The report of a coefficient search: the models, and their errors in sample and held out."""
+    return report("Coefficients", {"Models": coefficients.orderBy("method", "target", "term"), "Errors over all sessions": summary.where("session_id = 'ALL'").orderBy("method", "fit", "target")})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,3 +108,29 @@ def first_present(spark: SparkSession, paths: Sequence[str]) -> str | None:
         if path.getFileSystem(conf).exists(path):
             return p
     return None
+
+
+def refreshed(spark: SparkSession, source: str, view: str, build: Callable[[DataFrame], DataFrame], rebuild: bool = True) -> DataFrame:
+    """The view that build makes of the CSV table source, kept as Parquet at view: made anew, unless
+    rebuild is off and there is one with rows. Without either table this fails."""
+    if not rebuild and first_present(spark, [view]):
+        kept = spark.read.parquet(view)
+        if kept.limit(1).count():
+            return kept
+    if not first_present(spark, [source]):
+        raise FileNotFoundError(source)
+    build(typed_table(spark, source)).write.mode("overwrite").parquet(view)
+    return spark.read.parquet(view)
+
+
+def read_back(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    """A CSV table written before, by name; without rows if there is none or it is empty."""
+    if not first_present(spark, [path]):
+        return spark.createDataFrame([], schema)
+    return spark.read.option("header", True).schema(schema).csv(path)
+
+
+def followed(spark: SparkSession, folder: str) -> DataFrame:
+    """A stream of the lines of the text files that come into a folder, such as log segments that a device's
+    files are pulled to."""
+    return spark.readStream.text(folder)

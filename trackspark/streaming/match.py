@@ -2,22 +2,72 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def drained(stream: DataFrame, name: str | None = None) -> DataFrame:
-    """Runs a stream over all that is there now, and returns what it has appended, as a table in memory
-    of the driver: for tests and small results. Long runs should write to a sink of their own."""
-    name = name or f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+
+def _new_folder(spark: SparkSession) -> str:
+    """A folder not used before: below spark.checkpoint.dir, or, where that is unset, on one machine, a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="trackspark-")
+    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def start(stream: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
+    """Starts a stream that appends Parquet files to folder/data and keeps its progress in
+    folder/checkpoint, so that a restart goes on where it ended: every so often ("200 milliseconds"), or
+    else over what is there now, in batches, and then ends."""
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/data").option("checkpointLocation", f"{folder}/checkpoint")
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def written(stream: DataFrame, folder: str) -> DataFrame:
+    """What a stream of this schema has written to the folder."""
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/data")
+
+
+def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
+    """Runs a stream over all that is there now, and returns what it has written as a table."""
+    folder = folder or _new_folder(stream.sparkSession)
+    start(stream, folder).awaitTermination()
+    return written(stream, folder)
+
+
+class Live:
+    """Streams that run until stopped, by name. A stream that has failed fails health() and stop() with its
+    own error; started anew on the same folder it goes on from its checkpoint."""
+
+    def __init__(self, streams: Mapping[str, DataFrame], folder: str, every: str = "200 milliseconds"):
+        self.streams, self.folder = dict(streams), folder
+        self.queries = {name: start(s, f"{folder}/{name}", every) for name, s in self.streams.items()}
+
+    def health(self) -> dict[str, bool]:
+        """Which streams have read anything yet; raises the error of one that has died."""
+        for name, q in self.queries.items():
+            if q.exception() is not None:
+                raise RuntimeError(f"stream {name} died: {q.exception()}")
+        return {name: any(p["numInputRows"] for p in q.recentProgress) for name, q in self.queries.items()}
+
+    def stop(self) -> dict[str, DataFrame]:
+        """Works off what has come, stops all streams, and returns what they have written."""
+        try:
+            for q in self.queries.values():
+                q.processAllAvailable()
+        finally:
+            for q in self.queries.values():
+                q.stop()
+        return {name: written(s, f"{self.folder}/{name}") for name, s in self.streams.items()}
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -50,12 +100,16 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, tolerance: str,
     return a.join(b, within).select(F.col(f"a.{key}").alias(key), F.col("a.id").alias("id"), F.col("a.ts").alias("ts"), F.col("b.id").alias("ref_id"), (delta / 1000).alias("delta_ms"))
 
 
-def matched_now(stream: DataFrame, keep: int = 64) -> DataFrame:
+def matched_now(stream: DataFrame, keep: int = 64, idle_ms: int | None = None) -> DataFrame:
     """Emit-now nearest match, per key of one stream of both sides (key, side, id, t): each "left" row
     takes, of the last keep "right" rows that have come, the nearest in t (equally near: the oldest;
-    without t: the latest), and is never revised. State is a ring of keep rows a key."""
+    without t: the latest), and is never revised. State is a ring of keep rows a key;
+    with idle_ms, for streams that run on, it is dropped when nothing has come for so long."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         ids, times = state.get if state.exists else ([], [])
         ids, times, out = list(ids), list(times), []
         # in a batch: by arrival, right rows first among rows of one time
@@ -71,15 +125,21 @@ def matched_now(stream: DataFrame, keep: int = 64) -> DataFrame:
             has = bool(ids)
             out.append((key[0], int(r.id), ids[best] if has else None, float(r.t - times[best]) if has and not pd.isna(r.t) else None))
         state.update((ids, times))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["key", "id", "ref_id", "delta"]).astype({"ref_id": "Int64"})
 
-    return stream.groupBy("key").applyInPandasWithState(step, "key long, id long, ref_id long, delta double", "ids array<long>, times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("key").applyInPandasWithState(step, "key long, id long, ref_id long, delta double", "ids array<long>, times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
-def smoothed_now(stream: DataFrame, alpha: float) -> DataFrame:
-    """Exponential smoothing as state, per key of a stream (key, seq, x); missing values are skipped."""
+def smoothed_now(stream: DataFrame, alpha: float, idle_ms: int | None = None) -> DataFrame:
+    """Exponential smoothing as state, per key of a stream (key, seq, x); missing values are skipped. With
+    idle_ms, for streams that run on, the state of a key is dropped when nothing has come for so long."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         rows, out = pd.concat(list(frames), ignore_index=True).sort_values("seq"), []
         for r in rows.itertuples():
@@ -87,6 +147,8 @@ def smoothed_now(stream: DataFrame, alpha: float) -> DataFrame:
                 last = float(r.x) if last is None else alpha * float(r.x) + (1 - alpha) * last
             out.append((key[0], int(r.seq), None if pd.isna(r.x) else last))
         state.update((last,))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["key", "seq", "smoothed"])
 
-    return stream.groupBy("key").applyInPandasWithState(step, "key long, seq long, smoothed double", "last double", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy("key").applyInPandasWithState(step, "key long, seq long, smoothed double", "last double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
