@@ -90,7 +90,7 @@ class BruteKneserNey:
     def __init__(self, texts, order):
         self.order, self.levels = order, [collections.Counter()]
         for text in texts:
-            chars = "\x01" * (order - 1) + re.sub(r"[ \t-\r]+", " ", text.lower()) + " "
+            chars = "\x01" * (order - 1) + re.sub(r"[ \t-\r]+", " ", text.lower() + " ")
             self.levels[0].update(chars[k : k + order] for k in range(len(chars) - order + 1))
         for _ in range(order - 1):
             self.levels.append(collections.Counter(g[1:] for g in self.levels[-1]))
@@ -116,13 +116,13 @@ class BruteKneserNey:
 
 @pytest.mark.parametrize("order", [3, 5])
 def test_probabilities_match_the_definition(spark, order):
-    texts = [prose("aa", 30, k) for k in range(6)] + ["Ünlike  thé\nothers\x00!", "漢字仮名交じり文", "x"]
+    texts = [prose("aa", 30, k) for k in range(6)] + ["Ünlike  thé\nothers\x00!", " ends in blanks \n", "漢字仮名交じり文", "x"]
     brute = BruteKneserNey([t.replace("\x00", "\x01") for t in texts], order)
     rows = [(k, None, t) for k, t in enumerate(texts)]
     out = quality.score(spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3), order, most=200).collect()
     assert len(out) == len(texts)
     for r in out:
-        chars = "\x01" * (order - 1) + re.sub(r"[ \t-\r]+", " ", texts[r.doc_id].replace("\x00", "\x01").lower()) + " "
+        chars = "\x01" * (order - 1) + re.sub(r"[ \t-\r]+", " ", texts[r.doc_id].replace("\x00", "\x01").lower() + " ")
         grams = [chars[k : k + order] for k in range(len(chars) - order + 1)]
         want = -sum(np.log(brute.p(g, 1)) for g in grams) / len(grams)
         assert abs(r.log_perplexity - want) < 1e-5, texts[r.doc_id]
@@ -148,7 +148,7 @@ def test_counts_cover_all_documents_in_every_script(spark):
         found.update({(r.lang, g): n for g, n in zip(r.grams, r.n, strict=True)})
     want = collections.Counter()
     for _, lang, t in rows:
-        chars = "\x01" * 3 + t.lower() + " "
+        chars = "\x01" * 3 + re.sub(r"[ \t-\r]+", " ", t.lower() + " ")
         want.update((lang, chars[k : k + 4]) for k in range(len(chars) - 3))
     assert found == want
 

@@ -65,6 +65,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_in_buckets(df: DataFrame, column: str) -> DataFrame:
+    """cut_lineage, in as many buckets of column as a shuffle has partitions: joins on column take the
+    table as it lies."""
+    spark = df.sparkSession
+    path, name = new_folder(spark, "buckets"), f"trackspark_{uuid.uuid4().hex}"
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 @atexit.register
 def drop_scratch(since: int = 0) -> None:
     """Removes the tables that cut_lineage has written, but the first since ones."""

@@ -21,24 +21,27 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, bounded_batches, cut_lineage
+from .common import WORD, bounded_batches, cut_in_buckets, cut_lineage
 
 #: Symbols of an n-gram.
-ORDER = 5
+ORDER = 4
 #: What stands before a text, and instead of U+0000 within it.
 START = 1
 #: Characters of a chunk of texts.
 CHUNK = 1 << 25
 SYMBOLS = "#*$%&|<>"
 _WORDS = re.compile(WORD)
-_SPACES = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def symbols(text: str, order: int = ORDER) -> np.ndarray:
     """Code points of the lower-cased text, runs of white space as one space, led by order - 1 start
     symbols and followed by a space."""
-    codes = np.frombuffer(f"{_SPACES.sub(' ', text.lower())} ".encode("utf-32-le", "surrogatepass"), np.uint32)
-    return np.concatenate([np.full(order - 1, START, np.uint32), np.maximum(codes, START)])
+    codes = np.frombuffer(f"{text.lower()} ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = (codes == 32) | ((codes >= 9) & (codes <= 13))
+    keep = ~blank
+    keep[0] = True
+    keep[1:] |= ~blank[:-1]
+    return np.concatenate([np.full(order - 1, START, np.uint32), np.where(blank, np.uint32(32), np.maximum(codes, START))[keep]])
 
 
 def hashed(windows: np.ndarray) -> np.ndarray:
@@ -134,7 +137,7 @@ _CHUNKS = "chunk long, lang string, docs binary, grams array<string>, n array<lo
 
 def _packed(rows: list[tuple]) -> bytes:
     batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _DOCS, strict=True)], schema=_DOCS)
-    return zstandard.ZstdCompressor(level=6).compress(batch.serialize().to_pybytes())
+    return zstandard.ZstdCompressor(level=3).compress(batch.serialize().to_pybytes())
 
 
 def chunks(docs: DataFrame, order: int, most: int) -> DataFrame:
@@ -215,6 +218,35 @@ def model(counts: DataFrame, order: int) -> DataFrame:
     raise ValueError("order must be 1 at least")
 
 
+def _means(texts: list[str], hashes: np.ndarray, logp: np.ndarray, order: int) -> list[float | None]:
+    """The mean of logp over the n-grams of each text, by their place in the sorted hashes; None without text."""
+    totals, counts = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    held: list[np.ndarray] = []
+    of: list[int] = []
+
+    def look_up() -> None:
+        found = pa.array(np.concatenate(held)).dictionary_encode()
+        each = logp[np.searchsorted(hashes, found.dictionary.to_numpy())][found.indices.to_numpy()]
+        np.add.at(totals, of, np.add.reduceat(each, np.cumsum([0, *map(len, held)])[:-1]))
+        held.clear()
+        of.clear()
+
+    size = 0
+    for k, text in enumerate(texts):
+        codes = symbols(text, order) if text else np.zeros(0, np.uint32)
+        for at in range(0, len(codes) - order + 1, 1 << 20):
+            held.append(hashed(ngrams(codes[at : at + (1 << 20) + order - 1], order)))
+            of.append(k)
+            counts[k] += len(held[-1])
+            size += len(held[-1])
+            if size >= 1 << 20:
+                look_up()
+                size = 0
+    if held:
+        look_up()
+    return [float(t / n) if n else None for t, n in zip(totals, counts, strict=True)]
+
+
 def _scored(rows: DataFrame, order: int) -> DataFrame:
     """STATISTICS of the texts in rows (lang, docs, grams, found: idx and logp of each n-gram)."""
 
@@ -232,15 +264,7 @@ def _scored(rows: DataFrame, order: int) -> DataFrame:
                 if np.isnan(logp).any():
                     raise ValueError("n-grams of a text are missing from the model")
 
-                def mean(text: str) -> float:
-                    codes, total = symbols(text, order), 0.0
-                    n = len(codes) - order + 1
-                    for at in range(0, n, 1 << 20):
-                        wanted = hashed(ngrams(codes[at : at + (1 << 20) + order - 1], order))
-                        total += float(logp[np.searchsorted(hashes, wanted)].sum())
-                    return total / n
-
-                values = [-mean(t) if t else None for t in docs.column(1).to_pylist()]
+                values = [None if x is None else -x for x in _means(docs.column(1).to_pylist(), hashes, logp, order)]
                 yield pa.RecordBatch.from_arrays([docs.column(0), pa.array([lang] * docs.num_rows, pa.string()), *(docs.column(c) for c in range(2, 7)), pa.array(values, pa.float64())], [x.split()[0] for x in STATISTICS.split(", ")])
 
     return rows.mapInArrow(work, STATISTICS)
@@ -248,7 +272,7 @@ def _scored(rows: DataFrame, order: int) -> DataFrame:
 
 def score(docs: DataFrame, order: int = ORDER, most: int = CHUNK) -> DataFrame:
     """STATISTICS of each row of docs (doc_id, lang, text); log_perplexity is null without text."""
-    held = cut_lineage(chunks(docs, order, most))
+    held = cut_in_buckets(chunks(docs, order, most), "chunk")  # so the texts in it are never shuffled
     # null is a language, and not the empty string
     key = F.coalesce(F.concat(F.lit("+"), F.col("lang")), F.lit("-")).alias("key")
     asked = held.select("chunk", key, F.posexplode(F.arrays_zip("grams", "n")).alias("idx", "g")).select("chunk", "idx", "key", F.col("g.grams").alias("gram"), F.col("g.n").alias("n"))
@@ -257,7 +281,7 @@ def score(docs: DataFrame, order: int = ORDER, most: int = CHUNK) -> DataFrame:
     return _scored(held.join(told, "chunk", "left").select("lang", "docs", "grams", "found"), order)
 
 
-def judge_quality(docs: DataFrame, lower: float = 2.5, upper: float = 4.0, least_words: int = 50, most_repeated: int = 50, grid: int = 512, order: int = ORDER) -> DataFrame:
+def judge_quality(docs: DataFrame, lower: float = 4.0, upper: float = 6.0, least_words: int = 50, most_repeated: int = 50, grid: int = 512, order: int = ORDER) -> DataFrame:
     """doc_id, the statistics, base_failed, perplexity and kept of each row of docs (doc_id, lang, text).
 
     base_failed: fewer than least_words words, or over most_repeated per cent repeated words. kept:
