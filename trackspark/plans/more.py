@@ -402,7 +402,16 @@ def m8_shared_baseline_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
 _W = "PARTITION BY session_id, method, window_seconds, target"
 
 
-@query()
+_OWN = "PARTITION BY session_id, method ORDER BY beat_index"
+
+
+@query(f"""WITH {BEATS}, v AS (SELECT *, {_ewma_sql('pred_MAP', 0.3, _OWN + ' ROWS BETWEEN 117 PRECEDING AND CURRENT ROW')} AS sm, {_ewma_sql('pred_PP', 0.5, _OWN + ' ROWS BETWEEN 60 PRECEDING AND CURRENT ROW')} AS sp FROM beats WHERE status = 'F'),
+    m AS (SELECT session_id, median(ref_PP) AS c FROM beats GROUP BY session_id), d AS (SELECT session_id, any_value(c) AS c, median(abs(ref_PP - c)) AS mad FROM beats JOIN m USING (session_id) GROUP BY session_id),
+    k AS (SELECT v.* FROM v JOIN d USING (session_id) WHERE l_tax * 5000 <= 350 AND ref_PP BETWEEN greatest(c - greatest(8, 3 * 1.4826 * mad), 15) AND least(c + greatest(8, 3 * 1.4826 * mad), 100)),
+    p AS ({' UNION ALL '.join(f"SELECT session_id, method, '{s}' AS series, '{t}' AS target, ref_{t} AS ref, {x} AS pred FROM k" for s, xs in (('raw', {t: f'pred_{t}' for t in TARGETS}), ('smoothed', {'SBP': 'sm - sp / 3 + sp', 'DBP': 'sm - sp / 3', 'MAP': 'sm', 'PP': 'sp'})) for t, x in xs.items())}),
+    c AS (SELECT *, ref - median(ref) OVER w AS rc, pred - median(pred) OVER w AS pc FROM p WINDOW w AS (PARTITION BY session_id, method, series, target))
+    SELECT session_id, method, series, target, count(*) AS n, round(avg(abs(pred - ref)), 4) AS mae, round(sqrt(avg((pred - ref) ** 2)), 4) AS rmse, round({CORR.format(a='pred', b='ref')}, 4) AS corr,
+        round(CASE WHEN sum(rc * rc) = 0 THEN NULL ELSE sum(rc * pc) / sum(rc * rc) END, 4) AS tracking_gain FROM c GROUP BY ALL""")
 def e1_session_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merged beats to measures per session, method, series and target."""
     from . import sessions
