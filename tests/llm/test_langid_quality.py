@@ -164,7 +164,7 @@ def test_scrambled_and_gibberish_texts_are_odder(spark):
 def test_verdicts(spark):
     odd = [(5000 + k, prose("aa", 60, k) + " " + "qxzjkv " * 60, "aa") for k in range(2)]
     docs = corpus(spark).select("doc_id", "text", "lang").union(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
-    out = {r.doc_id: r for r in judge_quality(docs).collect()}
+    out = {r.doc_id: r for r in judge_quality(docs.withColumns({c: F.lit("clash") for c in ("kept", "chunk", "gram", "n_words")})).collect()}
     assert out[9000].base_failed and out[9001].n_words == 0 and not out[9001].kept
     assert not out[5000].kept and not out[5001].kept
     good = [r for k, r in out.items() if k is not None and k < 180 and not r.base_failed]

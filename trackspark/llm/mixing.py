@@ -50,7 +50,7 @@ def targets(sizes: DataFrame, cycle: int = 3, most: float = 3.0) -> DataFrame:
     return each.select("source", "source_size", F.least(stop, F.col("_level") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, seed: int = 0, cycle: int = 3, most: int = 3, buckets: int = 1024, slices: int = 1024, carry: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 0, cycle: int = 3, most: int = 3, digits: int = 3, slices: int = 1024, carry: Sequence[str] = ()) -> DataFrame:
     """The mix of docs (doc_id, source, text), in words: a row per copy of a document that it takes.
 
     Returns doc_id, source, size, source_size, target, doc_taken (words taken from all its copies),
@@ -65,7 +65,9 @@ def mix(docs: DataFrame, seed: int = 0, cycle: int = 3, most: int = 3, buckets:
     """
     # one narrow row per document; texts are read once
     sizes = cut_lineage(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *carry))
-    shuffled = sizes.withColumn("_hash", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1)), F.lit("doc"))).withColumn("_bucket", F.pmod(F.shiftrightunsigned("_hash", 20), F.lit(buckets)))
+    # hexadecimal, so that its first digits deal buckets in the order of the whole
+    shuffled = sizes.withColumn("_hash", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    shuffled = shuffled.withColumn("_bucket", F.left("_hash", F.lit(digits)))
     goal = targets(sizes, cycle, float(most))
     per = shuffled.groupBy("source", "_bucket").agg(F.sum("size").alias("_sum"))
     up_to = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,7 +90,7 @@ def mix(docs: DataFrame, seed: int = 0, cycle: int = 3, most: int = 3, buckets:
     rows = rows.select(*carry, "doc_id", "source", "size", "source_size", "target", "doc_taken", "_hash", "c.*")
     # the global order by finish time: slices of virtual time hold about budget / slices words each;
     # what the mix leaves out is spread over slices of its own
-    aside = (F.lit(-1) - F.pmod("_hash", F.lit(slices))).cast("int")
+    aside = (F.lit(-1) - F.pmod(F.xxhash64("_hash"), F.lit(slices))).cast("int")
     slice_ = F.least(F.floor(F.col("virtual_finish") * slices), F.lit(slices)).cast("int")
     rows = rows.withColumn("_slice", F.when(F.col("copy").isNull(), aside).otherwise(slice_))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)

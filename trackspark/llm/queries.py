@@ -122,6 +122,44 @@ ORACLES: dict[str, str] = {
             CASE WHEN n >= 1000 AND page_id <> last THEN last END AS refers_to
         FROM m
     """,
+    "op10_mixing": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+        ), s AS (
+            SELECT source, CAST(sum(size) AS DOUBLE) AS total, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source
+        ), w AS (
+            SELECT *, 3 * total / weight AS ratio, sum(total) OVER () AS words, sum(weight) OVER () AS weights,
+                coalesce(sum(3 * total) OVER b, 0) AS stopped, coalesce(sum(weight) OVER b, 0) AS gone
+            FROM s WINDOW b AS (ORDER BY 3 * total / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), l AS (SELECT *, CAST(words - stopped AS DOUBLE) / CAST(weights - gone AS DOUBLE) AS level FROM w
+        ), t AS (
+            SELECT source, total, least(3 * total, coalesce((SELECT max(level) FROM l WHERE level <= ratio), CAST('inf' AS DOUBLE)) * weight) AS target FROM l
+        ), c AS (
+            SELECT d.*, total, target, unnest([0, 1, 2]) AS k, sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id NULLS LAST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+            FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), e AS (
+            SELECT *, CAST(k * total + cum AS DOUBLE) / nullif(target, 0) AS finish, greatest(0, least(size, CAST(round(target) AS BIGINT) - (k * CAST(total AS BIGINT) + cum - size))) AS part FROM c
+        ), p AS (
+            SELECT *, sum(part) OVER (ORDER BY finish, source NULLS LAST, h, doc_id NULLS LAST, size, k) - part AS place FROM e WHERE part > 0
+        )
+        SELECT e.doc_id, CAST(any_value(e.size) AS BIGINT) AS size, CAST(any_value(e.total) AS BIGINT) AS source_size, any_value(e.target) AS target,
+            CAST(sum(e.part) AS BIGINT) AS taken, CAST(min(p.place) AS BIGINT) AS position
+        FROM e LEFT JOIN p ON p.doc_id = e.doc_id AND p.k = e.k GROUP BY e.doc_id
+    """,
+    "op7_near_duplicates": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), i AS (SELECT *, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0
+        ), sh AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS s FROM i
+        ), n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+        ), pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+        ), e AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+        ), reached AS (
+            SELECT doc_id AS node, doc_id AS low FROM documents UNION SELECT e.b, r.low FROM reached r JOIN e ON e.a = r.node AND r.low < e.b
+        )
+        SELECT node AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(low) AS component_id, node = min(low) AS kept
+        FROM reached LEFT JOIN n ON n.doc_id = node GROUP BY node
+    """,
     "op6_top_k": """
         WITH good AS (
             SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
