@@ -70,7 +70,7 @@ def test_every_token_lies_in_one_piece(spark):
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, n_tokens string, ids long")
     assert [r.n_tokens for r in count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).collect()] == [2]
-    assert [r.length for r in pack_documents(docs, tokenizer_path("word_bpe_49k.json")).collect()] == [3]
+    assert sum(r.length for r in pack_documents(docs, tokenizer_path("word_bpe_49k.json")).collect()) == 3
 
 
 def test_packing_an_empty_table(spark):

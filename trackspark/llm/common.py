@@ -20,6 +20,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder as a full URI, on the default file system if it names none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as a full URI: spark.checkpoint.dir, else the
     checkpoint folder that was set before; else, on a local master only, a new temporary folder.
@@ -30,8 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="trackspark-")
-    path = spark._jvm.org.apache.hadoop.fs.Path(found)
-    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    found = qualified(spark, found)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(found)
     return found.rstrip("/")
