@@ -18,6 +18,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
+_TABLES: dict[str, str] = {}
 
 
 def qualified(spark: SparkSession, folder: str) -> str:
@@ -75,6 +76,7 @@ def cut_in_buckets(df: DataFrame, column: str) -> DataFrame:
     table as it lies."""
     spark = df.sparkSession
     path, name = new_folder(spark, "buckets"), f"trackspark_{uuid.uuid4().hex}"
+    _TABLES[path] = name
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).format("parquet").saveAsTable(name)
     return spark.table(name)
 
@@ -87,6 +89,8 @@ def drop_scratch(since: int = 0) -> None:
         try:
             where = spark._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            if path in _TABLES:
+                spark.sql(f"DROP TABLE IF EXISTS {_TABLES.pop(path)}")
         except Exception:  # noqa: BLE001  the driver's JVM is gone already
             return
 

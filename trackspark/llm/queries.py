@@ -1,4 +1,4 @@
-"""The queries of the ten operators, with production parameters, over their whole tables."""
+"""The queries of the operators, with production parameters, over their whole tables."""
 
 from __future__ import annotations
 
@@ -98,6 +98,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", F.col("doc_taken").alias("taken"), "position")
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 50-byte strings of earlier ones."""
+    from .suffixdedup import remove_repeats
+
+    found = remove_repeats(_table(spark, sf_dir, "documents"), span=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
@@ -109,10 +118,29 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
+    "op11_repeats": op11_repeats,
 }
 
 #: SQL for DuckDB; what it can't express is tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
+    "op11_repeats": """
+        WITH d AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), p AS (SELECT doc_id, h, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50
+        ), f AS (
+            SELECT doc_id, p FROM (SELECT doc_id, p, substr(h, 2 * p + 1, 100) AS s FROM p) QUALIFY doc_id > min(doc_id) OVER (PARTITION BY s)
+        ), l AS (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS q FROM f
+        ), i AS (SELECT *, count_if(q IS NULL OR p > q + 50) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM l
+        ), r AS (SELECT doc_id, k, min(p) AS a, max(p) + 50 AS b FROM i GROUP BY doc_id, k
+        ), s AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS c FROM r
+        ), g AS (
+            SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, string_agg(substr(h, 2 * c + 1, 2 * (a - c)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept
+            FROM s JOIN d USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(coalesce(kept, h))) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id)
+    """,
     "op3_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
