@@ -107,6 +107,21 @@ def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after ten rounds of ball k-means with eight centroids."""
+    from .ballkmeans import cluster
+
+    found = cluster(_table(spark, sf_dir, "embeddings"), width=64, k=8, rounds=10, scale=1024, seed="3:")
+    return found.withColumn("centroid_sha256", F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)).drop("centroid")
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four whitened components."""
+    from .whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), scale=256, components=4)
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_language_id": op2_language_id,
@@ -119,10 +134,49 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
     "op11_repeats": op11_repeats,
+    "op12_clusters": op12_clusters,
+    "op13_whitening": op13_whitening,
 }
 
+
+
+def _clusters_sql(rounds: int = 10, k: int = 8) -> str:
+    """All distances in each round, unrolled."""
+    steps = [
+        f"""v AS MATERIALIZED (
+            SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), c0 AS MATERIALIZED (
+            SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) - 1 AS c, v AS m FROM v ORDER BY c LIMIT {k}
+        )"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+            SELECT vec_id, any_value(v) AS v, min({{'d': CAST(list_sum(list_transform(list_zip(v, m), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT), 'c': c}}) AS a
+            FROM v CROSS JOIN c{r} GROUP BY vec_id
+        )"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (
+            SELECT o.c, coalesce(n.m, o.m) AS m FROM c{r} o LEFT JOIN (
+                SELECT c, list(CAST((s - ((s % n + n) % n)) // n AS BIGINT) ORDER BY i) AS m
+                FROM (SELECT a.c AS c, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, unnest(range(1, 65)) AS t(i) GROUP BY a.c, i) GROUP BY c
+            ) n ON o.c = n.c
+        )"""
+            )
+    return f"""
+        WITH {", ".join(steps)}
+        SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, a.d AS distance, CAST(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+            CAST(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.m, ',')) AS centroid_sha256
+        FROM a{rounds} JOIN c{rounds} c ON a.c = c.c
+    """
+
+
 #: SQL for DuckDB; what it can't express is tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
+    "op12_clusters": _clusters_sql(),
     "op11_repeats": """
         WITH d AS (
             SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
