@@ -2,15 +2,17 @@
 
 Every window of 50 bytes is led to where its equals are by the smallest hash of its 20-byte strings, its
 anchor: equal windows have equal anchors. Documents are packed into chunks of a few megabytes. Buckets of
-anchors tell each chunk which of its anchors stand elsewhere too; of these alone the chunk sends the
-segments of text whose windows they lead, each distinct one once. The segments of an anchor are put
-one after the other, the suffix array of the whole is built by linear grouping (suffixes.py), and
-windows that stand side by side in it and agree are one string, with the smallest id of its documents.
-A bit per window goes back: whether a smaller id than the chunk's own has it.
+anchors tell each chunk which of its anchors stand elsewhere too. The windows that such an anchor leads make
+a segment of text; segments are named by a hash, so that copies are settled by the smallest id of their
+documents, and only one of each distinct segment is sent, and that only if its anchor has others. The
+segments of an anchor are put one after the other, the suffix array of the whole is built by linear grouping
+(suffixes.py), and windows that stand side by side in it and agree are one string, with the smallest id of its
+documents. A bit per window goes back: whether a smaller id than the chunk's own has it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, cut_in_buckets, cut_lineage, in_groups
-from .suffixes import _ranges, suffix_arrays
+from .suffixes import ranges, suffix_arrays
 
 LAST = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
@@ -96,116 +98,106 @@ def _key(hashes: np.ndarray, buckets: int) -> np.ndarray:
 def _by_bucket(keys: np.ndarray) -> Iterator[tuple[int, int, int]]:
     """bucket, first, end of each bucket in sorted keys."""
     bucket = (keys >> np.uint64(32)).astype(np.int64)
-    run = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
-    for a, b in zip(run, [*run[1:], len(bucket)], strict=True):
-        yield int(bucket[a]), int(a), int(b)
-
-
-class Chunk:
-    """A chunk's texts and the runs of windows in them."""
-
-    def __init__(self, row: dict, span: int, gram: int, buckets: int):
-        self.bytes, self.lengths = row["texts"], np.frombuffer(row["lengths"], np.int64)
-        self.data, self.span, self.buckets = np.frombuffer(self.bytes, np.uint8), span, buckets
-        self.ids = np.frombuffer(row["order"], np.int64)
-        self.starts, self.sizes, hashes = anchors(self.data, self.lengths, span, gram)
-        self.keys, self.key_of, self.times = np.unique(_key(hashes, buckets), return_inverse=True, return_counts=True)
-
-    def segments(self, flags: np.ndarray) -> None:
-        """What to ask for, told which keys are shared (1) or crowded (2): distinct segments, and of
-        crowded keys distinct windows, in the order of their keys: items (bytes), item_keys, least (the
-        smallest id here). Each run of a shared key has a segment, each segment a place in `windows` per window."""
-        flag = flags[self.key_of]
-        self.runs = np.flatnonzero(flag)
-        starts, sizes = self.starts[self.runs], self.sizes[self.runs]
-        ids = self.ids[np.searchsorted(np.cumsum(self.lengths), starts, "right")]
+    ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)).tolist() if len(bucket) else []
+    for a, b in zip([0, *ends], ends, strict=False):
+        yield int(bucket[a]), a, b
+
+
+class Runs:
+    """A chunk's runs of windows with shared anchors, and the distinct segments ("items") they are of, in
+    the order of the anchors' keys."""
+
+    #: What is kept of a chunk: where runs start and which item they are, where an item stands, its
+    #: number of windows, which document of those that have it has the smallest id.
+    KEPT = {"starts": np.int32, "item": np.int32, "begin": np.int32, "count": np.uint16, "least": np.int32}
+
+    def __init__(self, **kept: np.ndarray):
+        self.starts, self.item, self.begin, self.count, self.least = (kept[k].astype(np.int64) for k in self.KEPT)
+
+    @classmethod
+    def found(cls, text: bytes, starts: np.ndarray, sizes: np.ndarray, keys: np.ndarray, owner: np.ndarray, more: int) -> tuple[Runs, np.ndarray, bytes]:
+        """Runs that start there, of so many windows, with their keys, in the documents ranked so; also the
+        keys of the items, and their names, 8 bytes each."""
         known: dict[bytes, int] = {}
-        text, more = self.bytes, self.span - 1
-        self.segment = np.fromiter((known.setdefault(text[a:b], len(known)) for a, b in zip(starts.tolist(), (starts + sizes + more).tolist(), strict=True)), np.int64, len(starts))
-        least = np.full(len(known), LAST)
-        np.minimum.at(least, self.segment, ids)
-        some = np.zeros(len(known), np.int64)
-        some[self.segment] = np.arange(len(starts))  # a run of each segment
-        self.count, first = sizes[some], starts[some]
-        crowded = flag[self.runs][some] == 2
-        one = np.flatnonzero(crowded)
-        parts: dict[bytes, int] = {}
-        place, own = _ranges(first[one], self.count[one]), np.repeat(one, self.count[one])
-        part = np.fromiter((parts.setdefault(text[a : a + more + 1], len(parts)) for a in place.tolist()), np.int64, len(place))
-        low = np.full(len(parts), LAST)
-        np.minimum.at(low, part, least[own])
-        at = np.zeros(len(parts), np.int64)
-        at[part] = place
-        rest = np.flatnonzero(~crowded)
-        begin = np.concatenate([first[rest], at])
-        size = np.concatenate([self.count[rest] + more, np.full(len(at), self.span)])
-        keys = np.concatenate([self.keys[self.key_of[self.runs][some[rest]]], _key(self._window_hashes(at), self.buckets)])
+        item = np.fromiter((known.setdefault(text[a:b], len(known)) for a, b in zip(starts.tolist(), (starts + sizes + more).tolist(), strict=True)), np.int64, len(starts))
+        least, some = np.full(len(known), LAST), np.zeros(len(known), np.int64)
+        np.minimum.at(least, item, owner)
+        some[item] = np.arange(len(starts))
+        by = np.argsort(keys[some], kind="stable")
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        names = [hashlib.blake2b(x, digest_size=8).digest() for x in known]
+        runs = cls(starts=starts, item=place[item], begin=starts[some][by], count=sizes[some][by], least=least[by])
+        return runs, keys[some][by], b"".join(names[k] for k in by.tolist())
+
+    def kept(self) -> list[bytes]:
+        return [getattr(self, k).astype(kind).tobytes() for k, kind in self.KEPT.items()]
+
+
+class Sent:
+    """The items that a chunk sends, told what buckets say of each: nothing (0), a smaller id has it (1), send
+    (2), send its windows one by one (3). In the order of keys."""
+
+    def __init__(self, data: np.ndarray, runs: Runs, keys: np.ndarray, verdict: np.ndarray, span: int, buckets: int):
+        whole, single = np.flatnonzero(verdict == 2), np.flatnonzero(verdict == 3)
+        at = ranges(runs.begin[single], runs.count[single])
+        keys = np.concatenate([keys[whole], _key(_window_hashes(data, at, span), buckets)])
         by = np.argsort(keys, kind="stable")
-        self.item_keys, self.begin, self.size = keys[by], begin[by], size[by]
-        self.least = np.concatenate([least[rest], low])[by]
-        # where the windows of each segment are among those of all items
-        held = self.size - more
-        base = np.cumsum(held) - held
-        where = np.empty(len(by), np.int64)
-        where[by] = base
-        self.first_window = np.cumsum(self.count) - self.count
-        self.windows = np.zeros(int(self.count.sum()), np.int64)
-        self.windows[_ranges(self.first_window[rest], self.count[rest])] = _ranges(where[: len(rest)], self.count[rest])
-        self.windows[_ranges(self.first_window[one], self.count[one])] = where[len(rest) :][part]
-        self.window_least = np.repeat(self.least, held)
-
-    def _window_hashes(self, at: np.ndarray) -> np.ndarray:
-        powers = np.array([pow(_BASE, i, _MASK + 1) for i in range(self.span)], np.uint64)
-        view = np.lib.stride_tricks.sliding_window_view(self.data, self.span) if len(at) else None
-        return np.concatenate([np.zeros(0, np.uint64), *[_mixed((view[at[i : i + 65536]] * powers).sum(1, dtype=np.uint64)) for i in range(0, len(at), 65536)]])
-
-    def covered(self, earlier: np.ndarray) -> np.ndarray:
-        """Which bytes go, told for the windows of all items whether an id below the least one here has them."""
-        starts, count = self.starts[self.runs], self.count[self.segment]
-        ids = self.ids[np.searchsorted(np.cumsum(self.lengths), starts, "right")]
-        window = self.windows[_ranges(self.first_window[self.segment], count)]
-        gone = _ranges(starts, count)[earlier[window] | (np.repeat(ids, count) > self.window_least[window])]
-        step = np.zeros(len(self.data) + 1, np.int32)
-        np.add.at(step, gone, 1)
-        np.add.at(step, gone + self.span, -1)
-        return np.cumsum(step[:-1]) > 0
-
-
-def first_ids(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, least: np.ndarray, span: int, batch: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+        self.keys = keys[by]
+        self.item = np.concatenate([whole, np.repeat(single, runs.count[single])])[by]
+        self.begin = np.concatenate([runs.begin[whole], at])[by]
+        self.count = np.concatenate([runs.count[whole], np.ones(len(at), np.int64)])[by]
+
+    def earlier(self, runs: Runs, told: np.ndarray) -> np.ndarray:
+        """Whether a smaller id has it, for each window of each item of runs, told it of those sent."""
+        base = np.cumsum(runs.count) - runs.count
+        out = np.zeros(int(runs.count.sum()), bool)
+        out[ranges(base[self.item] + self.begin - runs.begin[self.item], self.count)] = told
+        return out
+
+
+def _window_hashes(data: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
+    powers = np.array([pow(_BASE, i, _MASK + 1) for i in range(span)], np.uint64)
+    view = np.lib.stride_tricks.sliding_window_view(data, span) if len(at) else None
+    return np.concatenate([np.zeros(0, np.uint64), *[_mixed((view[at[i : i + 65536]] * powers).sum(1, dtype=np.uint64)) for i in range(0, len(at), 65536)]])
+
+
+def first_ids(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, least: np.ndarray, span: int, batch: int = 1 << 20, crowd: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """The smallest id of each window of each of the segments in data, and where those of a segment
-    begin. Segments have a key, and the smallest id of their own; only those of one key share windows."""
-    begin, raw, more = np.cumsum(sizes) - sizes, data.tobytes(), span - 1
-    known: dict[tuple[int, bytes], int] = {}
-    same = np.fromiter((known.setdefault((k, raw[a : a + n]), len(known)) for k, a, n in zip(keys.tolist(), begin.tolist(), sizes.tolist(), strict=True)), np.int64, len(sizes))
-    low, some = np.full(len(known), LAST), np.zeros(len(known), np.int64)
-    np.minimum.at(low, same, least)
-    some[same] = np.arange(len(sizes))
-    begin, size, key = begin[some], sizes[some], keys[some]
-    base = np.cumsum(size - more) - (size - more)
-    first = np.repeat(low, size - more)
-    by = np.argsort(key, kind="stable")
-    run = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]])) if len(by) else np.zeros(0, np.int64)
+    begin. Segments have a key, and the smallest id of their own; equal windows are in segments of one key.
+    Keys with more than crowd segments have their windows sorted as strings instead, as a suffix array takes
+    as many steps as its text is long."""
+    begin, count = np.cumsum(sizes) - sizes, sizes - span + 1
+    base = np.cumsum(count) - count
+    first = np.repeat(least, count)
+    by = np.argsort(keys, kind="stable")
+    run = np.flatnonzero(np.concatenate([[True], keys[by][1:] != keys[by][:-1]])) if len(by) else np.zeros(0, np.int64)
     members = np.diff(np.append(run, len(by)))
-    run, members = run[members > 1], members[members > 1]
-    length = np.array([int(size[by[a : a + n]].sum()) + n + 1 for a, n in zip(run.tolist(), members.tolist(), strict=True)], np.int64)
+    crowded = by[ranges(run[members > crowd], members[members > crowd])]
+    if len(crowded):
+        place, window = ranges(begin[crowded], count[crowded]), ranges(base[crowded], count[crowded])
+        _, same = np.unique(np.ndarray(len(data) - span + 1, f"S{span}", data.tobytes(), 0, (1,))[place], return_inverse=True)
+        low = np.full(len(place), LAST)
+        np.minimum.at(low, same, first[window])
+        first[window] = low[same]
+    run, members = run[(members > 1) & (members <= crowd)], members[(members > 1) & (members <= crowd)]
+    ends = np.append(0, np.cumsum(sizes[by]))
+    length = ends[run + members] - ends[run] + members + 1
     order = np.argsort(length, kind="stable")  # texts of about one length go through the steps together
-    part = np.cumsum(length[order]) // batch if len(order) else order
+    part = np.cumsum(length[order]) // batch
     for b in np.unique(part):
         pick = order[part == b]
-        segment = by[_ranges(run[pick], members[pick])]
+        segment = by[ranges(run[pick], members[pick])]
         # a separator of 1 after each segment, 0 at the end of each text; bytes are 2 and more
-        closes = np.zeros(len(segment), np.int64)
-        closes[np.cumsum(members[pick]) - 1] = 1
-        cells = size[segment] + 1 + closes
+        cells = sizes[segment] + 1
+        cells[np.cumsum(members[pick]) - 1] += 1
         at = np.cumsum(cells) - cells
-        symbols = np.ones(int(cells.sum()), np.int64)
-        source = _ranges(begin[segment], size[segment])
-        symbols[_ranges(at, size[segment])] = data[source].astype(np.int64) + 2
+        symbols = np.ones(int(cells.sum()), np.int16)
+        symbols[ranges(at, sizes[segment])] = data[ranges(begin[segment], sizes[segment])].astype(np.int16) + 2
         symbols[np.cumsum(length[pick]) - 1] = 0
-        window = np.full(len(symbols), -1)
-        window[_ranges(at, size[segment] - more)] = _ranges(base[segment], size[segment] - more)
-        text = np.zeros(len(symbols), np.int64)
-        text[_ranges(at, size[segment])] = source
+        window, text = np.full(len(symbols), -1), np.zeros(len(symbols), np.int64)
+        window[ranges(at, count[segment])] = ranges(base[segment], count[segment])
+        text[ranges(at, count[segment])] = ranges(begin[segment], count[segment])
         array = suffix_arrays(symbols, length[pick])
         array = array[window[array] >= 0]
         view, place = np.lib.stride_tricks.sliding_window_view(data, span), text[array]
@@ -213,14 +205,13 @@ def first_ids(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, least: np.n
         for i in range(1, len(array), 65536):
             j = min(len(array), i + 65536)
             differs[i:j] = (view[place[i:j]] != view[place[i - 1 : j - 1]]).any(1)
-        window = window[array]
-        head = np.flatnonzero(differs)
+        window, head = window[array], np.flatnonzero(differs)
         first[window] = np.repeat(np.minimum.reduceat(first[window], head), np.diff(np.append(head, len(array))))
-    return first, base[same]
+    return first, base
 
 
 def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
-    """chunk, ids, order (of ids, null last), lengths, texts: documents side by side."""
+    """chunk, ids, order (of ids, null last), lengths, texts: documents side by side, texts compressed."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, ids, texts, held = TaskContext.get().partitionId() << 32, [], [], 0
@@ -228,7 +219,7 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         def out() -> pa.RecordBatch:
             order = np.array([LAST if i is None else i for i in ids], np.int64).tobytes()
             lengths = np.array([len(t) for t in texts], np.int64).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in (order, lengths, b"".join(texts))]], ["chunk", "ids", "order", "lengths", "texts"])
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), *[pa.array([x], pa.binary()) for x in (order, lengths, pa.compress(b"".join(texts), "zstd", asbytes=True))]], ["chunk", "ids", "order", "lengths", "texts"])
 
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -256,12 +247,30 @@ def _rows(make: Callable[[dict], Iterator[tuple]], names: list[str], types: list
     return over
 
 
-def _told(answers: list[dict] | None, kind: type) -> np.ndarray:
+class Texts:
+    """The documents of a chunk."""
+
+    def __init__(self, row: dict):
+        self.lengths, self.order = np.frombuffer(row["lengths"], np.int64), np.frombuffer(row["order"], np.int64)
+        self.bytes = pa.decompress(row["texts"], int(self.lengths.sum()), "zstd", asbytes=True) if self.lengths.any() else b""
+        self.data, self.ends = np.frombuffer(self.bytes, np.uint8), np.cumsum(self.lengths)
+        # documents by the order of their ids, equal ids by the first of them
+        self.ranked, self.rank = np.unique(self.order, return_inverse=True)
+
+    def document(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, "right")
+
+
+def _told(answers: list[dict] | None) -> list[bytes]:
     """What the buckets told a chunk, in the order of its keys."""
-    return np.concatenate([np.zeros(0, kind), *[np.frombuffer(a["told"], kind) for a in sorted(answers or [], key=lambda a: a["bucket"])]])
+    return [a["told"] for a in sorted(answers or [], key=lambda a: a["bucket"])]
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, gram: int = 20, chunk_bytes: int = 1 << 22, crowd: int = 64, batch_bytes: int = 1 << 24) -> DataFrame:
+def _bits(told: list[bytes], counts: list[int]) -> np.ndarray:
+    return np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(t, np.uint8), count=n).astype(bool) for t, n in zip(told, counts, strict=True)]])
+
+
+def remove_repeats(docs: DataFrame, span: int = 50, gram: int = 20, chunk_bytes: int = 1 << 22, crowd: int = 4096, batch_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, length in bytes), kept (binary): each text of docs (doc_id,
     text) in UTF-8 without the bytes covered by a string of span bytes that also starts in a document
     with a smaller doc_id. Strings are judged on the input, and never cross documents.
@@ -270,12 +279,12 @@ def remove_repeats(docs: DataFrame, span: int = 50, gram: int = 20, chunk_bytes:
     one another and keep what they share; repeated rows so keep their text. Kept bytes may end within a
     character. Other columns are ignored, an empty table gives no rows.
 
-    Texts are shuffled once, into a table in buckets that is read for each of the steps; beyond that,
-    4 bytes per anchor (one in 16 of text) and the distinct segments of shared anchors of each chunk.
-    What many documents share is sent once per chunk, so a hot passage has as many rows as there are
-    chunks. Anchors with more than crowd runs send their windows one by one, dealt by their own
-    hashes, so that no anchor gathers an unbounded text. There are four buckets per shuffle partition;
-    a bucket's anchors, and a hot window of every chunk, must fit in a task."""
+    Texts are shuffled once, compressed, into a table in buckets that the steps read as it lies. Beyond that
+    go 5 bytes per distinct anchor of a chunk (one in 16 of text), 20 per distinct segment of a shared anchor,
+    and each distinct segment that has unlike ones beside it once. What many documents share has a row per
+    chunk, no text. Anchors with more than crowd distinct segments send their windows one by one, dealt by
+    their own hashes, so that no anchor gathers an unbounded text. There are four buckets per shuffle
+    partition; what chunks ask of a bucket must fit in a task."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -284,39 +293,93 @@ def remove_repeats(docs: DataFrame, span: int = 50, gram: int = 20, chunk_bytes:
     chunks = _chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), texts), chunk_bytes)
     chunks = cut_in_buckets(chunks.repartition(n, "chunk"), "chunk")
 
+    def answered(rows: DataFrame, start: Callable, name: str) -> DataFrame:
+        """What a bucket's worker tells, as a list per chunk."""
+        told = cut_lineage(in_groups(rows, ["bucket"], start, "chunk long, bucket int, told binary"))
+        return told.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "told")).alias(name))
+
+    def reply(rows: pa.Table, told: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([rows.column("chunk").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array(told, binary)], ["chunk", "bucket", "told"])
+
+    def parts(rows: pa.Table, **kinds: type) -> list[list[np.ndarray]]:
+        return [[np.frombuffer(x.as_buffer(), kind) for x in rows.column(c)] for c, kind in kinds.items()]
+
+    # which anchors stand more than once
     def ask(row: dict) -> Iterator[tuple]:
-        c = Chunk(row, span, gram, buckets)
-        keys, times = c.keys.astype(np.uint32), np.minimum(c.times, 255).astype(np.uint8)
-        for bucket, a, b in _by_bucket(c.keys):
-            yield bucket, row["chunk"], keys[a:b].tobytes(), times[a:b].tobytes()
+        t = Texts(row)
+        keys, times = np.unique(_key(anchors(t.data, t.lengths, span, gram)[2], buckets), return_counts=True)
+        low, many = keys.astype(np.uint32), times > 1
+        for bucket, a, b in _by_bucket(keys):
+            yield bucket, row["chunk"], low[a:b].tobytes(), many[a:b].tobytes()
 
-    def tell() -> Callable:
-        def shared(rows: pa.Table | None) -> Iterator[pa.RecordBatch]:
+    def share() -> Callable:
+        def over(rows: pa.Table | None) -> Iterator[pa.RecordBatch]:
             if rows is None:
                 return
-            keys = [np.frombuffer(x.as_buffer(), np.uint32) for x in rows.column("keys")]
-            times = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for x in rows.column("times")])
+            keys, many = parts(rows, keys=np.uint32, many=np.uint8)
+            ends = np.cumsum([len(k) for k in keys]).tolist()
             _, at = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(at, times)[at]
-            flags = ((total > 1).astype(np.uint8) + (total > crowd)).tobytes()
-            ends = np.cumsum([len(k) for k in keys])
-            told = [flags[e - len(k) : e] for e, k in zip(ends.tolist(), keys, strict=True)]
-            yield pa.RecordBatch.from_arrays([rows.column("chunk").combine_chunks(), rows.column("bucket").combine_chunks(), pa.array(told, binary)], ["chunk", "bucket", "told"])
+            shared = (np.bincount(at, 1 + np.concatenate(many)) > 1)[at]
+            yield reply(rows, [np.packbits(shared[e - len(k) : e]).tobytes() for e, k in zip(ends, keys, strict=True)])
 
-        return shared
+        return over
+
+    source = ["chunk", "order", "lengths", "texts"]
+    asked = chunks.select(*source).mapInArrow(_rows(ask, ["bucket", "chunk", "keys", "many"], [pa.int32(), pa.int64(), binary, binary]), "bucket int, chunk long, keys binary, many binary")
+    shared = answered(asked, share, "shared")
+
+    # which segments of theirs are copies, which have others beside them
+    names = ["chunk", "bucket", "keys", "names", "owners", *Runs.KEPT]
+
+    def name(row: dict) -> Iterator[tuple]:
+        t = Texts(row)
+        starts, sizes, hashes = anchors(t.data, t.lengths, span, gram)
+        keys, at = np.unique(_key(hashes, buckets), return_inverse=True)
+        pick = np.flatnonzero(_bits(_told(row["shared"]), [b - a for _, a, b in _by_bucket(keys)])[at])
+        runs, keys, called = Runs.found(t.bytes, starts[pick], sizes[pick], keys[at[pick]], t.rank[t.document(starts[pick])], span - 1)
+        low, owners = keys.astype(np.uint32), t.ranked[runs.least] if len(keys) else keys
+        yield row["chunk"], -1, keys.tobytes(), None, None, *runs.kept()
+        for bucket, a, b in _by_bucket(keys):
+            yield row["chunk"], bucket, low[a:b].tobytes(), called[8 * a : 8 * b], owners[a:b].tobytes(), *[None] * len(Runs.KEPT)
+
+    def judge() -> Callable:
+        def over(rows: pa.Table | None) -> Iterator[pa.RecordBatch]:
+            if rows is None:
+                return
+            keys, called, owners = parts(rows, keys=np.uint32, names=np.uint64, owners=np.int64)
+            ends, key, owner = np.cumsum([len(k) for k in keys]).tolist(), np.concatenate(keys), np.concatenate(owners)
+            by = np.lexsort((np.concatenate(called), key))
+            new = np.concatenate([[True], (key[by][1:] != key[by][:-1]) | (np.concatenate(called)[by][1:] != np.concatenate(called)[by][:-1])])
+            segment = np.empty(len(by), np.int64)
+            segment[by] = np.cumsum(new) - 1
+            least = np.full(int(new.sum()), LAST)
+            np.minimum.at(least, segment, owner)
+            _, of = np.unique(key[by][new], return_inverse=True)
+            others = np.bincount(of)[of][segment]
+            verdict = np.where(owner > least[segment], 1, np.where(others > crowd, 3, np.where(others > 1, 2, 0))).astype(np.uint8).tobytes()
+            yield reply(rows, [verdict[e - len(k) : e] for e, k in zip(ends, keys, strict=True)])
+
+        return over
 
-    def answered(answers: DataFrame, name: str) -> DataFrame:
-        return answers.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "told")).alias(name))
+    kinds = [pa.int64(), pa.int32(), *[binary] * 8]
+    schema = "chunk long, bucket int, keys binary, names binary, owners binary, " + ", ".join(f"{k} binary" for k in Runs.KEPT)
+    named = cut_in_buckets(chunks.join(shared, "chunk", "left").select(*source, "shared").mapInArrow(_rows(name, names, kinds), schema), "chunk")
+    verdicts = answered(named.where("bucket >= 0").select("chunk", "bucket", "keys", "names", "owners"), judge, "verdicts")
+    known = chunks.join(named.where("bucket = -1").select("chunk", "keys", *Runs.KEPT), "chunk").join(verdicts, "chunk", "left")
+    source = ["chunk", "ids", "order", "lengths", "texts", "keys", *Runs.KEPT, "verdicts"]
 
-    asked = chunks.select("chunk", "order", "lengths", "texts").mapInArrow(_rows(ask, ["bucket", "chunk", "keys", "times"], [pa.int32(), pa.int64(), binary, binary]), "bucket int, chunk long, keys binary, times binary")
-    flags = answered(cut_lineage(in_groups(asked, ["bucket"], tell, "chunk long, bucket int, told binary")), "flags")
+    def taken_up(row: dict) -> tuple[Texts, Runs, np.ndarray, Sent]:
+        t, runs = Texts(row), Runs(**{k: np.frombuffer(row[k], kind) for k, kind in Runs.KEPT.items()})
+        verdict = np.frombuffer(b"".join(_told(row["verdicts"])), np.uint8)
+        return t, runs, verdict, Sent(t.data, runs, np.frombuffer(row["keys"], np.uint64), verdict, span, buckets)
 
+    # the strings that unlike segments share
     def send(row: dict) -> Iterator[tuple]:
-        c = Chunk(row, span, gram, buckets)
-        c.segments(_told(row["flags"], np.uint8))
-        keys, sizes = c.item_keys.astype(np.uint32), c.size.astype(np.uint16)
-        for bucket, a, b in _by_bucket(c.item_keys):
-            yield bucket, row["chunk"], keys[a:b].tobytes(), sizes[a:b].tobytes(), c.data[_ranges(c.begin[a:b], c.size[a:b])].tobytes(), c.least[a:b].tobytes()
+        t, runs, _, sent = taken_up(row)
+        low, sizes = sent.keys.astype(np.uint32), (sent.count + span - 1).astype(np.uint16)
+        owners = t.ranked[runs.least[sent.item]] if len(low) else sent.item
+        for bucket, a, b in _by_bucket(sent.keys):
+            yield bucket, row["chunk"], low[a:b].tobytes(), sizes[a:b].tobytes(), t.data[ranges(sent.begin[a:b], sizes[a:b].astype(np.int64))].tobytes(), owners[a:b].tobytes()
 
     def resolve() -> Callable:
         held: list[pa.Table] = []
@@ -328,34 +391,34 @@ def remove_repeats(docs: DataFrame, span: int = 50, gram: int = 20, chunk_bytes:
                 return
             table = pa.concat_tables(held)
             held.clear()
-            joined = {c: [np.frombuffer(x.as_buffer(), kind) for x in table.column(c)] for c, kind in (("keys", np.uint32), ("sizes", np.uint16), ("segments", np.uint8), ("least", np.int64))}
-            many = [len(k) for k in joined["keys"]]
-            keys = np.repeat(table.column("bucket").to_numpy().astype(np.uint64) << np.uint64(32), many) | np.concatenate(joined["keys"])
-            sizes, least = np.concatenate(joined["sizes"]).astype(np.int64), np.concatenate(joined["least"])
-            first, base = first_ids(np.concatenate(joined["segments"]), sizes, keys, least, span)
-            told, at = [], 0
-            for m in many:
-                count = sizes[at : at + m] - span + 1
-                told.append((first[_ranges(base[at : at + m], count)] < np.repeat(least[at : at + m], count)).tobytes())
-                at += m
-            yield pa.RecordBatch.from_arrays([table.column("chunk").combine_chunks(), table.column("bucket").combine_chunks(), pa.array(told, binary)], ["chunk", "bucket", "told"])
+            keys, sizes, segments, owners = parts(table, keys=np.uint32, sizes=np.uint16, segments=np.uint8, owners=np.int64)
+            many = [len(k) for k in keys]
+            key = np.repeat(table.column("bucket").to_numpy().astype(np.uint64) << np.uint64(32), many) | np.concatenate(keys)
+            size, owner = np.concatenate(sizes).astype(np.int64), np.concatenate(owners)
+            first, _ = first_ids(np.concatenate(segments), size, key, owner, span)
+            earlier = first < np.repeat(owner, size - span + 1)
+            ends = np.cumsum([int(s.sum(dtype=np.int64)) - (span - 1) * len(s) for s in sizes]).tolist()
+            yield reply(table, [np.packbits(earlier[a:b]).tobytes() for a, b in zip([0, *ends], ends, strict=False)])
 
         return over
 
-    with_flags = chunks.join(flags, "chunk", "left")
-    sent = with_flags.select("chunk", "order", "lengths", "texts", "flags").mapInArrow(_rows(send, ["bucket", "chunk", "keys", "sizes", "segments", "least"], [pa.int32(), pa.int64(), *[binary] * 4]), "bucket int, chunk long, keys binary, sizes binary, segments binary, least binary")
-    earlier = answered(cut_lineage(in_groups(sent, ["bucket"], resolve, "chunk long, bucket int, told binary")), "earlier")
+    sent = known.select(*source).mapInArrow(_rows(send, ["bucket", "chunk", "keys", "sizes", "segments", "owners"], [pa.int32(), pa.int64(), *[binary] * 4]), "bucket int, chunk long, keys binary, sizes binary, segments binary, owners binary")
+    earlier = answered(sent, resolve, "earlier")
 
     def cut(row: dict) -> Iterator[tuple]:
-        c = Chunk(row, span, gram, buckets)
-        c.segments(_told(row["flags"], np.uint8))
-        gone, end = c.covered(_told(row["earlier"], bool)), 0
-        for doc_id, length in zip(row["ids"], c.lengths.tolist(), strict=True):
-            data, g = c.data[end : end + length], gone[end : end + length]
+        t, runs, verdict, sent = taken_up(row)
+        told = _bits(_told(row["earlier"]), [int(sent.count[a:b].sum()) for _, a, b in _by_bucket(sent.keys)])
+        windows, base = sent.earlier(runs, told), np.cumsum(runs.count) - runs.count
+        count, whole = runs.count[runs.item], (verdict == 1)[runs.item] | (t.rank[t.document(runs.starts)] > runs.least[runs.item])
+        gone = ranges(runs.starts, count)[np.repeat(whole, count) | windows[ranges(base[runs.item], count)]]
+        covers = np.bincount(gone, minlength=len(t.data) + 1) - np.bincount(gone + span, minlength=len(t.data) + 1)
+        out, start = np.cumsum(covers[:-1]) > 0, 0
+        for doc_id, length in zip(row["ids"], t.lengths.tolist(), strict=True):
+            data, g = t.data[start : start + length], out[start : start + length]
+            start += length
             edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8))).reshape(-1, 2)
             yield doc_id, length, [{"start": a, "length": b - a} for a, b in edge.tolist()], data[~g].tobytes() if len(edge) else data.tobytes()
-            end += length
 
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
-    whole = with_flags.join(earlier, "chunk", "left").select("ids", "order", "lengths", "texts", "flags", "earlier")
+    whole = known.join(earlier, "chunk", "left").select(*source, "earlier")
     return whole.mapInArrow(_rows(cut, ["doc_id", "n_bytes", "spans", "kept"], [pa.int64(), pa.int64(), kind, binary]), "doc_id long, n_bytes long, spans array<struct<start: long, length: long>>, kept binary")

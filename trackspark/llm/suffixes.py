@@ -16,7 +16,7 @@ from __future__ import annotations
 import numpy as np
 
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All of start, start + 1, ..., start + size - 1, one range after the other."""
     ends = np.cumsum(sizes)
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
@@ -28,23 +28,24 @@ def suffix_arrays(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     n, starts = len(symbols), np.cumsum(lengths) - lengths
     if not n:
         return np.zeros(0, np.int64)
-    text = np.repeat(np.arange(len(lengths)), lengths)
+    kind = np.int32 if n + len(lengths) < 1 << 31 else np.int64
+    text = np.repeat(np.arange(len(lengths), dtype=kind), lengths)
     # every text has a cell before it, lower than all groups, where pointers end
-    cell = np.arange(n) + text + 1
-    first = starts + np.arange(len(lengths))
+    cell = np.arange(n, dtype=kind) + text + 1
+    first = (starts + np.arange(len(lengths))).astype(kind)
     width = int(symbols.max()) + 1
-    key = text * width + symbols
+    key = text.astype(np.int64) * width + symbols
     by = np.argsort(key, kind="stable")
     array, sorted_key = cell[by], key[by]
     new = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
     heads = np.flatnonzero(new)
-    sizes = np.zeros(n, np.int64)  # of the group that starts there
+    sizes = np.zeros(n, kind)  # of the group that starts there
     sizes[heads] = np.diff(np.append(heads, n))
-    label = np.full(n + len(lengths), -1)  # where the group of a cell starts
+    label = np.full(n + len(lengths), -1, kind)  # where the group of a cell starts
     label[array] = np.repeat(heads, sizes[heads])
-    place = np.zeros(n + len(lengths), np.int64)
+    place = np.zeros(n + len(lengths), kind)
     place[array] = np.arange(n)
-    before = np.arange(n + len(lengths)) - 1
+    before = np.arange(n + len(lengths), dtype=kind) - 1
     before[first] = first
     _group(array, place, label, sizes, before, starts, starts + lengths)
     return _emit(label, before, first, starts, lengths, text)
@@ -57,7 +58,7 @@ def _group(array: np.ndarray, place: np.ndarray, label: np.ndarray, sizes: np.nd
     while len(low):
         head = label[array[end - 1]]
         size = end - head
-        group = array[_ranges(head, size)]
+        group = array[ranges(head, size)]
         own, at = np.repeat(head, size), before[group]
         far = np.flatnonzero(label[at] >= own)
         while len(far):  # what lies between a cell and its pointer is in no lower group
@@ -77,7 +78,7 @@ def _group(array: np.ndarray, place: np.ndarray, label: np.ndarray, sizes: np.nd
             run = np.flatnonzero(change)
             count = np.diff(np.append(run, len(old)))
             top = old[run] + sizes[old[run]] - count  # the moved ones take the last places of their group
-            slot = _ranges(top, count)
+            slot = ranges(top, count)
             moved_now[moved] = True
             there = array[slot]
             there = there[~moved_now[there]]
@@ -97,7 +98,7 @@ def _group(array: np.ndarray, place: np.ndarray, label: np.ndarray, sizes: np.nd
 
 def _emit(label: np.ndarray, before: np.ndarray, first: np.ndarray, starts: np.ndarray, lengths: np.ndarray, text: np.ndarray) -> np.ndarray:
     """The second phase: the order of each group, lowest suffix first."""
-    array, free = np.zeros(len(text), np.int64), np.arange(len(text))
+    array, free = np.zeros(len(text), label.dtype), np.arange(len(text), dtype=label.dtype)
     by = np.argsort(-lengths, kind="stable")
     starts, lengths, first = starts[by], lengths[by], first[by]
     array[starts] = first + lengths  # the last symbol is the lowest suffix
