@@ -36,6 +36,19 @@ def test_languages_of_held_out_texts(spark):
     assert langid.identify(docs).count() == docs.count()
 
 
+def test_the_sample_is_bounded_and_null_ids_teach(spark):
+    every = F.lit(True)
+    same = [(5, prose("aa", 12, k), "aa") for k in range(700)] + [(6, prose("aa", 12, 0), "aa")] * 700
+    docs = spark.createDataFrame(same, "doc_id long, text string, lang string").repartition(3)
+    taken = langid.sample_of(docs, every, 256, 64)
+    assert taken.count() <= 256 and taken.where("doc_id = 6").count() == 1
+    nameless = spark.createDataFrame([(None, prose(l, 30, k), l) for k in range(40) for l in SYLLABLES], "doc_id long, text string, lang string")
+    assert langid.sample_of(nameless, every, 256, 64).count() == 120
+    model = langid.fit(nameless, ~langid.held_out(F.col("doc_id")))
+    out = nameless.select("lang", langid.predicted(nameless, model).alias("p")).collect()
+    assert sum(r.p.lang_pred == r.lang for r in out) >= 118
+
+
 def test_nothing_to_learn_from(spark):
     assert langid.identify(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
     rows = langid.identify(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()

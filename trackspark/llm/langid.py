@@ -90,28 +90,38 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
+def sample_of(docs: DataFrame, learn_from: Column, per_language: int, most_languages: int) -> DataFrame:
+    """doc_id, hash, lang, text of the rows that fit learns from."""
+    rows = docs.where(learn_from).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    n_languages = rows.select("lang").distinct().count()
+    if n_languages > most_languages:
+        per_language = max(per_language * most_languages // n_languages, 1)
+    # a row is known by its id and text; those that repeat it have its rank, and count as one
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    ranked = rows.select("doc_id", "hash", "lang", F.coalesce(F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id")), F.col("hash")).alias("h"))
+    ranked = ranked.withColumn("n", F.dense_rank().over(Window.partitionBy("lang", F.pmod("h", F.lit(32))).orderBy("h", "doc_id", "hash")))
+    ranked = ranked.where(F.col("n") <= -(-per_language // 32))
+    if per_language < 32:  # fewer rows than buckets: the lowest of the buckets' rows
+        ranked = ranked.withColumn("n", F.dense_rank().over(Window.partitionBy("lang").orderBy("h", "doc_id", "hash"))).where(F.col("n") <= per_language)
+    # about per_language * most_languages rows at most: the bound of this broadcast
+    chosen = ranked.select(F.col("doc_id").alias("_id"), F.col("hash").alias("_hash"), F.col("lang").alias("_lang")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")) & (F.col("lang") == F.col("_lang"))
+    return rows.join(F.broadcast(chosen), same, "left_semi").groupBy("doc_id", "hash", "lang").agg(F.min("text").alias("text"))
+
+
 def fit(docs: DataFrame, learn_from: Column, per_language: int = 256, most_languages: int = 64, clusters: int = 4, slack: float = 0.5) -> CentroidModel:
     """A model of the labelled rows of docs (doc_id, text, lang) for which learn_from holds.
 
     Every language is learned. Bounded: per_language rows of each, the ones with the lowest hash of
-    doc_id in each of 32 hash buckets; of more than most_languages languages fewer rows of each, so
-    that their product stays (but one row at least). Only their n-gram counts reach the driver. Rows with null lang, or no letter in the text, teach nothing; no rows at
-    all give a model that answers "und". slack: a text is rejected if its cosine is under slack times
+    doc_id (of a null id: of the text) in each of 32 hash buckets; of more than most_languages languages
+    fewer rows of each, so that their product stays (but one row at least). Only their n-gram counts reach
+    the driver. Rows that share an id are rows of their own, rows with the same id, text and lang are one.
+    Rows with null lang, or no letter in the text, teach nothing; no rows at all give a model that
+    answers "und". slack: a text is rejected if its cosine is under slack times
     the lowest one that a training text of its length class, or a longer one, has to its centroid,
     and less for the shortest texts.
     """
     bounded_batches(docs.sparkSession)
-    rows = docs.where(learn_from).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    n_languages = rows.select("lang").distinct().count()
-    if n_languages > most_languages:
-        per_language = max(per_language * most_languages // n_languages, 1)
-    ranked = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang", F.pmod("h", F.lit(32))).orderBy("h", "doc_id")))
-    ranked = ranked.where(F.col("n") <= -(-per_language // 32))
-    if per_language < 32:  # fewer rows than buckets: the lowest of the buckets' rows
-        ranked = ranked.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("n") <= per_language)
-    # about per_language * most_languages rows at most: the bound of this broadcast
-    chosen = ranked.select("doc_id", "lang").distinct()
 
     @F.pandas_udf(T.BinaryType())
     def counted(texts: pd.Series) -> pd.Series:
@@ -119,7 +129,7 @@ def fit(docs: DataFrame, learn_from: Column, per_language: int = 256, most_langu
 
     # filtered and sorted here: a filter or an order on the counts would have them made once more, of all rows
     sample: dict[str, list[bytes]] = {}
-    for row in rows.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", counted("text").alias("v")).collect():
+    for row in sample_of(docs, learn_from, per_language, most_languages).select("lang", counted("text").alias("v")).collect():
         if row.v is not None:
             sample.setdefault(row.lang, []).append(bytes(row.v))
     if not sample:
