@@ -13,7 +13,7 @@ rows is ever made to be thrown away.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +92,8 @@ def _least_estimate(percent: int) -> float:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles, class (128-bit digest of the shingle set), keys, low of each row."""
+    """doc_id, n_shingles, class (128-bit digest of the shingle set), keys, low of each row of docs (doc_id,
+    text, then what comes along)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,11 +107,13 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 low.append(p)
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, longs), pa.array(low, longs)],
-                ["doc_id", "n_shingles", "class", "keys", "low"],
+                [batch.column(0), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, longs), pa.array(low, longs), *batch.columns[2:]],
+                ["doc_id", "n_shingles", "class", "keys", "low", *carry],
             )
 
-    return docs.mapInArrow(work, "doc_id long, n_shingles long, class binary, keys array<long>, low array<long>")
+    carry = docs.columns[2:]
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
+    return docs.mapInArrow(work, f"doc_id long, n_shingles long, class binary, keys array<long>, low array<long>{kinds}")
 
 
 def sketch(shingles: np.ndarray) -> bytes:
@@ -271,19 +274,22 @@ def _labels(alone: DataFrame, links: DataFrame) -> DataFrame:
     return cut_lineage(alone.join(met.withColumnRenamed("component", "met"), F.col("class") == F.col("node"), "left").select("class", F.coalesce("met", "component").alias("component")))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text).
 
     Rows are linked if 100 * intersection >= percent * union of their sets of width-word shingles;
     component_id is the smallest doc_id of a connected component, and its row is kept. Null, empty
     and wordless texts have empty sets and are linked with nothing; equal sets always are linked.
-    Rows with one doc_id are one document: all have its verdict. A null doc_id counts as larger than
-    any other and is kept only if its component has no other. Other columns are ignored, an empty
-    table gives no rows. A link at the limit escapes all bands with a chance of 7e-9 (percent 85;
-    4e-6 at 80 for a lone pair).
+    Rows that share a doc_id are judged by their own texts, so an id may be kept in one row and not
+    in another; repeated rows have one verdict. A null doc_id counts as larger than any other and is
+    kept only if its component has no other. Other columns are ignored, an empty table gives no rows.
+    With carry, columns whose names must not clash with those above come along, and component (binary,
+    null for an empty set) tells components apart, even if they share a smallest doc_id. A link at the
+    limit escapes all bands with a chance of 7e-9 (percent 85; 4e-6 at 80 for a lone pair), and one of
+    sets of over 256 shingles the finer sketch with a chance of about 3e-7.
     """
     bounded_batches(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     rows = cut_lineage(signatures(docs, width))
     least = F.min_by(F.struct("doc_id", "n_shingles", "keys", "low"), F.coalesce("doc_id", F.lit((1 << 63) - 1)))
     classes = cut_lineage(rows.where("n_shingles > 0").groupBy("class").agg(least.alias("r")).select("class", "r.*"))
@@ -292,7 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = cut_lineage(banded.join(buckets, "key"))
     some = members.select("class").distinct().join(classes.select("class", "doc_id"), "class")
     wanted = some.select(F.col("doc_id").alias("id"))
-    sets = _sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), width)
+    sets = _sets(docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), width)
     # one row per class, also where rows share a doc_id
     sets = cut_lineage(sets.join(some.select("class"), "class", "left_semi").groupBy("class").agg(F.first("sketch").alias("sketch"), F.first("shingles").alias("shingles")))
 
@@ -316,7 +322,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
             label = _labels(alone, links)
     first = classes.select("class", "doc_id").join(label, "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = first.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    first = first.join(lowest, "component").select("class", "component_id")
-    out = rows.select("doc_id", "n_shingles", "class").join(first, "class", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    first = first.join(lowest, "component").select("class", "component_id", "component")
+    out = rows.select("doc_id", "n_shingles", "class", *carry).join(first, "class", "left")
+    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), *carry, *["component"] * bool(carry))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
