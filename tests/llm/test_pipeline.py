@@ -43,6 +43,23 @@ def test_repeated_rows_are_mixed_as_often_as_the_mix_takes_them(spark):
     assert sorted(len(r.text.split()) for r in out if r.source == "s") == sorted(t.taken for t in taken if t.source == "s")
 
 
+KIND = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_near_dedup_judges_rows_by_their_texts(spark):
+    x, y, z = (prose("aa", 80, k) for k in (1, 2, 3))
+    rows = [(1, x), (None, x), (None, y), (7, z), (7, x), (7, z), (8, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "aa", None, len(t or "")) for i, t in rows], KIND)
+    out = corpus_pipeline.near_dedup(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in out), key=str) == sorted([(1, x), (None, y), (7, z), (8, None), (9, "")], key=str)
+
+
+def test_rows_that_differ_in_where_they_are_null_are_apart(spark):
+    docs = spark.createDataFrame([(1, "w", "en", None, 1), (1, "w", None, "en", 1)], KIND)
+    out = corpus_pipeline.mix_sources(spark, docs, "").collect()
+    assert {(r.lang, r.source) for r in out} == {("en", None), (None, "en")}
+
+
 def test_no_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
