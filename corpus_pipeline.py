@@ -6,7 +6,7 @@ again as the next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trackspark.llm import langid, linededup, mixing, neardup, packing
@@ -34,17 +34,31 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return after.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
+def _identity() -> dict[str, Column]:
+    """Two hashes over all columns that tell nulls in different columns apart. Rows that agree in all
+    columns are one another's like."""
+    seen = [*COLUMNS, *[F.isnull(c) for c in COLUMNS]]
+    return {"_a": F.xxhash64(*seen), "_b": F.xxhash64(F.lit(1), *seen)}
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
-    gone = neardup.near_duplicates(docs, width=5, percent=80).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").select(COLUMNS)
+    """One document of each group of near-duplicates: the one with the smallest doc_id, of rows that share
+    it any one. Rows that agree in all columns become one; wordless texts stay."""
+    own = _identity()
+    docs = docs.withColumns(own)
+    found = neardup.near_duplicates(docs, width=5, percent=80, carry=list(own)).select(*own, "doc_id", "component")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", *own)
+    first = found.where("component is not null").groupBy("component").agg(F.min_by(F.struct(*own), order).alias("r")).select("r.*")
+    stays = first.union(found.where("component is null").select(*own)).distinct()
+    rows = docs.join(stays, list(own), "left_semi")
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*own).orderBy(*own)))
+    return rows.where("_n = 1").select(COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: a document as often as the mix takes it, the copy at the end of its source's share cut
     after the words it takes. A document that the mix leaves out goes."""
-    # rows that agree in all columns are one another's like: what the mix takes of any is cut from one of them
-    own = {"_a": F.xxhash64(*COLUMNS), "_b": F.xxhash64(F.lit(1), *COLUMNS)}
+    own = _identity()  # what the mix takes of any of a row's like is cut from one of them
     docs = docs.withColumns(own)
     mixed = mixing.mix(docs, carry=list(own)).where("taken > 0").select(*own, F.col("size").alias("_size"), "taken")
     rows = docs.dropDuplicates(list(own)).join(mixed, list(own))
