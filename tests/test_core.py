@@ -127,7 +127,7 @@ def test_features_and_windows(spark):
     v = np.array([r[2] for r in rows])
     assert [g.c for g in got] == (v - np.median(v)).tolist() and [g.d for g in got][1:] == np.diff(v).tolist() and got[0].d is None
     assert [g.b for g in got] == [3, 1, *v[:-2]] and [g.f for g in got] == [*v[2:], 2, 6] and {g.p for g in got} == {3.0}
-    assert [g.t for g in got] == align.variants(v, np.array([[1, -1.0, 2.0]]))[0].tolist()
+    assert [g.t for g in got] == (np.median(v) - 2 * (np.array([3, *v[:-1]]) - np.median(v))).tolist()
     w = windows.tumbling(df.withColumn("n", F.lit(None).cast("double")), ["s"], "i", [3, 4], ["x", "n"]).collect()
     assert sorted((r.window_seconds, r.window_index, r.beat_count) for r in w) == [(3.0, 0, 3), (3.0, 1, 3), (3.0, 2, 2), (4.0, 0, 4), (4.0, 1, 4)]
     assert features.first_rows(df, k, o, 3).count() == 3
@@ -205,12 +205,14 @@ def test_baselines(spark):
 
 def test_projection_and_candidates(spark):
     df = beats(spark)
-    out = projection.tracking_projection(df, "pred_PP", "ref_PP", "pred_MAP", "session_id", ["beat_index"])
-    assert out.columns == [*df.columns, "projected"] and out.where("projected is null").count() == 0
-    few = projection.tracking_projection(df, "pred_PP", "ref_PP", "pred_MAP", "session_id", ["beat_index"], least_rows=10_000)
-    assert few.where("projected <> pred_PP").count() == 0
-    out = projection.candidate(df.withColumn("flat", F.lit(45.0)), ["f", "g"], "ref_PP", "flat", "session_id", ["beat_index"], smoothing=1.0)
-    assert projection.fold_correlation(out, "candidate", "ref_PP", "session_id").where("corr < 0.95").count() == 0
+    many = df.withColumns({f"pred_{t}": F.col(f"pred_{t}") for t in ("MAP", "PP")})
+    out = projection.projected(many, {"A": {}, "B": {}, "C": {}}, "session_id", ["beat_index"], least_rows=1, least_sessions=1, least_fold=10_000)
+    assert out.columns == df.columns and out.where("pred_PP is null").count() == 0
+    kept = out.join(df.select("session_id", "method", "beat_index", F.col("pred_MAP").alias("before")), ["session_id", "method", "beat_index"])
+    assert kept.where("abs(pred_MAP - before) > 1e-9").count() == 0
+    out, models = projection.candidates(df.withColumn("flat", F.lit(45.0)), [], ["f", "g"], "ref_PP", "flat", "session_id", ["beat_index"], n=1, smoothing=1.0)
+    assert projection.fold_correlation(out, "candidate_a", "ref_PP", "session_id").where("corr < 0.95").count() == 0
+    assert {tuple(r) for r in models.where("candidate = 'b'").select("feature").distinct().collect()} == {("intercept",), ("g",)}
     top = projection.leading_features(df, ["f", "g"], "ref_PP", "session_id", 1).collect()
     p = df.toPandas()
     for r in top:
@@ -228,32 +230,79 @@ def test_alignment_recovers_a_shift(spark):
     out = align.aligned(df, ["session_id", "method"], "i", "method").orderBy("session_id", "i").collect()
     assert {(x.map_lag, x.map_sign, x.pp_lag) for x in out if x.session_id == 0} == {(2, -1.0, 0)} and len(out) == 41
     assert out[-1].pred_MAP == 3.0
-    assert math.isnan(align.tracking(np.ones((1, 10)), np.arange(10.0), 10)[0]) and math.isnan(align.tracking(m[None], m, 3)[0])
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_alignment_scores_are_correlations_of_steps(seed):
-    r = np.random.default_rng(seed)
-    x, ref = np.cumsum(r.normal(size=20)), np.cumsum(r.normal(size=20))
-    x[r.integers(0, 20, 3)] = np.nan
-    s = align.Search(lags=(-2, 0, 3), calibration=7)
-    grid, want = s.candidates(), {7: [], 20: []}
-    for lag in s.lags:
-        for sign in s.signs:
-            for gain in s.gains:
-                late = pd.Series(x).shift(lag).fillna(pd.Series(x))
-                y = np.nanmedian(x) + sign * gain * (late - np.nanmedian(x))
-                for n in want:
-                    want[n].append(y[:n].diff().corr(pd.Series(ref[:n]).diff()))
-    rows = align.variants(x, grid)
-    for n, scores in want.items():
-        assert np.allclose(align.tracking(rows, ref, n), scores, equal_nan=True)
-    near, wide = np.array(want[7]), np.array(want[20])
-    for reliable in (-2, 0.45, 2):
-        top = wide if near.max() < reliable and wide.max() > near.max() else near
-        assert align.chosen(near, wide, reliable) == next(k for k, v in enumerate(top) if round(v, 9) == round(max(top), 9))
-    assert align.chosen(np.array([np.nan]), np.array([np.nan]), 0.4) is None
-    assert np.allclose(align.weighted([np.array([1.0, np.nan]), np.array([0.0, np.nan])], (0.75, 0.25)), [0.75, np.nan], equal_nan=True)
+def steps_correlate(x, ref, n):
+    return pd.Series(x[:n]).diff().corr(pd.Series(ref[:n]).diff()) if (pd.Series(x[:n]).diff().notna() & pd.Series(ref[:n]).diff().notna()).sum() >= 3 else np.nan
+
+
+def plainly_aligned(g, s):
+    """Every candidate by itself, as series."""
+    x = {t: g[f"pred_{t}"].reset_index(drop=True) for t in ("MAP", "PP")}
+    ref = {t: g[f"ref_{t}"].reset_index(drop=True) for t in ("MAP", "PP", "SBP", "DBP")}
+
+    def variant(t, lag, sign, gain):
+        late = x[t].shift(lag)
+        late = late.where(late.notna(), x[t])
+        middle = x[t].median() if x[t].notna().any() else 0.0
+        return middle + sign * gain * (late - middle)
+
+    def search(score):
+        best = [None, -np.inf]
+        spans = [n if n >= 4 else 0 for n in (min(s.calibration, len(g)), len(g))]
+        each = [[(round(score(c, n), 9), c) for c in [(lag, sign, gain) for lag in s.lags for sign in s.signs for gain in s.gains]] for n in spans]
+        tops = [max((v for v, _ in e if v == v), default=-np.inf) for e in each]
+        k = 1 if tops[0] < s.reliable and tops[1] > tops[0] else 0
+        return next((c for v, c in each[k] if v == tops[k]), (0, 1.0, 1.0)) if best else None
+
+    one = search(lambda c, n: np.sign(c[1]) * steps_correlate(variant("MAP", c[0], 1.0, 1.0), ref["MAP"], n))
+    m = variant("MAP", *one)
+
+    def pulse(c, n):
+        p = variant("PP", *c)
+        each = [steps_correlate(y, ref[t], n) for y, t in ((p, "PP"), (m + 2 * p / 3, "SBP"), (m - p / 3, "DBP"))]
+        known = [(w, v) for w, v in zip(s.weights, each, strict=True) if v == v]
+        return sum(w * v for w, v in known) / sum(w for w, _ in known) if known else np.nan
+
+    two = search(pulse)
+    p = variant("PP", *two)
+    return one, two, (1 - s.blend) * x["MAP"] + s.blend * m.where(m.notna(), x["MAP"]), (1 - s.blend) * x["PP"] + s.blend * p.where(p.notna(), x["PP"])
+
+
+def test_alignment_tries_every_candidate(spark):
+    r = np.random.default_rng(3)
+    frames = []
+    for k, n in enumerate((3, 5, 9, 30, 30, 41)):
+        walk = {c: 60 + np.cumsum(r.normal(size=n)) for c in ("ref_MAP", "ref_PP", "pred_MAP", "pred_PP")}
+        g = pd.DataFrame({"session_id": k, "method": "AB"[k % 2], "i": range(n), **walk})
+        for side in ("ref", "pred"):
+            g[f"{side}_SBP"], g[f"{side}_DBP"] = g[f"{side}_MAP"] + 2 * g[f"{side}_PP"] / 3, g[f"{side}_MAP"] - g[f"{side}_PP"] / 3
+        if n > 10:
+            g.loc[r.integers(0, n, 4), "pred_MAP"] = None
+            g.loc[r.integers(0, n, 3), ["ref_PP", "ref_SBP"]] = None
+        frames.append(g)
+    p = pd.concat(frames)
+    search = {"A": align.Search(signs=(1.0,), blend=0.8), "B": align.Search(lags=(-2, 0, 1), calibration=6, reliable=0.9)}
+    df = spark.createDataFrame(p.astype(object).where(p.notna(), None), "session_id long, method string, i long, " + ", ".join(f"{c} double" for c in p.columns[3:])).repartition(3)
+    out = align.aligned(df, ["session_id", "method"], "i", "method", search).toPandas().sort_values(["session_id", "i"])
+    for k, g in p.groupby("session_id"):
+        got = out[out.session_id == k]
+        if len(g) < 4:
+            assert got.pred_PP.tolist() == g.pred_PP.tolist() and set(got.map_lag) == {0}
+            continue
+        one, two, m, q = plainly_aligned(g, search[g.method.iloc[0]])
+        assert (got.map_lag.iloc[0], got.map_sign.iloc[0], got.map_gain.iloc[0]) == one and (got.pp_lag.iloc[0], got.pp_sign.iloc[0], got.pp_gain.iloc[0]) == two
+        assert np.allclose(got.pred_MAP.astype(float), m.astype(float), equal_nan=True) and np.allclose(got.pred_PP.astype(float), q.astype(float), equal_nan=True)
+
+
+def test_beats_are_aligned_with_made_up_places(spark):
+    df = beats(spark).where("session_id = 1 and method = 'A'").drop("method")
+    bare = df.drop("session_id", "elapsed_s").withColumnRenamed("beat_index", "at")
+    out = align.aligned_beats(bare, "A", "at")
+    assert out.columns == bare.columns and out.count() == df.count()
+    whole = align.aligned_beats(df, "A", "beat_index")
+    assert sorted(round(r.pred_PP, 9) for r in out.collect()) == sorted(round(r.pred_PP, 9) for r in whole.collect())
+    assert align.aligned_beats(df.drop("ref_SBP"), "A", "beat_index").columns == df.drop("ref_SBP").columns
 
 
 def test_totals_agree_with_sessions(spark):

@@ -1,18 +1,22 @@
 """Grid search of lag, sign and gain that aligns a predicted with a reference course, per group.
 
-It fits to the reference itself, so its result is an upper bound of tracking, not an estimate. Groups
-are windows of one session and method, a few hundred rows; all candidates of a group are one matrix."""
+It fits to the reference itself, so its result is an upper bound of tracking, not an estimate. Scores are
+correlations of steps. All that they need of a candidate are the moments of the steps of the course at
+its lag, so these are summed once per group and lag, and signs and gains are worked out from them: in a
+correlation a sign only turns, and a gain drops out, unless another course is added."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .folds import joined
+
+TARGETS = ("MAP", "PP", "SBP", "DBP")
+
 
 @dataclass(frozen=True)
 class Search:
@@ -26,82 +30,150 @@ class Search:
     reliable: float = 0.45
     blend: float = 1.0
 
+    def grid(self) -> Column:
+        """Candidates as array<struct<lag, sign, gain>>."""
+        return F.array(*[F.struct(F.lit(lag).alias("lag"), F.lit(float(sign)).alias("sign"), F.lit(float(gain)).alias("gain")) for lag in self.lags for sign in self.signs for gain in self.gains])
 
-    def candidates(self) -> np.ndarray:
-        """Rows (lag, sign, gain)."""
-        return np.array([(lag, sign, gain) for lag in self.lags for sign in self.signs for gain in self.gains])
 
+def _correlation(xy: Column, xx: Column, yy: Column, n: Column) -> Column:
+    """Null where fewer than three steps are known on both sides, or one side has no spread."""
+    return F.when((n >= 3) & (xx > 1e-24) & (yy > 1e-24), xy / F.sqrt(xx * yy))
 
-def variants(x: np.ndarray, candidates: np.ndarray) -> np.ndarray:
-    """A row for each candidate: x as it was lag rows before (x itself where that is missing), turned
-    and stretched about the median of x."""
-    at = np.arange(len(x)) - candidates[:, :1].astype(int)
-    there = (at >= 0) & (at < len(x))
-    late = np.where(there, x[np.where(there, at, 0)], np.nan)
-    late = np.where(np.isnan(late), x, late)
-    middle = np.nanmedian(x) if np.isfinite(x).any() else 0.0
-    return middle + candidates[:, 1:2] * candidates[:, 2:3] * (late - middle)
 
+def _moments(steps: dict[str, Column], within: Column) -> Column:
+    """A struct of the number, variances and covariances of steps over rows within in which all are known."""
+    known = within
+    for x in steps.values():
+        known = known & x.isNotNull()
+    at = {k: F.when(known, x) for k, x in steps.items()}
+    names = list(at)
+    return F.struct(F.count_if(known).alias("n"), *[F.covar_pop(at[a], at[b]).alias(f"{a}{b}") for i, a in enumerate(names) for b in names[i:]])
 
-def tracking(rows: np.ndarray, ref: np.ndarray, upto: int) -> np.ndarray:
-    """How the steps of each row correlate with those of ref over the first upto values; NaN where fewer
-    than three steps are known on both sides, or one side has no spread."""
-    steps, goal = np.diff(rows[:, :upto]), np.diff(ref[:upto])
-    known = np.isfinite(steps) & np.isfinite(goal)
-    n = known.sum(axis=1, keepdims=True)
-    both = np.stack([np.where(known, steps, 0.0), np.where(known, goal, 0.0)])
-    both = np.where(known, both - both.sum(axis=2, keepdims=True) / np.maximum(n, 1), 0.0)
-    (xx, yy), xy = (both**2).sum(axis=2), both.prod(axis=0).sum(axis=1)
-    return np.divide(xy, np.sqrt(xx * yy), out=np.full(len(xy), np.nan), where=(n[:, 0] >= 3) & (xx * yy > 0))
 
+def _chosen(grid: Column, near: Callable[[Column], Column], wide: Callable[[Column], Column], reliable: Column) -> Column:
+    """The first candidate with the highest score near, or, if that is below reliable and the highest
+    score wide is higher, the first with that; null if no score is known. Scores count to nine digits,
+    as gains hardly change them."""
 
-def weighted(scores: Sequence[np.ndarray], weights: Sequence[float]) -> np.ndarray:
-    """Weighted mean, row by row, of the scores that are known."""
-    each = np.stack(scores)
-    share = np.where(np.isfinite(each), np.array(weights)[:, None], 0.0)
-    total = share.sum(axis=0)
-    return np.divide(np.nansum(np.where(np.isfinite(each), each, 0.0) * share, axis=0), total, out=np.full(len(total), np.nan), where=total > 0)
+    def best(score: Callable[[Column], Column]) -> Column:
+        rated = F.transform(grid, lambda c, k: F.struct(F.round(score(c), 9).alias("score"), (-k).alias("k"), c.alias("c")))
+        return F.array_max(F.filter(rated, lambda x: x["score"].isNotNull()))
 
+    both = F.struct(best(near).alias("near"), best(wide).alias("wide"))
 
-def chosen(near: np.ndarray, wide: np.ndarray, reliable: float) -> int | None:
-    """The first candidate with the highest score near, or, if that is below reliable and the highest
-    score wide is higher, the first with that; None if no score is known. Scores count to nine digits,
-    as gains hardly change them."""
-    near, wide = (np.nan_to_num(np.round(s, 9), nan=-np.inf) for s in (near, wide))
-    best = wide if near.max() < reliable and wide.max() > near.max() else near
-    return int(best.argmax()) if np.isfinite(best.max()) else None
+    def pick(b: Column) -> Column:
+        n, w = b["near"], b["wide"]
+        further = w.isNotNull() & (n.isNull() | (n["score"] < reliable) & (w["score"] > n["score"]))
+        return F.when(further, w["c"]).otherwise(n["c"])
+
+    return F.transform(F.array(both), pick)[0]
 
 
-def aligned(df: DataFrame, keys: Sequence[str], order: str, method: str | None = None, searches: dict[str, Search] | None = None, default: Search = Search()) -> DataFrame:
+def aligned(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], method: str | None = None, searches: dict[str, Search] | None = None, default: Search = Search()) -> DataFrame:
     """df (ref_MAP, ref_PP, ref_SBP, ref_DBP, pred_MAP, pred_PP, pred_SBP, pred_DBP) with predictions
     aligned, and map_lag, map_sign, map_gain, pp_lag, pp_sign, pp_gain. Mean pressure is searched
-    first, then pulse pressure by the weighted scores of what both give. Groups of under four rows stay."""
-    searches = searches or {}
-
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order, kind="stable")
-        s = searches.get(str(group[method].iloc[0]), default) if method else default
-        found = {f"{p}_{k}": v for p in ("map", "pp") for k, v in (("lag", 0), ("sign", 1.0), ("gain", 1.0))}
-        if len(group) >= 4:
-            ref = {t: group[f"ref_{t}"].to_numpy(float) for t in ("MAP", "PP", "SBP", "DBP")}
-            m, p = (group[f"pred_{t}"].to_numpy(float) for t in ("MAP", "PP"))
-            grid, still = s.candidates(), np.array([[0, 1.0, 1.0]])
-            spans = [n if n >= 4 else 0 for n in (min(s.calibration, len(group)), len(group))]
-
-            rows = variants(m, grid)
-            at = chosen(*(tracking(rows, ref["MAP"], n) for n in spans), s.reliable)
-            one = still if at is None else grid[[at]]
-            m_new = variants(m, one)[0]
-            rows = variants(p, grid)
-            over = [weighted([tracking(rows, ref["PP"], n), tracking(m_new + 2 * rows / 3, ref["SBP"], n), tracking(m_new - rows / 3, ref["DBP"], n)], s.weights) for n in spans]
-            at = chosen(*over, s.reliable)
-            two = still if at is None else grid[[at]]
-            blend = min(max(s.blend, 0.0), 1.0)
-            m, p = ((1 - blend) * x + blend * y for x, y in ((m, m_new), (p, variants(p, two)[0])))
-            group = group.assign(pred_MAP=m, pred_PP=p, pred_SBP=m + 2 * p / 3, pred_DBP=m - p / 3)
-            found = dict(zip(found, (int(one[0, 0]), *one[0, 1:].tolist(), int(two[0, 0]), *two[0, 1:].tolist()), strict=True))
-        return group.assign(**found)
-
-    extra = "map_lag int, map_sign double, map_gain double, pp_lag int, pp_sign double, pp_gain double"
-    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
-    return df.withColumns({f"pred_{t}": F.col(f"pred_{t}").cast("double") for t in ("MAP", "PP", "SBP", "DBP")}).groupBy(*keys).applyInPandas(work, f"{schema}, {extra}")
+    first, then pulse pressure by the weighted scores of what both give. A course at a lag is what it
+    was lag rows before (itself where that is missing), turned and stretched about its median in the
+    group. Groups of under four rows stay.
+
+    One shuffle by keys; a group is read by windows, row by row, so it may be long."""
+    searches, orders = searches or {}, [order] if isinstance(order, str) else list(order)
+    every = {None: default, **searches}
+    reach = sorted({lag for s in every.values() for lag in s.lags} | {0})
+
+    def per(value: Callable[[Search], Column]) -> Column:
+        """What the search of a row's method says."""
+        cases = [F.when(F.col(method) == m, value(s)) for m, s in searches.items()] if method else []
+        return F.coalesce(*cases, value(default))
+
+    group, ordered = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(*orders)
+    rows = df.withColumns({f"{s}_{t}": F.col(f"{s}_{t}").cast("double") for s in ("ref", "pred") for t in TARGETS})
+    at = {"__place": F.row_number().over(ordered), "__rows": F.count("*").over(group)}
+    for t in ("MAP", "PP"):
+        x = F.col(f"pred_{t}")
+        at[f"__{t}"] = F.array(*[F.coalesce(F.lag(x, lag).over(ordered) if lag >= 0 else F.lead(x, -lag).over(ordered), x) for lag in reach])
+        at[f"__middle_{t}"] = F.coalesce(F.median(x).over(group), F.lit(0.0))
+    at |= {f"__goal_{t}": F.col(f"ref_{t}") - F.lag(f"ref_{t}").over(ordered) for t in TARGETS}
+    rows = rows.withColumns(at)
+    rows = rows.withColumns({f"__step_{t}": F.zip_with(F.col(f"__{t}"), F.lag(f"__{t}").over(ordered), lambda a, b: a - b) for t in ("MAP", "PP")})
+    rows = rows.withColumns({"__near": F.least(per(lambda s: F.lit(s.calibration)), F.col("__rows"))})
+    long = F.col("__rows") >= 4
+    spans = {"near": long & (F.col("__near") >= 4) & (F.col("__place") <= F.col("__near")), "wide": long}
+    index = {lag: k for k, lag in enumerate(reach)}
+    lags = F.array(*[F.lit(lag) for lag in reach])
+
+    def summed(names: Sequence[str], steps: dict[str, dict[str, Column]]) -> DataFrame:
+        """keys and a map lag -> moments of each set of steps in either span."""
+        some = rows.select(*keys, *names, "__place", "__rows", "__near", F.posexplode(lags).alias("__k", "__lag"))
+        parts = [_moments(s, within).alias(f"{name}_{span}") for name, s in steps.items() for span, within in spans.items()]
+        some = some.groupBy(*keys, "__lag").agg(*parts)
+        return some.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__lag", F.struct(*[f"{n}_{s}" for n in steps for s in spans])))).alias("__m"))
+
+    b = {t: F.get(F.col(f"__step_{t}"), F.col("__k")) for t in ("MAP", "PP")}
+    grid, still = per(lambda s: s.grid()), F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("sign"), F.lit(1.0).alias("gain"))
+
+    def simple(name: str, span: str) -> Callable[[Column], Column]:
+        def score(c: Column) -> Column:
+            m = F.element_at("__m", c["lag"])[f"{name}_{span}"]
+            return c["sign"] * _correlation(m["br"], m["bb"], m["rr"], m["n"])
+
+        return score
+
+    def found(name: str, moments: DataFrame, score: Callable[[str], Callable[[Column], Column]]) -> DataFrame:
+        """rows with the candidate that each group takes."""
+        with_moments = joined(rows, moments, keys)
+        choice = _chosen(grid, score("near"), score("wide"), per(lambda s: F.lit(float(s.reliable))))
+        # one row a group decides; its choice goes to all
+        choice = F.when(F.col("__place") == 1, F.coalesce(F.when(long, choice), still))
+        return with_moments.withColumn(f"__{name}", F.first(choice, ignorenulls=True).over(group)).drop("__m")
+
+    rows = found("one", summed(["__step_MAP", "__goal_MAP"], {"m": {"b": b["MAP"], "r": F.col("__goal_MAP")}}), lambda span: simple("m", span))
+    place = F.create_map(*[F.lit(x) for lag, k in index.items() for x in (lag, k)])
+
+    def taken(name: str, t: str, values: Column) -> Column:
+        return F.get(values, place[F.col(f"__{name}")["lag"]])
+
+    one = F.col("__one")
+    rows = rows.withColumn("__base", one["sign"] * one["gain"] * taken("one", "MAP", F.col("__step_MAP")))
+    sets = {"p": {"b": b["PP"], "r": F.col("__goal_PP")}} | {k: {"a": F.col("__base"), "b": b["PP"], "r": F.col(f"__goal_{t}")} for k, t in (("s", "SBP"), ("d", "DBP"))}
+
+    def mixed(span: str) -> Callable[[Column], Column]:
+        def score(c: Column) -> Column:
+            m, by = F.element_at("__m", c["lag"]), c["sign"] * c["gain"]
+            each = [simple("p", span)(c)]
+            for name, part in (("s", 2 / 3), ("d", -1 / 3)):
+                v, w = m[f"{name}_{span}"], by * part
+                each.append(_correlation(v["ar"] + w * v["br"], v["aa"] + 2 * w * v["ab"] + w * w * v["bb"], v["rr"], v["n"]))
+            shares = [F.when(x.isNotNull(), per(lambda s, k=k: F.lit(float(s.weights[k])))).otherwise(0.0) for k, x in enumerate(each)]
+            total = shares[0] + shares[1] + shares[2]
+            return F.when(total > 0, sum((F.coalesce(x, F.lit(0.0)) * s for x, s in zip(each, shares, strict=True)), F.lit(0.0)) / total)
+
+        return score
+
+    rows = found("two", summed(["__step_PP", "__goal_PP", "__goal_SBP", "__goal_DBP", "__base"], sets), mixed)
+    part = per(lambda s: F.lit(float(min(max(s.blend, 0.0), 1.0))))
+    new = {}
+    for name, t in (("one", "MAP"), ("two", "PP")):
+        c, middle, x = F.col(f"__{name}"), F.col(f"__middle_{t}"), F.col(f"pred_{t}")
+        turned = middle + c["sign"] * c["gain"] * (taken(name, t, F.col(f"__{t}")) - middle)
+        new[t] = F.when(long, (1 - part) * x + part * F.coalesce(turned, x)).otherwise(x)
+    m, p = new["MAP"], new["PP"]
+    both = {"MAP": m, "PP": p, "SBP": m + 2 * p / 3, "DBP": m - p / 3}
+    rows = rows.withColumns({f"__new_{t}": F.when(long, x).otherwise(F.col(f"pred_{t}")) for t, x in both.items()})
+    out = [F.col(f"__new_{c[5:]}").alias(c) if c in {f"pred_{t}" for t in TARGETS} else F.col(c) for c in df.columns]
+    return rows.select(*out, *[F.col(f"__{n}")[k].alias(f"{pre}_{k}") for n, pre in (("one", "map"), ("two", "pp")) for k in ("lag", "sign", "gain")])
+
+
+def aligned_beats(df: DataFrame, name: str, order: str | Sequence[str], search: Search = Search()) -> DataFrame:
+    """Beats of one method, aligned as windows are. Columns that place a beat are made up where they are
+    missing: one session, and beat numbers and seconds by order. A frame without all four targets of
+    both sides stays as it is."""
+    if not {f"{s}_{t}" for s in ("ref", "pred") for t in TARGETS} <= set(df.columns):
+        return df
+    orders = [order] if isinstance(order, str) else list(order)
+    made = {} if "session_id" in df.columns else {"session_id": F.lit("single")}
+    rows = df.withColumns({**made, "__method": F.lit(name)})
+    number = F.row_number().over(Window.partitionBy("session_id").orderBy(*orders))
+    rows = rows.withColumns({c: x for c, x in {"elapsed_s": (number - 1).cast("double"), "beat_index": number}.items() if c not in df.columns})
+    out = aligned(rows, ["__method", "session_id"], ["elapsed_s", "beat_index"], "__method", {name: search})
+    return out.select(df.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalar, statistics
-from ..operators import align, asof, baseline, features, frames, metrics, projection, quality, ridge, smooth, training, windows
+from ..operators import asof, baseline, features, frames, metrics, projection, quality, ridge, smooth, training, windows
 from ..streaming import match
 from .beats import BEATS, PAIRS, TARGETS, beats, table
 from .queries import CORR, _ewma_sql, _pairs, query, r, rounded
@@ -350,8 +350,8 @@ def m13_tracking_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m14_pulse_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A corrected pulse pressure, clipped and smoothed."""
-    out = projection.candidate(beats(spark, sf_dir), ["l_quantity", "l_discount", "l_tax"], "ref_PP", "pred_PP", "session_id", ["beat_index"])
-    return rounded(out.select("session_id", "beat_index", "candidate"))
+    out, _ = projection.candidates(beats(spark, sf_dir), [], ["l_quantity", "l_discount", "l_tax"], "ref_PP", "pred_PP", "session_id", ["beat_index"])
+    return rounded(out.select("session_id", "beat_index", F.col("candidate_a").alias("candidate")))
 
 
 @query(f"""WITH {BEATS}, f AS (SELECT session_id, ref_PP AS y, 'l_quantity' AS feature, l_quantity AS x FROM beats UNION ALL SELECT session_id, ref_PP, 'l_discount', l_discount FROM beats UNION ALL SELECT session_id, ref_PP, 'l_tax', l_tax FROM beats),
@@ -364,15 +364,6 @@ def o4_leading_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(projection.leading_features(beats(spark, sf_dir), ["l_quantity", "l_discount", "l_tax"], "ref_PP", "session_id", 2))
 
 
-@query()
-def m15_grid_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lag, sign and gain that align windows with the reference."""
-    means = [f"{s}_{t}" for s in ("ref", "pred") for t in TARGETS]
-    w = windows.tumbling(beats(spark, sf_dir), ["session_id", "method"], "elapsed_s", [20], means)
-    out = align.aligned(w, ["session_id", "method"], "window_index", "method", {"A": align.Search(signs=(1.0,)), "R": align.Search(lags=(-3, -2, -1, 0, 1, 2, 3), blend=0.85)})
-    return rounded(out.select("session_id", "method", "window_index", "pred_MAP", "pred_PP", "map_lag", "pp_lag", "pp_sign"), 3)
-
-
 # --- streams ---
 
 

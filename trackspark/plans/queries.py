@@ -25,7 +25,7 @@ def query(sql: str | None = None) -> Callable:
     def put(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[f.__name__] = f
         if sql:
-            ORACLES[f.__name__] = sql.replace("round(", f"round({OFF_TIES} + ")
+            ORACLES[f.__name__] = sql.replace("round(", f"round({OFF_TIES} + ").replace("round_(", "round(")
         return f
 
     return put

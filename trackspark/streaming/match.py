@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -12,17 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-
-def _new_folder(spark: SparkSession) -> str:
-    """A folder not used before: below spark.checkpoint.dir, or, where that is unset, on one machine, a temporary one."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="trackspark-")
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
+from ..shared import new_folder
 
 def start(stream: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
     """Starts a stream that appends Parquet files to folder/data and keeps its progress in
@@ -39,7 +27,7 @@ def written(stream: DataFrame, folder: str) -> DataFrame:
 
 def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Runs a stream over all that is there now, and returns what it has written as a table."""
-    folder = folder or _new_folder(stream.sparkSession)
+    folder = folder or new_folder(stream.sparkSession, "stream")
     start(stream, folder).awaitTermination()
     return written(stream, folder)
 
