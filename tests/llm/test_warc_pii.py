@@ -3,6 +3,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from trackspark.llm import pii, warc
@@ -160,3 +161,77 @@ def test_words_in_the_place_of_strong_patterns_are_found(spark):
         kind, a, b = out[k].spans.split(":")
         assert kind == "email" and text[k][int(a) : int(b)] == want
     assert not any(out[k].n_found for k in range(300, 304))
+
+
+def bootstrap(texts, least_known=4, least_share=0.8, least_score=0.9):
+    """Instances that contexts find, by kind: the whole graph in memory, words of all texts from the start."""
+    places = []
+    for t in texts:
+        units = re.findall(pii.UNIT, t)
+        run = [bool(re.match(f"^{pii._TOKEN}", u)) for u in units]
+        last = [pii.EDGE, *[pii.NEXT_RUN if r else u.split(" ")[-1].lower() for u, r in zip(units, run, strict=True)]]
+        first = [*[pii.NEXT_RUN if r else u.split(" ")[0].lower() for u, r in zip(units, run, strict=True)], pii.EDGE]
+        for k, u in enumerate(units):
+            core = re.match(r"""^[("'\[{<]*+(.*?)[)"'\]}>.,;:!?]*$""", u).group(1)
+            pats = [f"0 {last[k]}", f"1 {last[k]} _ {first[k + 1]}"]
+            if last[k] not in (pii.EDGE, pii.NEXT_RUN):
+                pats.append(f"2 {last[k - 1]} {last[k]}")
+            places += [(p, core, run[k]) for p in pats if core]
+    kind_of = lambda x: next((k for k in pii.KINDS if re.search(k, ",".join(s.split(":")[0] for s in brute(x).split(",")))), None)
+    known = {i: kind_of(i) for _, i, r in places if r and kind_of(i)}
+    seeds, runs, words, sought = set(known), {}, {}, set()
+    for p, i, r in places:
+        (runs if r else words).setdefault(p, set()).add(i)
+    while True:
+        strong = {}
+        for p, held in runs.items():
+            held = held | (words.get(p, set()) if p in sought else set())
+            count = [sum(known.get(i) == k for i in held) for k in pii.KINDS]
+            if max(count) >= least_known and max(count) >= least_share * len(held):
+                strong[p] = (pii.KINDS[count.index(max(count))], max(count) / (len(held) + 1))
+        if set(strong) - sought:
+            sought |= set(strong)
+            continue
+        scores = {}
+        for p, (kind, share) in strong.items():
+            for i in runs[p] | words.get(p, set()):
+                if i not in known:
+                    scores.setdefault((i, kind), []).append(share)
+        new = {}
+        for (i, kind), shares in scores.items():
+            score = 1 - np.prod([1 - s for s in shares]) if re.search("[0-9@]", i) else max(shares)
+            if score >= least_score and (i not in new or (score, -pii.KINDS.index(kind)) > new[i]):
+                new[i] = (score, -pii.KINDS.index(kind), kind)
+        if not new:
+            return {(i, k) for i, k in known.items() if i not in seeds}
+        known |= {i: v[2] for i, v in new.items()}
+
+
+def test_discovery_equals_a_bootstrap_in_memory(spark):
+    r = random.Random(11)
+    vocabulary = ["call", "me", "at", "mail", "to", "card", "no", "the", "of", "and", "in", "host", "is", "see"]
+    leads = {"phone": ["call me at", "phone no"], "email": ["mail me at", "write to"], "ip": ["host is"], "card": ["card no"]}
+    make = {"phone": lambda: f"+1 (988) 555-{r.randint(1000, 9999)}", "email": lambda: f"u{r.randint(0, 999)}@ex.com", "ip": lambda: f"10.0.{r.randint(0, 255)}.{r.randint(0, 255)}", "card": lambda: "4111111111111111"}
+    odd = {"phone": lambda: f"0049-30-{r.randint(1000, 1099)}", "email": lambda: r.choice(["ann [at] ex [dot] com", "bob(at)ex.com", "nobody"]), "ip": lambda: f"fe80::{r.randint(1, 40)}", "card": lambda: f"4111-{r.randint(0, 9)}"}
+    texts = []
+    for _ in range(500):
+        words = [r.choice(vocabulary) for _ in range(r.randint(2, 9))]
+        for _ in range(r.randint(0, 2)):
+            kind = r.choice(list(leads))
+            words.insert(r.randint(0, len(words)), f"{r.choice(leads[kind])} {(make if r.random() < 0.85 else odd)[kind]()} {r.choice(['now', 'or', 'please'])}")
+        texts.append(" ".join(words))
+    want = bootstrap(texts)
+    out = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = set()
+    for row in out:
+        for span in set(row.spans.split(",")) - set(row.base_spans.split(",")):
+            kind, a, b = span.split(":")
+            got.add((texts[row.doc_id][int(a) : int(b)], kind))
+    assert len(want) > 20 and got == want
+
+
+def test_common_words_are_given_up_before_their_places_are_written(spark):
+    # "the" stands before many numbers, and before far more words
+    rows = [f"so the +1 (988) 555-{1000 + k} and the {'abcdefghij'[j]}{'klmnopqrst'[k]} end {k}{j}" for k in range(10) for j in range(10)]
+    out = pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    assert sum(r.n_found for r in out) == 0 and sum(r.n_phone for r in out) == 100
