@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import epoch_ms_from_iso, epoch_ms_from_ns, number
-from ..operators.frames import available, numbered, priority_union, stripped
+from ..operators.frames import numbered, priority_union, stripped
+from .headers import session_table as session_table
+from .logs import tailed as tailed
 
 #: Numeric columns of the reference monitor's beats that are coerced where present.
 REFERENCE_NUMBERS = ("beat_sys", "beat_dia", "beat_map", "beat_hr", "count", "artifact_flag")
@@ -43,13 +45,6 @@ def reference_beats(df: DataFrame, numbers: Sequence[str] = REFERENCE_NUMBERS) -
     return out.withColumn("timestamp_ms", epoch_ms_from_ns(number(F.col("epoch_ns")))).where("timestamp_ms is not null")
 
 
-def session_table(spark: SparkSession, root: str, wanted: Sequence[str], file: str = "*.csv") -> DataFrame:
-    """All sessions' tables below root/session_id=.../; only wanted columns are read, session_id is
-    a partition, so that lists of sessions prune folders."""
-    df = spark.read.option("header", True).option("inferSchema", True).option("basePath", root).csv(f"{root}/session_id=*/{file}")
-    return available(stripped(df), ["session_id", *wanted])
-
-
 def sessions(current: DataFrame, past: DataFrame | None = None) -> DataFrame:
     """Current sessions, and past ones whose names aren't current, with origin."""
     if past is None:
@@ -132,5 +127,5 @@ def read_back(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
 
 def followed(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of the lines of the text files that come into a folder, such as log segments that a device's
-    files are pulled to."""
+    files are pulled to. Files must be whole when they come; tailed follows those that grow."""
     return spark.readStream.text(folder)
