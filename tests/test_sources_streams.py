@@ -1,4 +1,8 @@
 import json
+import os
+import random
+import shutil
+import time
 
 import pandas as pd
 import pytest
@@ -77,7 +81,11 @@ def test_windows_of_a_stream(spark, tmp_path):
     spark.createDataFrame(pd.DataFrame(rows, columns=["event_id", "ts", "event_type", "value"])).write.parquet(str(tmp_path / "events.parquet"))
     got = match.drained(match.windowed(match.event_stream(spark, str(tmp_path / "events.parquet" / "*.parquet")), ["event_type"], "value"))
     batch = spark.read.parquet(str(tmp_path / "events.parquet")).groupBy("event_type", F.window("ts", "1 hour")).count().count()
-    assert 2 * 9 <= got.count() <= batch
+    assert 2 * 9 <= got.count() < batch
+    stream = match.windowed(match.event_stream(spark, str(tmp_path / "events.parquet" / "*.parquet")), ["event_type"], "value")
+    whole = {(r.event_type, r.window_ms): (r.n, r.total) for r in match.to_the_end(stream).collect()}
+    plain = spark.read.parquet(str(tmp_path / "events.parquet")).groupBy("event_type", F.unix_millis(F.window("ts", "1 hour")["start"]).alias("w")).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    assert whole == {(r.event_type, r.w): (r.n, r.total) for r in plain.collect()}
 
 
 def test_online_match_and_smoothing(spark, tmp_path):
@@ -92,6 +100,68 @@ def test_online_match_and_smoothing(spark, tmp_path):
     assert [r.smoothed for r in got] == plain_ewma(xs, 0.5)
 
 
+def one_file_a_batch(spark, folder, schema, files):
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/{k}")
+        for f in (folder / str(k)).glob("*.parquet"):
+            f.rename(folder / f"{k}.parquet")
+            os.utime(folder / f"{k}.parquet", (k + 1, k + 1))
+        shutil.rmtree(folder / str(k))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
+
+
+def test_rows_that_come_in_several_files_out_of_order(spark, tmp_path):
+    r = random.Random(6)
+    files = [[(k % 2, r.choice(["left", "right"]), 100 * b + k, r.choice([None, *[float(x) for x in range(40)]]), r.randint(0, 500)) for k in range(60)] for b in range(4)]
+    stream = one_file_a_batch(spark, tmp_path, "key long, side string, id long, t double, seq long", files)
+    got = {x.id: (x.ref_id, x.delta) for x in match.drained(match.matched_now(stream, keep=3)).collect()}
+    rings, want = {0: [], 1: []}, {}
+    for rows in files:
+        for key, side, i, t, _ in sorted(rows, key=lambda x: (x[4], x[1] == "left")):
+            ring = rings[key]
+            if side == "right":
+                rings[key] = [*ring, (i, t)][-3:]
+                continue
+            timed = [(abs(t - u), k) for k, (_, u) in enumerate(ring) if t is not None and u is not None]
+            best = min(timed)[1] if timed else len(ring) - 1
+            want[i] = (ring[best][0], None if t is None or ring[best][1] is None else t - ring[best][1]) if ring else (None, None)
+    assert got == want
+
+
+def test_smoothing_over_several_files_and_restarts(spark, tmp_path):
+    r = random.Random(7)
+    files = [[(k % 2, 100 * b + k, r.choice([None, r.random()])) for k in range(30)] for b in range(3)]
+    (tmp_path / "in").mkdir()
+    stream, folder = one_file_a_batch(spark, tmp_path / "in", "key long, seq long, x double", files[:2]), str(tmp_path / "out")
+    match.drained(match.smoothed_now(stream, 0.3), folder)
+    spark.createDataFrame(files[2], "key long, seq long, x double").coalesce(1).write.parquet(str(tmp_path / "in" / "last"))
+    for f in (tmp_path / "in" / "last").glob("*.parquet"):
+        f.rename(tmp_path / "in" / "last.parquet")
+    shutil.rmtree(tmp_path / "in" / "last")
+    got = match.drained(match.smoothed_now(stream, 0.3), folder).orderBy("key", "seq").collect()
+    for key in (0, 1):
+        xs = [x for rows in files for k, _, x in sorted(rows, key=lambda v: v[1]) if k == key]
+        assert [None if v.smoothed is None else round(v.smoothed, 12) for v in got if v.key == key] == [None if v is None else round(v, 12) for v in plain_ewma(xs, 0.3)]
+
+
+def test_idle_state_goes(spark, tmp_path):
+    schema, folder = "key long, side string, id long, t double, seq long", tmp_path / "in"
+    folder.mkdir()
+    stream = one_file_a_batch(spark, folder, schema, [[(1, "right", 1, 5.0, 1), (1, "left", 2, 5.0, 2)]])
+    live = match.Live({"m": match.matched_now(stream, idle_ms=500)}, str(tmp_path / "out"), clocked=["m"])
+    try:
+        match._until_nothing_comes(live.queries["m"])
+        time.sleep(1.5)
+        (tmp_path / "more").mkdir()
+        one_file_a_batch(spark, tmp_path / "more", schema, [[(1, "left", 3, 5.0, 3)]])
+        (tmp_path / "more" / "0.parquet").rename(folder / "later.parquet")
+        os.utime(folder / "later.parquet")
+        time.sleep(0.5)
+    finally:
+        got = live.stop()["m"].collect()
+    assert sorted((r.id, r.ref_id) for r in got) == [(2, 1), (3, None)]
+
+
 def test_interval_match(spark, tmp_path):
     base = pd.Timestamp("2024-01-01")
     for name, offsets in (("a", [0, 60, 4000]), ("b", [1, 58, 70])):
