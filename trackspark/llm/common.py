@@ -152,7 +152,9 @@ def in_groups(rows: DataFrame, by: list[str], start: Callable[[], Callable[[pa.T
                     held = []
         if held:
             yield from work(pa.concat_tables(held))
+            held = []
         yield from work(None)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return rows.repartition(*by).sortWithinPartitions(*by).mapInArrow(over, schema)
 
