@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from ..shared import new_folder
+from .watch import Watch
 
 
 def start(stream: DataFrame, folder: str, every: str | None = None) -> StreamingQuery:
@@ -38,19 +39,26 @@ def drained(stream: DataFrame, folder: str | None = None) -> DataFrame:
 class Live:
     """Streams that run until stopped, by name. A stream that has failed fails health() and stop() with its
     own error; started anew on the same folder it goes on from its checkpoint. Streams in clocked have
-    state that goes with time (idle_ms): they make a batch at every trigger, whether rows come or not."""
+    state that goes with time (idle_ms): they make a batch at every trigger, whether rows come or not. With
+    a watch, errors tell the stream's last lines, and whether it had read anything."""
 
-    def __init__(self, streams: Mapping[str, DataFrame], folder: str, every: str = "200 milliseconds", clocked: Collection[str] = ()):
-        self.streams, self.folder, self.clocked = dict(streams), folder, frozenset(clocked)
+    def __init__(self, streams: Mapping[str, DataFrame], folder: str, every: str = "200 milliseconds", clocked: Collection[str] = (), watch: Watch | None = None):
+        self.streams, self.folder, self.clocked, self.watch = dict(streams), folder, frozenset(clocked), watch
         self.queries = {name: start(s, f"{folder}/{name}", every) for name, s in self.streams.items()}
 
     def health(self) -> dict[str, bool]:
         """Which streams have read anything yet; raises the error of one that has died."""
         for name, q in self.queries.items():
             if q.exception() is not None:
-                raise RuntimeError(f"stream {name} died: {q.exception()}")
+                raise RuntimeError(self._death(name, q))
         return {name: any(p["numInputRows"] for p in q.recentProgress) for name, q in self.queries.items()}
 
+    def _death(self, name: str, query: StreamingQuery) -> str:
+        run, what = str(query.runId), f"stream {name} died: {query.exception()}"
+        if self.watch is None:
+            return what
+        return what + ("" if self.watch.rows.get(run) else "\nit died before its first row") + f"\nits last lines:\n{self.watch.tail(run)}"
+
     def stop(self) -> dict[str, DataFrame]:
         """Works off what has come, stops all streams, and returns what they have written."""
         try:
