@@ -1,9 +1,11 @@
+import base64
 import gzip
 import hashlib
 import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trackspark.llm import pii, warc
@@ -74,6 +76,41 @@ def test_one_page_that_very_many_repeat(spark):
     assert {r.page_id for r in out if r.record_type == "revisit"} == {k for k in range(600) if k % 3} - {599} and {r.refers_to for r in out} == {None, 599}
 
 
+def foreign(kind, block, n, *more, eol="\r\n"):
+    head = ["WARC/1.0", f"warc-type: {kind}", f"WARC-Record-ID: <urn:uuid:{n}>", f"WARC-Target-URI: http://x/{n}", *more, f"Content-Length: {len(block)}"]
+    return (eol.join(head) + eol * 2).encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_makers(spark, tmp_path):
+    http = b"HTTP/1.1 200 OK\r\nServer: y\r\n\r\n"
+    digest = base64.b32encode(hashlib.sha1(b"body \r\n\r\n end").digest()).decode()
+    records = [
+        foreign("warcinfo", b"software: z\r\n", 0, "Content-Type: application/warc-fields"),
+        foreign("request", b"GET / HTTP/1.1\r\n\r\n", 1, "Content-Type: application/http; msgtype=request"),
+        foreign("response", http + b"body \r\n\r\n end", 2, f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http;msgtype=response"),
+        foreign("resource", b"plain", 3, "Content-Type: text/plain", "X-Folded: a\r\n b: c"),
+        foreign("revisit", b"HTTP/1.1 200 OK\r\nContent-Length: 77\r\n\r\n", 4, "Content-Type: application/http; msgtype=response"),
+        foreign("response", http, 5, "WARC-Payload-Digest: md5:abc", "Content-Type: application/http", eol="\n"),
+        foreign("response", http + b"z" * 3_000_000, 6, "Content-Type: application/http"),
+    ]
+    (tmp_path / "one.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "two.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "three.warc").write_bytes(b"".join(records))
+    (tmp_path / "notes.txt").write_text("no archive")
+    want = [("warcinfo", 0, None, None, None), ("request", 1, None, None, None), ("response", 2, 13, hashlib.sha1(b"body \r\n\r\n end").hexdigest(), b"body \r\n\r\n end"), ("resource", 3, 5, None, b"plain"), ("revisit", 4, 77, None, None), ("response", 5, 0, None, b""), ("response", 6, 3_000_000, None, b"z" * 3_000_000)]
+    for mode in ("full", "verify", "skip"):
+        out = warc.read_archives(spark, f"file://{tmp_path}", mode).collect()
+        got = sorted(((r.record_type, int(r.record_id.rpartition(":")[2]), r.payload_bytes, r.payload_digest, None if r.payload is None else bytes(r.payload)) for r in out), key=lambda x: x[1])
+        assert got == [(*w[:4], w[4] if mode == "full" else None) for w in want for _ in range(3)] and all(r.page_id is None for r in out)
+    some = warc.read_archives(spark, f"file://{tmp_path}").where("record_type = 'response' and target_uri = 'http://x/2'").collect()
+    assert [bytes(r.payload) for r in some] == [b"body \r\n\r\n end"] * 3
+    assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.warc").write_bytes(records[3][:-8])
+    with pytest.raises(Exception, match="cut short"):
+        warc.read_archives(spark, f"file://{tmp_path}/bad").collect()
+
+
 def test_no_pages(spark):
     assert warc.archive_round_trip(pages(spark).where("false")).count() == 0
 

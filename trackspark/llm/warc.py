@@ -5,11 +5,18 @@ length, so the reader finds the next record without inflating this one. The read
 partition per archive of bounded size, takes predicates on record type and header fields from Spark,
 inflates a record's first kilobytes to parse its headers, and leaves unwanted payloads compressed.
 Files count only once the driver has listed them in a manifest, so failed or repeated tasks do no harm.
+
+Archives of other makers are read as well: without a manifest all .warc and .warc.gz files count, members
+need no extra field (then what is skipped has to be inflated, but is not kept), and a file may be
+plain (then payloads are skipped by seeking).
 """
 
 from __future__ import annotations
 
+import base64
+import gzip
 import hashlib
+import io
 import json
 import struct
 import uuid
@@ -39,9 +46,9 @@ from pyspark.sql.datasource import (
 
 from .common import bounded_batches, new_folder
 
-SCHEMA = "record_type string, page_id long, target_uri string, refers_to long, payload_bytes long, payload_digest string, payload binary"
-NAMES = ["record_type", "page_id", "target_uri", "refers_to", "payload_bytes", "payload_digest", "payload"]
-KINDS = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+SCHEMA = "record_type string, page_id long, target_uri string, refers_to long, payload_bytes long, payload_digest string, record_id string, payload binary"
+NAMES = ["record_type", "page_id", "target_uri", "refers_to", "payload_bytes", "payload_digest", "record_id", "payload"]
+KINDS = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 ID = "urn:trackspark:page:"
 BREAK = b"\r\n\r\n"
 MANIFEST = "_manifest.json"
@@ -157,28 +164,38 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
-            if type(f) in _TESTS and f.attribute[0] in NAMES[:6] and len(f.attribute) == 1:
+            if type(f) in _TESTS and f.attribute[0] in NAMES[:-1] and len(f.attribute) == 1:
                 self.tests.append((NAMES.index(f.attribute[0]), type(f), f.value))
             else:
                 yield f
 
     def partitions(self) -> list[Archive]:
         fs, path = _filesystem(self.path)
-        with fs.open_input_stream(f"{path}/{MANIFEST}", compression=None) as f:
-            return [Archive(name) for name, _ in json.loads(f.read())]
+        kind = fs.get_file_info(f"{path}/{MANIFEST}").type.name
+        if kind == "File":
+            with fs.open_input_stream(f"{path}/{MANIFEST}", compression=None) as f:
+                return [Archive(name) for name, _ in json.loads(f.read())]
+        from pyarrow.fs import FileSelector
+
+        found = fs.get_file_info(FileSelector(path, allow_not_found=True))
+        return [Archive(x.base_name) for x in sorted(found, key=lambda x: x.base_name) if x.type.name == "File" and x.base_name.endswith((".warc", ".warc.gz"))]
 
     def read(self, partition: Archive) -> Iterator[pa.RecordBatch]:
         if partition is None:  # Spark's way to say that there are no partitions
             return
         fs, path = _filesystem(self.path)
         rows, size = [], 0
-        with fs.open_input_stream(f"{path}/{partition.name}", compression=None, buffer_size=1 << 20) as f:
-            while head := f.read(24):
-                magic, length, plain = head[:4], *struct.unpack("<II", head[16:24])
-                if magic != b"\x1f\x8b\x08\x04" or head[12:14] != b"sl":
-                    raise ValueError(f"{partition.name}: a member without the extra field sl")
-                row, cost = self._row(f.read(length - 24), plain)
-                if row and all(row[k] is not None and _TESTS[t](row[k], v) for k, t, v in self.tests):
+        with fs.open_input_file(f"{path}/{partition.name}") as f:
+            head = f.read(24)
+            f.seek(0)
+            if head[:2] != b"\x1f\x8b":
+                found = self._streamed(io.BufferedReader(f), True)
+            elif head[3:4] == b"\x04" and head[12:14] == b"sl":
+                found = self._members(io.BufferedReader(f, 1 << 20), partition.name)
+            else:
+                found = self._streamed(io.BufferedReader(gzip.GzipFile(fileobj=f)), False)
+            for row, cost in found:
+                if self._wanted(row):
                     rows.append(row)
                     size += cost
                 if len(rows) >= 10_000 or size > 1 << 24:
@@ -187,23 +204,86 @@ class WarcReader(DataSourceReader):
         if rows:
             yield self._batch(rows)
 
-    def _row(self, packed: bytes, plain: int) -> tuple[tuple | None, int]:
+    def _wanted(self, row: tuple) -> bool:
+        return all(row[k] is not None and _TESTS[t](row[k], v) for k, t, v in self.tests)
+
+    def _members(self, f: io.BufferedReader, name: str) -> Iterator[tuple[tuple, int]]:
+        """The rows of an archive whose members tell their lengths."""
+        while head := f.read(24):
+            if head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != b"sl":
+                raise ValueError(f"{name}: a member without the extra field sl after some with it")
+            (length,) = struct.unpack("<I", head[16:20])
+            yield self._row(f.read(length - 24))
+
+    @staticmethod
+    def _head(lines: Iterable[str]) -> tuple[str, tuple]:
+        """The type of a record, and its page, URI, page referred to, digest (hexadecimal) and id, from its
+        header lines."""
+        fields = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines)}
+        number = lambda k: int(x) if (x := fields.get(k, "")[1:-1]).startswith(ID) and (x := x[len(ID) :]).lstrip("-").isdigit() else None
+        scheme, _, digest = fields.get("warc-payload-digest", "").partition(":")
+        if scheme.lower() != "sha1":
+            digest = None
+        elif len(digest) == 32:  # the customary base 32
+            digest = base64.b32decode(digest.upper()).hex()
+        name = fields.get("warc-record-id", "").strip("<>") or None
+        return fields.get("warc-type", ""), (number("warc-record-id"), fields.get("warc-target-uri"), number("warc-refers-to"), digest and digest.lower(), name, fields)
+
+    def _streamed(self, f: io.BufferedReader, seekable: bool) -> Iterator[tuple[tuple, int]]:
+        """The rows of a plain archive, or one in members of any kind, record by record."""
+        while line := f.readline():
+            if not line.strip():
+                continue
+            if not line.startswith(b"WARC/"):
+                raise ValueError(f"no record begins with {line[:40]!r}")
+            lines = []
+            while (line := f.readline()).strip():
+                if line[:1] in b" \t" and lines:  # a folded line
+                    lines[-1] += " " + line.decode("utf-8", "replace").strip()
+                else:
+                    lines.append(line.decode("utf-8", "replace"))
+            kind, (page, uri, refers, digest, name, fields) = self._head(lines)
+            left, told, http = int(fields["content-length"]), None, fields.get("content-type", "").lower().startswith("application/http")
+            if http and kind in ("response", "revisit"):
+                while left > 0:
+                    line = f.readline(left)
+                    left -= len(line)
+                    field_, _, value = line.partition(b":")
+                    if field_.lower() == b"content-length" and value.strip().isdigit():
+                        told = int(value)
+                    if not line.strip():
+                        break
+            whole = kind in ("response", "resource", "conversion")
+            row = (kind, page, uri, refers, left if whole else told if kind == "revisit" else None, digest, name)
+            if self.mode != "skip" and whole and self._wanted(row):
+                payload = f.read(left)
+                if len(payload) < left:
+                    raise ValueError(f"record {name} is cut short")
+                if self.mode == "verify" and digest and hashlib.sha1(payload).hexdigest() != digest:
+                    raise ValueError(f"record {name}: the payload is not that of its headers")
+                yield (*row, payload if self.mode == "full" else None), left
+                continue
+            if seekable:
+                f.seek(left, io.SEEK_CUR)
+            while not seekable and left > 0:
+                left -= len(part) if (part := f.read(min(left, 1 << 20))) else left
+            yield (*row, None), 0
+
+    def _row(self, packed: bytes) -> tuple[tuple, int]:
         inflate = zlib.decompressobj(-15)
         text = inflate.decompress(packed, 2048)
         while BREAK not in text and not inflate.eof:
             text += inflate.decompress(inflate.unconsumed_tail, 1 << 16)
         head, text = text.split(BREAK, 1)
-        fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-        kind, number = fields["WARC-Type"], lambda k: int(x) if (x := fields.get(k, "")[len(ID) + 1 : -1]) else None
+        kind, (page, uri, refers, digest, name, _) = self._head(head.decode().split("\r\n")[1:])
         if kind == "warcinfo":
-            return (kind, None, None, None, None, None, None), 0
+            return (kind, None, None, None, None, None, name, None), 0
         while BREAK not in text and not inflate.eof:
             text += inflate.decompress(inflate.unconsumed_tail, 1 << 16)
         http, text = text.split(BREAK, 1)
         bytes_ = next(int(x.split(b": ")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length"))
-        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-        row = (kind, number("WARC-Record-ID"), fields.get("WARC-Target-URI"), number("WARC-Refers-To"), bytes_, digest)
-        if self.mode == "skip" or kind == "revisit" or not all(row[k] is not None and _TESTS[t](row[k], v) for k, t, v in self.tests):
+        row = (kind, page, uri, refers, bytes_, digest, name)
+        if self.mode == "skip" or kind == "revisit" or not self._wanted(row):
             return (*row, None), 0
         payload = (text + inflate.decompress(inflate.unconsumed_tail) + inflate.flush())[: -len(BREAK)]
         if len(payload) != bytes_ or hashlib.sha1(payload).hexdigest() != digest:
@@ -260,7 +340,14 @@ def write_archives(pages: DataFrame, folder: str, max_file_bytes: int = 1 << 26)
 
 def read_archives(spark: SparkSession, folder: str, payload: str = "full") -> DataFrame:
     """The records of the archives: record_type, page_id, target_uri, refers_to, payload_bytes,
-    payload_digest, payload (null for revisits and unless payload="full"; "verify" still checks it).
+    payload_digest, record_id, payload (null for revisits and unless payload="full"; "verify" still checks it).
+
+    The folder holds archives of write_archives, or any .warc and .warc.gz files: one member a record or
+    one for all, or plain; page_id and refers_to are null there. The payload of a response is what follows
+    its HTTP headers, as it stands (transfer and content codings stay); that of resource and
+    conversion records is the whole block; payload_bytes of a revisit is what its HTTP headers tell, of
+    other records null. Digests other than sha1 are null, base 32 becomes hexadecimal. A record that is
+    cut short, or begins with something else than WARC/, is an error.
     Predicates on all columns but payload are pushed into the reader, which Spark does only with
     spark.sql.python.filterPushdown.enabled; it is set for the session. No records give no rows."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
