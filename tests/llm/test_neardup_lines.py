@@ -239,25 +239,29 @@ def line_corpus():
 
 def test_line_dedup_equals_brute_force(spark):
     rows = line_corpus()
+    r = random.Random(9)
+    rows += [(300 + k, "\n".join("".join(r.choice("ab") for _ in range(r.choice([1, 3, 11, 12, 13, 14, 22, 23, 24, 25, 26]))) for _ in range(5))) for k in range(20)]
+    rows += [(400, " " * 24 + "\n" + " " * 23 + "x"), (401, " " * 24 + "\n" + " " * 30), (402, "\t" * 12)]
     docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, gone string")
-    out = linededup.dedup_lines(docs, 2, 24).collect()
+    out = linededup.dedup_lines(docs, 2, 12).collect()
     assert len(out) == len(rows) and out[0].gone == "x"
     order = {k: i for i, (k, _) in enumerate(rows)}
-    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if len(x) >= 24}, key=len)
+    lines = sorted({x for _, t in rows for x in (t or "").split("\n") if x.strip()}, key=len)
     sizes, u = [len(x) for x in lines], Union()
     for i, x in enumerate(lines):
         u.find(x)
-        for y in lines[i + 1 : bisect_right(sizes, len(x) + 2)]:
-            if len(x) > 1000 or edit_distance(x, y) <= 2:
+        edits = min(len(x) // 12, 2)
+        for y in lines[i + 1 : bisect_right(sizes, len(x) + edits)] if edits else []:
+            if len(x) > 1000 or edit_distance(x, y) <= edits:
                 u.join(x, y)
     first = {}
     for k, t in sorted(dict(rows).items(), key=lambda x: (x[0] is None, x[0])):
         for n, x in enumerate((t or "").split("\n")):
-            if len(x) >= 24:
+            if x.strip():
                 first.setdefault(u.find(x), (k, n))
     for row in out:
         t = rows[order[row.doc_id]][1]
-        want = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if len(x) < 24 or first[u.find(x)] == (row.doc_id, n))
+        want = None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if not x.strip() or first[u.find(x)] == (row.doc_id, n))
         assert row.text == want, row.doc_id
 
 
@@ -270,5 +274,5 @@ def test_short_equal_lines_go(spark, tmp_path):
     out = {r.doc_id: r for r in op8_line_dedup(spark, str(tmp_path)).collect()}
     assert {k: r.removed for k, r in out.items()} == {0: "", 1: "0", 2: "0,1,3", 3: "", 4: ""}
     assert [out[k].n_removed for k in range(5)] == [0, 1, 3, 0, 0]
-    cut = {r.doc_id: r.text for r in linededup.dedup_lines(docs, 2, 24, 1).collect()}
+    cut = {r.doc_id: r.text for r in linededup.dedup_lines(docs, 2, 12).collect()}
     assert cut[2] == "Mes\n\n" and cut[0] == texts[0] and cut[4] == texts[4]

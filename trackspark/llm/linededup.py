@@ -1,7 +1,8 @@
 """Line deduplication with a segment-partition edit join.
 
-Equal lines of any length are one class by digest. For lines within a few edits of each other, each line is split
-into threshold + 1 segments, of which a line that near must hold one whole; the segments' hashes, with
+Equal lines of any length are one class by digest. Lines may differ by an edit for so many code points of the
+shorter one, up to a threshold. For these, each line is split into as many segments as edits are allowed
+at its length, and one more, of which a line that near must hold one whole; the segments' hashes, with
 line length and segment number, are an index that the substrings of all lines probe at the positions
 that the edits before and behind allow. The lines of a key meet in tasks, in pairs of chunks if they are
 many; there candidates are verified by banded bit-parallel edit distance, and of the links found those
@@ -66,6 +67,11 @@ def line_ids(lines: list[str]) -> np.ndarray:
     return low & np.uint64((1 << 48) - 1) | parity << np.uint64(48)
 
 
+def allowed(length: np.ndarray, threshold: int, per_edit: int) -> np.ndarray:
+    """The edits that a line of this length may be away from a line as long or longer."""
+    return np.minimum(np.asarray(length) // per_edit, threshold)
+
+
 def segments(length: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the threshold + 1 segments of lines of these lengths; the last ones are
     longer by one where they don't come out even. Both have one row per line."""
@@ -93,9 +99,9 @@ def _probed(size: np.ndarray, threshold: int) -> Iterator[tuple[int, np.ndarray,
                 yield i, length, start[:, i] + shift, width[:, i], shorter == shift == 0
 
 
-def segment_keys(lines: list[str], threshold: int, probe: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segment_keys(lines: list[str], threshold: int, probe: bool = True, per_edit: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Keys, the positions of their lines, and whether they are of a line's own segments; just these
-    if not probe."""
+    if not probe. Lines are sought, and cut into segments, by the edits allowed at their own length."""
     size = np.fromiter(map(len, lines), np.int64, len(lines))
     if len(lines) == 1 and size[0] > LONG:
         keys, of, owns = _long_keys(lines[0], threshold)
@@ -105,14 +111,17 @@ def segment_keys(lines: list[str], threshold: int, probe: bool = True) -> tuple[
     sums = np.concatenate([[np.uint64(0)], np.cumsum((codes * _M + np.uint64(1)) * up[:-1], dtype=np.uint64)])
     first, everyone = np.cumsum(size) - size, np.arange(len(lines))
     keys, of, owns = [], [], []
-    for i, length, at, width, own in _probed(size, threshold):
-        if not (own or probe):
-            continue
-        rows = everyone[(at >= 0) & (at + width <= size) & (length >= threshold + 1)]
-        here = at[rows] + first[rows]
-        keys.append(_hashed((sums[here + width[rows]] - sums[here]) * down[here], length[rows], i))
-        of.append(rows)
-        owns.append(np.full(len(rows), own))
+    for edits in range(1, threshold + 1):
+        for i, length, at, width, own in _probed(size, edits):
+            if not (own or probe):
+                continue
+            rows = everyone[(at >= 0) & (at + width <= size) & (length >= edits + 1) & (allowed(length, threshold, per_edit) == edits)]
+            here = at[rows] + first[rows]
+            keys.append(_hashed((sums[here + width[rows]] - sums[here]) * down[here], length[rows], i))
+            of.append(rows)
+            owns.append(np.full(len(rows), own))
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
     return np.concatenate(keys), np.concatenate(of), np.concatenate(owns)
 
 
@@ -157,6 +166,16 @@ def within(pairs: list[tuple[str, str]], threshold: int, most: int = 1 << 20) ->
     return out
 
 
+def near(pairs: list[tuple[str, str]], threshold: int, per_edit: int) -> np.ndarray:
+    """Which pairs are within the edits allowed at the length of the shorter one."""
+    edits = allowed(np.array([min(len(x), len(y)) for x, y in pairs], int), threshold, per_edit)
+    out = np.zeros(len(pairs), bool)
+    for t in np.unique(edits).tolist():
+        some = np.flatnonzero(edits == t)
+        out[some] = within([pairs[k] for k in some], t)
+    return out
+
+
 def _within(pairs: list[tuple[str, str]], threshold: int) -> np.ndarray:
     """Bit-parallel along a band of 2 * threshold + 1 diagonals, one word per pair, all pairs of a column
     at once. Bits hold vertical differences down the band, so the band moves along by a shift."""
@@ -201,14 +220,14 @@ def _within(pairs: list[tuple[str, str]], threshold: int) -> np.ndarray:
     return (value <= threshold) & (abs(la - lb) <= threshold)
 
 
-def _lines(text: str | None, least: int, least_equal: int | None) -> Iterator[tuple[int, str]]:
-    """Lines of at least least characters, and of at least least_equal if they are not blank."""
+def _lines(text: str | None, least: int) -> Iterator[tuple[int, str]]:
+    """Lines of at least least characters that are not blank."""
     for k, line in enumerate((text or "").split("\n")):
-        if len(line) >= least or (least_equal is not None and len(line) >= least_equal and line.strip(BLANKS)):
+        if len(line) >= least and line.strip(BLANKS):
             yield k, line
 
 
-def _mapped(docs: DataFrame, schema: str, rows: Callable[[list], list[pa.Array]], least: int, least_equal: int | None = None, part: int = 1 << 19) -> DataFrame:
+def _mapped(docs: DataFrame, schema: str, rows: Callable[[list], list[pa.Array]], least: int = 1, part: int = 1 << 19) -> DataFrame:
     """rows() over runs of lines (doc_id, doc_hash, line_no, line) of about part characters; a line longer
     than LONG is a run of its own."""
     names = [x.split()[0] for x in schema.split(", ")]
@@ -217,7 +236,7 @@ def _mapped(docs: DataFrame, schema: str, rows: Callable[[list], list[pa.Array]]
         held, size = [], 0
         for batch in batches:
             for doc, h, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                for k, line in _lines(text.as_py(), least, least_equal):
+                for k, line in _lines(text.as_py(), least):
                     if len(line) > LONG:  # a run of its own
                         if held:
                             yield pa.RecordBatch.from_arrays(rows(held), names)
@@ -255,7 +274,7 @@ def _maybe(bloom: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return hit
 
 
-def _compared(members: DataFrame, threshold: int) -> DataFrame:
+def _compared(members: DataFrame, threshold: int, per_edit: int = 1) -> DataFrame:
     """Links (a, b: digests) between the lines of members (key, id, own, line): of each key, a line whose own
     segment it is against all others. Of what a task finds, a link that joins nothing new stays there."""
     dealt = chunk_pairs(members, ["key"], "id", F.lit(True), F.length("line") + 256, CHUNK)
@@ -270,7 +289,7 @@ def _compared(members: DataFrame, threshold: int) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal size
             some = list(waiting.values())
-            yield linked([p for p, ok in zip(some, within(some, threshold), strict=True) if ok])
+            yield linked([p for p, ok in zip(some, near(some, threshold, per_edit), strict=True) if ok])
             waiting.clear()
             size = 0
 
@@ -282,13 +301,15 @@ def _compared(members: DataFrame, threshold: int) -> DataFrame:
             ids = table.column("id").to_numpy().view(np.uint64)
             own, at, lines = table.column("own").to_numpy(), table.column("_at").to_numpy(), table.column("line").to_pylist()
             length = np.fromiter(map(len, lines), np.int64, len(lines))
+            most = allowed(length, threshold, per_edit)
             one = table.column("_i")[0] == table.column("_j")[0]
             rows, others = (np.arange(len(ids)),) * 2 if one else (np.flatnonzero(at == at.min()), np.flatnonzero(at == at.max()))
             found = []
             for begin in range(0, len(rows), 256):
                 a = rows[begin : begin + 256, None]
                 apart = np.bitwise_count((ids[a] ^ ids[others]) >> np.uint64(48))
-                fits = (apart <= 2 * threshold) & (ids[a] != ids[others]) & (abs(length[a] - length[others]) <= threshold) & (own[a] | own[others])
+                edits = np.minimum(most[a], most[others])
+                fits = (apart <= 2 * edits) & (ids[a] != ids[others]) & (abs(length[a] - length[others]) <= edits) & (own[a] | own[others])
                 x, y = np.nonzero(fits & (a < others) if one else fits)
                 found.append((a[x, 0], others[y], apart[x, y]))
             x, y, apart = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -308,21 +329,22 @@ def _compared(members: DataFrame, threshold: int) -> DataFrame:
                 root, some = forest.roots(), order[begin : begin + (1 << 11)]
                 some = some[root[x[some]] != root[y[some]]]
                 pairs = [(lines[x[k]], lines[y[k]]) for k in some]
-                yield linked([pair for k, pair, ok in zip(some, pairs, within(pairs, threshold), strict=True) if ok and forest.join(x[k], y[k])])
+                yield linked([pair for k, pair, ok in zip(some, pairs, near(pairs, threshold, per_edit), strict=True) if ok and forest.join(x[k], y[k])])
 
         return group
 
     return in_groups(dealt, ["key", "_i", "_j"], start, "a binary, b binary")
 
 
-def duplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24, least_equal: int | None = None) -> DataFrame:
+def duplicate_lines(docs: DataFrame, threshold: int = 2, per_edit: int = 12) -> DataFrame:
     """doc_id, doc_hash (of the text), line_no, class, first (doc_id, doc_hash, line_no) of every line
-    whose class has more than one occurrence; classes are the components of lines within threshold
-    edits of each other (code points; line feeds divide lines). first is the occurrence that stays:
-    by doc_id (null last), then hash of the text, then line. Lines of fewer than least characters are
-    near no others; they are one class with their equals if they have least_equal characters and are
-    not blank (None: they take no part). Null and empty texts have no lines. Occurrences in repeated rows (same id and text) can't
-    be told apart and share their fate. Other columns are ignored, an empty table gives no rows."""
+    whose class has more than one occurrence; classes are the components of lines that are equal, or
+    within an edit for every per_edit code points of the shorter one, at most threshold edits (line feeds
+    divide lines; 12 and 2: one edit from 12 code points on, two from 24 on, as two would chain shorter
+    lines that are unlike). first is the occurrence that stays: by doc_id (null last), then hash of the text,
+    then line. Blank lines are no lines, of whatever length. Null and empty texts have no lines.
+    Occurrences in repeated rows (same id and text) can't be told apart and share their fate. Other columns
+    are ignored, an empty table gives no rows."""
     bounded_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_hash"), text.alias("text"))
@@ -334,11 +356,11 @@ def duplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24, least_
 
     def keys(held: list) -> list[pa.Array]:
         lines = list(dict.fromkeys(x[3] for x in held))
-        key, of, own = segment_keys(lines, threshold)
+        key, of, own = segment_keys(lines, threshold, per_edit=per_edit)
         return [pa.array(key.view(np.int64)), pa.array(line_ids(lines)[of].view(np.int64)), pa.array(own)]
 
     # a frequent line leaves one row per key and run of lines
-    probes = _mapped(docs, "key long, id long, own boolean", keys, least).repartition("key")
+    probes = _mapped(docs, "key long, id long, own boolean", keys, per_edit).repartition("key")
     heads = probes.where("own").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     apart = F.bit_count(F.shiftrightunsigned(F.col("id").bitwiseXOR(F.col("lo")), 48))
     hits = probes.join(heads, "key").where("id <> lo or id <> hi").where((F.col("lo") != F.col("hi")) | (apart <= 2 * threshold))
@@ -355,23 +377,23 @@ def duplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24, least_
         hit = np.flatnonzero(_maybe(bloom, found))
         return [pa.array(found[hit].view(np.int64)), pa.array([lines[k] for k in hit], pa.string())]
 
-    wanted = _mapped(docs, "id long, line string", texts, least).join(ids, "id", "left_semi").distinct()
-    links = cut_lineage(_compared(hits.join(wanted, "id"), threshold))
+    wanted = _mapped(docs, "id long, line string", texts, per_edit).join(ids, "id", "left_semi").distinct()
+    links = cut_lineage(_compared(hits.join(wanted, "id"), threshold, per_edit))
     merged = components(links).withColumnRenamed("node", "line")
-    lines = _mapped(docs, "doc_id long, doc_hash long, line_no int, line binary", lambda held: occurrences(held, None), least, least_equal)
+    lines = _mapped(docs, "doc_id long, doc_hash long, line_no int, line binary", lambda held: occurrences(held, None))
     where = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "doc_hash", "line_no")
     each = lines.groupBy("line").agg(F.min(where).alias("first"), F.count("*").alias("n"))
     each = cut_lineage(each.join(merged, "line", "left").withColumn("class", F.coalesce("component", "line")).where("n > 1 or component is not null").select("line", "class", "first", "n"))
     whole = each.groupBy("class").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("class", "first")
     whole = each.select("line", "class").join(whole, "class")
     repeated = _bloom(whole.select(F.conv(F.hex(F.substring("line", 1, 8)), 16, -10).cast("long").alias("id")))
-    again = _mapped(docs, "doc_id long, doc_hash long, line_no int, line binary", lambda held: occurrences(held, repeated), least, least_equal)
+    again = _mapped(docs, "doc_id long, doc_hash long, line_no int, line binary", lambda held: occurrences(held, repeated))
     return again.join(whole, "line").select("doc_id", "doc_hash", "line_no", "class", "first")
 
 
-def removed_lines(docs: DataFrame, threshold: int = 2, least: int = 24, least_equal: int | None = None) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: int = 2, per_edit: int = 12) -> DataFrame:
     """doc_id, doc_hash and removed (sorted numbers of the lines that don't stay) of documents that lose lines."""
-    lines = duplicate_lines(docs, threshold, least, least_equal)
+    lines = duplicate_lines(docs, threshold, per_edit)
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("doc_hash") == F.col("first.doc_hash")) & (F.col("line_no") == F.col("first.line_no"))
     return lines.where(~stays).groupBy("doc_id", "doc_hash").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
@@ -390,10 +412,10 @@ def _without(text: Column, removed: Column) -> Column:
     return cut(text, removed)
 
 
-def dedup_lines(docs: DataFrame, threshold: int = 2, least: int = 24, least_equal: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = 2, per_edit: int = 12) -> DataFrame:
     """docs with column text without its repeated lines; rows and other columns stay as they are."""
     own = [free_name(docs, c) for c in ("gone_id", "gone_hash", "gone")]
-    gone = removed_lines(docs, threshold, least, least_equal).toDF(*own)
+    gone = removed_lines(docs, threshold, per_edit).toDF(*own)
     text = F.col("text").cast("string")
     joined = docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col(own[0])) & (F.xxhash64(text) == F.col(own[1])), "left")
     return joined.withColumn("text", _without(text, F.col(own[2]))).select(*docs.columns)

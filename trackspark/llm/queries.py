@@ -70,11 +70,11 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of each document, and those of them that go because they, or (from 24 characters) lines within two edits, occur before."""
+    """Lines of each document, and those of them that go because they, or lines within an edit per 12 characters (two at most), occur before."""
     from .linededup import removed_lines
 
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = removed_lines(docs, threshold=2, least=24, least_equal=1).select(F.col("doc_id").alias("id"), F.col("doc_hash").alias("h"), "removed")
+    gone = removed_lines(docs, threshold=2, per_edit=12).select(F.col("doc_id").alias("id"), F.col("doc_hash").alias("h"), "removed")
     lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     rows = docs.select("doc_id", F.xxhash64("text").alias("hash"), lines.alias("n_lines"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("h")), "left")
