@@ -29,7 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that occur before, or nearly so; a document that loses all words goes.
     Documents that had no words stay as they are."""
     before = docs.withColumn("_had", F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
-    after = linededup.dedup_lines(before, threshold=2, least=24, least_equal=1)
+    after = linededup.dedup_lines(before, threshold=2, per_edit=12)
     after = after.where(~F.col("_had") | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return after.withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
