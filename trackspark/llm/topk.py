@@ -118,16 +118,19 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10, scale: int = 1024,
     asked = _packed(queries, max(1, -(-q // query_rows)), "q").withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, lists = None, None  # the query blocks of a candidate block come one after the other
         for batch in batches:
             for row in batch.to_pylist():
-                ids, at = (np.frombuffer(row[f"{s}_ids"], np.int64) for s in ("c", "q"))
-                block, asking = (np.frombuffer(row[f"{s}_vectors"], np.int64).reshape(-1, row["width"]) for s in ("c", "q"))
-                lists = SortedLists(ids, block)
+                at = np.frombuffer(row["q_ids"], np.int64)
+                asking = np.frombuffer(row["q_vectors"], np.int64).reshape(-1, row["width"])
+                if held != (row["c"], row["width"]):
+                    held = row["c"], row["width"]
+                    lists = SortedLists(np.frombuffer(row["c_ids"], np.int64), np.frombuffer(row["c_vectors"], np.int64).reshape(-1, row["width"]))
                 found = [(row["q_first"] + n, int(i), s, v) for n, (i, vec) in enumerate(zip(at, asking, strict=True)) for s, v in lists.top(vec, k, int(i))]
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["query", "query_id", "score", "vec_id"])
 
-    pairs = candidates.join(asked, ["c", "width"]).select("width", "c_ids", "c_vectors", "q_first", "q_ids", "q_vectors")
+    pairs = candidates.join(asked, ["c", "width"]).select("c", "width", "c_ids", "c_vectors", "q_first", "q_ids", "q_vectors")
     found = pairs.mapInArrow(search, "query long, query_id long, score long, vec_id long")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
