@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.statistics import amplitude_ratio, mae, pearson, rmse, same_sign, tracking_gain
+from ..shared import cut
 from .features import centered, difference
 from .metrics import on_grid, paired
 
@@ -40,23 +41,22 @@ def exact_medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], ac
     """keys and the median of each of columns, for groups that may be any part of all rows.
 
     A sketch brackets the middle, from which it is off by one part in accuracy at most; rows below
-    the bracket are counted, and only the distinct values within it are put in order. Missing values
-    don't count; a group without values has null."""
-    bracket = F.percentile_approx
-    step = 2 / accuracy
-    counted = df.groupBy(*keys).agg(*[x for c in columns for x in (F.count(c).alias(f"{c}__n"), bracket(c, F.array(F.lit(0.5 - step), F.lit(0.5 + step)), accuracy).alias(f"{c}__b"))])
-    out = counted.select(*keys)
-    for c in columns:
-        own = df.select(*keys, F.col(c).cast("double").alias("__x")).where("__x is not null").join(counted.select(*keys, F.col(f"{c}__n").alias("__n"), F.col(f"{c}__b").alias("__b")), list(keys))
-        low, high = F.col("__b")[0], F.col("__b")[1]
-        value = F.when(F.col("__x").between(low, high), F.col("__x"))
-        # one row per distinct value in the bracket, and one (null) for all below it
-        sums = own.where(F.col("__x") <= high).groupBy(*keys, "__n", value.alias("__v")).agg(F.count("*").alias("__k"))
-        upto = F.sum("__k").over(Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first()))
-        sums = sums.withColumn("__upto", upto)
-        hits = [F.min(F.when(F.col("__upto") >= F.floor((F.col("__n") + k) / 2), F.col("__v"))) for k in (1, 2)]
-        out = out.join(sums.groupBy(*keys).agg(((hits[0] + hits[1]) / 2).alias(c)), list(keys), "left")
-    return out
+    the bracket are counted, and only the distinct values within it are put in order. All columns go
+    through the two scans together. Missing values don't count; a group without values has null."""
+    step, by = 2 / accuracy, [*keys, "__c"]
+    rows = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("__c"), F.col(c).cast("double").alias("__x")) for k, c in enumerate(columns)])).alias("__e")).select(*keys, "__e.*")
+    middle = F.percentile_approx("__x", F.array(F.lit(0.5 - step), F.lit(0.5 + step)), accuracy)
+    bracket = rows.groupBy(*by).agg(F.count("__x").alias("__n"), middle.alias("__b"))
+    low, high = F.col("__b")[0], F.col("__b")[1]
+    value = F.when(F.col("__x").between(low, high), F.col("__x"))
+    # one row per distinct value in the bracket, and one (null) for all below it
+    sums = rows.where("__x is not null").join(bracket, by).where(F.col("__x") <= high).groupBy(*by, "__n", value.alias("__v")).agg(F.count("*").alias("__k"))
+    upto = F.sum("__k").over(Window.partitionBy(*by).orderBy(F.col("__v").asc_nulls_first()))
+    sums = sums.withColumn("__upto", upto)
+    hits = [F.min(F.when(F.col("__upto") >= F.floor((F.col("__n") + k) / 2), F.col("__v"))) for k in (1, 2)]
+    found = sums.groupBy(*by).agg(((hits[0] + hits[1]) / 2).alias("__m"))
+    each = bracket.select(*by).join(found, by, "left")
+    return each.groupBy(*keys).agg(*[F.max(F.when(F.col("__c") == k, F.col("__m"))).alias(c) for k, c in enumerate(columns)])
 
 
 def measures(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -82,7 +82,8 @@ def within(pairs: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
 def pooled(pairs: DataFrame, keys: Sequence[str], session: str, order: Sequence[str]) -> DataFrame:
     """Measures of groups that pool sessions: centred on the pooled median, with steps across the borders
     of sessions. A centred series steps as the plain one does, so no window is wider than a session:
-    a session's first step goes from the last row of the session before, one row of a session's."""
+    a session's first step goes from the last row of the session before, one row of a session's. Pairs
+    are read several times, so they had better be a table."""
     each = [*keys, session]
     place = F.struct(*order)
     ends = pairs.groupBy(*each).agg(*[f(F.struct("ref", "pred"), place).alias(n) for n, f in (("__first", F.min_by), ("__last", F.max_by))])
@@ -107,7 +108,7 @@ def session_style(df: DataFrame, series: Mapping[str, Mapping[str, Column]], ord
     for name, columns in series.items():
         own = shown.withColumns(dict(columns)).withColumn("series", F.lit(name))
         rows = own if rows is None else rows.unionByName(own)
-    pairs = paired(rows, [session, method, "series", *order], TARGETS)
+    pairs = cut(paired(rows, [session, method, "series", *order], TARGETS))  # read several times
     keys = [session, method, "series", "target"]
     out = within(pairs, keys, order).withColumn(session, F.col(session).cast("string"))
     errors = wide_errors(rows, [method, "series"], session)

@@ -34,6 +34,14 @@ CORE = (
     Method("M3", ("M3_A_used", "M3_HR_used", "M3_Mean_used", "M3_sinPhi_used", "M3_cosPhi_used"), ("A", "HR", "Mean", "sinPhi", "cosPhi"), scales=(("sinPhi", 0.80),)),
 )
 
+#: The same of the three experimental methods, which stand by themselves.
+EXPERIMENTAL = (
+    Method("SinBP_D_EOnly", ("SinBP_D_EOnly_A_used", "M2_HR_used", "M2_V2P_relTTP_used", "M2_P2V_relTTP_used", "SinBP_D_EOnly_E_used"), ("A", "HR", "V2P_relTTP", "P2V_relTTP", "E"), scales=(("E", 0.65),)),
+    Method("SinBP_D_E2", ("SinBP_D_E2_A_used", "M2_HR_used", "M2_V2P_relTTP_used", "M2_P2V_relTTP_used", "SinBP_D_E2_E_used", "square:SinBP_D_E2_E_used"), ("A", "HR", "V2P_relTTP", "P2V_relTTP", "E", "E2"), scales=(("E", 0.65), ("E2", 0.65))),
+    Method("SinBP_D_LocalA", ("SinBP_D_LocalA_A_used", "M2_HR_used", "M2_V2P_relTTP_used", "M2_P2V_relTTP_used", "SinBP_D_LocalA_Stiffness_used", "SinBP_D_LocalA_E_used"), ("A_local", "HR", "V2P_relTTP", "P2V_relTTP", "Stiffness", "E"), scales=(("E", 0.65),)),
+)
+METHODS = (*CORE, *EXPERIMENTAL)
+
 
 def feature(df: DataFrame, name: str) -> Column:
     """A feature column as a finite number; null where it isn't one, or there is no such column."""
@@ -78,7 +86,7 @@ def predicted(df: DataFrame, method: Method, model: Mapping[str, Sequence[float]
     return out
 
 
-def append_columns(df: DataFrame, models: Mapping[str, Mapping], methods: Sequence[Method] = CORE, preserve: bool = True) -> DataFrame:
+def append_columns(df: DataFrame, models: Mapping[str, Mapping], methods: Sequence[Method] = METHODS, preserve: bool = True) -> DataFrame:
     """df with the prediction columns of all methods that models has, as expressions in one projection.
     With preserve, columns of that name that df has stay; otherwise they are replaced."""
     known, source = {m.prefix: m for m in methods}, df

@@ -43,18 +43,18 @@ def _styled(df: DataFrame, **more) -> DataFrame:
     return rounded(out.select("session_id", "method", "series", "target", "n", *MEASURES, *BESIDE, "inversion_like"))
 
 
-@query(f"""WITH {_style_sql(_SERIES + ", scoped AS (SELECT CAST(session_id AS VARCHAR) AS scope, * FROM b1 WHERE status = 'F' AND l_quantity < 45)",
+@query(f"""WITH {_style_sql(_SERIES + ", scoped AS (SELECT CAST(session_id AS VARCHAR) AS scope, * FROM b1)",
     "SELECT CAST(s_suppkey AS VARCHAR) AS scope, method FROM supplier, (SELECT unnest(['A', 'N', 'R', 'X']) AS method)")}""")
 def a12_method_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All measures of each session, method, series and target, with rows for what has no data."""
     grid = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("session_id"), F.explode(F.array(*map(F.lit, "ANRX"))).alias("method"))
-    return _styled(beats(spark, sf_dir).where("status = 'F' and l_quantity < 45"), totals=False, grid=grid)
+    return _styled(beats(spark, sf_dir), totals=False, grid=grid)
 
 
 @query(f"""WITH {_style_sql(_SERIES + ", scoped AS (SELECT CAST(session_id AS VARCHAR) AS scope, * FROM b1 UNION ALL SELECT 'ALL', * FROM b1)",
     "SELECT DISTINCT s.scope, m.method FROM (SELECT CAST(session_id AS VARCHAR) AS scope FROM beats UNION SELECT 'ALL') s, (SELECT DISTINCT method FROM beats) m")}""")
 def a15_session_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same per session and over all sessions pooled, whose steps go across their borders."""
+    """The same per session and over all sessions pooled, whose steps go across their borders."""
     return _styled(beats(spark, sf_dir))
 
 

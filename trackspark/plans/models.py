@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import align, baseline, projection, ridge, training, windows
 from .beats import BEATS, TARGETS, beats
-from .queries import query, rounded
+from .queries import _ewma_sql, query, rounded
 
 REFS = {"MAP": "ref_MAP", "PP": "ref_PP"}
 BOUNDS = {"MAP": (40.0, 180.0), "PP": (10.0, 120.0)}
@@ -59,6 +59,24 @@ def m12_shared_baseline_held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("session_id", "method", "beat_index", *[f"{t}_{k}" for t in REFS for k in ("baseline", "heldout")]))
 
 
+_BY = "PARTITION BY session_id, method ORDER BY beat_index ROWS BETWEEN {} PRECEDING AND CURRENT ROW"
+
+
+@query(f"""WITH {BEATS}, c AS (SELECT session_id, method, beat_index, pred_MAP AS rm, pred_PP AS rp, 60 + 0.5 * l_quantity AS dm, 30 + 40 * l_discount AS dp, row_number() OVER (PARTITION BY session_id, method ORDER BY beat_index) AS place FROM beats WHERE l_tax > 0),
+    s AS (SELECT *, {', '.join(f"{_ewma_sql(x, a, _BY.format(117 if a == 0.3 else 60))} AS s{x}" for x, a in (('rm', 0.3), ('dm', 0.3), ('rp', 0.5), ('dp', 0.5)))} FROM c),
+    m AS (SELECT session_id, method, {', '.join(f'median({x}) AS m{x}' for x in ('dm', 'dp', 'sdm', 'sdp'))} FROM s WHERE place <= 30 GROUP BY ALL),
+    b AS (SELECT s.*, rm + g * (dm - mdm) AS bm, rp + 0.4 * (dp - mdp) AS bp, srm + g * (sdm - msdm) AS sbm, srp + 0.4 * (sdp - msdp) AS sbp FROM (SELECT s.*, mdm, mdp, msdm, msdp, CASE s.method WHEN 'R' THEN 0.6 ELSE 0.25 END AS g FROM s JOIN m ON s.session_id = m.session_id AND s.method = m.method) s)
+    SELECT beats.session_id, beats.method, beats.beat_index, round(bm, 4) AS map_raw, round(bp, 4) AS pp_raw, round(sbm, 4) AS map, round(sbm - sbp / 3 + sbp, 4) AS sbp, round(bm - bp / 3, 4) AS dbp_raw
+    FROM beats LEFT JOIN b ON beats.session_id = b.session_id AND beats.beat_index = b.beat_index""")
+def m11_tracking_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runtime blend with a gain of its own for one method; rows without tax have no course."""
+    known = F.col("l_tax") > 0
+    rich = {t: F.when(known, F.col(f"pred_{t}")) for t in REFS}
+    dynamic = {"MAP": F.when(known, 60 + 0.5 * F.col("l_quantity")), "PP": F.when(known, 30 + 40 * F.col("l_discount"))}
+    out = training.tracking_blend(beats(spark, sf_dir), rich, dynamic, {"MAP": {None: 0.25, "R": 0.6}, "PP": {None: 0.4}}, "session_id", ["beat_index"])
+    return rounded(out.select("session_id", "method", "beat_index", F.col("blend_MAP_raw").alias("map_raw"), F.col("blend_PP_raw").alias("pp_raw"), F.col("blend_MAP").alias("map"), F.col("blend_SBP").alias("sbp"), F.col("blend_DBP_raw").alias("dbp_raw")))
+
+
 @query(f"""WITH {BEATS}, v AS (SELECT session_id, beat_index, ref_PP, pred_PP, l_discount AS d, l_tax AS t,
         l_discount - median(l_discount) OVER s AS x, l_tax - median(l_tax) OVER s AS z, ref_PP - median(ref_PP) OVER s - (pred_PP - median(pred_PP) OVER s) AS y FROM beats WHERE status = 'F' WINDOW s AS (PARTITION BY session_id)),
     g AS (SELECT session_id, count(*) AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz, sum(x * y) AS xy, sum(z * y) AS zy,

@@ -156,7 +156,7 @@ def a22_initial_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {BEATS}, m AS (SELECT session_id, median(ref_PP) AS anchor FROM beats WHERE beat_index <= 30 GROUP BY session_id)
     SELECT session_id, beat_index, round(100 + 0.25 * (ref_PP - anchor), 4) AS blended FROM beats JOIN m USING (session_id)""")
 def w12_prefix_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A baseline plus part of the movement from the prefix's median."""
+    """A baseline plus part of the movement from the prefix's median."""
     return beats(spark, sf_dir).select("session_id", "beat_index", r(baseline.blended(F.lit(100.0), F.col("ref_PP"), 0.25, ["session_id"], ["beat_index"])).alias("blended"))
 
 
@@ -378,13 +378,14 @@ def r6_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def m8_shared_baseline_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One baseline model from the discovered columns of one method's rows, replayed for another, with its dynamics blended in."""
+    """One baseline model from the discovered columns of one method's rows, replayed for all methods, with their dynamics blended in."""
     df = beats(spark, sf_dir).withColumn("l_empty", F.lit(None).cast("double"))
-    rows = {m: df.where(F.col("method") == m) for m in ("A", "R")}
+    rows = {m: df.where(F.col("method") == m) for m in ("A", "N", "R")}
     models = training.train_baselines(rows, ["l_"], "session_id", "beat_index", "ref_PP", shared="A", leave=["l_extendedprice"])
-    out = baseline.replay(rows["R"], models["R"], "session_id", "beat_index", "pp", 0.8, 15.0, 100.0)
-    out = training.blended_series(out, F.col("pp_baseline"), F.col("pred_PP"), 0.7, ["session_id"], ["beat_index"])
-    return rounded(out.select("session_id", "beat_index", "pp_baseline", "blend", "blend_smoothed"))
+    each = [baseline.replay(rows[m], models[m], "session_id", "beat_index", "pp", 0.8, 15.0, 100.0) for m in rows]
+    out = each[0].unionByName(each[1]).unionByName(each[2])
+    out = training.blended_series(out, F.col("pp_baseline"), F.col("pred_PP"), 0.7, ["method", "session_id"], ["beat_index"])
+    return rounded(out.select("session_id", "method", "beat_index", "pp_baseline", "blend", "blend_smoothed"))
 
 
 _W = "PARTITION BY session_id, method, window_seconds, target"
@@ -426,7 +427,7 @@ def e3_coefficient_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models per method, in sample and held out, scored per session and over all."""
     from . import sessions
 
-    found = sessions.search(beats(spark, sf_dir), {"A": ["l_quantity"], "R": ["l_quantity", "l_discount"]})
+    found = sessions.search(beats(spark, sf_dir), {"A": ["l_quantity"], "N": ["l_tax", "l_discount"], "R": ["l_quantity", "l_discount"]})
     return rounded(found["summary"])
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalar, statistics
 from ..operators import align, asof, baseline, evaluation, features, frames, metrics, projection, quality, ridge, smooth, windows
+from ..shared import cut
 from .beats import BEATS, PAIRS, TARGETS, beats, table
 
 FLAGSHIP = "q1_tracking_metrics"
@@ -129,7 +130,7 @@ def q3_session_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(CASE WHEN sum(r * r) = 0 THEN NULL ELSE sum(r * p) / sum(r * r) END, 4) AS gain FROM d GROUP BY scope, method, target""")
 def q4_pooled_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15 with pooled medians and steps across session borders in scope ALL (Q7)."""
-    pairs, keys = _pairs(spark, sf_dir), ["method", "target"]
+    pairs, keys = cut(_pairs(spark, sf_dir)), ["method", "target"]
     own = evaluation.within(pairs, ["session_id", *keys], ["beat_index"]).withColumn("scope", F.col("session_id").cast("string"))
     every = evaluation.pooled(pairs, keys, "session_id", ["beat_index"]).withColumn("scope", F.lit(evaluation.ALL))
     columns = ["scope", *keys, "n", "centered_mae", "delta_mae", F.col("tracking_gain").alias("gain")]
@@ -149,7 +150,7 @@ def q5_tumbling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     a AS (SELECT session_id, method, target, count(*) AS n, avg(abs(pred - ref)) AS mae FROM pairs WHERE status = 'F' GROUP BY ALL)
     SELECT g.session_id, g.method, g.target, coalesce(a.n, 0) AS n, round(a.mae, 4) AS mae FROM g LEFT JOIN a USING (session_id, method, target)""")
 def q6_empty_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows with n = 0 for groups without data."""
+    """Rows with n = 0 for groups without data."""
     methods = F.explode(F.array(*map(F.lit, "ANRX")))
     grid = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("session_id"), methods.alias("method")).withColumn("target", F.explode(F.array(F.lit("SBP"), F.lit("PP"))))
     m = _pairs(spark, sf_dir).where("status = 'F'").groupBy("session_id", "method", "target").agg(F.count("*").alias("n"), statistics.mae(F.col("pred") - F.col("ref")).alias("mae"))
