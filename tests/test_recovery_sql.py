@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tests.test_core import plain_ewma
 from tests.test_folds import frame, ridge, summary
 from trackspark import sqlfunctions
-from trackspark.operators import baseline
+from trackspark.operators import baseline, runtime, training
 from trackspark.plans import sessions
 from trackspark.sources import recover, sinks
 from trackspark.streaming import match, watch
@@ -107,3 +107,32 @@ def test_only_the_sessions_named_are_made_anew(spark, tmp_path):
     out = sessions.rebuilt(table, path, [1]).toPandas()
     assert len(out) == len(pd_) and set(out[out.session_id != 1].mae) == {-1.0} and (out[out.session_id == 1].mae >= 0).all()
     assert isinstance(out, pd.DataFrame)
+
+
+def test_experimental_methods_as_columns(spark):
+    row = {"SinBP_D_E2_A_used": 2.0, "M2_HR_used": 60.0, "M2_V2P_relTTP_used": 0.3, "M2_P2V_relTTP_used": 0.7, "SinBP_D_E2_E_used": 3.0, "SinBP_D_EOnly_A_used": None, "SinBP_D_EOnly_E_used": 1.0}
+    df = spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} double" for c in row))
+    e2, only = [50.0, 1.0, 0.1, 2.0, 3.0, 4.0, 0.5], [50.0, 1.0, 0.1, 2.0, 3.0, 4.0]
+    out = runtime.append_columns(df, {"SinBP_D_E2": {"MAP": e2, "PP": e2}, "SinBP_D_EOnly": {"MAP": only, "PP": only}}).first()
+    plain = 50 + 2 + 6 + 0.6 + 2.1
+    assert out["SinBP_D_E2_MAP_model_raw"] == pytest.approx(plain + 12 + 4.5) and out["SinBP_D_E2_PP_model_raw"] == pytest.approx(plain + 0.65 * 16.5)
+    assert out["SinBP_D_EOnly_MAP_model_raw"] is None and out["SinBP_D_E2_PP_coef_E2"] == pytest.approx(0.325)
+
+
+def test_blends_have_the_gain_of_their_method(spark):
+    r = np.random.default_rng(4)
+    p = pd.DataFrame([(m, 1, k, *r.normal(size=4)) for m in "AB" for k in range(40)], columns=["method", "s", "k", "rm", "rp", "dm", "dp"])
+    p.loc[5, "dm"] = None
+    df = spark.createDataFrame(p.astype(object).where(p.notna(), None), "method string, s long, k long, rm double, rp double, dm double, dp double")
+    rich, dynamic = {"MAP": F.col("rm"), "PP": F.col("rp")}, {"MAP": F.col("dm"), "PP": F.col("dp")}
+    out = training.tracking_blend(df, rich, dynamic, {"MAP": {None: 0.3, "B": 0.8}, "PP": {"A": 0.5}}, "s", ["k"]).toPandas()
+    assert out.columns[:7].tolist() == p.columns.tolist() and not any(c.startswith("__") for c in out.columns)
+    for m, gm, gp in (("A", 0.3, 0.5), ("B", 0.8, 0.25)):
+        own = p[(p.method == m)].dropna().sort_values("k")
+        got = out[(out.method == m) & out.dm.notna()].sort_values("k")
+        for t, x, d, g, alpha in (("MAP", "rm", "dm", gm, 0.3), ("PP", "rp", "dp", gp, 0.5)):
+            sx, sd = (np.array(plain_ewma(own[c].tolist(), alpha)) for c in (x, d))
+            assert np.allclose(got[f"blend_{t}_raw"], own[x] + g * (own[d] - own[d].head(30).median()))
+            assert np.allclose(got[f"blend_{t}"], sx + g * (sd - np.median(sd[:30])))
+        assert np.allclose(got.blend_SBP - got.blend_DBP, got.blend_PP)
+    assert out[out.dm.isna()].blend_MAP.isna().all()

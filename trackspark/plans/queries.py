@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import scalar, statistics
-from ..operators import align, asof, baseline, evaluation, features, frames, metrics, projection, quality, ridge, smooth, windows
+from ..functions import statistics
+from ..operators import evaluation, frames, metrics, windows
 from ..shared import cut
 from .beats import BEATS, PAIRS, TARGETS, beats, table
 
