@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -87,6 +88,20 @@ def test_segments_with_many_others_are_sorted_as_strings():
     assert want.tolist() == [low[w] for w, _ in windows]
 
 
+def test_memory_does_not_grow_with_crowded_keys():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 123, 65 * 40000).astype(np.uint8)
+    sizes, keys = np.full(40000, 65), np.repeat(np.arange(400), 100)
+    tracemalloc.start()
+    try:
+        suffixdedup.first_ids(data, sizes, keys, np.arange(40000), 50)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 640,000 windows of 50 bytes as strings would take 32 MB, and as much again twice to sort
+    assert peak < 50e6
+
+
 def test_no_documents(spark):
     assert suffixdedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

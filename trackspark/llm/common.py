@@ -73,11 +73,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def cut_in_buckets(df: DataFrame, column: str) -> DataFrame:
     """cut_lineage, in as many buckets of column as a shuffle has partitions: joins on column take the
-    table as it lies."""
+    table as it lies. Pages end by their size after any row: else a hundred rows of megabytes are one page,
+    and readers keep as much again twice beside the heap to decompress it."""
     spark = df.sparkSession
     path, name = new_folder(spark, "buckets"), f"trackspark_{uuid.uuid4().hex}"
     _TABLES[path] = name
-    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).format("parquet").saveAsTable(name)
+    df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), column).option("path", path).option("parquet.page.size.row.check.min", "1").format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

@@ -27,6 +27,8 @@ from .suffixes import ranges, suffix_arrays
 LAST = np.iinfo(np.int64).max
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
+#: Runs of windows whose places are written out at a time.
+_STEP = 1 << 14
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -150,9 +152,11 @@ class Sent:
 
     def earlier(self, runs: Runs, told: np.ndarray) -> np.ndarray:
         """Whether a smaller id has it, for each window of each item of runs, told it of those sent."""
-        base = np.cumsum(runs.count) - runs.count
+        base, ends = np.cumsum(runs.count) - runs.count, np.append(0, np.cumsum(self.count))
         out = np.zeros(int(runs.count.sum()), bool)
-        out[ranges(base[self.item] + self.begin - runs.begin[self.item], self.count)] = told
+        for i in range(0, len(self.item), _STEP):
+            item, count = self.item[i : i + _STEP], self.count[i : i + _STEP]
+            out[ranges(base[item] + self.begin[i : i + _STEP] - runs.begin[item], count)] = told[ends[i] : ends[i + len(item)]]
         return out
 
 
@@ -162,21 +166,25 @@ def _window_hashes(data: np.ndarray, at: np.ndarray, span: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.uint64), *[_mixed((view[at[i : i + 65536]] * powers).sum(1, dtype=np.uint64)) for i in range(0, len(at), 65536)]])
 
 
-def first_ids(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, least: np.ndarray, span: int, batch: int = 1 << 20, crowd: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def first_ids(data: np.ndarray, sizes: np.ndarray, keys: np.ndarray, least: np.ndarray, span: int, batch: int = 1 << 19, crowd: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """The smallest id of each window of each of the segments in data, and where those of a segment
     begin. Segments have a key, and the smallest id of their own; equal windows are in segments of one key.
     Keys with more than crowd segments have their windows sorted as strings instead, as a suffix array takes
-    as many steps as its text is long."""
+    as many steps as its text is long. Both are worked off in parts of whole keys, of about batch symbols, and
+    windows of an eighth of that."""
     begin, count = np.cumsum(sizes) - sizes, sizes - span + 1
     base = np.cumsum(count) - count
     first = np.repeat(least, count)
     by = np.argsort(keys, kind="stable")
     run = np.flatnonzero(np.concatenate([[True], keys[by][1:] != keys[by][:-1]])) if len(by) else np.zeros(0, np.int64)
     members = np.diff(np.append(run, len(by)))
-    crowded = by[ranges(run[members > crowd], members[members > crowd])]
-    if len(crowded):
+    ends = np.append(0, np.cumsum(count[by]))
+    many = np.flatnonzero(members > crowd)
+    part = np.cumsum(ends[run[many] + members[many]] - ends[run[many]]) // max(batch >> 3, 1)
+    for pick in np.split(many, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(many) else ():
+        crowded = by[ranges(run[pick], members[pick])]
         place, window = ranges(begin[crowded], count[crowded]), ranges(base[crowded], count[crowded])
-        _, same = np.unique(np.ndarray(len(data) - span + 1, f"S{span}", data.tobytes(), 0, (1,))[place], return_inverse=True)
+        _, same = np.unique(np.ndarray(len(data) - span + 1, f"S{span}", data, 0, (1,))[place], return_inverse=True)
         low = np.full(len(place), LAST)
         np.minimum.at(low, same, first[window])
         first[window] = low[same]
@@ -410,9 +418,14 @@ def remove_repeats(docs: DataFrame, span: int = 50, gram: int = 20, chunk_bytes:
         told = _bits(_told(row["earlier"]), [int(sent.count[a:b].sum()) for _, a, b in _by_bucket(sent.keys)])
         windows, base = sent.earlier(runs, told), np.cumsum(runs.count) - runs.count
         count, whole = runs.count[runs.item], (verdict == 1)[runs.item] | (t.rank[t.document(runs.starts)] > runs.least[runs.item])
-        gone = ranges(runs.starts, count)[np.repeat(whole, count) | windows[ranges(base[runs.item], count)]]
-        covers = np.bincount(gone, minlength=len(t.data) + 1) - np.bincount(gone + span, minlength=len(t.data) + 1)
-        out, start = np.cumsum(covers[:-1]) > 0, 0
+        gone = np.zeros(len(t.data), bool)  # where windows start that go
+        for i in range(0, len(count), _STEP):
+            some, item = slice(i, i + _STEP), runs.item[i : i + _STEP]
+            places = ranges(runs.starts[some], count[some])
+            gone[places[np.repeat(whole[some], count[some]) | windows[ranges(base[item], count[some])]]] = True
+        starts = np.cumsum(gone, dtype=np.int32)
+        starts[span:] -= starts[:-span].copy()
+        out, start = starts > 0, 0
         for doc_id, length in zip(row["ids"], t.lengths.tolist(), strict=True):
             data, g = t.data[start : start + length], out[start : start + length]
             start += length
