@@ -88,6 +88,13 @@ def test_segments_with_many_others_are_sorted_as_strings():
     assert want.tolist() == [low[w] for w, _ in windows]
 
 
+def test_anchors_are_dealt_evenly():
+    data = np.random.default_rng(6).integers(97, 123, 1 << 20).astype(np.uint8)
+    hashes = np.unique(suffixdedup.anchors(data, np.array([len(data)]), 50, 20)[2])
+    sizes = np.bincount((suffixdedup._key(hashes, 64) >> np.uint64(32)).astype(np.int64), minlength=64)
+    assert sizes.max() < 1.3 * sizes.mean()
+
+
 def test_memory_does_not_grow_with_crowded_keys():
     rng = np.random.default_rng(4)
     data = rng.integers(97, 123, 65 * 40000).astype(np.uint8)

@@ -1,7 +1,7 @@
 """Removal of repeated byte strings: what a document shares with an earlier one, found by suffix arrays.
 
 Every window of 50 bytes is led to where its equals are by the smallest hash of its 20-byte strings, its
-anchor: equal windows have equal anchors. Documents are packed into chunks of a few megabytes. Buckets of
+anchor: equal windows have equal anchors. Documents are packed into chunks of about two megabytes. Buckets of
 anchors tell each chunk which of its anchors stand elsewhere too. The windows that such an anchor leads make
 a segment of text; segments are named by a hash, so that copies are settled by the smallest id of their
 documents, and only one of each distinct segment is sent, and that only if its anchor has others. The
@@ -93,7 +93,8 @@ def anchors(data: np.ndarray, lengths: np.ndarray, span: int, gram: int, block:
 
 
 def _key(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    """bucket << 32 | the low half of the hash."""
+    """bucket << 32 | the low half of the hash, mixed anew: anchors are least hashes, which crowd the lowest buckets."""
+    hashes = _mixed(hashes)
     return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)) << np.uint64(32) | (hashes & np.uint64(0xFFFFFFFF))
 
 
@@ -244,13 +245,24 @@ def _chunks(docs: DataFrame, chunk_bytes: int) -> DataFrame:
 
 
 def _rows(make: Callable[[dict], Iterator[tuple]], names: list[str], types: list[pa.DataType]) -> Callable:
-    """A map over the rows of Arrow batches that yields a batch for what each row makes."""
+    """A map over the rows of Arrow batches that yields what each row makes in batches of about a megabyte, as
+    Spark takes them up beside its heap."""
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names)
+
         for batch in batches:
             for n in range(batch.num_rows):
-                if made := list(make(batch.slice(n, 1).to_pylist()[0])):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made, strict=True), types, strict=True)], names)
+                made, size = [], 0
+                for row in make(batch.slice(n, 1).to_pylist()[0]):
+                    made.append(row)
+                    size += sum(len(x) for x in row if isinstance(x, bytes))
+                    if size >= 1 << 20:
+                        yield out()
+                        made, size = [], 0
+                if made:
+                    yield out()
 
     return over
 
@@ -278,7 +290,7 @@ def _bits(told: list[bytes], counts: list[int]) -> np.ndarray:
     return np.concatenate([np.zeros(0, bool), *[np.unpackbits(np.frombuffer(t, np.uint8), count=n).astype(bool) for t, n in zip(told, counts, strict=True)]])
 
 
-def remove_repeats(docs: DataFrame, span: int = 50, gram: int = 20, chunk_bytes: int = 1 << 22, crowd: int = 4096, batch_bytes: int = 1 << 23) -> DataFrame:
+def remove_repeats(docs: DataFrame, span: int = 50, gram: int = 20, chunk_bytes: int = 1 << 21, crowd: int = 4096, batch_bytes: int = 1 << 22) -> DataFrame:
     """doc_id, n_bytes, spans (array of start, length in bytes), kept (binary): each text of docs (doc_id,
     text) in UTF-8 without the bytes covered by a string of span bytes that also starts in a document
     with a smaller doc_id. Strings are judged on the input, and never cross documents.
@@ -291,12 +303,12 @@ def remove_repeats(docs: DataFrame, span: int = 50, gram: int = 20, chunk_bytes:
     go 5 bytes per distinct anchor of a chunk (one in 16 of text), 20 per distinct segment of a shared anchor,
     and each distinct segment that has unlike ones beside it once. What many documents share has a row per
     chunk, no text. Anchors with more than crowd distinct segments send their windows one by one, dealt by
-    their own hashes, so that no anchor gathers an unbounded text. There are four buckets per shuffle
+    their own hashes, so that no anchor gathers an unbounded text. There are two buckets per shuffle
     partition; what chunks ask of a bucket must fit in a task."""
     spark = docs.sparkSession
     bounded_batches(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets, binary = 4 * n, pa.binary()
+    buckets, binary = 2 * n, pa.binary()
     texts = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text")
     chunks = _chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), texts), chunk_bytes)
     chunks = cut_in_buckets(chunks.repartition(n, "chunk"), "chunk")
