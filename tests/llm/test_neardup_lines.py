@@ -276,3 +276,14 @@ def test_short_equal_lines_go(spark, tmp_path):
     assert [out[k].n_removed for k in range(5)] == [0, 1, 3, 0, 0]
     cut = {r.doc_id: r.text for r in linededup.dedup_lines(docs, 2, 12).collect()}
     assert cut[2] == "Mes\n\n" and cut[0] == texts[0] and cut[4] == texts[4]
+
+
+def test_lines_are_mapped_to_keys_once(spark, monkeypatch):
+    plans, cut = [], linededup.cut_lineage
+    monkeypatch.setattr(linededup, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        linededup.duplicate_lines(spark.createDataFrame([(1, "a line that is long enough"), (2, "a line that is long enough!")], "doc_id long, text string")).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert plans[0].count("MapInArrow") == 1 and "ReusedExchange" in plans[0]

@@ -361,7 +361,9 @@ def duplicate_lines(docs: DataFrame, threshold: int = 2, per_edit: int = 12) ->
 
     # a frequent line leaves one row per key and run of lines
     probes = _mapped(docs, "key long, id long, own boolean", keys, per_edit).repartition("key")
-    heads = probes.where("own").groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    # a filter would go below the exchange, and the lines be mapped again for it; an aggregate takes the exchange as it is
+    own = F.when(F.col("own"), F.col("id"))
+    heads = probes.groupBy("key").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo is not null")
     apart = F.bit_count(F.shiftrightunsigned(F.col("id").bitwiseXOR(F.col("lo")), 48))
     hits = probes.join(heads, "key").where("id <> lo or id <> hi").where((F.col("lo") != F.col("hi")) | (apart <= 2 * threshold))
     hits = hits.groupBy("key", "id").agg(F.max("own").alias("own"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
