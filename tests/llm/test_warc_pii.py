@@ -272,3 +272,18 @@ def test_common_words_are_given_up_before_their_places_are_written(spark):
     rows = [f"so the +1 (988) 555-{1000 + k} and the {'abcdefghij'[j]}{'klmnopqrst'[k]} end {k}{j}" for k in range(10) for j in range(10)]
     out = pii.find_personal_data(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     assert sum(r.n_found for r in out) == 0 and sum(r.n_phone for r in out) == 100
+
+
+def test_common_words_count_once_other_patterns_know_them(spark):
+    letters = lambda k: "".join("abcdefghij"[int(c)] for c in f"{k:05d}")
+    odd = (f"u{letters(k)}" for k in range(99999))
+    words = [f"w{letters(k)}" for k in range(60)]
+    texts = [f"dial{'abcd'[x]} +1 (988) 555-{1000 + k + 200 * x}" for x in range(4) for k in range(200)]
+    texts += [f"dial{'abcd'[k % 4]} {w}" for k, w in enumerate(words)]
+    # "the" stands before few numbers and many words, which the other patterns make known
+    texts += [f"the +1 (988) 555-{1000 + k}" for k in range(4)] + [f"the {w}" for w in words for _ in range(16)] + ["the wzzz"]
+    texts = [f"{next(odd)} {t} {next(odd)} {next(odd)}" for t in texts]
+    out = pii.find_personal_data(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    want = bootstrap(texts)
+    assert ("wzzz", "phone") in want and len(want) == 61
+    assert sum(r.n_found for r in out) == 60 * 17 + 1

@@ -194,37 +194,28 @@ def discovered(found: DataFrame, texts: DataFrame, least_known: int = 4, least_s
     instance becomes known.
 
     Patterns and instances go as hashes of 64 bits, and distinct pairs are counted, in two steps, so a
-    frequent pattern or instance is no hot group. Words that outnumber what a pattern's share allows
-    in a sixteenth of the texts do so in all: such patterns, the common words, are given up before their
-    places are written."""
+    frequent pattern or instance is no hot group. Words are counted over all texts, and only their hashes
+    are kept; where they stand is looked up once it is known which count."""
     rows = found.where("instance != ''").select("*", F.xxhash64("instance").alias("i"), F.explode(F.array("left", "one", "around")).alias("text_")).where("text_ is not null").withColumn("p", F.xxhash64("text_"))
     edges = cut_lineage(rows.select("p", "i").distinct())
     known = cut_lineage(rows.groupBy("i").agg(F.min("instance").alias("instance")).select("i", _seed_kind(F.col("instance")).alias("kind"), F.lit(True).alias("digits")))
-    seeds, words, sought, given_up = known.where("kind is not null").select("i"), None, None, None
+    seeds, sought = known.where("kind is not null").select("i"), None
     while True:  # sought and known only grow, so this ends
         held = edges.join(known, "i").groupBy("p").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(f"n{k}") for k in range(len(KINDS))])
         most = F.greatest(*[F.col(f"n{k}") for k in range(len(KINDS))])
         best = F.coalesce(*[F.when(F.col(f"n{k}") == most, k) for k in range(len(KINDS))])
-        strong = held.where((most >= least_known) & (most >= least_share * F.col("n"))).select("p", best.alias("its"), (most / (F.col("n") + 1)).alias("share"), (most / least_share - F.col("n")).alias("room"))
-        strong = cut_lineage(strong if given_up is None else strong.join(given_up, "p", "left_anti"))
-        fresh = strong.select("p", "room")
+        strong = held.where((most >= least_known) & (most >= least_share * F.col("n"))).select("p", best.alias("its"), (most / (F.col("n") + 1)).alias("share"))
+        strong = cut_lineage(strong)
+        fresh = strong.select("p")
         fresh = cut_lineage(fresh if sought is None else fresh.join(sought, "p", "left_anti"))
         n, some = _few(fresh)
         if n:
-            pattern = F.col("pattern") == F.col("p")
-            part = word_places(texts.where(F.pmod("doc_hash", F.lit(16)) == 0)).join(some, pattern)
-            common = part.groupBy("p").agg(F.approx_count_distinct("word").alias("n"), F.max("room").alias("room")).where(F.col("n") > 2 * F.col("room") + 16)
-            common = cut_lineage(common.select("p"))
-            given_up = common if given_up is None else given_up.union(common)
             sought = fresh.select("p") if sought is None else sought.union(fresh.select("p"))
-            n, some = _few(cut_lineage(fresh.select("p").join(common, "p", "left_anti")))
-            if n:
-                more = word_places(texts).join(some, pattern, "left_semi").select("doc_id", "doc_hash", "unit_no", _core(F.col("word"))[0].alias("instance"), F.col("pattern").alias("p"))
-                more = cut_lineage(more.where("instance != ''").withColumn("i", F.xxhash64("instance")).withColumn("size", F.length("instance")).drop("instance"))
-                words = more if words is None else words.unionByName(more)
-                edges = edges.union(cut_lineage(more.select("p", "i").distinct()))
-                others = more.select("i").distinct().join(known.select("i"), "i", "left_anti")
-                known = cut_lineage(known.union(others.select("i", F.lit(None).cast("int").alias("kind"), F.lit(False).alias("digits"))))
+            more = word_places(texts).join(some, F.col("pattern") == F.col("p"), "left_semi").select(F.col("pattern").alias("p"), _core(F.col("word"))[0].alias("instance"))
+            more = cut_lineage(more.where("instance != ''").select("p", F.xxhash64("instance").alias("i")).distinct())
+            edges = edges.union(more)
+            others = more.select("i").distinct().join(known.select("i"), "i", "left_anti")
+            known = cut_lineage(known.union(others.select("i", F.lit(None).cast("int").alias("kind"), F.lit(False).alias("digits"))))
             continue
         new = edges.join(known.where("kind is null").select("i", "digits"), "i").join(strong, "p")
         score = F.when(F.max("digits"), 1 - F.exp(F.sum(F.log1p(-F.col("share"))))).otherwise(F.max("share"))
@@ -233,12 +224,17 @@ def discovered(found: DataFrame, texts: DataFrame, least_known: int = 4, least_s
         if not new.limit(1).count():
             break
         known = cut_lineage(known.join(new, "i", "left").select("i", F.coalesce("kind", "new").alias("kind"), "digits"))
-    taken = known.where("kind is not null").join(seeds, "i", "left_anti").select("i", "kind")
+    taken = cut_lineage(known.where("kind is not null").join(seeds, "i", "left_anti").select("i", "kind"))
     hits = rows.join(taken, "i").join(strong.select("p", "its"), "p").where("kind = its")
     hits = hits.select("doc_id", "doc_hash", "kind", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
-    if words is None:
+    n, some = _few(taken)
+    if sought is None or not n:
         return hits
-    there = words.join(taken, "i").join(strong.select("p", "its"), "p").where("kind = its")
+    # where the words that are known now stand, in the place of patterns that still count
+    _, its = _few(strong.select("p", "its"))
+    words = word_places(texts).join(its, F.col("pattern") == F.col("p")).select("doc_id", "doc_hash", "unit_no", "its", _core(F.col("word"))[0].alias("instance"))
+    words = words.select("doc_id", "doc_hash", "unit_no", "its", F.xxhash64("instance").alias("i"), F.length("instance").alias("size"))
+    there = words.join(some, "i").where("kind = its and size > 0")
     there = there.select(F.col("doc_id").alias("id"), F.col("doc_hash").alias("h"), "unit_no", "size", "kind").distinct()
     there = texts.dropDuplicates(["doc_id", "doc_hash"]).join(there, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("doc_hash") == F.col("h")))
     skip = F.concat(F.lit(rf"^(?:[{_SPACE}]*+{UNIT}){{"), F.col("unit_no").cast("string"), F.lit(rf"}}+[{_SPACE}]*+[(\"'\[{{<]*+"))
@@ -258,8 +254,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     the fixed patterns, spans also those that contexts found (never overlapping base ones; n_found
     counts them). Null is an empty text, and has no spans. Repeated rows and null ids stay; rows with
     the same id and text share what contexts find. Other columns are ignored, an empty table gives
-    no rows. Texts are read once for spans and runs, and again for the words in the place of strong
-    patterns; what goes on is narrow: spans, and instances with the words next to them.
+    no rows. Texts are read once for spans and runs, again for the words in the place of strong
+    patterns, and where such words are found once more for their places; what goes on is narrow: spans, and instances with the words next to them.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
