@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trackspark.llm.packing import CapacityTree, best_fit_decreasing, pack_documents, pack_pool
+from trackspark.llm.packing import CapacityTree, WordTokenizer, best_fit_decreasing, pack_documents, pack_pool
 from trackspark.llm.queries import tokenizer_path
 from trackspark.llm.tokencount import RankMerger, count_tokens
 
@@ -67,6 +67,43 @@ def test_every_token_lies_in_one_piece(spark):
     assert zlib.crc32(pieces[0].ids) >= 0
 
 
+@pytest.fixture(scope="module")
+def words():
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path("word_bpe_49k.json")
+    return WordTokenizer(path, remember=40), Tokenizer.from_file(path)
+
+
+@given(st.lists(st.text(alphabet="stmdrevlLS''’ .-09²½éÉßŸŀĿİſŉµª\u00ad×÷¡\n\t\u00a0\u0301日<|", max_size=60), max_size=5), st.integers(1, 80))
+@settings(max_examples=200, deadline=None)
+def test_ids_equal_the_library(words, texts, part):
+    own, library = words
+    assert [x.tolist() for x in own.ids(texts, 2, part)] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_all_latin_characters_and_contractions(words):
+    own, library = words
+    chars = [chr(c) for c in range(0x180) if c not in (0x85, 0xA0) and not c < 9 and not 0xE <= c < 0x20]
+    texts = ["".join(chars), " ".join(chars), *("a" + c + "b" + c + c for c in chars)]
+    texts += [f"{a}'{b}{c}" for a in ("", "x", "'", "7", "-", " ") for b in ("s", "t", "re", "ve", "m", "ll", "d", "r", "v", "l", "é") for c in ("", "x", "'s", "'", "9", " y")]
+    texts += ["x '", "s", "'", "re", "a<|endoftext|>b", "<|startoftext|", ""]
+    assert [x.tolist() for x in own.ids(texts, 2)] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_latin_words_go_to_the_model_once_each_and_past_the_normalizer():
+    own, asked = WordTokenizer(tokenizer_path("word_bpe_49k.json")), []
+
+    class Seen:
+        def __init__(self, tokenizer):
+            self.model, plain = self, tokenizer.model.tokenize
+            self.tokenize = lambda word: asked.append(word) or plain(word)
+
+    own.tokenizer = Seen(own.tokenizer)
+    assert [len(x) for x in own.ids(["The cat, the CAT's hat"] * 100, 2)] == [8] * 100
+    assert sorted(asked) == ["'s", ",", "cat", "hat", "the"]
+
+
 def test_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "x", 7)], "doc_id long, text string, n_tokens string, ids long")
     assert [r.n_tokens for r in count_tokens(docs, tokenizer_path("piece_bpe_32k.model")).collect()] == [2]

@@ -11,7 +11,7 @@ import json
 import os
 import re
 from collections.abc import Iterable, Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +25,40 @@ PIECES = (
     "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, sequence_tokens long"
 )
 _SPLIT, _SPACE = re.compile(WORD), re.compile(r"[\x20\x09-\x0D]")
-#: The pre-token pattern of the tokenizer file, as it reads for lower-case Latin text.
-_LETTER, _NUMBER = "a-zA-ZªµºÀ-ÖØ-öø-\u017F", "0-9²³¹¼½¾"
-_FINE = re.compile(rf"[{_LETTER}]+|'s|'t|'re|'ve|'m|'ll|'d|[{_NUMBER}]|[^{_LETTER}{_NUMBER}\s]+")
-_NOT_LATIN = re.compile(r"[^\x09-\x0D\x20-\x7E\u00A1-\u017F]|<\|")
+#: The pre-token pattern of the tokenizer file, as it reads for Latin text.
 _FINE_FILE = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_BYTES_FILE = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+_LETTER, _NUMBER = re.compile("[a-zªµºß-öø-\u017F]"), re.compile("[0-9²³¹¼½¾]")
+#: Without the dotted capital I, which is two characters in lower case.
+_NOT_LATIN = re.compile(r"[^\x09-\x0D\x20-\x7E\u00A1-\u012F\u0131-\u017F]")
+_LOWER = np.array([ord(chr(c).lower()[0]) for c in range(0x180)], np.uint16)
+#: 0 white space, 1 letter, 2 number, 3 other, of lower-case characters.
+_KIND = np.array([0 if _SPACE.match(c) else 1 if _LETTER.match(c) else 2 if _NUMBER.match(c) else 3 for c in map(chr, range(0x180))], np.uint8)
 _TOKENIZERS: dict = {}
 
 
+def latin_words(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """Pre-tokens of Latin texts in lower case, as UTF-16, and how many the texts up to each have."""
+    codes = _LOWER[np.frombuffer("\n".join([*texts, ""]).encode("utf-16-le"), np.uint16)]
+    kind = _KIND[codes]
+    cut = np.concatenate([[True], (kind[1:] != kind[:-1]) | (kind[1:] == 2)])
+    # an apostrophe that others do not precede takes s, t, m, d, re, ve or ll along
+    quote = np.flatnonzero((codes == ord("'")) & cut)
+    one, two = codes[quote + 1], codes[np.minimum(quote + 2, len(codes) - 1)]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+    cut[quote[short | long] + 1] = False
+    cut[quote[short] + 2] = True
+    cut[quote[long] + 3] = True
+    keep = kind != 0
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    upto = np.searchsorted(np.flatnonzero(cut & keep), ends)
+    codes = codes[keep]
+    offsets = np.append(np.flatnonzero(cut[keep]), len(codes)) * 2
+    words = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(codes)])
+    return words.dictionary_encode(), upto
+
+
 class WordTokenizer:
     """Token ids of whole texts, with the ids of a bounded number of words remembered.
 
@@ -41,30 +67,72 @@ class WordTokenizer:
 
     def __init__(self, path: str, remember: int = 1 << 20):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer, self.remember, self.known = Tokenizer.from_file(path), remember, {}
+        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
         config = json.loads(self.tokenizer.to_str())
         steps = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
-        cuts = [x.get("pattern", {}).get("Regex") for x in (config["pre_tokenizer"] or {}).get("pretokenizers", [])]
-        # lower-cased Latin text without special tokens may be cut as the tokenizer does: more words are known
-        self.fine = steps == ["NFC", "Replace", "Lowercase"] and cuts[:1] == [_FINE_FILE]
+        cuts = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
+        # Latin text without special tokens may be cut as the tokenizer does: more words are known
+        self.fine = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and [x.get("pattern", {}).get("Regex") for x in cuts] == [_FINE_FILE, None]
+            and cuts[1].items() >= _BYTES_FILE.items()
+            and not any(x["normalized"] for x in config["added_tokens"])
+        )
+        self.special = [x["content"] for x in config["added_tokens"]]
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-
-    def learn(self, words: set[str]) -> None:
-        """Makes the ids of these words known."""
-        new = [w for w in words if w not in self.known]
+        # what the model gets: one character a byte of UTF-8
+        latin = "".join(map(chr, chain(range(0x21, 0x7F), range(0xA1, 0x180))))
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.as_bytes = np.zeros(256, np.uint16)
+        self.as_bytes[np.frombuffer(latin.encode(), np.uint8)] = [ord(c) for mapped, _ in level.pre_tokenize_str(latin) for c in mapped]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str | bytes, int] = {}  # Latin words as UTF-16
+        self.flat, self.size = np.zeros(0, self.kind), np.zeros(0, np.int64)
+
+    def _places(self, words: list) -> np.ndarray:
+        """Where these unlike words are among the known ones; new ones are encoded."""
+        places = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = [words[k] for k in np.flatnonzero(places < 0).tolist()]
         if len(self.known) + len(new) > self.remember:
-            self.known, new = {}, list(words)
+            self._forget()
+            new, places[:] = words, -1
+        flat, size, after = [self.flat], [self.size], len(self.known)
         for at in range(0, len(new), 1 << 14):
             some = new[at : at + (1 << 14)]
-            found = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.known.update(zip(some, (np.array(x.ids, self.kind).tobytes() for x in found), strict=True))
-
-    def ids(self, texts: Iterable[str], end: int, part: int = 1 << 20) -> Iterator[np.ndarray]:
+            if isinstance(some[0], bytes):
+                found = self._latin_ids(some)
+            else:
+                found = [x.ids for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            flat.append(np.fromiter(chain.from_iterable(found), self.kind))
+            size.append(np.fromiter(map(len, found), np.int64, len(found)))
+        self.flat, self.size = np.concatenate(flat), np.concatenate(size)
+        self.known.update(zip(new, range(after, after + len(new)), strict=True))
+        places[places < 0] = np.arange(after, after + len(new))
+        return places
+
+    def _latin_ids(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of pre-tokens, which are in lower case and whole: the model alone gives them."""
+        codes = np.frombuffer(b"\0\0".join(words).decode("utf-16-le").encode(), np.uint8)
+        texts, tokenize = self.as_bytes[codes].tobytes().decode("utf-16-le").split("\0"), self.tokenizer.model.tokenize
+        return [[x.id for x in tokenize(w)] for w in texts]
+
+    def _joined(self, places: np.ndarray, upto: np.ndarray) -> Iterator[np.ndarray]:
+        """Ids of the words at places, of the first upto[0], of those up to upto[1], and so on."""
+        size = self.size[places]
+        ends = np.cumsum(size)
+        first = (np.cumsum(self.size) - self.size)[places]
+        ids = self.flat[np.repeat(first - ends + size, size) + np.arange(size.sum())]
+        stops = np.concatenate([[0], ends])[upto].tolist()
+        return (ids[a:b] for a, b in zip([0, *stops], stops, strict=False))
+
+    def ids(self, texts: Iterable[str], end: int, part: int = 1 << 21) -> Iterator[np.ndarray]:
         """Ids of each text, then end. Texts are worked off in runs of about part characters; a longer
         text in parts that end at white space."""
-        held: list[tuple[list[str], bool]] = []  # words, and whether the text ends with them
+        held: list[tuple[str, bool]] = []  # parts, and whether the text ends with them
         size, begun = 0, []
         for text in chain(texts, [None]):
             at = 0
@@ -72,9 +140,7 @@ class WordTokenizer:
                 stop = at + part
                 space = _SPACE.search(text, stop) if stop < len(text) else None
                 stop = space.start() if space else len(text)
-                part_text = text[at:stop]
-                fine = self.fine and not _NOT_LATIN.search(part_text)
-                held.append((_FINE.findall(part_text.lower()) if fine else _SPLIT.findall(part_text), stop >= len(text)))
+                held.append((text[at:stop], stop >= len(text)))
                 size += stop - at + 1
                 at = max(stop, 1)
                 if size < part:
@@ -84,9 +150,18 @@ class WordTokenizer:
         yield from self._flush(held, begun, end)
 
     def _flush(self, held: list, begun: list, end: int) -> Iterator[np.ndarray]:
-        self.learn(set().union(*(words for words, _ in held)))
-        for words, last in held:
-            begun.append(np.frombuffer(b"".join(map(self.known.__getitem__, words)), self.kind))
+        fine = [self.fine and not _NOT_LATIN.search(text) and not any(x in text for x in self.special) for text, _ in held]
+        latin = other = iter(())
+        if any(fine):
+            words, upto = latin_words([text for (text, _), x in zip(held, fine, strict=True) if x])
+            latin = self._joined(self._places(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()], upto)
+        if not all(fine):
+            cut = [_SPLIT.findall(text) for (text, _), x in zip(held, fine, strict=True) if not x]
+            number = {w: k for k, w in enumerate(set().union(*cut))}
+            words = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)
+            other = self._joined(self._places(list(number))[words], np.cumsum([len(x) for x in cut]))
+        for (_, last), x in zip(held, fine, strict=True):
+            begun.append(next(latin if x else other))
             if last:
                 yield np.concatenate([*begun, np.array([end], self.kind)])
                 begun.clear()
