@@ -157,9 +157,9 @@ class WordTokenizer:
             latin = self._joined(self._places(words.dictionary.to_numpy(zero_copy_only=False).tolist())[words.indices.to_numpy()], upto)
         if not all(fine):
             cut = [_SPLIT.findall(text) for (text, _), x in zip(held, fine, strict=True) if not x]
-            number = {w: k for k, w in enumerate(set().union(*cut))}
-            words = np.fromiter(map(number.__getitem__, chain.from_iterable(cut)), np.int64)
-            other = self._joined(self._places(list(number))[words], np.cumsum([len(x) for x in cut]))
+            self._places(list(set().union(*cut)))
+            places = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64)
+            other = self._joined(places, np.cumsum([len(x) for x in cut]))
         for (_, last), x in zip(held, fine, strict=True):
             begun.append(next(latin if x else other))
             if last:
