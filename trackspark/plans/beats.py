@@ -9,6 +9,7 @@ from ..functions.scalar import mean_pressure, pulse_pressure
 
 ORDER = ["beat_index"]
 TARGETS = {t: (f"ref_{t}", f"pred_{t}") for t in ("SBP", "DBP", "MAP", "PP")}
+_OWN = ["l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_tax", "l_extendedprice"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem as beats: a supplier is a session, its lines by date are the beats, return flags are
     methods; price and quantity make the reference, discount and tax the estimate's error."""
-    w = Window.partitionBy("l_suppkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    day = F.col("l_shipdate").cast("date")
-    first = F.min(day).over(Window.partitionBy("l_suppkey"))
-    rows = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("session_id"), F.col("l_returnflag").alias("method"), F.row_number().over(w).cast("long").alias("beat_index"),
-        F.datediff(day, first).cast("long").alias("elapsed_s"), F.col("l_linestatus").alias("status"),
+    # windows stand on the table's own columns, under their last names: what is worked out of them is then neither shuffled
+    # nor sorted for the numbering, and what is grouped by session afterwards finds its rows dealt already
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session_id"), F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("status"), *_OWN)
+    w = Window.partitionBy("session_id")
+    rows = rows.withColumns({"beat_index": F.row_number().over(w.orderBy("l_shipdate", "l_orderkey", "l_linenumber")).cast("long"), "__first": F.min("l_shipdate").over(w)})
+    rows = rows.select(
+        "session_id", "method", "beat_index", F.datediff(F.col("l_shipdate").cast("date"), F.col("__first").cast("date")).cast("long").alias("elapsed_s"), "status",
         (F.col("l_extendedprice") / 1000 + 90).alias("ref_SBP"), (F.col("l_quantity") / 2 + 40).alias("ref_DBP"),
         "l_quantity", "l_discount", "l_tax", "l_extendedprice",
     )

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import statistics
 from ..operators import evaluation, frames, metrics, windows
-from ..shared import cut
 from .beats import BEATS, PAIRS, TARGETS, beats, table
 
 FLAGSHIP = "q1_tracking_metrics"
@@ -130,11 +129,8 @@ def q3_session_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
         round(CASE WHEN sum(r * r) = 0 THEN NULL ELSE sum(r * p) / sum(r * r) END, 4) AS gain FROM d GROUP BY scope, method, target""")
 def q4_pooled_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A15 with pooled medians and steps across session borders in scope ALL (Q7)."""
-    pairs, keys = cut(_pairs(spark, sf_dir)), ["method", "target"]
-    own = evaluation.within(pairs, ["session_id", *keys], ["beat_index"]).withColumn("scope", F.col("session_id").cast("string"))
-    every = evaluation.pooled(pairs, keys, "session_id", ["beat_index"]).withColumn("scope", F.lit(evaluation.ALL))
-    columns = ["scope", *keys, "n", "centered_mae", "delta_mae", F.col("tracking_gain").alias("gain")]
-    return rounded(own.select(*columns).unionByName(every.select(*columns)))
+    out = evaluation.measured(beats(spark, sf_dir), {"raw": {}}, ["beat_index"]).where("n > 0")
+    return rounded(out.select(F.col("session_id").alias("scope"), "method", "target", "n", "centered_mae", "delta_mae", F.col("tracking_gain").alias("gain")))
 
 
 @query(f"""WITH {BEATS}, w AS (SELECT *, unnest([5.0, 10.0, 20.0]) AS window_seconds FROM beats)
