@@ -32,7 +32,7 @@ def test_beats_are_shuffled_once(spark):
     assert rows and n == count(spark)
 
 
-@pytest.mark.parametrize("query", ["a15_session_style", "q4_pooled_scopes"])
+@pytest.mark.parametrize("query", ["a15_session_style", "q4_pooled_scopes", "a12_method_table"])
 def test_tables_shuffle_rows_by_session(spark, query):
     # what comes on top are rows per session, method, series and target, and values near pooled medians
     n, rows = rows_shuffled(spark, lambda: queries.QUERIES[query](spark, SF).collect())
