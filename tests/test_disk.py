@@ -2,10 +2,13 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from trackspark.operators import evaluation
+from tests.test_core import plain_ewma
+from trackspark.operators import evaluation, folds, smooth
 from trackspark.plans import beats as plan
-from trackspark.plans import evaluations, feeds, models, more, queries  # noqa: F401  they register queries
+from trackspark.plans import evaluations, feeds, models, more, queries, sessions  # noqa: F401  they register queries
+from trackspark.shared import cut
 
 SF = "/root/testdata/sf0.001"
 
@@ -68,3 +71,38 @@ def test_constant_courses_have_no_pooled_correlation(spark):
     df = spark.createDataFrame([(k % 3, "A", k, 120.1, 70.3, 86.9, 49.8, 121.7, 70.3 + k, 87.3, 51.4) for k in range(30)], f"session_id long, method string, beat_index long, {', '.join(f'{x}_{t} double' for x in ('ref', 'pred') for t in ('SBP', 'DBP', 'MAP', 'PP'))}")
     out = evaluation.measured(df, {"raw": {}}, ["beat_index"]).collect()
     assert len(out) == 16 and all(o.corr is None and o.tracking_gain is None and o.amplitude_ratio is None and o.direction_agreement is None and o.inversion_like == 0 for o in out)
+
+
+def test_experimental_measures_shuffle_no_rows(spark):
+    n = count(spark)
+    names = ["l_quantity", "l_discount"], ["l_quantity", "l_discount", "l_tax"], "N"
+    rows = cut(plan.beats(spark, SF), "session_id")
+    sent, out = rows_shuffled(spark, lambda: sessions.experimental_measures(rows, *names).toPandas())
+    # moments, summaries and models of sessions only: 10 sessions with up to three methods
+    assert sent < n
+    whole = sessions.experimental_summary(sessions.experimental(rows, *names)).toPandas()
+    keys = ["session_id", "method", "series", "kind", "target"]
+    a, b = (x.sort_values(keys).reset_index(drop=True)[sorted(whole.columns)] for x in (out, whole))
+    assert sorted(out.columns) == sorted(whole.columns) and len(a) == len(b) and (a[keys] == b[keys]).all().all()
+    for c in set(a.columns) - set(keys):
+        assert np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-9, equal_nan=True), c
+
+
+def test_models_find_sessions_and_methods_without_a_name(spark):
+    keys = [(None, "A"), (None, None), (1, "A"), (1, None), (2, "B")]
+    table = spark.createDataFrame([(s, m, t, float(k)) for k, (s, m) in enumerate(keys) for t in "xy"], "s long, m string, t string, v double")
+    rows = spark.createDataFrame([*keys, (3, "A"), (2, "A")], "s long, m string").repartition(3)
+    out = folds.looked_up(rows, table, "s", {"x": {"m": F.col("m"), "t": F.lit("x")}, "z": {"m": F.col("m"), "t": F.lit("z")}}).collect()
+    assert len(out) == 7 and out[0].asDict().keys() == {"s", "m", "x", "z"}
+    for o in out:
+        assert o.z is None and (o.x is None if (o.s, o.m) not in keys else o.x.v == keys.index((o.s, o.m)))
+
+
+def test_whole_columns_are_smoothed_together(spark):
+    r = np.random.default_rng(1)
+    rows = [(k % 2, k, *map(float, r.normal(size=2))) for k in range(500)]
+    df = spark.createDataFrame(rows, "g long, k long, x double, y double").repartition(3)
+    out = smooth.smoothed(df, {"sx": F.col("x"), "sy": F.col("y")}, 0.35, ["g"], ["k"], whole=True).toPandas()
+    assert list(out.columns) == ["g", "k", "x", "y", "sx", "sy"]
+    for _, own in out.sort_values("k").groupby("g"):
+        assert np.allclose(own.sx, plain_ewma(own.x.tolist(), 0.35)) and np.allclose(own.sy, plain_ewma(own.y.tolist(), 0.35))
