@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_core import plain_ewma
-from trackspark.operators import evaluation, folds, smooth
+from trackspark.operators import align, evaluation, folds, smooth
 from trackspark.plans import beats as plan
 from trackspark.plans import evaluations, feeds, models, more, queries, sessions  # noqa: F401  they register queries
 from trackspark.shared import cut
@@ -88,6 +88,24 @@ def test_experimental_measures_shuffle_no_rows(spark):
         assert np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-9, equal_nan=True), c
 
 
+def test_grid_alignment_shuffles_beats_once(spark):
+    # besides, a group's choice: three methods of each session, twice
+    n, rows = rows_shuffled(spark, lambda: queries.QUERIES["m15_grid_alignment"](spark, SF).collect())
+    assert rows and n <= count(spark) + 20 * len({x.session_id for x in rows})
+
+
+def test_groups_without_a_name_are_aligned(spark):
+    r = np.random.default_rng(3)
+    rows = [(s, m, k, *map(float, r.normal(90, 9, 8))) for s in (None, 1) for m in (None, "A") for k in range(20)]
+    names = [f"{x}_{t}" for x in ("ref", "pred") for t in ("MAP", "PP", "SBP", "DBP")]
+    df = spark.createDataFrame(rows, f"s long, method string, k long, {', '.join(f'{c} double' for c in names)}").repartition(3)
+    named = df.withColumns({"s": F.coalesce("s", F.lit(0)), "method": F.coalesce("method", F.lit("B"))})
+    a, b = (align.aligned(x, ["s", "method"], "k", "method").toPandas() for x in (df, named))
+    a = a.fillna({"s": 0, "method": "B"}).sort_values(["s", "method", "k"]).drop(columns=["s", "method"])
+    b = b.sort_values(["s", "method", "k"]).drop(columns=["s", "method"])
+    assert len(a) == 80 and np.array_equal(a.to_numpy(float), b.to_numpy(float)) and a.map_lag.nunique() > 1
+
+
 def test_models_find_sessions_and_methods_without_a_name(spark):
     keys = [(None, "A"), (None, None), (1, "A"), (1, None), (2, "B")]
     table = spark.createDataFrame([(s, m, t, float(k)) for k, (s, m) in enumerate(keys) for t in "xy"], "s long, m string, t string, v double")

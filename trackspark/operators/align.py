@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .folds import joined
+from ..shared import cut
+from .folds import looked_up
 
 TARGETS = ("MAP", "PP", "SBP", "DBP")
 
@@ -76,7 +77,8 @@ def aligned(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], meth
     was lag rows before (itself where that is missing), turned and stretched about its median in the
     group. Groups of under four rows stay.
 
-    One shuffle by keys; a group is read by windows, row by row, so it may be long."""
+    df is kept by the first of keys, which is its one shuffle, if it doesn't lie so yet; a group is read by
+    windows, row by row, so it may be long."""
     searches, orders = searches or {}, [order] if isinstance(order, str) else list(order)
     every = {None: default, **searches}
     reach = sorted({lag for s in every.values() for lag in s.lags} | {0})
@@ -86,28 +88,33 @@ def aligned(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], meth
         cases = [F.when(F.col(method) == m, value(s)) for m, s in searches.items()] if method else []
         return F.coalesce(*cases, value(default))
 
+    # rows are read by each search and by what takes its choice, and lie by the first key all the while
+    df, first, others = cut(df, keys[0]), keys[0], [k for k in keys[1:]]
     group, ordered = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(*orders)
     rows = df.withColumns({f"{s}_{t}": F.col(f"{s}_{t}").cast("double") for s in ("ref", "pred") for t in TARGETS})
-    at = {"__place": F.row_number().over(ordered), "__rows": F.count("*").over(group)}
+    at = {"__place": F.row_number().over(ordered)}
     for t in ("MAP", "PP"):
         x = F.col(f"pred_{t}")
         at[f"__{t}"] = F.array(*[F.coalesce(F.lag(x, lag).over(ordered) if lag >= 0 else F.lead(x, -lag).over(ordered), x) for lag in reach])
-        at[f"__middle_{t}"] = F.coalesce(F.median(x).over(group), F.lit(0.0))
     at |= {f"__goal_{t}": F.col(f"ref_{t}") - F.lag(f"ref_{t}").over(ordered) for t in TARGETS}
     rows = rows.withColumns(at)
     rows = rows.withColumns({f"__step_{t}": F.zip_with(F.col(f"__{t}"), F.lag(f"__{t}").over(ordered), lambda a, b: a - b) for t in ("MAP", "PP")})
+    rows = rows.withColumns({"__rows": F.count("*").over(group), **{f"__middle_{t}": F.coalesce(F.median(f"pred_{t}").over(group), F.lit(0.0)) for t in ("MAP", "PP")}})
     rows = rows.withColumns({"__near": F.least(per(lambda s: F.lit(s.calibration)), F.col("__rows"))})
     long = F.col("__rows") >= 4
     spans = {"near": long & (F.col("__near") >= 4) & (F.col("__place") <= F.col("__near")), "wide": long}
     index = {lag: k for k, lag in enumerate(reach)}
     lags = F.array(*[F.lit(lag) for lag in reach])
+    own_method = [] if method is None or method in keys else [F.max(F.when(F.col("__place") == 1, F.col(method))).alias(method)]
 
     def summed(names: Sequence[str], steps: dict[str, dict[str, Column]]) -> DataFrame:
-        """keys and a map lag -> moments of each set of steps in either span."""
-        some = rows.select(*keys, *names, "__place", "__rows", "__near", F.posexplode(lags).alias("__k", "__lag"))
+        """A row for each group: keys, the first row's method, and a map lag -> moments of each set of steps in either span."""
+        kept = [*names, *([method] if own_method else [])]
+        some = rows.select(*keys, *kept, "__place", "__rows", "__near", F.posexplode(lags).alias("__k", "__lag"))
         parts = [_moments(s, within).alias(f"{name}_{span}") for name, s in steps.items() for span, within in spans.items()]
-        some = some.groupBy(*keys, "__lag").agg(*parts)
-        return some.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("__lag", F.struct(*[f"{n}_{s}" for n in steps for s in spans])))).alias("__m"))
+        some = some.groupBy(*keys, "__lag").agg(F.first("__rows").alias("__rows"), *own_method, *parts)
+        entry = F.struct("__lag", F.struct(*[f"{n}_{s}" for n in steps for s in spans]))
+        return some.groupBy(*keys).agg(F.first("__rows").alias("__rows"), *[F.max(method).alias(method) for _ in own_method], F.map_from_entries(F.collect_list(entry)).alias("__m"))
 
     b = {t: F.get(F.col(f"__step_{t}"), F.col("__k")) for t in ("MAP", "PP")}
     grid, still = per(lambda s: s.grid()), F.struct(F.lit(0).alias("lag"), F.lit(1.0).alias("sign"), F.lit(1.0).alias("gain"))
@@ -120,12 +127,11 @@ def aligned(df: DataFrame, keys: Sequence[str], order: str | Sequence[str], meth
         return score
 
     def found(name: str, moments: DataFrame, score: Callable[[str], Callable[[Column], Column]]) -> DataFrame:
-        """rows with the candidate that each group takes."""
-        with_moments = joined(rows, moments, keys)
+        """rows with the candidate that each group takes, decided by its moments."""
         choice = _chosen(grid, score("near"), score("wide"), per(lambda s: F.lit(float(s.reliable))))
-        # one row a group decides; its choice goes to all
-        choice = F.when(F.col("__place") == 1, F.coalesce(F.when(long, choice), still))
-        return with_moments.withColumn(f"__{name}", F.first(choice, ignorenulls=True).over(group)).drop("__m")
+        choice = F.coalesce(F.when(long, choice), still)
+        taken = cut(moments.select(*keys, choice.alias("__c")).select(*keys, "__c.*"))
+        return looked_up(rows, taken, first, {f"__{name}": {k: F.col(k) for k in others}})
 
     rows = found("one", summed(["__step_MAP", "__goal_MAP"], {"m": {"b": b["MAP"], "r": F.col("__goal_MAP")}}), lambda span: simple("m", span))
     place = F.create_map(*[F.lit(x) for lag, k in index.items() for x in (lag, k)])
@@ -175,5 +181,5 @@ def aligned_beats(df: DataFrame, name: str, order: str | Sequence[str], search:
     rows = df.withColumns({**made, "__method": F.lit(name)})
     number = F.row_number().over(Window.partitionBy("session_id").orderBy(*orders))
     rows = rows.withColumns({c: x for c, x in {"elapsed_s": (number - 1).cast("double"), "beat_index": number}.items() if c not in df.columns})
-    out = aligned(rows, ["__method", "session_id"], ["elapsed_s", "beat_index"], "__method", {name: search})
+    out = aligned(rows, ["session_id", "__method"], ["elapsed_s", "beat_index"], "__method", {name: search})
     return out.select(df.columns)
