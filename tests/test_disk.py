@@ -124,3 +124,10 @@ def test_whole_columns_are_smoothed_together(spark):
     assert list(out.columns) == ["g", "k", "x", "y", "sx", "sy"]
     for _, own in out.sort_values("k").groupby("g"):
         assert np.allclose(own.sx, plain_ewma(own.x.tolist(), 0.35)) and np.allclose(own.sy, plain_ewma(own.y.tolist(), 0.35))
+
+
+@pytest.mark.parametrize("query", ["m13_tracking_projection"])
+def test_models_of_methods_shuffle_beats_once(spark, query):
+    # besides, sums and models of sessions: three methods of each, two targets
+    n, rows = rows_shuffled(spark, lambda: queries.QUERIES[query](spark, SF).collect())
+    assert len(rows) == count(spark) and n <= len(rows) + 60 * len({x.session_id for x in rows})

@@ -29,26 +29,25 @@ def projected(df: DataFrame, blends: Mapping[str, Mapping[str, float]], session:
     Sessions whose fold has fewer than least_fold rows, and rows without all features, keep their
     prediction. Pulse pressure is held between low and high, and systolic and diastolic pressure come from
     both. blends: parts by target of each method. Methods with fewer than least_rows rows or least_sessions
-    sessions with complete rows stay as they are, and so do all others."""
+    sessions with complete rows stay as they are, and so do all others. df is read three times, so it had
+    better be a table; if it lies by session, its rows aren't shuffled."""
     some = df.where(F.col(method).isin(list(blends)))
     keys = [method, session]
     for t, other in (("MAP", "PP"), ("PP", "MAP")):
         some = design(some, f"pred_{t}", f"pred_{other}", keys, order)
         some = some.withColumnsRenamed({c: f"__{t}_{c}" for c in DESIGN}).withColumn(f"__{t}_y", centered(F.col(f"ref_{t}"), keys))
-    # the course of windows once, as both the sums and the replay read it
-    some = cut(some)
     per = {t: {**{c: F.col(f"__{t}_{c}") for c in DESIGN}, "y": F.col(f"__{t}_y")} for t in BLENDS}
     each = folds.moments(unpivoted(some, keys, per, "target"), [F.col(c) for c in DESIGN], F.col("y"), [method, "target", session])
     models = folds.leave_one_out(each, session, alpha, [method, "target"], least_fold)
     # groups of too few rows or sessions are known from the sums
     known = [(*k, m.rows, m.sessions) for k, m in models.whole.items()]
     weak = sorted({name for name, _, rows, sessions in known if rows < least_rows or sessions < least_sessions})
+    coefficients = cut(models.models.select(*keys, "target", "coef"))
+    some = folds.looked_up(some, coefficients, session, {f"__{t}_own": {method: F.col(method), "target": F.lit(t)} for t in BLENDS})
     for t in BLENDS:
-        own = models.models.where(F.col("target") == t).select(*keys, F.col("coef").alias(f"__{t}_coef"))
-        some = folds.joined(some, own, keys)
         part = F.coalesce(*[F.when(F.col(method) == name, F.lit(float(b.get(t, BLENDS[t])))) for name, b in blends.items()])
         x = F.col(f"__{t}_x_centered")
-        hat = folds.dot(F.col(f"__{t}_coef"), [F.col(f"__{t}_{c}") for c in DESIGN])
+        hat = folds.dot(F.col(f"__{t}_own")["coef"], [F.col(f"__{t}_{c}") for c in DESIGN])
         value = F.coalesce(F.col(f"pred_{t}") - x + part * hat + (1 - part) * x, F.col(f"pred_{t}"))
         some = some.withColumn(f"__{t}", value)
     m, p = F.col("__MAP"), clamp(F.col("__PP"), low, high)

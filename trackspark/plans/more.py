@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalar, statistics
 from ..operators import asof, baseline, features, frames, metrics, projection, quality, ridge, smooth, training, windows
 from ..streaming import match
-from .beats import BEATS, PAIRS, TARGETS, beats, table
+from .beats import BEATS, PAIRS, TARGETS, beats, kept, table
 from .queries import CORR, _ewma_sql, _pairs, query, r, rounded
 
 # --- joins ---
@@ -343,7 +343,7 @@ def m6_adaptive_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m13_tracking_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each method by itself, the centred course that other sessions' dynamics predict, blended in."""
-    out = projection.projected(beats(spark, sf_dir), {"A": {"MAP": 0.9, "PP": 0.9}, "R": {"MAP": 1.1, "PP": 1.1}, "N": {"MAP": 0.2}}, "session_id", ["beat_index"])
+    out = projection.projected(kept(spark, sf_dir), {"A": {"MAP": 0.9, "PP": 0.9}, "R": {"MAP": 1.1, "PP": 1.1}, "N": {"MAP": 0.2}}, "session_id", ["beat_index"])
     return rounded(out.select("session_id", "method", "beat_index", "pred_MAP", "pred_PP", "pred_SBP", "pred_DBP"))
 
 
@@ -379,12 +379,13 @@ def r6_stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def m8_shared_baseline_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One baseline model from the discovered columns of one method's rows, replayed for all methods, with their dynamics blended in."""
-    df = beats(spark, sf_dir).withColumn("l_empty", F.lit(None).cast("double"))
+    df = kept(spark, sf_dir).withColumn("l_empty", F.lit(None).cast("double"))  # read by each step of the training
     rows = {m: df.where(F.col("method") == m) for m in ("A", "N", "R")}
     models = training.train_baselines(rows, ["l_"], "session_id", "beat_index", "ref_PP", shared="A", leave=["l_extendedprice"])
     each = [baseline.replay(rows[m], models[m], "session_id", "beat_index", "pp", 0.8, 15.0, 100.0) for m in rows]
+    # blended before they are put together, while they lie by session
+    each = [training.blended_series(x, F.col("pp_baseline"), F.col("pred_PP"), 0.7, ["method", "session_id"], ["beat_index"]) for x in each]
     out = each[0].unionByName(each[1]).unionByName(each[2])
-    out = training.blended_series(out, F.col("pp_baseline"), F.col("pred_PP"), 0.7, ["method", "session_id"], ["beat_index"])
     return rounded(out.select("session_id", "method", "beat_index", "pp_baseline", "blend", "blend_smoothed"))
 
 
