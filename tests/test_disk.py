@@ -126,7 +126,7 @@ def test_whole_columns_are_smoothed_together(spark):
         assert np.allclose(own.sx, plain_ewma(own.x.tolist(), 0.35)) and np.allclose(own.sy, plain_ewma(own.y.tolist(), 0.35))
 
 
-@pytest.mark.parametrize("query", ["m13_tracking_projection"])
+@pytest.mark.parametrize("query", ["m13_tracking_projection", "m8_shared_baseline_blend"])
 def test_models_of_methods_shuffle_beats_once(spark, query):
     # besides, sums and models of sessions: three methods of each, two targets
     n, rows = rows_shuffled(spark, lambda: queries.QUERIES[query](spark, SF).collect())
